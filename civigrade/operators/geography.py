@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.functions.text import cell_text, drop_fields, parse_place_name, place_name_key, put_fields
-from civigrade.operators.joins import lookup, upsert
+from civigrade.operators.joins import attach_counted, lookup, upsert
 
 CODE_FIELD = "municipality_ibge_code"
 CODE_SOURCE_FIELD = "municipality_code_source"
@@ -147,9 +147,10 @@ def decide(groups: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def confirmed_matches(matches: DataFrame, decided: DataFrame) -> DataFrame:
     """``row_number, ibge_code, origin`` of every row whose text has a chosen code."""
-    chosen = decided.filter(F.col("chosen_code").isNotNull()).select("original_name", "chosen_code", "origin")
     keys = [c for c in ("import_id", "sheet_name") if c in matches.columns]
-    return matches.join(lookup(chosen), "original_name").select(
+    named = matches.select(*keys, "row_number", "original_name").filter(F.col("original_name") != "")
+    joined = attach_counted(named, decided.select("original_name", "chosen_code", "origin", "rows"), ["original_name"], "rows")
+    return joined.filter(F.col("chosen_code").isNotNull()).select(
         *keys, "row_number", F.col("chosen_code").alias("ibge_code"), "origin"
     )
 

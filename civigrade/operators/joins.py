@@ -29,28 +29,32 @@ def lookup(df: DataFrame) -> DataFrame:
     """Mark a catalog for broadcast if it was measured small enough.
 
     Beyond the bound the join shuffles and adaptive execution splits the partitions of hot keys.
+    For stored tables: measuring a table derived from facts would run its whole plan.
     """
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def attach_counted(df: DataFrame, counted: DataFrame, keys: list[str], count: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Inner join of rows with a table that has one row per key and tells how many rows of ``df`` the key has.
+    """Join rows with a table that has one row for every key of ``df`` and tells how many rows the key has.
 
     Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``: they are broadcast and their rows
     stay where they are. All other keys are small, so the shuffled join has no skew.
     """
     values = [c for c in counted.columns if c not in keys]
-    hot = counted.filter(F.col(count) > hot_rows).select(*keys, F.struct(*values).alias("_hot"))
+    hot = counted.filter(F.col(count) > hot_rows).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*values).alias("_hot")
+    )
     cold = counted.filter(F.col(count) <= hot_rows).select(
         *[F.col(k).alias(f"_cold_{k}") for k in keys], F.lit(0).alias("_cold_spread"), F.struct(*values).alias("_cold")
     )
-    marked = df.join(F.broadcast(hot), keys, "left")
+    matches = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    marked = df.join(F.broadcast(hot), reduce(Column.__and__, matches), "left")
     is_hot = F.col("_hot").isNotNull()
     # A hot row needs no partner any more: its key is blanked and a hash of the row spreads it.
     hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     spread = F.when(is_hot, F.pmod(F.xxhash64(*hashed), F.lit(1_048_573)) + 1).otherwise(F.lit(0)).cast("int")
     marked = marked.withColumn("_spread", spread)
-    matches = [F.when(~is_hot, F.col(k)) == F.col(f"_cold_{k}") for k in keys]
+    matches = [F.when(~is_hot, F.col(k)).eqNullSafe(F.col(f"_cold_{k}")) for k in keys]
     joined = marked.join(cold, reduce(Column.__and__, matches, F.col("_spread") == F.col("_cold_spread")), "left")
     found = F.coalesce("_hot", "_cold")
     return joined.filter(found.isNotNull()).select(*df.columns, *[found[v].alias(v) for v in values])

@@ -69,7 +69,7 @@ def delete_cascade(tables: dict[str, DataFrame], imports: DataFrame, sources: Da
     kept = {name: df.filter(~gone) for name, df in tables.items()}
     remaining = imports.filter(~gone)
     used_by_gone = imports.filter(gone).select("source_id").distinct()
-    unused = lookup(used_by_gone.join(remaining.select("source_id").distinct(), "source_id", "left_anti"))
+    unused = used_by_gone.join(remaining.select("source_id").distinct(), "source_id", "left_anti")
     kept_sources = sources.join(unused, "source_id", "left_anti")
     counts = [df.filter(gone).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(n)) for n, df in tables.items()]
     counts.append(imports.filter(gone).agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit("imports")))

@@ -148,27 +148,25 @@ def issues_of(candidates: DataFrame, fields: FieldNames) -> DataFrame:
     )
 
 
-def refresh_issues(existing: DataFrame, new: DataFrame, candidates: DataFrame, fields: FieldNames) -> DataFrame:
+def refresh_issues(existing: DataFrame, new: DataFrame, scope: DataFrame, fields: FieldNames) -> DataFrame:
     """Issue table after an approval: earlier ones of the same import, indicator, sheet and fields make way."""
-    scope = candidates.select(*SCOPE).distinct().withColumn(
-        "_prefix", F.concat(F.lit('Aba "'), F.coalesce("sheet_name", F.lit("")), F.lit('": '))
-    )
+    scope = scope.withColumn("_prefix", F.concat(F.lit('Aba "'), F.coalesce("sheet_name", F.lit("")), F.lit('": ')))
     ours = [fields.municipality, fields.year, fields.value]
     prefix = F.regexp_extract("message", r'^(Aba "[^"]*": )', 1)
     stale = existing.withColumn("_prefix", F.when(F.col("field").isin(*ours), prefix).otherwise(F.lit("")))
-    kept = stale.join(lookup(scope), ["import_id", "indicator_code", "_prefix"], "left_anti").select(*existing.columns)
+    kept = stale.join(scope, ["import_id", "indicator_code", "_prefix"], "left_anti").select(*existing.columns)
     key = ["import_id", "indicator_code", "row_number", "field", "message"]
     added = new.join(kept.select(*key), key, "left_anti")
     return kept.unionByName(added.select(*kept.columns))
 
 
-def supersede_scope(observations: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
+def supersede_scope(observations: DataFrame, scope: DataFrame, now: Column) -> DataFrame:
     """Mark the active observations an approval replaces: same import and indicator, same or no sheet."""
-    scope = lookup(candidates.select(*SCOPE).distinct().withColumn("_replaced", F.lit(True)))
-    pairs = lookup(candidates.select("import_id", "indicator_code").distinct().withColumn("_any", F.lit(True)))
+    replaced = scope.select(*SCOPE).withColumn("_replaced", F.lit(True))
+    pairs = scope.select("import_id", "indicator_code").distinct().withColumn("_any", F.lit(True))
     marked = (
         observations.withColumn("sheet_name", F.coalesce("source_sheet", F.lit("")))
-        .join(scope, SCOPE, "left")
+        .join(replaced, SCOPE, "left")
         .join(pairs, ["import_id", "indicator_code"], "left")
     )
     gone = F.col("superseded_at").isNull() & (
@@ -197,16 +195,21 @@ class Approval:
 
 def approve(
     candidates: DataFrame, observations: DataFrame, issues: DataFrame, now: Column, fields: FieldNames = FieldNames(),
-    by_sheet: bool = False,
+    by_sheet: bool = False, scope: DataFrame | None = None,
 ) -> Approval:
-    """Approve all candidates at once. Running it again on the same rows gives the same active observations."""
-    remaining = supersede_scope(observations, candidates, now)
+    """Approve all candidates at once. Running it again on the same rows gives the same active observations.
+
+    ``scope`` names the imports, indicators and sheets approved (a small table); without it they are
+    taken from the candidates.
+    """
+    scope = candidates.select(*SCOPE).distinct() if scope is None else lookup(scope.select(*SCOPE).distinct())
+    remaining = supersede_scope(observations, scope, now)
     marked = mark_conflicts(mark_duplicates(candidates, by_sheet), remaining)
     new_issues = issues_of(marked, fields)
     return Approval(
         marked,
         remaining.unionByName(accepted(marked).select(*remaining.columns)),
-        refresh_issues(issues, new_issues, candidates, fields),
+        refresh_issues(issues, new_issues, scope, fields),
     )
 
 
@@ -259,7 +262,7 @@ def set_status(imports: DataFrame, judged: DataFrame, observations: DataFrame, n
     """Imports after an approval: approved when any row was published, else for review. ``judged`` has their ids."""
     totals = approved_counts(observations).groupBy("import_id").agg(F.sum("approved_rows").alias("_approved"))
     touched = judged.select("import_id").distinct().join(totals, "import_id", "left").withColumn("_judged", F.lit(True))
-    joined = imports.join(lookup(touched), "import_id", "left")
+    joined = imports.join(touched, "import_id", "left")
     any_row = F.coalesce("_approved", F.lit(0)) > 0
     is_judged = F.col("_judged").isNotNull()
     status = F.when(is_judged, F.when(any_row, "approved").otherwise("needs_review")).otherwise(F.col("status"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.periods import period_label
 from civigrade.operators.index import with_place_names
-from civigrade.operators.joins import lookup
+from civigrade.operators.joins import attach_counted
 
 
 def indicator_summary(published: DataFrame) -> DataFrame:
@@ -33,15 +33,16 @@ def series_granularity(published: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.max(F.coalesce(flagged == "month", F.lit(False))), True)
         .when(F.count(flagged) > 0, False)
         .otherwise(F.max(F.month("reference_period") != 1))
-        .alias("is_monthly")
+        .alias("is_monthly"),
+        F.count(F.lit(1)).alias("points"),
     )
 
 
 def labelled_points(published: DataFrame, keys: list[str]) -> DataFrame:
     """Points with a value and a label at the granularity of their series."""
-    monthly = lookup(series_granularity(published, keys))
-    points = published.filter(F.col("value").isNotNull()).join(monthly, keys)
-    return points.withColumn("label", period_label(F.col("reference_period"), F.col("is_monthly")))
+    points = attach_counted(published, series_granularity(published, keys), keys, "points").drop("points")
+    labelled = points.withColumn("label", period_label(F.col("reference_period"), F.col("is_monthly")))
+    return labelled.filter(F.col("value").isNotNull())
 
 
 def series_summary(published: DataFrame, keys: list[str]) -> DataFrame:
