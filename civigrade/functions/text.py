@@ -158,8 +158,10 @@ def json_cell(cell: Column, data_type: T.DataType) -> Column:
     """Text a staged cell keeps: ISO dates, plain decimals, nested values as compact JSON, no NaN or infinity."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(cell) & (F.abs(cell) != F.lit(float("inf"))), cell.cast("string"))
-    if isinstance(data_type, T.TimestampType):
-        return F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss")
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        whole = F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss")
+        fraction = F.date_format(cell, "SSSSSS")
+        return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
     if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(_finite(cell, data_type))
     return cell.cast("string")

@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from civigrade.operators import benchmarks as bench
 from civigrade.operators import index
 from civigrade.plans import model
+from civigrade.plans.registry import Registry
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if sql:
-            ORACLE[name] = sql
-        return function
-
-    return register
+query = Registry()
 
 
 def _catalogs(spark):

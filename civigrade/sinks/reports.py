@@ -43,8 +43,8 @@ def header_line(names: list[str]) -> str:
     return ";".join(cell(name) for name in names)
 
 
-def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """Write a report as ``part-*`` files that read one after the other are the file: mark, header, sorted rows.
+def write_report(df: DataFrame, path: str, order: list[str], header: list[str] | None = None) -> None:
+    """Write a report, titled ``header`` or its column names, as ``part-*`` files that read one after the other are the file: mark, header, sorted rows.
 
     The rows are range-partitioned, so sorting and writing are spread over all tasks.
     """
@@ -54,19 +54,21 @@ def write_report(df: DataFrame, path: str, order: list[str]) -> None:
     )
     head = df.sparkSession.range(1).select(
         F.lit(0).alias("_part"), *[F.lit(None).alias(f"_o{i}") for i in range(len(order))],
-        F.lit(BYTE_ORDER_MARK + header_line(df.columns)).alias("line"),
+        F.lit(BYTE_ORDER_MARK + header_line(header or df.columns)).alias("line"),
     )
     keys = ["_part", *[f"_o{i}" for i in range(len(order))]]
     head.unionByName(lines).orderBy(*keys).select("line").write.option("lineSep", LINE_END).text(path)
 
 
-def ranking_report(ranked: DataFrame, dimensions: list[tuple[str, str]], selected: tuple[str, str] | None = None) -> DataFrame:
-    """Columns of the ranking report; ``dimensions`` are (code, name) in order."""
+def ranking_report(ranked: DataFrame, dimensions: list[tuple[str, str]], selected: bool = False) -> DataFrame:
+    """Columns of the ranking report; ``dimensions`` are (code, name) in order.
+
+    With ``selected`` the score the ranking was made by gets its own column.
+    """
     score = lambda code: F.try_element_at("dimension_scores", F.lit(code))
-    chosen = [F.col("score").alias(f"Nota {selected[1]}")] if selected else []
     return ranked.select(
         F.col("rank").alias("Posição"), F.col("municipality_ibge_code").alias("Código IBGE"), F.col("name").alias("Município"),
-        F.col("state").alias("UF"), *chosen, F.col("overall_score").alias("Nota geral"),
+        F.col("state").alias("UF"), *([F.col("score").alias("Nota")] if selected else []), F.col("overall_score").alias("Nota geral"),
         maturity(F.col("overall_score")).alias("Nível de maturidade"),
         *[score(code).alias(f"Nota {name}") for code, name in dimensions],
         F.col("scored_indicators").alias("Indicadores com nota"), F.col("observed_indicators").alias("Indicadores com valor"),
