@@ -13,6 +13,15 @@ HOT_KEY_ROWS = 1_000_000
 NUMBERING_BLOCK = 65_536
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is read by fewer tasks than the cluster has cores (one file, one block, gzip), spread over all.
+
+    A table of many blocks is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a table was measured to have at most ``rows`` rows and ``size`` bytes of JSON text.
 

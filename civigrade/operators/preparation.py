@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,27 +68,33 @@ class IndicatorMapping:
             parts["denominator_field"] = self.denominator_field
         return json.dumps({**parts, "multiplier": self.multiplier})
 
-    def value(self) -> Column:
+    @property
+    def fields(self) -> list[str]:
+        """Cells the calculation reads."""
+        if self.calculation == "direct":
+            return [self.value_field]
+        return [self.numerator_field] + ([self.denominator_field] if self.calculation == "ratio" else [])
+
+    def value(self, number: Callable[[str], Column]) -> Column:
+        """Calculated value; ``number`` gives the parsed number of a cell."""
         if self.calculation == "direct":
-            number = parse_number(_cell(self.value_field))
+            result = number(self.value_field)
         else:
-            numerator = parse_number(_cell(self.numerator_field))
-            if self.calculation == "ratio":
-                denominator = parse_number(_cell(self.denominator_field))
-            else:
-                denominator = F.col("inhabitants")
-            number = ratio(numerator, denominator, self.multiplier).try_cast(STORED)
-        return clamp(number, self.value_min, self.value_max).try_cast(STORED)
-
-    def measure_text(self) -> Column:
+            denominator = number(self.denominator_field) if self.calculation == "ratio" else F.col("inhabitants")
+            result = ratio(number(self.numerator_field), denominator, self.multiplier).try_cast(STORED)
+        if self.value_min is None and self.value_max is None:
+            return result
+        return clamp(result, self.value_min, self.value_max).try_cast(STORED)
+
+    def measure_text(self, text: Callable[[str], Column]) -> Column:
         """What the value came from, for problem samples."""
         if self.calculation == "direct":
-            return cell_text(_cell(self.value_field))
-        numerator = cell_text(_cell(self.numerator_field))
+            return text(self.value_field)
+        numerator = text(self.numerator_field)
         if self.calculation == "ratio":
-            return F.concat(numerator, F.lit(" / "), cell_text(_cell(self.denominator_field)))
+            return F.concat(numerator, F.lit(" / "), text(self.denominator_field))
         people = F.coalesce(F.col("inhabitants").cast("string"), F.lit("sem dado"))
-        year = F.coalesce(F.col("period")["year"].cast("string"), F.lit("?"))
+        year = F.coalesce(F.col("population_year").cast("string"), F.lit("?"))
         return F.concat(numerator, F.lit(" / população "), year, F.lit(": "), people)
 
 
@@ -155,12 +162,13 @@ def prepare_batch(
         )
         rows = rows.withColumn("population_year", F.col("period")["year"])
         rows = rows.join(people, ["population_year", "municipality_code"], "left")
+    rows, text, number = _parsed_cells(rows, mappings)
     values = [
         F.struct(
             F.lit(m.indicator_code).alias("indicator_code"),
             F.lit(m.unit.strip()).alias("unit"),
-            m.value().alias("value"),
-            m.measure_text().alias("source_measure"),
+            m.value(number).alias("value"),
+            m.measure_text(text).alias("source_measure"),
             F.lit(m.calculation_json()).alias("calculation"),
         )
         for m in mappings
@@ -171,6 +179,14 @@ def prepare_batch(
     )
 
 
+def _parsed_cells(rows: DataFrame, mappings: list[IndicatorMapping]):
+    """Rows with the text and number of every cell the mappings read, each parsed once, and how to get them."""
+    place = {name: i for i, name in enumerate(dict.fromkeys(f for m in mappings for f in m.fields))}
+    rows = rows.withColumns({f"_text_{i}": cell_text(_cell(name)) for name, i in place.items()})
+    rows = rows.withColumns({f"_number_{i}": parse_number(F.col(f"_text_{i}")) for i in place.values()})
+    return rows, lambda name: F.col(f"_text_{place[name]}"), lambda name: F.col(f"_number_{place[name]}")
+
+
 def batch_problems(prepared: DataFrame) -> DataFrame:
     """Number of unreadable values per import and indicator."""
     return prepared.groupBy("import_id", "indicator_code").agg(F.count_if(F.col("value").isNull()).alias("value_problem_count"))
@@ -194,12 +210,13 @@ def with_prepared_cells(
     """
     check_mappings(mappings)
     rows = prepare_places_and_periods(staged, selection, municipality_field, municipalities)
+    rows, _, number = _parsed_cells(rows, mappings)
     fields = {APPROVAL_CODE_FIELD: F.col("municipality_code")}
     period_fields = {
         "reference_year": F.col("period")["year"].cast("string"),
         "reference_period": month_start_text(F.col("period")),
     }
-    text = {m.indicator_code: number_text(m.value()) for m in mappings}
+    text = {m.indicator_code: number_text(m.value(number)) for m in mappings}
     fields |= {m.prepared_field: text[m.indicator_code] for m in mappings}
 
     def merged_json(field: str, added: dict[str, Column]) -> Column:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civigrade.functions.periods import PeriodSelection
 from civigrade.operators import benchmarks as bench
-from civigrade.operators import index
+from civigrade.operators import filters, geography, index, preparation, publication, series
+from civigrade.operators.joins import latest, upsert
+from civigrade.operators.preparation import IndicatorMapping
 from civigrade.plans import model
 from civigrade.plans.registry import Registry
+from civigrade.session import materialise
+from civigrade.sinks import reports
 
 query = Registry()
 
@@ -132,3 +137,362 @@ def automatic_benchmarks(spark, folder):
     return bench.automatic_benchmarks(
         model.published(spark, folder), model.population(spark, folder), model.indicators(spark)
     )
+
+
+@query(
+    "w1_latest_row",
+    f"""WITH {model.PUBLISHED_SQL} SELECT id, municipality_ibge_code, indicator_code, value FROM published
+QUALIFY row_number() OVER (PARTITION BY municipality_ibge_code, indicator_code ORDER BY reference_period DESC, id) = 1""",
+)
+def latest_row(spark, folder):
+    keys = ["municipality_ibge_code", "indicator_code"]
+    return latest(model.published(spark, folder), keys, "reference_period", ["id"]).select("id", *keys, "value")
+
+
+@query(
+    "w2_latest_value",
+    f"""WITH {model.PUBLISHED_SQL} SELECT id, municipality_ibge_code, indicator_code, value FROM published WHERE value IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY municipality_ibge_code, indicator_code ORDER BY reference_period DESC, id) = 1""",
+)
+def latest_value(spark, folder):
+    return bench.latest_values(model.published(spark, folder)).select("id", "municipality_ibge_code", "indicator_code", "value")
+
+
+@query(
+    "w5_upsert",
+    """SELECT o_custkey AS key, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1
+UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+)
+def upsert_rows(spark, folder):
+    current = model.table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.lit(-1).cast("long").alias("id"))
+    incoming = model.table(spark, folder, "orders").filter(F.col("o_orderstatus") == "F")
+    return upsert(current, incoming.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id")), ["key"], ["id"])
+
+
+@query(
+    "w6_competition_rank",
+    """SELECT l_orderkey, l_linenumber, l_partkey, score, CAST(rank() OVER (ORDER BY score DESC) AS BIGINT) AS rank
+FROM (SELECT *, round(l_quantity * 2, 9) AS score FROM lineitem)""",
+)
+def competition_rank(spark, folder):
+    """Fifty scores over all line items: almost every score is a large tie."""
+    rows = model.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity") * 2, 9).alias("score")
+    )
+    return index.competition_rank(rows, F.col("score"))
+
+
+DETAIL_SQL = f"""{SCORED_SQL}, full_catalog AS (
+  SELECT i.indicator_code, i.dimension_code, i.score_direction, i.checklist_max, b.minimum_value, b.maximum_value
+  FROM indicators i LEFT JOIN benchmarks b USING (indicator_code)),
+all_newest AS (
+  SELECT * FROM published QUALIFY row_number() OVER (PARTITION BY municipality_ibge_code, indicator_code ORDER BY reference_period DESC, id) = 1),
+detail AS (
+  SELECT m.municipality_ibge_code, c.*, n.value, n.reference_period, CASE WHEN n.value IS NULL THEN NULL
+    WHEN score_direction = 'checklist' THEN least(100.0, greatest(0.0, n.value / checklist_max * 100))
+    WHEN score_direction = 'direct' THEN least(100.0, greatest(0.0, (n.value - minimum_value) / (maximum_value - minimum_value) * 100))
+    WHEN score_direction = 'inverse' THEN least(100.0, greatest(0.0, (maximum_value - n.value) / (maximum_value - minimum_value) * 100)) END AS score
+  FROM (SELECT DISTINCT municipality_ibge_code FROM published) m CROSS JOIN full_catalog c
+  LEFT JOIN all_newest n ON n.municipality_ibge_code = m.municipality_ibge_code AND n.indicator_code = c.indicator_code),
+summary AS (
+  SELECT municipality_ibge_code, dimension_code, avg(score) AS dimension_score, count(score) AS scored_indicators,
+    count(value) AS observed_indicators, count(*) AS total_indicators FROM detail GROUP BY 1, 2)"""
+
+
+def _detail(spark, folder, codes=None):
+    return index.diagnosis(model.published(spark, folder), *_catalogs(spark), codes)
+
+
+@query(
+    "a1_diagnosis",
+    f"""WITH {DETAIL_SQL} SELECT municipality_ibge_code, indicator_code, dimension_code, value, CAST(reference_period AS VARCHAR) AS reference_period,
+  round(score, 6) AS score FROM detail""",
+)
+def diagnosis(spark, folder):
+    return _detail(spark, folder).select(
+        "municipality_ibge_code", "indicator_code", "dimension_code", "value", F.col("reference_period").cast("string").alias("reference_period"),
+        F.round("score", 6).alias("score"),
+    )
+
+
+@query(
+    "a1_dimension_summary",
+    f"""WITH {DETAIL_SQL} SELECT municipality_ibge_code, dimension_code, round(dimension_score, 6) AS dimension_score, scored_indicators,
+  observed_indicators, total_indicators FROM summary""",
+)
+def dimension_summary(spark, folder):
+    detail = _detail(spark, folder)
+    return index.diagnosis_summary(detail, model.dimensions(spark)).withColumn("dimension_score", F.round("dimension_score", 6))
+
+
+@query(
+    "a16_strongest_and_weakest",
+    f"""WITH {DETAIL_SQL}, present AS (SELECT *, round(dimension_score, 9) AS s FROM summary)
+SELECT municipality_ibge_code, first(dimension_code ORDER BY s DESC, dimension_code) FILTER (WHERE s IS NOT NULL) AS strongest_dimension,
+  CASE WHEN count(s) > 1 THEN first(dimension_code ORDER BY s, dimension_code DESC) FILTER (WHERE s IS NOT NULL) END AS weakest_dimension,
+  CAST(sum(total_indicators - observed_indicators) AS BIGINT) AS missing_indicators FROM present GROUP BY 1""",
+)
+def strongest_and_weakest(spark, folder):
+    summary = index.diagnosis_summary(_detail(spark, folder), model.dimensions(spark))
+    return index.strongest_and_weakest(summary)
+
+
+PAGE_COLUMNS = ["rank", "municipality_ibge_code", "name", "scored_indicators"]
+
+
+@query(
+    "a3_ranking_by_dimension",
+    f"""WITH {SCORED_SQL}, by_eco AS (SELECT *, rank() OVER (ORDER BY round(eco_score, 9) DESC) AS rank FROM ranked WHERE eco_score IS NOT NULL)
+SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM by_eco
+ORDER BY rank, lower(name), municipality_ibge_code LIMIT 40 OFFSET 20""",
+)
+def ranking_by_dimension(spark, folder):
+    return index.ranking_page(_ranked(spark, folder), "eco", limit=40, offset=20).select(*PAGE_COLUMNS)
+
+
+@query(
+    "a3_ranking_by_coverage",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
+SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM r
+ORDER BY scored_indicators, rank, lower(name), municipality_ibge_code LIMIT 100""",
+)
+def ranking_by_coverage(spark, folder):
+    return index.ranking_page(_ranked(spark, folder), sort="coverage", descending=False, limit=100).select(*PAGE_COLUMNS)
+
+
+@query(
+    "a3_ranking_by_missing_dimension",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
+SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM r
+ORDER BY round(pes_score, 9) DESC NULLS LAST, rank, lower(name), municipality_ibge_code LIMIT 1000""",
+)
+def ranking_by_other_dimension(spark, folder):
+    return index.ranking_page(_ranked(spark, folder), sort="pes", limit=1000).select(*PAGE_COLUMNS)
+
+
+@query(
+    "f9_ranking_search",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
+SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM r
+WHERE contains(lower(name || ' ' || coalesce(state, '') || ' ' || municipality_ibge_code), 'nation_1 0')""",
+)
+def ranking_search(spark, folder):
+    return index.ranking_matches(_ranked(spark, folder), search="  Nátion_1 0").select(*PAGE_COLUMNS)
+
+
+CODES = ["0000077", "0000033", "0001011"]
+
+
+@query(
+    "a4_compare",
+    f"""WITH {DETAIL_SQL} SELECT municipality_ibge_code, indicator_code, value, round(score, 6) AS score,
+  CASE municipality_ibge_code WHEN '{CODES[0]}' THEN 1 WHEN '{CODES[1]}' THEN 2 ELSE 3 END AS place
+FROM detail WHERE municipality_ibge_code IN ('{"', '".join(CODES)}')""",
+)
+def compare(spark, folder):
+    rows = index.compare(_detail(spark, folder, CODES), [CODES[0], *CODES])
+    return rows.select("municipality_ibge_code", "indicator_code", "value", F.round("score", 6).alias("score"), "place")
+
+
+@query(
+    "r5_comparison_table",
+    f"""WITH {DETAIL_SQL} SELECT dimension_code, indicator_code, {", ".join(f"round(max(score) FILTER (WHERE municipality_ibge_code = '{c}'), 6) AS score_{c}, max(value) FILTER (WHERE municipality_ibge_code = '{c}') AS value_{c}" for c in CODES)}
+FROM detail WHERE municipality_ibge_code IN ('{"', '".join(CODES)}') GROUP BY 1, 2""",
+)
+def comparison_table(spark, folder):
+    wide = index.comparison_table(_detail(spark, folder, CODES), CODES)
+    parts = [p for c in CODES for p in (F.round(f"`{c}_score`", 6).alias(f"score_{c}"), F.col(f"`{c}_value`").alias(f"value_{c}"))]
+    return wide.select("dimension_code", "indicator_code", *parts)
+
+
+@query(
+    "r6_best_in_row",
+    f"""WITH {SCORED_SQL} SELECT municipality_ibge_code, indicator_code, state, coalesce(count(score) OVER w >= 2
+  AND min(round(score, 9)) OVER w < max(round(score, 9)) OVER w AND round(score, 9) = max(round(score, 9)) OVER w, false) AS is_best
+FROM scored JOIN municipality ON ibge_code = municipality_ibge_code WINDOW w AS (PARTITION BY indicator_code, state)""",
+)
+def best_in_row(spark, folder):
+    """Best municipality of each state per indicator."""
+    scored = index.score_latest(model.published(spark, folder), *_catalogs(spark)).withColumn("score", F.round("score", 9))
+    named = index.with_place_names(scored, model.municipality(spark, folder)).filter(F.col("state").isNotNull())
+    return index.best_in_row(named, ["indicator_code", "state"]).select("municipality_ibge_code", "indicator_code", "state", "is_best")
+
+
+@query(
+    "a5_indicator_summary",
+    f"""WITH {model.PUBLISHED_SQL} SELECT municipality_ibge_code, indicator_code, indicator_name, unit, count(*) AS observations,
+  CAST(min(reference_period) AS VARCHAR) AS first_period, CAST(max(reference_period) AS VARCHAR) AS last_period FROM published GROUP BY 1, 2, 3, 4""",
+)
+def indicator_summary(spark, folder):
+    rows = series.indicator_summary(model.published(spark, folder))
+    return rows.withColumn("first_period", F.col("first_period").cast("string")).withColumn("last_period", F.col("last_period").cast("string"))
+
+
+@query(
+    "a6_indicator_series",
+    f"""WITH {model.PUBLISHED_SQL} SELECT id, CAST(reference_period AS VARCHAR) AS reference_period, value, unit, source_name, import_id FROM published
+WHERE municipality_ibge_code = '0000077' AND indicator_code = 'eco01_urgent' ORDER BY published.reference_period, id""",
+)
+def indicator_series(spark, folder):
+    rows = series.indicator_series(model.published(spark, folder), "0000077", "eco01_urgent")
+    return rows.select("id", F.col("reference_period").cast("string").alias("reference_period"), "value", "unit", "source_name", "import_id")
+
+
+@query(
+    "a7_series_summary",
+    f"""WITH {model.PUBLISHED_SQL}, s AS (
+  SELECT municipality_ibge_code, indicator_code, count(*) AS points, first(value ORDER BY reference_period, id) AS first_value,
+    first(value ORDER BY reference_period DESC, id DESC) AS last_value, min(value) AS min_value, max(value) AS max_value,
+    CAST(first(reference_period ORDER BY value, reference_period) AS VARCHAR) AS min_period,
+    CAST(first(reference_period ORDER BY value DESC, reference_period) AS VARCHAR) AS max_period
+  FROM published WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT *, round(last_value - first_value, 4) AS change, round((last_value - first_value) / abs(nullif(first_value, 0)) * 100, 6) AS change_percent FROM s""",
+)
+def series_summary(spark, folder):
+    rows = series.series_summary(model.published(spark, folder), ["municipality_ibge_code", "indicator_code"])
+    return rows.select(
+        "municipality_ibge_code", "indicator_code", "points", "first_value", "last_value", "min_value", "max_value",
+        F.col("min_period").cast("string").alias("min_period"), F.col("max_period").cast("string").alias("max_period"),
+        F.round("change", 4).alias("change"), F.round("change_percent", 6).alias("change_percent"),
+    )
+
+
+@query(
+    "p10_series_labels",
+    f"""WITH {model.PUBLISHED_SQL}, flagged AS (
+  SELECT *, CASE WHEN import_id = 'P' THEN NULL WHEN import_id = 'F' THEN 'year' ELSE 'month' END AS g FROM published),
+kinds AS (SELECT municipality_ibge_code, indicator_code, CASE WHEN bool_or(coalesce(g = 'month', false)) THEN true WHEN count(g) > 0 THEN false
+  ELSE bool_or(month(reference_period) <> 1) END AS monthly FROM flagged GROUP BY 1, 2)
+SELECT id, CASE WHEN monthly THEN (['jan', 'fev', 'mar', 'abr', 'mai', 'jun', 'jul', 'ago', 'set', 'out', 'nov', 'dez'])[month(reference_period)] || '. de ' || year(reference_period)
+  ELSE CAST(year(reference_period) AS VARCHAR) END AS label FROM flagged JOIN kinds USING (municipality_ibge_code, indicator_code) WHERE value IS NOT NULL""",
+)
+def series_labels(spark, folder):
+    flag = F.when(F.col("import_id") == "F", "year").when(F.col("import_id") == "O", "month")
+    rows = model.published(spark, folder).withColumn("period_granularity", flag)
+    return series.labelled_points(rows, ["municipality_ibge_code", "indicator_code"]).select("id", "label")
+
+
+@query(
+    "a17_serving_page",
+    f"""WITH {model.PUBLISHED_SQL}, {model.MUNICIPALITY_SQL} SELECT id, CAST(reference_period AS VARCHAR) AS reference_period, name || ' (' || state || ')' AS municipality_name
+FROM published LEFT JOIN municipality ON ibge_code = municipality_ibge_code ORDER BY published.reference_period DESC, id LIMIT 200 OFFSET 100""",
+)
+def serving_page(spark, folder):
+    page = series.serving_page(model.published(spark, folder), model.municipality(spark, folder), 200, 100)
+    return page.select("id", F.col("reference_period").cast("string").alias("reference_period"), "municipality_name")
+
+
+@query("a17_total_rows", f"WITH {model.PUBLISHED_SQL} SELECT count(*) AS total FROM published WHERE starts_with(indicator_code, 'eco')")
+def total_rows(spark, folder):
+    return series.total_rows(filters.serving_rows(model.published(spark, folder), dimension="eco"))
+
+
+YEARS = (1994, 1996, 1997, 1998)
+
+
+def _yearly_population(spark, folder):
+    """Population by year: customers in all years but one; a lone row in the newest year."""
+    base = model.population(spark, folder)
+    years = base.select(F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year"), "*")
+    lone = base.filter(F.col("ibge_code") == "0000011").select(F.lit(1999).alias("year"), "*")
+    return years.withColumn("inhabitants", F.col("inhabitants") + F.col("year")).unionByName(lone)
+
+
+@query(
+    "a11_municipality_profiles",
+    f"""WITH {model.POPULATION_SQL}, shifted AS (SELECT ibge_code AS municipality_ibge_code, inhabitants + 1998 AS inhabitants FROM population)
+SELECT municipality_ibge_code, inhabitants, 1998 AS population_year, CASE WHEN inhabitants <= 50000 THEN 'pequeno' WHEN inhabitants <= 300000 THEN 'medio'
+  WHEN inhabitants <= 1000000 THEN 'grande' ELSE 'metropole' END AS city_profile FROM shifted WHERE (SELECT count(*) FROM shifted) >= 1000""",
+)
+def municipality_profiles(spark, folder):
+    return bench.municipality_profiles(_yearly_population(spark, folder), 1999)
+
+
+@query("s13_population_rows", f"WITH {model.POPULATION_SQL} SELECT ibge_code, inhabitants FROM population WHERE inhabitants >= 1000")
+def population_rows(spark, folder):
+    """Statistics rows with unusable codes and values among them."""
+    base = model.population(spark, folder)
+    value = F.when(F.col("inhabitants") < 1000, F.lit("...")).otherwise(F.col("inhabitants").cast("string"))
+    raw = base.select(F.col("ibge_code").alias("D1C"), value.alias("V"))
+    return geography.population_from_rows(raw.unionByName(base.select(F.left("ibge_code", F.lit(2)).alias("D1C"), F.lit("7").alias("V"))))
+
+
+@query(
+    "s11_ranking_report",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
+SELECT rank || ';' || municipality_ibge_code || ';' || name || ';' || state || ';' || maturity || ';' || scored_indicators || ';' || observed_indicators AS line FROM r""",
+)
+def ranking_report(spark, folder):
+    ranked = index.competition_rank(_ranked(spark, folder), F.col("overall_score"))
+    report = reports.ranking_report(ranked, [(code, name) for code, name, *_ in model.DIMENSIONS])
+    kept = report.select(*[c for c in report.columns if not c.startswith("Nota")])
+    return reports.report_lines(kept)
+
+
+@query(
+    "s11_series_report",
+    f"""WITH {model.PUBLISHED_SQL}, {model.MUNICIPALITY_SQL}
+SELECT municipality_ibge_code || ';' || coalesce(name, municipality_ibge_code) || ';' || coalesce(state, '') || ';' || indicator_name || ';' || CAST(reference_period AS VARCHAR) || ';'
+  || coalesce(regexp_replace(regexp_replace(replace(printf('%.2f', value), '.', ','), '0$', ''), ',0$', ''), '') || ';R$;' || source_name || ';' || import_id AS line
+FROM published LEFT JOIN municipality ON ibge_code = municipality_ibge_code""",
+)
+def series_report(spark, folder):
+    named = index.with_place_names(model.published(spark, folder), model.municipality(spark, folder))
+    return reports.report_lines(reports.series_report(named))
+
+
+@query(
+    "s11_comparison_report",
+    f"""WITH {DETAIL_SQL}, chosen AS (SELECT * FROM detail WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}'))
+SELECT dimension_code AS dimension, indicator_code AS indicator, max(value) FILTER (WHERE municipality_ibge_code = '{CODES[0]}') AS first_value,
+  round(max(score) FILTER (WHERE municipality_ibge_code = '{CODES[1]}'), 6) AS second_score FROM chosen GROUP BY 1, 2
+UNION ALL SELECT dimension_code, 'Nota da dimensão', NULL, round(max(dimension_score) FILTER (WHERE municipality_ibge_code = '{CODES[1]}'), 6)
+FROM summary WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}') GROUP BY 1
+UNION ALL SELECT 'Nota geral', '', NULL, (SELECT round(overall_score, 6) FROM overall WHERE municipality_ibge_code = '{CODES[1]}')""",
+)
+def comparison_report(spark, folder):
+    codes = CODES[:2]
+    detail = _detail(spark, folder, codes).withColumn("unit", F.lit("R$"))
+    summary = index.diagnosis_summary(detail, model.dimensions(spark))
+    overall = index.overall_scores(summary, model.dimensions(spark))
+    report = reports.comparison_report(detail, summary, overall, codes, {})
+    name = F.when(F.col("_3") != "", F.col("_3")).otherwise(F.col("Indicador"))
+    return report.select(
+        F.col("Dimensão").alias("dimension"), name.alias("indicator"), F.col(f"Valor {codes[0]}").alias("first_value"),
+        F.round(f"Nota {codes[1]}", 6).alias("second_score"),
+    )
+
+
+@query("file_to_ranking")
+def file_to_ranking(spark, folder):
+    """From staged text rows to a ranking: prepare, validate, publish, derive ranges, score, rank.
+
+    The observations and the ranges are written to the shared folder, as a service would keep them.
+    """
+    municipalities = model.municipality(spark, folder)
+    selection = PeriodSelection("date_column", "month", date_field="data")
+    mappings = [
+        IndicatorMapping("eco01_price", "R$", value_field="valor"),
+        IndicatorMapping("pes01_unit", "R$", "ratio", numerator_field="valor", denominator_field="quantidade"),
+    ]
+    prepared = preparation.prepare_batch(model.staged(spark, folder), selection, mappings, "municipio", municipalities)
+    candidates = publication.prepared_candidates(prepared)
+    none = publication.empty(spark, publication.OBSERVATION), publication.empty(spark, publication.ISSUE)
+    approval = publication.approve(candidates, *none, F.lit("2024-06-01").cast("timestamp"))
+    published = materialise(
+        approval.observations.select(
+            F.concat_ws("-", "import_id", "source_sheet", "source_row_number").alias("id"), "indicator_code", "reference_period",
+            F.col("municipality_code").alias("municipality_ibge_code"), F.col("value").cast("double").alias("value"),
+        ),
+        "published",
+    )
+    indicators = spark.createDataFrame(
+        [("eco01_price", "Price", "eco", "direct", None), ("pes01_unit", "Unit price", "pes", "inverse", None)],
+        model.indicators(spark).schema,
+    )
+    automatic = bench.automatic_benchmarks(published, model.population(spark, folder), indicators)
+    ranges = materialise(bench.as_profile_catalog(automatic, "medio"), "ranges")
+    ranked = index.rank_municipalities(published, indicators, model.dimensions(spark), ranges, municipalities)
+    rows = index.competition_rank(ranked, F.col("overall_score"))
+    return rows.select("rank", "municipality_ibge_code", "name", "state", F.round("overall_score", 6).alias("overall_score"), "maturity")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civigrade.operators.joins import spread
+
 # The indicator catalog of the model.
 # (priority, code, name, dimension, direction, checklist maximum)
 INDICATORS = (
@@ -152,7 +154,8 @@ def staged(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(code)
     )
     price = F.when(F.col("l_tax") == 0, F.lit("s/d")).otherwise(br_text(F.col("l_extendedprice")))
-    return table(spark, folder, "lineitem").select(
+    needed = ("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_tax", "l_shipdate", "l_quantity", "l_discount")
+    return spread(table(spark, folder, "lineitem").select(*needed)).select(
         F.concat(F.lit("file "), F.col("l_returnflag")).alias("import_id"),
         F.concat(F.lit("sheet "), F.col("l_linestatus")).alias("sheet_name"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number"),
