@@ -16,7 +16,8 @@ SHARED_SECTIONS = 2
 
 _URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _REFERENCE = r"^(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-_ANCHOR = r"""(?is)<a(?:\s+[^<>"']*|\s*"[^"]*"|\s*'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_ANCHOR = r"""(?is)<a(?=\s)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_HREF = r"""(?is)[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
@@ -59,7 +60,8 @@ def resolve_url(page: Column, reference: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     """``href`` of every anchor in document order; comments, scripts and styles do not count."""
-    found = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, ""), F.lit(_ANCHOR), F.lit(1))
+    tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, ""), F.lit(_ANCHOR), F.lit(0))
+    found = F.filter(F.transform(tags, lambda tag: F.regexp_extract(tag, _HREF, 1)), lambda h: h != "")
     return F.transform(found, lambda h: _unescape(F.trim(F.regexp_replace(h, "^[\"']|[\"']$", ""))))
 
 

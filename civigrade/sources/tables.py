@@ -35,6 +35,19 @@ def _fields(line: Column, separator: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) + 1
 
 
+def _separator_count(separator: str):
+    return lambda line: _fields(line, separator) - 1
+
+
+def _unwrapped(line: Column) -> Column:
+    return F.replace(F.substring(line, F.lit(2), F.length(line) - 2), F.lit('""'), F.lit('"'))
+
+
+def _is_wrapped(separator: str, width: Column):
+    """Whether a line is one quoted field that holds a whole record."""
+    return lambda line: line.rlike('^"([^"]|"")*"$') & (_fields(_unwrapped(line), separator) == width)
+
+
 def dialects(spark: SparkSession, path: str) -> DataFrame:
     """Encoding, separator and wrapping of every CSV file below ``path`` (gzip too).
 
@@ -55,7 +68,7 @@ def dialects(spark: SparkSession, path: str) -> DataFrame:
     filled = F.filter("lines", lambda line: line != "")
     scores = []
     for separator in SEPARATORS:
-        counts = F.transform(filled, lambda line, s=separator: _fields(line, s) - 1)
+        counts = F.transform(filled, _separator_count(separator))
         steady = (F.array_min(counts) > 0) & (F.array_min(counts) == F.array_max(counts))
         total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
         scores.append(F.struct(steady.cast("int").alias("steady"), total.alias("total"), F.lit(separator).alias("separator")))
@@ -66,13 +79,8 @@ def dialects(spark: SparkSession, path: str) -> DataFrame:
     records = F.slice("lines", 2, WRAPPED_LINES - 1)
     wrapped = F.lit(None).cast("string")
     for separator in reversed(SEPARATORS):
-
-        def is_wrapped(line: Column, s: str = separator) -> Column:
-            inner = F.replace(F.substring(line, F.lit(2), F.length(line) - 2), F.lit('""'), F.lit('"'))
-            whole = line.rlike('^"([^"]|"")*"$')
-            return whole & (_fields(inner, s) == _fields(header, s))
-
-        fits = (_fields(header, separator) >= 2) & (F.size("lines") >= FEWEST_WRAPPED_LINES) & F.forall(records, is_wrapped)
+        width = _fields(header, separator)
+        fits = (width >= 2) & (F.size("lines") >= FEWEST_WRAPPED_LINES) & F.forall(records, _is_wrapped(separator, width))
         wrapped = F.when(fits, F.lit(separator)).otherwise(wrapped)
     return (
         chosen.withColumn("wrapped", wrapped)
@@ -112,7 +120,7 @@ def _read_wrapped(spark: SparkSession, path: str, dialect) -> DataFrame:
     lines = _with_order(spark.read.text(path))
     line = F.regexp_replace("value", "^﻿|\r$", "")
     is_wrapped = F.startswith(line, F.lit('"')) & F.endswith(line, F.lit('"')) & (F.length(line) >= 2)
-    inner = F.when(is_wrapped, F.replace(F.substring(line, F.lit(2), F.length(line) - 2), F.lit('""'), F.lit('"'))).otherwise(line)
+    inner = F.when(is_wrapped, _unwrapped(line)).otherwise(line)
     separator = dialect["separator"]
     names = unique_names([n.strip().strip('"') for n in dialect["header"].split(separator)])
     options = {"sep": separator, "quote": '"', "escape": '"'}
