@@ -70,9 +70,15 @@ def cell_text(cell: Column) -> Column:
 
 
 def number_cell_text(cell: Column) -> Column:
-    """Cell text of a floating point cell; whole numbers lose their fraction."""
-    whole = (cell == F.floor(cell)) & (F.abs(cell) < F.lit(1e15))
-    return F.when(cell.isNull() | F.isnan(cell), F.lit("")).when(whole, cell.cast("bigint").cast("string")).otherwise(cell.cast("string"))
+    """Cell text of a floating point cell: no exponent, whole numbers without fraction, ``''`` if not finite."""
+    size = F.abs(cell)
+    finite = ~F.isnan(cell) & (size != F.lit(float("inf")))
+    whole = (cell == F.floor(cell)) & (size < F.lit(1e15))
+    # Between these bounds Spark writes doubles plainly, as short as they can be read back.
+    plain = size.between(1e-3, 9_999_999.0)
+    long = F.regexp_replace(cell.try_cast("decimal(38,15)").cast("string"), "0+$", "")
+    text = F.when(whole, cell.try_cast("bigint").cast("string")).when(plain, cell.cast("string")).otherwise(F.coalesce(long, cell.cast("string")))
+    return F.coalesce(F.when(finite, text), F.lit(""))
 
 
 def search_key(text: Column) -> Column:
@@ -157,7 +163,7 @@ def drop_fields(row: Column, names: list[str]) -> Column:
 def json_cell(cell: Column, data_type: T.DataType) -> Column:
     """Text a staged cell keeps: ISO dates, plain decimals, nested values as compact JSON, no NaN or infinity."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(cell) & (F.abs(cell) != F.lit(float("inf"))), cell.cast("string"))
+        return F.nullif(number_cell_text(cell.cast("double")), F.lit(""))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         whole = F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss")
         fraction = F.date_format(cell, "SSSSSS")

@@ -71,7 +71,7 @@ def overall_scores(by_dimension: DataFrame, dimensions: DataFrame) -> DataFrame:
             F.sum("observed_indicators").alias("observed_indicators"),
             F.sum("scored_indicators").alias("scored_indicators"),
         )
-        .withColumn("overall_score", F.round(F.least("overall_score", F.lit(100.0)), SCORE_PLACES))
+        .withColumn("overall_score", F.round(F.when(F.col("overall_score") > 100, 100.0).otherwise(F.col("overall_score")), SCORE_PLACES))
         .withColumn("maturity", maturity(F.col("overall_score")))
     )
 

@@ -44,14 +44,15 @@ by_dimension AS (
   FROM scored GROUP BY 1, 2),
 overall AS (
   SELECT municipality_ibge_code,
-         round(least(100.0, sum(dimension_score * weight) / sum(CASE WHEN dimension_score IS NOT NULL THEN weight END)), 9) AS overall_score,
+         sum(dimension_score * weight) / sum(CASE WHEN dimension_score IS NOT NULL THEN weight END) AS mean_score,
+         round(CASE WHEN mean_score > 100 THEN 100.0 ELSE mean_score END, 9) AS overall_score,
          CAST(sum(observed_indicators) AS BIGINT) AS observed_indicators,
          CAST(sum(scored_indicators) AS BIGINT) AS scored_indicators,
          max(CASE WHEN dimension_code = 'eco' THEN dimension_score END) AS eco_score,
          max(CASE WHEN dimension_code = 'pes' THEN dimension_score END) AS pes_score
   FROM by_dimension JOIN dimensions USING (dimension_code) GROUP BY 1),
 ranked AS (
-  SELECT o.*, coalesce(m.name, o.municipality_ibge_code) AS name, m.state,
+  SELECT o.* EXCLUDE (mean_score), coalesce(m.name, o.municipality_ibge_code) AS name, m.state,
          CASE WHEN overall_score <= 20 THEN 'Nível 1 - Inicial' WHEN overall_score <= 40 THEN 'Nível 2 - Em desenvolvimento'
               WHEN overall_score <= 60 THEN 'Nível 3 - Estruturado' WHEN overall_score <= 80 THEN 'Nível 4 - Gerenciado'
               ELSE 'Nível 5 - Otimizado' END AS maturity

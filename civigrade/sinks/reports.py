@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civigrade.functions.scoring import maturity
+from civigrade.functions.text import number_cell_text
 from civigrade.operators.index import compare
 
 BYTE_ORDER_MARK = "﻿"
@@ -16,13 +17,8 @@ LINE_END = "\r\n"
 def report_cell(cell: Column, data_type: T.DataType) -> Column:
     """Cell of a report: decimal comma, empty for missing, text that looks like a formula is quoted away."""
     if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType, T.IntegralType)):
-        number = cell.cast("double") if isinstance(data_type, (T.FloatType, T.DecimalType)) else cell
-        whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-        text = F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
-        finite = F.lit(True)
-        if not isinstance(data_type, T.IntegralType):
-            finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-        return F.coalesce(F.when(finite, F.replace(text, F.lit("."), F.lit(","))), F.lit(""))
+        text = F.coalesce(cell.cast("string"), F.lit("")) if isinstance(data_type, T.IntegralType) else number_cell_text(cell.cast("double"))
+        return F.replace(text, F.lit("."), F.lit(","))
     text = cell.cast("string")
     safe = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
     quoted = F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
