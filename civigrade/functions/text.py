@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from typing import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def fold_python(text: str) -> str:
     return text.translate({**dict(zip(map(ord, _FOLD_FROM), _FOLD_TO)), **{ord(m): None for m in _MARKS}})
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unaccent(text: Column) -> Column:
     """Fold accented Latin letters to ASCII and drop combining marks."""
     return F.translate(text, _FOLD_FROM + _MARKS, _FOLD_TO)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.functions.periods import period_bound
-from civigrade.functions.text import cell_text, dimension_prefix, merged_field, search_key, words_key
+from civigrade.functions.text import cell_text, dimension_prefix, merged_field, words_key
 from civigrade.functions.values import filter_number
 
 OPERATORS = ("eq", "neq", "in", "gte", "lte", "contains")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civigrade.functions.text import cell_text, drop_fields, parse_place_name, place_name_key, put_fields
+from civigrade.functions.text import cell_text, drop_fields, once, parse_place_name, place_name_key, put_fields
 from civigrade.operators.joins import attach_counted, lookup, upsert
 
 CODE_FIELD = "municipality_ibge_code"
@@ -52,13 +52,16 @@ def _name_keys(municipalities: DataFrame) -> DataFrame:
 
 
 def _original_key(original: Column) -> Column:
-    parsed = parse_place_name(original)
-    code = F.regexp_replace(original, r"\.0+$", "")
-    return (
-        F.when(parsed.isNotNull(), F.concat_ws("|", F.lit("s"), place_name_key(parsed["name"]), parsed["state"]))
-        .when(code.rlike("^[0-9]{6,7}$"), F.concat_ws("|", F.lit("c"), code))
-        .otherwise(F.concat_ws("|", F.lit("n"), place_name_key(original)))
-    )
+    code = F.regexp_extract(original, r"^([0-9]{6,7})(\.0+)?$", 1)
+
+    def key(parsed: Column) -> Column:
+        name = F.when(parsed.isNotNull(), parsed["name"]).otherwise(original)
+        named = F.concat_ws("|", place_name_key(name), parsed["state"])
+        return F.when(code != "", F.concat(F.lit("c|"), code)).otherwise(
+            F.concat(F.when(parsed.isNotNull(), F.lit("s|")).otherwise(F.lit("n|")), named)
+        )
+
+    return once(parse_place_name(original), key)
 
 
 def match_names(rows: DataFrame, field: Column, municipalities: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from civigrade.functions.periods import FIRST_YEAR, LAST_YEAR, MONTH_START, mont
 from civigrade.functions.text import cell_text, merged_field
 from civigrade.functions.values import SIMPLE, STORED
 from civigrade.operators.joins import attach_counted, lookup
+from civigrade.session import materialise
 
 # The messages of the five validation rules.
 MESSAGES = {
@@ -202,6 +203,8 @@ def approve(
     ``scope`` names the imports, indicators and sheets approved (a small table); without it they are
     taken from the candidates.
     """
+    # Issues and observations both read the candidates, some more than once: they are written once.
+    candidates = materialise(candidates, "candidates")
     scope = candidates.select(*SCOPE).distinct() if scope is None else lookup(scope.select(*SCOPE).distinct())
     remaining = supersede_scope(observations, scope, now)
     marked = mark_conflicts(mark_duplicates(candidates, by_sheet), remaining)

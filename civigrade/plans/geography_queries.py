@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from civigrade.functions.text import STATES, parse_place_name
 from civigrade.operators import filters, geography
 from civigrade.operators.filters import RowFilter
+from civigrade.operators.joins import spread
 from civigrade.plans import model
 from civigrade.plans.registry import Registry
 
@@ -62,7 +63,7 @@ def _spelled_places(spark, folder):
         .when(line == 6, F.col("code").substr(1, 6))
         .otherwise(F.lit("  "))
     )
-    rows = model.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    rows = spread(model.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
     return rows.join(places, "l_partkey").select(
         (F.col("l_orderkey") * 10 + line).alias("row_number"), "l_partkey", spelled.alias("cell")
     )

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civigrade.operators.joins import spread
+from civigrade.session import scratch_folder
+from civigrade.sources.tables import STAGED, write_staged
 
 # The indicator catalog of the model.
 # (priority, code, name, dimension, direction, checklist maximum)
@@ -71,20 +73,25 @@ POPULATION_SQL = """population AS (
 
 
 def indicators(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(c, n, d, s, m) for _, c, n, d, s, m in INDICATORS],
-        "indicator_code string, indicator_name string, dimension_code string, score_direction string, checklist_max double",
-    )
+    return _literal_table(
+        spark, [row[1:] for row in INDICATORS], "indicator_code", "indicator_name", "dimension_code", "score_direction", "checklist_max"
+    ).withColumn("checklist_max", F.col("checklist_max").cast("double"))
 
 
 def dimensions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(DIMENSIONS), "dimension_code string, dimension_name string, display_order int, weight double"
+    return _literal_table(spark, DIMENSIONS, "dimension_code", "dimension_name", "display_order", "weight").withColumn(
+        "weight", F.col("weight").cast("double")
     )
 
 
 def benchmarks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(BENCHMARKS), "indicator_code string, minimum_value double, maximum_value double")
+    rows = _literal_table(spark, BENCHMARKS, "indicator_code", "minimum_value", "maximum_value")
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("minimum_value", "maximum_value")})
+
+
+def _literal_table(spark: SparkSession, rows, *columns: str) -> DataFrame:
+    values = ", ".join("(" + ", ".join(_sql_value(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
 
 def _sql_value(value) -> str:
@@ -140,7 +147,20 @@ def br_text(number):
     return F.translate(F.format_number(number, 2), ",.", ".,")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def staged(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table of staged rows, written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        path = scratch_folder(spark, "staged")
+        write_staged(staged_rows(spark, folder), path)
+        _stored[key] = path
+    return spark.read.schema(STAGED).parquet(_stored[key])
+
+
+def staged_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Staged text rows of a file: import per return flag, sheet per line status.
 
     Codes come in three spellings (seven digits, six digits, with a fraction) or broken; the keys of

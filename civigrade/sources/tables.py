@@ -17,6 +17,7 @@ WRAPPED_LINES, FEWEST_WRAPPED_LINES = 7, 4
 LATIN = "ISO-8859-1"
 ORDER_COLUMNS = ["__file", "__block", "__at"]
 SHEET = ["import_id", "sheet_name"]
+STAGED = "import_id string, sheet_name string, row_number long, raw_row map<string,string>, normalized_row map<string,string>"
 LABEL_MARK = "(Código)"
 
 
