@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.functions.text import short_code, strip
+from civigrade.operators.joins import attach_counted
 
 
 def indicator_coverage(serving: DataFrame) -> DataFrame:
@@ -57,8 +58,8 @@ def group_by_dimension(indicators: DataFrame, position: str = "position") -> Dat
     """Indicators with the label of their dimension group and the order of the groups."""
     label = strip(F.coalesce("dimension", F.lit("")))
     named = indicators.withColumn("dimension_group", F.when(label == "", F.lit("Sem dimensão")).otherwise(label))
-    first = named.groupBy("dimension_group").agg(F.min(position).alias("group_position"))
-    return named.join(first, "dimension_group")
+    first = named.groupBy("dimension_group").agg(F.min(position).alias("group_position"), F.count(F.lit(1)).alias("_items"))
+    return attach_counted(named, first, ["dimension_group"], "_items").drop("_items")
 
 
 def merge_overrides(base: DataFrame, saved: DataFrame) -> DataFrame:
@@ -80,8 +81,8 @@ def merge_overrides(base: DataFrame, saved: DataFrame) -> DataFrame:
             F.col("_base").isNull().cast("int").alias("after"), F.coalesce("_base_position", "_saved_position").alias("position")
         ).alias("place"),
     )
-    first = merged.groupBy("dimension").agg(F.min("place").alias("dimension_place"))
-    return merged.join(first, "dimension").select(*merged.columns, "dimension_place")
+    first = merged.groupBy("dimension").agg(F.min("place").alias("dimension_place"), F.count(F.lit(1)).alias("_items"))
+    return attach_counted(merged, first, ["dimension"], "_items").drop("_items")
 
 
 def in_listing_order(merged: DataFrame) -> DataFrame:

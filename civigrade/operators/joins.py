@@ -99,13 +99,19 @@ def prefix_sums(counted: DataFrame, group: list[str], order: Column, count: str,
 def number_rows(df: DataFrame, group: list[str], position: str, then: list[str], alias: str = "row_number") -> DataFrame:
     """``row_number`` per group ordered by ``position`` and ``then``, without one task per group.
 
-    ``position`` is a number; rows are numbered inside blocks of 65,536 positions, and the
-    number of rows in earlier blocks (a table of counts) is added.
+    ``position`` is a number; rows are numbered inside blocks of 65,536 positions. The number of rows
+    in earlier blocks is added, itself summed inside and over groups of 65,536 blocks.
     """
     blocked = df.withColumn("_block", F.floor(F.col(position) / NUMBERING_BLOCK))
     keys = [*group, "_block"]
     counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = prefix_sums(counts, group, F.col("_block"), "_rows", "_before").drop("_rows")
+    counts = counts.withColumn("_super", F.floor(F.col("_block") / NUMBERING_BLOCK))
+    supers = counts.groupBy(*group, "_super").agg(F.sum("_rows").alias("_super_rows"))
+    supers = prefix_sums(supers, group, F.col("_super"), "_super_rows", "_super_before").drop("_super_rows")
+    near = prefix_sums(counts, [*group, "_super"], F.col("_block"), "_rows", "_near")
+    offsets = near.join(supers, _same(near, supers, [*group, "_super"])).select(
+        *[near[k] for k in keys], (F.col("_near") + F.col("_super_before")).alias("_before")
+    )
     inside = Window.partitionBy(*keys).orderBy(position, *then)
     numbered = blocked.withColumn("_inside", F.row_number().over(inside))
     return (

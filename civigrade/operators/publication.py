@@ -110,20 +110,37 @@ def mark_duplicates(candidates: DataFrame, by_sheet: bool = False) -> DataFrame:
 
     Counted within an import and indicator, or within each sheet when sheets are approved one by one.
     """
-    keys = ["import_id", "indicator_code", "municipality_code", "reference_period"] + (["sheet_name"] if by_sheet else [])
+    return _judge(candidates, _duplicate_counts(candidates, by_sheet), by_sheet)
+
+
+def mark(candidates: DataFrame, observations: DataFrame, by_sheet: bool = False) -> DataFrame:
+    """Add ``duplicate_count`` and ``is_conflict``.
+
+    A conflict is an active observation another sheet of the import already has for the same key. It is
+    looked up once per key, so a key with many candidates costs no more than one with a single one.
+    """
+    active = observations.filter(F.col("superseded_at").isNull()).select(
+        *OBSERVATION_KEY, F.coalesce("source_sheet", F.lit("")).alias("_taken_by")
+    )
+    counts = _duplicate_counts(candidates, by_sheet).join(active, OBSERVATION_KEY, "left")
+    judged = _judge(candidates, counts, by_sheet)
+    other = F.col("_taken_by").isNotNull() & (F.col("_taken_by") != F.coalesce("sheet_name", F.lit("")))
+    return judged.withColumn("is_conflict", F.col("is_valid") & other).drop("_taken_by")
+
+
+def _duplicate_key(by_sheet: bool) -> list[str]:
+    return OBSERVATION_KEY + (["sheet_name"] if by_sheet else [])
+
+
+def _duplicate_counts(candidates: DataFrame, by_sheet: bool) -> DataFrame:
     valid = candidates.filter("is_valid")
-    counts = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate_count"))
-    counted = attach_counted(valid, counts, keys, "duplicate_count")
-    invalid = candidates.filter(~F.col("is_valid")).withColumn("duplicate_count", F.lit(0).cast("long"))
-    return counted.unionByName(invalid)
+    return valid.groupBy(*_duplicate_key(by_sheet)).agg(F.count(F.lit(1)).alias("duplicate_count"))
 
 
-def mark_conflicts(candidates: DataFrame, observations: DataFrame) -> DataFrame:
-    """Add ``is_conflict``: another sheet of the import already has an active observation for the same key."""
-    active = observations.filter(F.col("superseded_at").isNull()).select(*OBSERVATION_KEY, F.coalesce("source_sheet", F.lit("")).alias("_sheet"))
-    joined = candidates.join(active, OBSERVATION_KEY, "left")
-    conflict = F.col("is_valid") & F.col("_sheet").isNotNull() & (F.col("_sheet") != F.coalesce("sheet_name", F.lit("")))
-    return joined.withColumn("is_conflict", conflict).drop("_sheet").select(*candidates.columns, "is_conflict")
+def _judge(candidates: DataFrame, counts: DataFrame, by_sheet: bool) -> DataFrame:
+    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), "duplicate_count")
+    invalid = candidates.filter(~F.col("is_valid")).withColumn("duplicate_count", F.lit(0).cast("long"))
+    return judged.unionByName(invalid, allowMissingColumns=True)
 
 
 def issues_of(candidates: DataFrame, fields: FieldNames) -> DataFrame:
@@ -207,7 +224,7 @@ def approve(
     candidates = materialise(candidates, "candidates")
     scope = candidates.select(*SCOPE).distinct() if scope is None else lookup(scope.select(*SCOPE).distinct())
     remaining = supersede_scope(observations, scope, now)
-    marked = mark_conflicts(mark_duplicates(candidates, by_sheet), remaining)
+    marked = mark(candidates, remaining, by_sheet)
     new_issues = issues_of(marked, fields)
     return Approval(
         marked,

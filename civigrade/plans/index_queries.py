@@ -10,6 +10,7 @@ from civigrade.operators import filters, geography, index, preparation, publicat
 from civigrade.operators.joins import latest, upsert
 from civigrade.operators.preparation import IndicatorMapping
 from civigrade.plans import model
+from civigrade.plans.geography_queries import RESOLVED_SQL
 from civigrade.plans.registry import Registry
 from civigrade.session import materialise
 from civigrade.sinks import reports
@@ -465,7 +466,39 @@ def comparison_report(spark, folder):
     )
 
 
-@query("file_to_ranking")
+_RANKED_PART = SCORED_SQL[SCORED_SQL.index("catalog AS (") :]
+FILE_SQL = f"""{RESOLVED_SQL}, {model.POPULATION_SQL}, {model.DIMENSIONS_SQL}, valued AS (
+  SELECT import_id, sheet_name, row_number, municipality_code, CAST(date_trunc('month', strptime(data, '%d/%m/%Y')) AS DATE) AS reference_period,
+    CASE WHEN valor <> 's/d' THEN CAST(replace(replace(valor, '.', ''), ',', '.') AS DOUBLE) END AS price, CAST(quantidade AS DOUBLE) AS amount FROM resolved),
+measured AS (
+  SELECT *, 'eco01_price' AS indicator_code, price AS value FROM valued
+  UNION ALL SELECT *, 'pes01_unit', round(price / amount, 10) FROM valued),
+single AS (
+  SELECT *, count(*) OVER (PARTITION BY import_id, indicator_code, municipality_code, reference_period) AS n FROM measured
+  WHERE municipality_code IS NOT NULL AND value IS NOT NULL),
+published AS (
+  SELECT import_id || '-' || sheet_name || '-' || row_number AS id, indicator_code, reference_period, municipality_code AS municipality_ibge_code, value
+  FROM single WHERE n = 1),
+per_place AS (
+  SELECT p.*, CASE WHEN inhabitants IS NULL OR inhabitants <= 0 THEN NULL WHEN inhabitants <= 50000 THEN 'pequeno' WHEN inhabitants <= 300000 THEN 'medio' ELSE 'larger' END AS profile
+  FROM published p LEFT JOIN population ON ibge_code = municipality_ibge_code
+  QUALIFY row_number() OVER (PARTITION BY indicator_code, municipality_ibge_code ORDER BY reference_period DESC, id) = 1),
+own AS (
+  SELECT indicator_code, round(quantile_cont(value, 0.1), 4) AS lo, round(quantile_cont(value, 0.9), 4) AS hi FROM per_place WHERE profile = 'medio'
+  GROUP BY 1 HAVING count(*) >= 30 AND quantile_cont(value, 0.1) < quantile_cont(value, 0.9)),
+whole AS (
+  SELECT indicator_code, round(quantile_cont(value, 0.1), 4) AS lo, round(quantile_cont(value, 0.9), 4) AS hi FROM per_place
+  GROUP BY 1 HAVING count(*) >= 30 AND quantile_cont(value, 0.1) < quantile_cont(value, 0.9)),
+benchmarks AS (SELECT indicator_code, coalesce(o.lo, w.lo) AS minimum_value, coalesce(o.hi, w.hi) AS maximum_value FROM whole w LEFT JOIN own o USING (indicator_code)),
+indicators(indicator_code, dimension_code, score_direction, checklist_max) AS (VALUES ('eco01_price', 'eco', 'direct', NULL), ('pes01_unit', 'pes', 'inverse', NULL)),
+{_RANKED_PART}"""
+
+
+@query(
+    "file_to_ranking",
+    f"""WITH {FILE_SQL} SELECT CAST(rank() OVER (ORDER BY overall_score DESC) AS BIGINT) AS rank, municipality_ibge_code, name, state,
+  round(overall_score, 6) AS overall_score, maturity FROM ranked""",
+)
 def file_to_ranking(spark, folder):
     """From staged text rows to a ranking: prepare, validate, publish, derive ranges, score, rank.
 

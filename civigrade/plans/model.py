@@ -147,17 +147,23 @@ def br_text(number):
     return F.translate(F.format_number(number, 2), ",.", ".,")
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
-def staged(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored table of staged rows, written once per application to the shared folder."""
-    key = (spark.sparkContext.applicationId, folder)
+def stored(spark: SparkSession, folder: str, label: str, write) -> str:
+    """Path of a table that a service would keep, written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, folder, label)
     if key not in _stored:
-        path = scratch_folder(spark, "staged")
-        write_staged(staged_rows(spark, folder), path)
+        path = scratch_folder(spark, label)
+        write(path)
         _stored[key] = path
-    return spark.read.schema(STAGED).parquet(_stored[key])
+    return _stored[key]
+
+
+def staged(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table of staged rows."""
+    path = stored(spark, folder, "staged", lambda path: write_staged(staged_rows(spark, folder), path))
+    return spark.read.schema(STAGED).parquet(path)
 
 
 def staged_rows(spark: SparkSession, folder: str) -> DataFrame:

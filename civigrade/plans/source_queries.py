@@ -181,6 +181,12 @@ SHEET = ["file", "sheet"]
 
 
 def _grid(spark, folder):
+    """The stored grid of all sheets."""
+    path = model.stored(spark, folder, "grid", lambda path: _grid_rows(spark, folder).write.parquet(path))
+    return spark.read.schema("file string, sheet string, row_number long, cells array<string>").parquet(path)
+
+
+def _grid_rows(spark, folder):
     orders = model.table(spark, folder, "orders").select(
         F.col("o_orderstatus").alias("file"), F.col("o_orderpriority").alias("sheet"), "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"
     )

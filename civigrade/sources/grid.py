@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from civigrade.functions.naming import unique_names_column
 from civigrade.functions.text import strip, title_key
 from civigrade.functions.values import looks_numeric
-from civigrade.operators.joins import number_rows
+from civigrade.operators.joins import attach_counted, number_rows
 
 SHEET = ["file", "sheet"]
 
@@ -124,7 +124,9 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
 
     Empty rows, repeated header rows and everything after the last row with two filled cells are dropped.
     """
-    joined = grid.join(headers.select(*SHEET, "first_data", "columns", "names"), SHEET)
+    counts = grid.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_rows"))
+    headed = counts.join(headers.select(*SHEET, "first_data", "columns", "names"), SHEET, "left")
+    joined = attach_counted(grid, headed, SHEET, "_rows")
     picked = joined.filter(F.col("row_number") >= F.col("first_data")).withColumn(
         "cells", F.transform("columns", lambda i: F.get("cells", i))
     )
@@ -132,12 +134,9 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     is_header = (F.size("cells") > 0) & F.forall(same, lambda x: x)
     filled = F.size(F.filter("cells", lambda c: F.coalesce(strip(c) != "", F.lit(False))))
     rows = picked.filter(~is_header & (filled > 0)).withColumn("filled", filled)
-    ends = (
-        rows.filter(F.col("filled") >= F.least(F.lit(2), F.size("names")))
-        .groupBy(*SHEET)
-        .agg(F.max("row_number").alias("_last"))
-    )
-    kept = rows.join(ends, SHEET).filter(F.col("row_number") <= F.col("_last"))
+    enough = F.col("filled") >= F.least(F.lit(2), F.size("names"))
+    ends = rows.groupBy(*SHEET).agg(F.max(F.when(enough, F.col("row_number"))).alias("_last"), F.count(F.lit(1)).alias("_kept"))
+    kept = attach_counted(rows, ends, SHEET, "_kept").filter(F.col("row_number") <= F.col("_last"))
     return kept.select(*SHEET, "row_number", "names", "cells")
 
 
