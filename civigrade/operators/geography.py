@@ -152,7 +152,7 @@ def confirmed_matches(matches: DataFrame, decided: DataFrame) -> DataFrame:
     """``row_number, ibge_code, origin`` of every row whose text has a chosen code."""
     keys = [c for c in ("import_id", "sheet_name") if c in matches.columns]
     named = matches.select(*keys, "row_number", "original_name").filter(F.col("original_name") != "")
-    joined = attach_counted(named, decided.select("original_name", "chosen_code", "origin", "rows"), ["original_name"], "rows")
+    joined = attach_counted(named, decided.select("original_name", "chosen_code", "origin", "rows"), ["original_name"], "rows", null_keys=False)
     return joined.filter(F.col("chosen_code").isNotNull()).select(
         *keys, "row_number", F.col("chosen_code").alias("ibge_code"), "origin"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
+HOT_KEY_COPIES = 1024
 NUMBERING_BLOCK = 65_536
 
 
@@ -43,30 +44,34 @@ def lookup(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
-def attach_counted(df: DataFrame, counted: DataFrame, keys: list[str], count: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Join rows with a table that has one row for every key of ``df`` and tells how many rows the key has.
+def attach_counted(
+    df: DataFrame, counted: DataFrame, keys: list[str], count: str, hot_rows: int | None = None, counts: DataFrame | None = None,
+    null_keys: bool = True,
+) -> DataFrame:
+    """Join rows with a table that has one row for every key of ``df`` and tells how many rows of ``df`` the key has.
 
-    Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``: they are broadcast and their rows
-    stay where they are. All other keys are small, so the shuffled join has no skew.
+    Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``, so their names can be broadcast.
+    Their rows are spread over 1024 copies of the one row they meet; all other keys are small.
+    ``counts`` may give keys and counts more cheaply than ``counted``. Where no key is null, say so: it saves work.
     """
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     values = [c for c in counted.columns if c not in keys]
-    hot = counted.filter(F.col(count) > hot_rows).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*values).alias("_hot")
-    )
-    cold = counted.filter(F.col(count) <= hot_rows).select(
-        *[F.col(k).alias(f"_cold_{k}") for k in keys], F.lit(0).alias("_cold_spread"), F.struct(*values).alias("_cold")
-    )
-    matches = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    marked = df.join(F.broadcast(hot), reduce(Column.__and__, matches), "left")
-    is_hot = F.col("_hot").isNotNull()
-    # A hot row needs no partner any more: its key is blanked and a hash of the row spreads it.
+    is_hot = F.col(count) > hot_rows
+    hot = (counted if counts is None else counts).filter(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(hot), _matches(keys, "_hot_", null_keys), "left")
     hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*hashed), F.lit(1_048_573)) + 1).otherwise(F.lit(0)).cast("int")
-    marked = marked.withColumn("_spread", spread)
-    matches = [F.when(~is_hot, F.col(k)).eqNullSafe(F.col(f"_cold_{k}")) for k in keys]
-    joined = marked.join(cold, reduce(Column.__and__, matches, F.col("_spread") == F.col("_cold_spread")), "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.filter(found.isNotNull()).select(*df.columns, *[found[v].alias(v) for v in values])
+    spread_over = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashed), F.lit(HOT_KEY_COPIES))).otherwise(F.lit(0)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.when(is_hot, HOT_KEY_COPIES - 1).otherwise(0)))
+    partners = counted.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.struct(*values).alias("_values"), copies.alias("_copy"))
+    joined = marked.withColumn("_spread", spread_over).join(
+        partners, _matches(keys, "_key_", null_keys) & (F.col("_spread") == F.col("_copy"))
+    )
+    return joined.select(*df.columns, *[F.col("_values")[v].alias(v) for v in values])
+
+
+def _matches(keys: list[str], prefix: str, null_keys: bool) -> Column:
+    pairs = [(F.col(k), F.col(prefix + k)) for k in keys]
+    return reduce(Column.__and__, [a.eqNullSafe(b) if null_keys else a == b for a, b in pairs])
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column, rows: int = 1) -> DataFrame:

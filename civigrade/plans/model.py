@@ -39,12 +39,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, label: str, write) -> str:
+    """Path of a table that a service would keep, written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, folder, label)
+    if key not in _stored:
+        path = scratch_folder(spark, label)
+        write(path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def municipality_code(key):
     """Seven-digit code; the six-digit prefix is unique per code. Keys beyond a million share codes."""
     return F.concat(F.lpad((key % 1_000_000).cast("string"), 6, "0"), (key % 10).cast("string"))
 
 
 def municipality(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored catalog of municipalities."""
+    path = stored(spark, folder, "municipality", lambda path: _municipality_rows(spark, folder).write.parquet(path))
+    return spark.read.schema("ibge_code string, name string, state string").parquet(path)
+
+
+def _municipality_rows(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     rows = table(spark, folder, "customer").join(nation, "c_nationkey")
     first = rows.groupBy(municipality_code(F.col("c_custkey")).alias("ibge_code")).agg(
@@ -60,6 +79,12 @@ MUNICIPALITY_SQL = """municipality AS (
 
 
 def population(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored population table."""
+    path = stored(spark, folder, "population", lambda path: _population_rows(spark, folder).write.parquet(path))
+    return spark.read.schema("ibge_code string, inhabitants long").parquet(path)
+
+
+def _population_rows(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer")
     return customer.groupBy(municipality_code(F.col("c_custkey")).alias("ibge_code")).agg(
         F.max(F.floor(F.abs("c_acctbal") * 150)).cast("long").alias("inhabitants")
@@ -73,23 +98,23 @@ POPULATION_SQL = """population AS (
 
 
 def indicators(spark: SparkSession) -> DataFrame:
-    return _literal_table(
+    return literal_table(
         spark, [row[1:] for row in INDICATORS], "indicator_code", "indicator_name", "dimension_code", "score_direction", "checklist_max"
     ).withColumn("checklist_max", F.col("checklist_max").cast("double"))
 
 
 def dimensions(spark: SparkSession) -> DataFrame:
-    return _literal_table(spark, DIMENSIONS, "dimension_code", "dimension_name", "display_order", "weight").withColumn(
+    return literal_table(spark, DIMENSIONS, "dimension_code", "dimension_name", "display_order", "weight").withColumn(
         "weight", F.col("weight").cast("double")
     )
 
 
 def benchmarks(spark: SparkSession) -> DataFrame:
-    rows = _literal_table(spark, BENCHMARKS, "indicator_code", "minimum_value", "maximum_value")
+    rows = literal_table(spark, BENCHMARKS, "indicator_code", "minimum_value", "maximum_value")
     return rows.withColumns({c: F.col(c).cast("double") for c in ("minimum_value", "maximum_value")})
 
 
-def _literal_table(spark: SparkSession, rows, *columns: str) -> DataFrame:
+def literal_table(spark: SparkSession, rows, *columns: str) -> DataFrame:
     values = ", ".join("(" + ", ".join(_sql_value(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
@@ -147,19 +172,6 @@ def br_text(number):
     return F.translate(F.format_number(number, 2), ",.", ".,")
 
 
-_stored: dict[tuple[str, str, str], str] = {}
-
-
-def stored(spark: SparkSession, folder: str, label: str, write) -> str:
-    """Path of a table that a service would keep, written once per application to the shared folder."""
-    key = (spark.sparkContext.applicationId, folder, label)
-    if key not in _stored:
-        path = scratch_folder(spark, label)
-        write(path)
-        _stored[key] = path
-    return _stored[key]
-
-
 def staged(spark: SparkSession, folder: str) -> DataFrame:
     """The stored table of staged rows."""
     path = stored(spark, folder, "staged", lambda path: write_staged(staged_rows(spark, folder), path))

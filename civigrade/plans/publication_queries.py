@@ -267,9 +267,8 @@ def text_candidates(spark, folder):
 
 def approve(spark, folder):
     """The whole approval: staged text rows to observations and issues."""
-    scope = spark.createDataFrame(
-        [(file, "preco", sheet) for file in EARLIER_FILES.values() for sheet in ("sheet F", "sheet O")],
-        "import_id string, indicator_code string, sheet_name string",
+    scope = model.literal_table(
+        spark, [(file, "preco", sheet) for file in EARLIER_FILES.values() for sheet in ("sheet F", "sheet O")], *publication.SCOPE
     )
     return publication.approve(
         _price_candidates(spark, folder), _earlier(spark, folder), _earlier_issues(spark, folder), _now(), scope=scope

@@ -126,7 +126,7 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """
     counts = grid.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_rows"))
     headed = counts.join(headers.select(*SHEET, "first_data", "columns", "names"), SHEET, "left")
-    joined = attach_counted(grid, headed, SHEET, "_rows")
+    joined = attach_counted(grid, headed, SHEET, "_rows", counts=counts, null_keys=False)
     picked = joined.filter(F.col("row_number") >= F.col("first_data")).withColumn(
         "cells", F.transform("columns", lambda i: F.get("cells", i))
     )
@@ -136,7 +136,7 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     rows = picked.filter(~is_header & (filled > 0)).withColumn("filled", filled)
     enough = F.col("filled") >= F.least(F.lit(2), F.size("names"))
     ends = rows.groupBy(*SHEET).agg(F.max(F.when(enough, F.col("row_number"))).alias("_last"), F.count(F.lit(1)).alias("_kept"))
-    kept = attach_counted(rows, ends, SHEET, "_kept").filter(F.col("row_number") <= F.col("_last"))
+    kept = attach_counted(rows, ends, SHEET, "_kept", counts=counts.withColumnRenamed("_rows", "_kept"), null_keys=False).filter(F.col("row_number") <= F.col("_last"))
     return kept.select(*SHEET, "row_number", "names", "cells")
 
 
