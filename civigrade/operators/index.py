@@ -108,7 +108,7 @@ def competition_rank(df: DataFrame, score: Column, alias: str = "rank") -> DataF
     ranks = inside.join(buckets, "_bucket").select(
         "_score", "_rows", (F.col("_above") + F.col("_before") + 1).cast("long").alias(alias)
     )
-    return attach_counted(rows, ranks, ["_score"], "_rows", counts=counts, null_keys=False).drop("_score", "_rows")
+    return attach_counted(rows, ranks, ["_score"], "_rows", null_keys=False).drop("_score", "_rows")
 
 
 def ranking_page(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
-HOT_KEY_COPIES = 1024
 NUMBERING_BLOCK = 65_536
 
 
@@ -45,28 +44,21 @@ def lookup(df: DataFrame) -> DataFrame:
 
 
 def attach_counted(
-    df: DataFrame, counted: DataFrame, keys: list[str], count: str, hot_rows: int | None = None, counts: DataFrame | None = None,
-    null_keys: bool = True,
-) -> DataFrame:
+    df: DataFrame, counted: DataFrame, keys: list[str], count: str, hot_rows: int | None = None, null_keys: bool = True
+) -> DataFrame:
     """Join rows with a table that has one row for every key of ``df`` and tells how many rows of ``df`` the key has.
 
-    Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``, so their names can be broadcast.
-    Their rows are spread over 1024 copies of the one row they meet; all other keys are small.
-    ``counts`` may give keys and counts more cheaply than ``counted``. Where no key is null, say so: it saves work.
+    Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``: they are broadcast and their rows
+    are not moved at all. What is left to shuffle has no large key. Without hot keys the first part is
+    empty, and adaptive execution drops it. Where no key is null, say so: it saves work.
     """
-    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    is_hot = F.col(count) > (HOT_KEY_ROWS if hot_rows is None else hot_rows)
     values = [c for c in counted.columns if c not in keys]
-    is_hot = F.col(count) > hot_rows
-    hot = (counted if counts is None else counts).filter(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), _matches(keys, "_hot_", null_keys), "left")
-    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread_over = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashed), F.lit(HOT_KEY_COPIES))).otherwise(F.lit(0)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.when(is_hot, HOT_KEY_COPIES - 1).otherwise(0)))
-    partners = counted.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.struct(*values).alias("_values"), copies.alias("_copy"))
-    joined = marked.withColumn("_spread", spread_over).join(
-        partners, _matches(keys, "_key_", null_keys) & (F.col("_spread") == F.col("_copy"))
-    )
-    return joined.select(*df.columns, *[F.col("_values")[v].alias(v) for v in values])
+    partners = counted.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
+    hot = F.broadcast(partners.filter(is_hot))
+    same = _matches(keys, "_key_", null_keys)
+    moved = df.join(F.broadcast(hot.select(*[f"_key_{k}" for k in keys])), same, "left_anti").join(partners.filter(~is_hot), same)
+    return df.join(hot, same).unionByName(moved).select(*df.columns, *values)
 
 
 def _matches(keys: list[str], prefix: str, null_keys: bool) -> Column:

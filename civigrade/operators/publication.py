@@ -110,8 +110,7 @@ def mark_duplicates(candidates: DataFrame, by_sheet: bool = False) -> DataFrame:
 
     Counted within an import and indicator, or within each sheet when sheets are approved one by one.
     """
-    counts = _duplicate_counts(candidates, by_sheet)
-    return _judge(candidates, counts, counts, by_sheet)
+    return _judge(candidates, _duplicate_counts(candidates, by_sheet), by_sheet)
 
 
 def mark(candidates: DataFrame, observations: DataFrame, by_sheet: bool = False) -> DataFrame:
@@ -123,8 +122,8 @@ def mark(candidates: DataFrame, observations: DataFrame, by_sheet: bool = False)
     active = observations.filter(F.col("superseded_at").isNull()).select(
         *OBSERVATION_KEY, F.coalesce("source_sheet", F.lit("")).alias("_taken_by")
     )
-    counts = _duplicate_counts(candidates, by_sheet)
-    judged = _judge(candidates, counts.join(active, OBSERVATION_KEY, "left"), counts, by_sheet)
+    counts = _duplicate_counts(candidates, by_sheet).join(active, OBSERVATION_KEY, "left")
+    judged = _judge(candidates, counts, by_sheet)
     other = F.col("_taken_by").isNotNull() & (F.col("_taken_by") != F.coalesce("sheet_name", F.lit("")))
     return judged.withColumn("is_conflict", F.col("is_valid") & other).drop("_taken_by")
 
@@ -138,9 +137,8 @@ def _duplicate_counts(candidates: DataFrame, by_sheet: bool) -> DataFrame:
     return valid.groupBy(*_duplicate_key(by_sheet)).agg(F.count(F.lit(1)).alias("duplicate_count"))
 
 
-def _judge(candidates: DataFrame, found: DataFrame, counts: DataFrame, by_sheet: bool) -> DataFrame:
-    keys = _duplicate_key(by_sheet)
-    judged = attach_counted(candidates.filter("is_valid"), found, keys, "duplicate_count", counts=counts, null_keys=False)
+def _judge(candidates: DataFrame, counts: DataFrame, by_sheet: bool) -> DataFrame:
+    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), "duplicate_count", null_keys=False)
     invalid = candidates.filter(~F.col("is_valid")).withColumn("duplicate_count", F.lit(0).cast("long"))
     return judged.unionByName(invalid, allowMissingColumns=True)
 

@@ -19,6 +19,9 @@ SESSION_SETTINGS = {
 }
 
 
+_local_folders: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, app_name: str = "civigrade", **settings: str) -> SparkSession:
     """A session with the settings the library is written for; ``settings`` win."""
     builder = SparkSession.builder.appName(app_name)
@@ -32,15 +35,21 @@ def build_session(master: str | None = None, app_name: str = "civigrade", **sett
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (unit tests, a laptop) is a local folder used.
+    Only a local session (unit tests, a laptop) may go without: it gets a temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="civigrade-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _local_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="civigrade-")
+    return _local_folders[context.applicationId]
+
+
 def materialise(df, label: str):
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_folder(df.sparkSession, label)

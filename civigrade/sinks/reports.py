@@ -20,9 +20,12 @@ def report_cell(cell: Column, data_type: T.DataType) -> Column:
         text = F.coalesce(cell.cast("string"), F.lit("")) if isinstance(data_type, T.IntegralType) else number_cell_text(cell.cast("double"))
         return F.replace(text, F.lit("."), F.lit(","))
     text = cell.cast("string")
-    safe = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
-    quoted = F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.coalesce(F.when(safe.rlike('[";\r\n]'), quoted).otherwise(safe), F.lit(""))
+    return _quoted(F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text))
+
+
+def _quoted(text: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike('[";\r\n]'), quoted).otherwise(text), F.lit(""))
 
 
 def report_lines(df: DataFrame) -> DataFrame:
@@ -31,29 +34,30 @@ def report_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(";", *cells).alias("line"))
 
 
-def header_line(names: list[str]) -> str:
+def header_line(names: list[str], guard: bool = True) -> str:
     def cell(text: str) -> str:
-        safe = f"'{text}" if text[:1] in ("=", "+", "-", "@", "\t", "\r") else text
+        safe = f"'{text}" if guard and text[:1] in ("=", "+", "-", "@", "\t", "\r") else text
         return '"' + safe.replace('"', '""') + '"' if any(c in safe for c in '";\r\n') else safe
 
     return ";".join(cell(name) for name in names)
 
 
 def write_report(df: DataFrame, path: str, order: list[str], header: list[str] | None = None) -> None:
-    """Write a report, titled ``header`` or its column names, as ``part-*`` files that read one after the other are the file: mark, header, sorted rows.
+    """Write a report, titled ``header`` or its column names, sorted by ``order``."""
+    cells = [report_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    lines = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.concat_ws(";", *cells).alias("line"))
+    _write_lines(lines, path, header_line(header or df.columns))
+
 
-    The rows are range-partitioned, so sorting and writing are spread over all tasks.
+def _write_lines(lines: DataFrame, path: str, header: str) -> None:
+    """Write ``line`` as ``part-*`` files that read one after the other are one file: mark, header, sorted rows.
+
+    The rows are range-partitioned by the other columns, so sorting and writing are spread over all tasks.
     """
-    lines = df.select(
-        F.lit(1).alias("_part"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-        F.concat_ws(";", *[report_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]).alias("line"),
-    )
-    head = df.sparkSession.range(1).select(
-        F.lit(0).alias("_part"), *[F.lit(None).alias(f"_o{i}") for i in range(len(order))],
-        F.lit(BYTE_ORDER_MARK + header_line(header or df.columns)).alias("line"),
-    )
-    keys = ["_part", *[f"_o{i}" for i in range(len(order))]]
-    head.unionByName(lines).orderBy(*keys).select("line").write.option("lineSep", LINE_END).text(path)
+    order = [c for c in lines.columns if c != "line"]
+    first = lines.sparkSession.range(1).select(F.lit(0).alias("_part"), F.lit(BYTE_ORDER_MARK + header).alias("line"))
+    both = first.unionByName(lines.withColumn("_part", F.lit(1)), allowMissingColumns=True)
+    both.orderBy("_part", *order).select("line").write.option("lineSep", LINE_END).text(path)
 
 
 def ranking_report(ranked: DataFrame, dimensions: list[tuple[str, str]], selected: bool = False) -> DataFrame:
@@ -141,10 +145,8 @@ def export_rows(staged: DataFrame) -> DataFrame:
 
 
 def write_export(staged: DataFrame, path: str) -> None:
-    """Export of an import as CSV: ``;`` between cells, every part file with the header."""
+    """Write the export of an import as CSV with ``;``, ordered by sheet and row."""
     names = export_columns(staged)
-    first = sheet_column(names)
-    ordered = staged.orderBy("sheet_name", "row_number").select(
-        F.col("sheet_name").alias(first), *[F.try_element_at("raw_row", F.lit(n)).alias(n) for n in names]
-    )
-    ordered.write.options(header=True, sep=";", quote='"', escape='"', emptyValue="").csv(path)
+    cells = [_quoted(F.col("sheet_name"))] + [_quoted(F.try_element_at("raw_row", F.lit(n))) for n in names]
+    lines = staged.select("sheet_name", "row_number", F.concat_ws(";", *cells).alias("line"))
+    _write_lines(lines, path, header_line([sheet_column(names), *names], guard=False))

@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
-# Thirty municipalities, a thousand rows of population and the like exist from sf0.01 on.
 NAMES = sorted(entry.queries())
 
 
