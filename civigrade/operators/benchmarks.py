@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.scoring import PROFILES, city_profile
 from civigrade.operators.joins import attach_counted, latest, lookup, prefix_sums
+from civigrade.session import materialise
 
 # Percentiles of a range and the samples it needs.
 LOW_PERCENTILE, HIGH_PERCENTILE = 0.10, 0.90
@@ -35,7 +36,8 @@ def exact_percentiles(df: DataFrame, group: list[str], fractions: dict[str, floa
     """Exact, linearly interpolated percentiles of ``value`` per group, for groups of any size.
 
     A sketch brackets the wanted rank and exact counts place it: everything below the bracket is only
-    counted, and only the distinct values inside it (0.2 % of the ranks) are sorted.
+    counted, and only the distinct values inside it (0.2 % of the ranks) are sorted. ``df`` is read three
+    times: pass a stored table.
     """
     names, places = list(fractions), list(fractions.values())
     probes = [p for place in places for p in (max(place - BRACKET, 0.0), min(place + BRACKET, 1.0))]
@@ -91,7 +93,7 @@ def _ranges(values: DataFrame, group: list[str]) -> DataFrame:
 
 def suggest_benchmarks(published: DataFrame) -> DataFrame:
     """P10-P90 range of every indicator with at least 30 municipalities, with observed extremes and periods."""
-    values = latest_values(published)
+    values = materialise(latest_values(published), "latest")
     observed = values.groupBy("indicator_code").agg(
         F.min("value").alias("observed_minimum"),
         F.max("value").alias("observed_maximum"),
@@ -110,7 +112,7 @@ def profile_benchmarks(published: DataFrame, population: DataFrame) -> DataFrame
     people = lookup(population.select(F.col("ibge_code").alias("municipality_ibge_code"), "inhabitants"))
     values = latest_values(published).join(people, "municipality_ibge_code", "left")
     profiles = F.array_compact(F.array(city_profile(F.col("inhabitants")), F.lit(OVERALL)))
-    grouped = values.select("indicator_code", "value", F.explode(profiles).alias("city_profile"))
+    grouped = materialise(values.select("indicator_code", "value", F.explode(profiles).alias("city_profile")), "latest")
     needed = F.lit(OVERALL_SAMPLE)
     for profile, sample in MINIMUM_SAMPLE.items():
         needed = F.when(F.col("city_profile") == profile, F.lit(sample)).otherwise(needed)

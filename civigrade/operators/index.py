@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.scoring import indicator_score, maturity
 from civigrade.functions.text import search_key
-from civigrade.operators.joins import attach_counted, first_per_key, latest, lookup, prefix_sums
+from civigrade.operators.joins import attach_counted, latest, lookup, prefix_sums
+from civigrade.session import materialise
 
 SCORE_PLACES = 9
 RANK_BUCKETS = 100_000
@@ -98,8 +99,9 @@ def competition_rank(df: DataFrame, score: Column, alias: str = "rank") -> DataF
 
     No task sees all rows: scores are counted, the counts are summed over 100,000 fixed score
     buckets and then over the at most one million distinct scores (nine places) of a bucket.
+    The rows are written once, since counting and ranking both read them.
     """
-    rows = df.withColumn("_score", F.round(score, SCORE_PLACES)).filter(F.col("_score").isNotNull())
+    rows = materialise(df.withColumn("_score", F.round(score, SCORE_PLACES)).filter(F.col("_score").isNotNull()), "scored")
     counts = rows.groupBy("_score").agg(F.count(F.lit(1)).alias("_rows"))
     counts = counts.withColumn("_bucket", F.floor(F.col("_score") * (RANK_BUCKETS // 100)))
     buckets = counts.groupBy("_bucket").agg(F.sum("_rows").alias("_bucket_rows"))
@@ -240,8 +242,10 @@ def comparison_table(detail: DataFrame, codes: list[str]) -> DataFrame:
 def best_in_row(df: DataFrame, row: list[str], value: str = "score", alias: str = "is_best") -> DataFrame:
     """Flag the highest value of each row group; none when fewer than two values exist or all are equal.
 
-    The groups are counted first and joined back, so no group is gathered in one task.
+    The groups are counted first and joined back, so no group is gathered in one task. The rows are
+    written once, since both steps read them.
     """
+    df = materialise(df, "compared")
     stats = df.groupBy(*row).agg(
         F.max(value).alias("_top"), F.min(value).alias("_low"), F.count(value).alias("_present"), F.count(F.lit(1)).alias("_n")
     )

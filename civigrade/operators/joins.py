@@ -50,7 +50,8 @@ def attach_counted(
 
     Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``: they are broadcast and their rows
     are not moved at all. What is left to shuffle has no large key. Without hot keys the first part is
-    empty, and adaptive execution drops it. Where no key is null, say so: it saves work.
+    empty, and adaptive execution drops it. Where no key is null, say so: it saves work. ``df`` is read for
+    both parts: pass a stored table or one that ends in a shuffle.
     """
     is_hot = F.col(count) > (HOT_KEY_ROWS if hot_rows is None else hot_rows)
     values = [c for c in counted.columns if c not in keys]

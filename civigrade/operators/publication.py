@@ -220,11 +220,11 @@ def approve(
     ``scope`` names the imports, indicators and sheets approved (a small table); without it they are
     taken from the candidates.
     """
-    # Issues and observations both read the candidates, some more than once: they are written once.
+    # Candidates are read for counting and marking, marked ones for issues and observations: each is written once.
     candidates = materialise(candidates, "candidates")
     scope = candidates.select(*SCOPE).distinct() if scope is None else lookup(scope.select(*SCOPE).distinct())
     remaining = supersede_scope(observations, scope, now)
-    marked = mark(candidates, remaining, by_sheet)
+    marked = materialise(mark(candidates, remaining, by_sheet), "marked")
     new_issues = issues_of(marked, fields)
     return Approval(
         marked,

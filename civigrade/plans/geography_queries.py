@@ -10,6 +10,7 @@ from civigrade.operators.filters import RowFilter
 from civigrade.operators.joins import spread
 from civigrade.plans import model
 from civigrade.plans.registry import Registry
+from civigrade.session import materialise
 
 query = Registry()
 
@@ -116,6 +117,10 @@ def _matches(spark, folder):
     return geography.match_names(_spelled_places(spark, folder), F.col("cell"), _places(spark, folder))
 
 
+def _stored_matches(spark, folder):
+    return materialise(_matches(spark, folder), "matches")
+
+
 @query(
     "g4_match_names",
     f"""WITH {MATCHED_SQL} SELECT row_number, l_partkey, original_name, status, CASE WHEN status = 'matched' THEN ibge_code END AS suggested_code,
@@ -172,7 +177,7 @@ confirmed AS (
     f"WITH {CONFIRMED_SQL} SELECT row_number, chosen_code AS ibge_code, origin FROM confirmed",
 )
 def confirmed_matches(spark, folder):
-    matches = _matches(spark, folder)
+    matches = _stored_matches(spark, folder)
     decided = geography.decide(geography.group_matches(matches), _decisions(spark, folder))
     return geography.confirmed_matches(matches, decided)
 

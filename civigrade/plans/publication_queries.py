@@ -11,6 +11,7 @@ from civigrade.operators.reshape import PeriodColumn
 from civigrade.plans import model
 from civigrade.plans.geography_queries import RESOLVED_SQL
 from civigrade.plans.registry import Registry
+from civigrade.session import materialise
 from civigrade.sources import tables
 
 query = Registry()
@@ -233,7 +234,7 @@ judged AS (
   round(value, 4) AS value, valid_municipality, valid_value, is_valid, duplicate_count FROM marked""",
 )
 def candidates(spark, folder):
-    return publication.mark_duplicates(_price_candidates(spark, folder)).select(
+    return publication.mark_duplicates(materialise(_price_candidates(spark, folder), "candidates")).select(
         *ROW, "municipality_code", F.col("reference_period").cast("string").alias("reference_period"),
         F.col("value").cast("double").alias("value"), "valid_municipality", "valid_value", "is_valid", "duplicate_count",
     )

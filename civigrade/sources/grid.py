@@ -12,6 +12,7 @@ from civigrade.functions.naming import unique_names_column
 from civigrade.functions.text import strip, title_key
 from civigrade.functions.values import looks_numeric
 from civigrade.operators.joins import attach_counted, number_rows
+from civigrade.session import materialise
 
 SHEET = ["file", "sheet"]
 
@@ -123,9 +124,10 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Data rows of every sheet, cells in the order of the header names.
 
     Empty rows, repeated header rows and everything after the last row with two filled cells are dropped.
+    Headers and rows are written once, since later steps read them several times.
     """
     counts = grid.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_rows"))
-    headed = counts.join(headers.select(*SHEET, "first_data", "columns", "names"), SHEET, "left")
+    headed = materialise(counts.join(headers.select(*SHEET, "first_data", "columns", "names"), SHEET, "left"), "headers")
     joined = attach_counted(grid, headed, SHEET, "_rows", null_keys=False)
     picked = joined.filter(F.col("row_number") >= F.col("first_data")).withColumn(
         "cells", F.transform("columns", lambda i: F.get("cells", i))
@@ -133,7 +135,7 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     same = F.zip_with("cells", "names", lambda c, n: F.coalesce(F.lower(strip(c)) == F.lower(strip(n)), F.lit(False)))
     is_header = (F.size("cells") > 0) & F.forall(same, lambda x: x)
     filled = F.size(F.filter("cells", lambda c: F.coalesce(strip(c) != "", F.lit(False))))
-    rows = picked.filter(~is_header & (filled > 0)).withColumn("filled", filled)
+    rows = materialise(picked.filter(~is_header & (filled > 0)).withColumn("filled", filled), "grid")
     enough = F.col("filled") >= F.least(F.lit(2), F.size("names"))
     ends = rows.groupBy(*SHEET).agg(F.max(F.when(enough, F.col("row_number"))).alias("_last"), F.count(F.lit(1)).alias("_kept"))
     kept = attach_counted(rows, ends, SHEET, "_kept", null_keys=False).filter(F.col("row_number") <= F.col("_last"))
