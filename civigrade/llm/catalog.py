@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import perfect_hash, repeats
+from civigrade.llm import containment, hilbert, perfect_hash, repeats, token_lengths
 
+#: Directory of vocabulary files on the driver; executors get the bytes.
+TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -22,6 +24,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sixteen runs of the curve through language, source and size; the numbers of rows differ by one at most."""
+    rows = hilbert.document_shards(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    law = {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
+    return rows.withColumns(law).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve_index")
+
+
+@query
+def op3_token_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Histogram of encoded lengths of all documents by language, with the suffix sums for every context limit."""
+    docs = table(spark, folder, "documents")
+    lengths = token_lengths.with_length(docs, "text", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", keep=["lang"])
+    return token_lengths.histogram(lengths, ["lang"])
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: those up to the middle doc_id are the history, the later ones the batch that is looked up in it."""
@@ -67,3 +85,25 @@ WITH w AS (
 SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM w LEFT JOIN counts USING (doc_id) LEFT JOIN texts USING (doc_id)
 """
+
+
+@query
+def op6_benchmark_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of a document and a benchmark item of whose five-word shingles it holds at least four fifths."""
+    return containment.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op6_benchmark_containment"] = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM t
+), g AS (
+  SELECT DISTINCT side, id, array_to_string(words[i:i + 4], ' ') AS gram FROM w, unnest(generate_series(1, greatest(1, len(words) - 4))) AS t(i) WHERE len(words) > 0
+), n AS (
+  SELECT id AS item_id, count(*) AS n_shingles FROM g WHERE side = 'i' GROUP BY id
+), c AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM g d JOIN g i ON d.gram = i.gram AND d.side = 'd' AND i.side = 'i' GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM c JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+"""
