@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import containment, hilbert, perfect_hash, repeats, token_lengths
+from civigrade.llm import containment, hilbert, mixing, perfect_hash, profiles, repeats, token_lengths
 
 #: Directory of vocabulary files on the driver; executors get the bytes.
 TOKENIZERS = "/opt/tokenizers"
@@ -107,3 +107,20 @@ WITH t AS (
 )
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM c JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
 """
+
+
+@query
+def op7_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as often as the mixture holds them: every source at least once, none more often than the limit."""
+    docs = table(spark, folder, "documents")
+    rows = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("draw_key"))
+    return mixing.drawn(rows).drop("draw_key")
+
+
+@query
+def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents; one document in four is held out from learning."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = profiles.learned(docs.filter(~held_out))
+    return profiles.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), found).drop("text")
