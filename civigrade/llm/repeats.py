@@ -168,7 +168,9 @@ def repeats_elsewhere(level: int):
             lists.append(np.cumsum(steps.view(np.uint32).ravel(), dtype=np.uint32))
         together = np.sort(np.concatenate(lists))
         twice = np.unique(together[1:][together[1:] == together[:-1]])
-        return answer_table(rows, level, [np.isin(own, twice) for own in lists])
+        if not len(twice):
+            return answer_table(rows, level, [])
+        return answer_table(rows, level, [twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own for own in lists])
 
     return run
 
