@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -46,6 +47,14 @@ class Blocks:
 
         return self.table.groupBy("block").applyInArrow(run, schema)
 
+    def chosen(self, places: DataFrame) -> DataFrame:
+        """The rows named by (block, place), each as often as it is named, with all their columns."""
+
+        def take(_: int, rows: pa.Table, own: pa.Table) -> pa.Table:
+            return rows.take(own["place"].combine_chunks().sort())
+
+        return self.answered(places, take, self.columns)
+
     def answered(self, answers: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """``function(block, rows, answers)`` for every block; ``answers`` has a column ``block`` and is empty for some blocks."""
         empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
@@ -73,6 +82,16 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
+
+
+def spread(packed: bytes, kind: type, size: int) -> np.ndarray:
+    """``size`` numbers from their compressed bytes."""
+    return np.frombuffer(pa.Codec("zstd").decompress(packed, size * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
 def packed_rows(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD_LEVEL))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import containment, hilbert, mixing, perfect_hash, profiles, repeats, token_lengths
+from civigrade.llm import containment, hilbert, mixing, perfect_hash, profiles, quality, repeats, token_lengths
+from civigrade.llm.shipping import ship
 
 #: Directory of vocabulary files on the driver; executors get the bytes.
 TOKENIZERS = "/opt/tokenizers"
@@ -21,9 +22,16 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_quality_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of all documents under the model of trusted text, and whether their language's quantiles accept them."""
+    return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sixteen runs of the curve through language, source and size; the numbers of rows differ by one at most."""

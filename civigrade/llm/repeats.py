@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.llm import spans
-from civigrade.llm.blocks import Blocks, arrow_schema, pack
+from civigrade.llm.blocks import Blocks, arrow_schema, pack, spread, squeezed
 from civigrade.session import materialise
 
 WINDOW = 13
@@ -122,14 +122,6 @@ def owners(windows: Windows, place: np.ndarray, size: int) -> np.ndarray:
     return smallest
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    return pa.Codec("zstd").compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
-
-
-def spread(packed: bytes, kind: type, size: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(packed, size * np.dtype(kind).itemsize, asbytes=True), kind)
-
-
 def ask(block: int, windows: Windows, buckets: int, final: bool) -> pa.Table:
     """One row per bucket with the block's distinct hashes: 32 bits while narrowing, 96 bits and owners for the decision."""
     found, place, _ = windows.distinct()
