@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import containment, hilbert, mixing, perfect_hash, profiles, quality, repeats, token_lengths
+from civigrade.llm import containment, hilbert, mixing, perfect_hash, profiles, quality, repeats, simhash, token_lengths
 from civigrade.llm.shipping import ship
 
 #: Directory of vocabulary files on the driver; executors get the bytes.
@@ -132,3 +132,9 @@ def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     found = profiles.learned(docs.filter(~held_out))
     return profiles.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), found).drop("text")
+
+
+@query
+def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    return simhash.clustered(table(spark, folder, "documents"))
