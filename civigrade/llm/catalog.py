@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import containment, hilbert, mixing, perfect_hash, profiles, quality, repeats, simhash, token_lengths
+from civigrade.llm import containment, hilbert, layout, mixing, perfect_hash, profiles, quality, repeats, simhash, token_lengths
 from civigrade.llm.shipping import ship
 
 #: Directory of vocabulary files on the driver; executors get the bytes.
@@ -125,6 +125,12 @@ def op7_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.drawn(rows).drop("draw_key")
 
 
+@query
+def op9_layout_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The laid-out visible text of all pages."""
+    return layout.with_text(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 @query
 def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """The language of all documents; one document in four is held out from learning."""
