@@ -148,9 +148,18 @@ def write_shards(rows: DataFrame, folder: str) -> None:
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
 
 
-def document_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Documents sharded by language, source and size; ties by doc_id, then by the text's digest."""
+def measured(docs: DataFrame) -> DataFrame:
+    """Documents with their size (bytes of the text, and one) and the digest of the text."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    return docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce("text", F.lit("")))})
+
+
+def by_metadata(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``measured`` rows sharded by language, source and size; ties by doc_id, then by size and digest."""
     dimensions = {"lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "size": F.col("size")}
-    measured = docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce("text", F.lit("")))})
-    return sharded(measured, dimensions, ["doc_id", "size", "text_crc32"], shards)
+    return sharded(rows, dimensions, ["doc_id", "size", "text_crc32"], shards)
+
+
+def document_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Whole documents in their shards."""
+    return by_metadata(measured(docs), shards)

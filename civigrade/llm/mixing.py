@@ -20,9 +20,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civigrade.llm import spans
+from civigrade.llm.blocks import pack
 from civigrade.session import materialise
 
 BLOCKS = 1_024
@@ -140,3 +144,20 @@ def drawn(rows: DataFrame, goal: str = "repetition", target: float = REPETITION_
     before = F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
     crossing = crossing.withColumn("before", before).filter(F.col("before") < F.col("left")).drop("before")
     return whole.unionByName(crossing).drop("draw_source", "of_block", "left", "draw_block")
+
+
+def mixture(docs: DataFrame, goal: str = "repetition", target: float = REPETITION_LIMIT, budget: int | None = None) -> DataFrame:
+    """Whole rows of ``docs`` as often as the mixture holds them; texts are packed once and not shuffled."""
+    blocks = pack(docs)
+
+    def measure(block: int, rows: pa.Table) -> pa.Table:
+        counts = [np.zeros(0, np.int64)]
+        for batch in spans.sliced(rows.select(["text"]).to_batches(), "text"):
+            of_row = spans.words(*spans.buffers(batch.column("text")))[2]
+            counts.append(np.bincount(of_row, minlength=batch.num_rows))
+        counts = np.concatenate(counts)
+        columns = {"block": pa.array(np.full(len(counts), block)), "place": pa.array(np.arange(len(counts)))}
+        return pa.table({**columns, "source": rows["source"].cast(pa.string()), "n_tokens": pa.array(counts)})
+
+    rows = blocks.each(measure, "block long, place long, source string, n_tokens long")
+    return blocks.chosen(drawn(rows.withColumn("draw_key", F.xxhash64("block", "place")), goal, target, budget).select("block", "place"))
