@@ -34,7 +34,7 @@ class Blocks:
     """A written table of blocks; ``columns`` is the schema of the rows inside."""
 
     table: DataFrame
-    columns: str
+    columns: StructType
     count: int
     rows: int
     text_bytes: int
@@ -55,9 +55,9 @@ class Blocks:
 
         return self.answered(places, take, self.columns)
 
-    def answered(self, answers: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    def answered(self, answers: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
         """``function(block, rows, answers)`` for every block; ``answers`` has a column ``block`` and is empty for some blocks."""
-        empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+        empty = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
         def run(packed: pa.Table, own: pa.Table) -> pa.Table:
             if packed.num_rows == 0:
@@ -78,8 +78,11 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, ARROW[kind]) for name, kind in (field.strip().split(" ", 1) for field in schema.split(","))])
 
 
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -141,4 +144,4 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
     )
     table = spark.table(name)
     total = table.selectExpr("count(*) AS n", "coalesce(sum(n_rows), 0) AS n_rows", "coalesce(sum(n_bytes), 0) AS n_bytes").first()
-    return Blocks(table, ddl(docs), total["n"], total["n_rows"], total["n_bytes"])
+    return Blocks(table, docs.schema, total["n"], total["n_rows"], total["n_bytes"])

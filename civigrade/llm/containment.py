@@ -14,7 +14,7 @@ The documents never move: their sketches are made and looked up in the scan. The
 Words are maximal runs without ASCII white space, compared in lower case (A-Z). Defined results: null and empty texts have no
 shingles, and a document or item without any takes part in no pair; a text with fewer words than a shingle is one shingle of all of
 them; repeated items and repeated documents give a pair each; item ids may be null and are returned so; further columns stay as they
-are, and a clash with an added column is refused.
+are, but for one that has the name of the added column, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.llm import spans
+from civigrade.llm.blocks import unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -136,17 +138,15 @@ def chunks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield held
 
 
-def matched(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` with ``matches``: the items that each whole text contains, as (item_id, n_shingles, n_shared)."""
-    if "matches" in {c.lower() for c in docs.columns}:
-        raise ValueError("documents already have a column matches")
-    result = docs.withColumn("matches", F.array().cast(FOUND))
+def matched(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, name: str = "matches") -> DataFrame:
+    """``docs`` with ``name``: the items that each whole text contains, as a list of (item_id, n_shingles, n_shared)."""
+    result = docs.drop(name).withColumn(name, F.array().cast(FOUND))
     for chunk in chunks(items):
-        result = matched_chunk(result, docs.sparkSession.sparkContext.broadcast(ItemIndex(chunk, size)), threshold, text)
+        result = matched_chunk(result, docs.sparkSession.sparkContext.broadcast(ItemIndex(chunk, size)), threshold, name)
     return result
 
 
-def matched_chunk(docs: DataFrame, index, threshold: float, text: str) -> DataFrame:
+def matched_chunk(docs: DataFrame, index: Broadcast, threshold: float, name: str, text: str = "text") -> DataFrame:
     """``docs`` with the matches of one chunk added to those they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def matched_chunk(docs: DataFrame, index, threshold: float, text: str) -> DataFr
             for row, item in items.candidates(offsets, ascii_lower(data)).tolist():
                 numbers.setdefault(row, []).append(item)
             if numbers:
-                place = batch.schema.get_field_index("matches")
+                place = batch.schema.get_field_index(name)
                 lists = batch.column(place).to_pylist()
                 for row, own in numbers.items():
                     lists[row] = lists[row] + items.shared(batch.column(text)[row].as_py(), own, threshold)
@@ -176,4 +176,5 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, size: int = SHINGLE, t
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item."""
-    return matched(docs, items, size, threshold).filter(F.size("matches") == 0).drop("matches")
+    name = unused(docs, "matches")
+    return matched(docs, items, size, threshold, name).filter(F.size(name) == 0).drop(name)

@@ -10,7 +10,7 @@ rows before that partition. The only thing that comes to the driver is one count
 2**bits per dimension).
 
 Defined results: a null value is a cell of its own below all others; ties of the whole order are rows that cannot be told apart, in
-any order; an empty table gives no rows; columns whose names clash with the added ones are refused.
+any order; an empty table gives no rows; columns with the names of the added ones are replaced, all others come back as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from civigrade.session import materialise
 BITS = 5
 SHARDS = 16
 ACCURACY = 10_000
-ADDED = ("shard", "slot")
 
 
 def text_order(value: Column) -> Column:
@@ -99,42 +98,40 @@ def interleaved(axes: Column, n: int, bits: int) -> Column:
 
 
 def along_curve(docs: DataFrame, dimensions: Mapping[str, Column], ties: list[str], bits: int = BITS) -> DataFrame:
-    """All rows with ``curve_rank``, their gapless number along the curve, and ``n_rows``; written once in that order.
+    """Every row as a struct ``row`` with its ``curve_index`` and ``curve_rank``, its gapless number along the curve, and ``n_rows``.
 
-    ``dimensions`` names order-preserving numbers of the metadata columns; ``ties`` orders rows of one curve index.
+    ``dimensions`` names order-preserving numbers of the metadata columns; ``ties`` orders rows of one curve index. Rows are written
+    once, in that order.
     """
-    clash = {c.lower() for c in docs.columns} & {"curve_index", "curve_rank", "n_rows", "curve_row", *ADDED}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the added ones")
     upper = borders(docs, dimensions, bits)
-    numbers = {f"curve_cell_{i}": value.cast("long") for i, value in enumerate(dimensions.values())}
-    cells = [cell(F.col(own), upper[name], bits) for own, name in zip(numbers, dimensions)]
-    indexed = docs.withColumns(numbers).withColumn("curve_index", curve_index(cells, bits)).drop(*numbers)
-    order = ["curve_index", *ties]
-    placed = indexed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("curve_row", F.monotonically_increasing_id())
-    written = materialise(placed, "curve")
-    part = F.shiftright("curve_row", 33)
-    counts = sorted((r["part"], r["n"]) for r in written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before, total = [], 0
+    numbers = [value.cast("long").alias(f"number_{i}") for i, value in enumerate(dimensions.values())]
+    held = docs.select(F.struct(*docs.columns).alias("row"), *numbers)
+    cells = [cell(F.col(f"number_{i}"), upper[name], bits) for i, name in enumerate(dimensions)]
+    order = ["curve_index", *[F.col("row")[c] for c in ties]]
+    indexed = held.select("row", curve_index(cells, bits).alias("curve_index"))
+    placed = indexed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    written = materialise(placed, "curve").withColumn("part", F.shiftright("place", 33))
+    counts = sorted((r["part"], r["n"]) for r in written.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
     for number, n in counts:
-        before.append((number, total))
+        offsets.append((number, total))
         total += n
     # One row per written partition; a join keeps the plan small when there are many.
-    offsets = docs.sparkSession.createDataFrame(before, "part long, before long")
-    ranked = written.withColumn("part", part).join(F.broadcast(offsets), "part")
-    rank = F.col("before") + F.col("curve_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranked.withColumns({"curve_rank": rank, "n_rows": F.lit(total).cast("long")}).drop("part", "before", "curve_row")
-
-
-def cut(ranked: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Runs of the curve whose lengths differ by one row at most: ``shard`` and the gapless place ``slot`` in it."""
-    shard = F.expr(f"cast(((curve_rank + 1) * {shards}L - 1) div n_rows AS int)")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.expr(f"curve_rank - (shard * n_rows) div {shards}L")).drop("curve_rank", "n_rows")
+    before = F.broadcast(docs.sparkSession.createDataFrame(offsets, "part long, before long"))
+    rank = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return written.join(before, "part").select("row", "curve_index", rank.alias("curve_rank"), F.lit(total).cast("long").alias("n_rows"))
 
 
 def sharded(docs: DataFrame, dimensions: Mapping[str, Column], ties: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """``docs`` with ``curve_index``, ``shard`` (0 to shards - 1) and ``slot``."""
-    return cut(along_curve(docs, dimensions, ties, bits), shards)
+    """``docs`` with ``curve_index``, ``shard`` (0 to shards - 1) and ``slot``, the gapless place in the shard.
+
+    Shards are runs of the curve whose numbers of rows differ by one at most.
+    """
+    shard = F.expr(f"cast(((curve_rank + 1) * {shards}L - 1) div n_rows AS int)")
+    cut = along_curve(docs, dimensions, ties, bits).withColumn("shard", shard)
+    slot = F.expr(f"curve_rank - (shard * n_rows) div {shards}L").alias("slot")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("curve_index", "shard", "slot")]
+    return cut.select(*kept, "curve_index", "shard", slot)
 
 
 def file_boxes(rows: DataFrame, columns: list[str]) -> DataFrame:

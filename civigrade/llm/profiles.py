@@ -10,7 +10,8 @@ broadcast; more languages are refused.
 
 Letters are folded to lower case, everything else counts as one blank between words, and n-grams cross no blank. Defined results:
 a text that is null or has no letter is ``und`` with score 0; equal distances go to the smallest language name, equal frequencies to
-the smallest n-gram; training rows with a null language or text teach nothing; without any profile every row is ``und``.
+the smallest n-gram; training rows with a null language or text teach nothing; without any profile every row is ``und``; columns
+with the names of the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from civigrade.llm import spans
+from civigrade.llm.blocks import unused
 
 ORDERS = (1, 2, 3)
 PROFILE = 300
@@ -158,17 +161,15 @@ class Profiles:
 
 def predicted(docs: DataFrame, profiles: dict[str, list[int]], limit: int = PROFILE, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
-    clash = {c.lower() for c in docs.columns} & {"lang_pred", "score", "valid_text"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the added ones")
+    docs = docs.drop("lang_pred", "score")
+    source = unused(docs, "valid_text")
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans.sliced(batches, "valid_text"):
-            langs, scores = shared.value.predict(batch.column("valid_text").to_pylist())
-            kept = [i for i, name in enumerate(batch.schema.names) if name != "valid_text"]
+        for batch in spans.sliced(batches, source):
+            langs, scores = shared.value.predict(batch.column(source).to_pylist())
             added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *added], names=[*[batch.schema.names[i] for i in kept], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.withColumn("valid_text", F.make_valid_utf8(F.col(text))).mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    return docs.withColumn(source, F.make_valid_utf8(F.col(text))).mapInArrow(run, schema)
