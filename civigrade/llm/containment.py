@@ -32,7 +32,7 @@ from civigrade.llm.blocks import unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
-PERMUTATIONS = 24
+PERMUTATIONS = 40
 SEEDS = spans.mixed(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 CHUNK_ITEMS = 50_000
 CHUNK_BYTES = 32 << 20
