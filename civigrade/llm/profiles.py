@@ -79,23 +79,35 @@ def grams_of(points: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarr
     return value[good], rows[:size][good]
 
 
-def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, n-gram and count of every distinct n-gram of every text, sorted by row and n-gram."""
+def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram (its place in the returned sorted names), count, and names: every distinct n-gram of every text, in order."""
     points, rows = points_of(texts)
     parts = [grams_of(points, rows, order) for order in ORDERS]
-    grams = np.concatenate([p[0] for p in parts])
-    of_row = np.concatenate([p[1] for p in parts])
-    # The highest order fills 63 bits, so the row cannot share the number: distinct n-grams of the slice get short names first.
-    names, short = np.unique(grams, return_inverse=True)
-    keys = of_row.astype(np.uint64) * np.uint64(len(names) or 1) + short.astype(np.uint64)
-    found, count = np.unique(keys, return_counts=True)
-    return (found // np.uint64(len(names) or 1)).astype(np.int64), names[(found % np.uint64(len(names) or 1)).astype(np.int64)], count
+    of_row = np.concatenate([p[1] for p in parts]).astype(np.uint64)
+    # Three code points fill 63 bits, so the row cannot share the number: the n-grams of the slice get short names first.
+    encoded = pa.array(np.concatenate([p[0] for p in parts])).dictionary_encode()
+    names = encoded.dictionary.to_numpy()
+    order = np.argsort(names)
+    short = np.empty(len(names), dtype=np.uint64)
+    short[order] = np.arange(len(names), dtype=np.uint64)
+    width = np.uint64(max(len(names), 1))
+    keys = np.sort(of_row * width + short[encoded.indices.to_numpy()])
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    found = keys[heads]
+    return (found // width).astype(np.int64), (found % width).astype(np.int64), np.diff(np.append(heads, len(keys))), names[order]
 
 
 def top_ranks(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``limit`` most frequent n-grams of each row with their rank from 0."""
-    order = np.lexsort((grams, -counts, rows))
-    rows, grams = rows[order], grams[order]
+    if not len(rows):
+        return rows, grams, counts
+    most, width = int(counts.max()), int(grams.max()) + 1
+    if (int(rows.max()) + 1) * (most + 1) * width < 1 << 63:  # one number holds all three, which sorts much faster
+        keys = np.sort((rows * (most + 1) + (most - counts)) * width + grams)
+        rows, grams = keys // (width * (most + 1)), keys % width
+    else:
+        order = np.lexsort((grams, -counts, rows))
+        rows, grams = rows[order], grams[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
     near = rank < limit
     return rows[near], grams[near], rank[near]
@@ -107,15 +119,15 @@ def learned(train: DataFrame, limit: int = PROFILE) -> dict[str, list[int]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in spans.sliced(batches, "text"):
-            rows, grams, counts = counted(batch.column("text").to_pylist())
+            rows, grams, counts, names = counted(batch.column("text").to_pylist())
             langs, of_row = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
-            order = np.lexsort((grams, of_row[rows]))
-            lang, gram, number = of_row[rows][order], grams[order], counts[order]
-            heads = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (gram[1:] != gram[:-1]))) if len(lang) else np.zeros(0, np.int64)
-            totals = np.add.reduceat(number, heads) if len(heads) else number
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs[lang[heads]].tolist(), pa.string()), pa.array(gram[heads].astype(np.int64)), pa.array(totals.astype(np.int64))], names=["lang", "gram", "n"]
-            )
+            keys = of_row[rows] * len(names) + grams
+            order = np.argsort(keys)
+            heads = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            totals = np.add.reduceat(counts[order], heads) if len(heads) else counts
+            lang, gram = np.divmod(keys[order][heads], max(len(names), 1))
+            columns = [pa.array(langs[lang].tolist(), pa.string()), pa.array(names[gram].astype(np.int64)), pa.array(totals.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
     totals = usable.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
@@ -141,9 +153,11 @@ class Profiles:
             self.ranks[np.searchsorted(self.grams, np.array(profiles[name], dtype=np.uint64)), column] = np.arange(len(profiles[name]))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        rows, grams, rank = top_ranks(*counted(texts), self.limit)
+        rows, short, counts, names = counted(texts)
+        rows, short, rank = top_ranks(rows, short, counts, self.limit)
         if not len(rows) or not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        grams = names[short]
         place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         place = np.where(self.grams[place] == grams, place, len(self.grams))
         heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
