@@ -50,27 +50,25 @@ def _is_code(name: str) -> bool:
     return re.search(naming.CODE_COLUMN, name) is not None
 
 
-def decimal_columns(df: DataFrame) -> list[str]:
-    """Text columns that hold regional decimals: at least 60 % of the filled cells are numbers, one has a separator.
+def holds_regional_decimals(column: Column) -> Column:
+    """Aggregate: at least 60 % of the filled cells are numbers, one of them has a separator, and a double holds them all."""
+    cell = strip(column)
+    filled = F.coalesce(~cell.isin("", "-"), F.lit(False))
+    number = filled & cell.rlike(COLUMN_NUMBER)
+    return (
+        (F.count_if(number) >= F.count_if(filled) * NUMERIC_SHARE)
+        & (F.count_if(filled) > 0)
+        & F.coalesce(F.bool_or(number & cell.rlike("[.,]")), F.lit(False))
+        & ~F.coalesce(F.bool_or(cell.rlike("^-?[0-9]{16,}$")), F.lit(False))
+    )
 
-    One aggregation over all text columns; only their names come back.
-    """
+
+def decimal_columns(df: DataFrame) -> list[str]:
+    """Text columns that hold regional decimals. One aggregation over all text columns; only their names come back."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return []
-    checks = []
-    for name in texts:
-        cell = strip(F.col(f"`{name}`"))
-        filled = F.coalesce(~cell.isin("", "-"), F.lit(False))
-        number = filled & cell.rlike(COLUMN_NUMBER)
-        checks.append(
-            (
-                (F.count_if(number) >= F.count_if(filled) * NUMERIC_SHARE)
-                & (F.count_if(filled) > 0)
-                & F.coalesce(F.bool_or(number & cell.rlike("[.,]")), F.lit(False))
-            ).alias(name)
-        )
-    flags = df.agg(*checks).first()
+    flags = df.agg(*[holds_regional_decimals(F.col(f"`{name}`")).alias(name) for name in texts]).first()
     return [name for name in texts if flags[name]]
 
 

@@ -44,6 +44,41 @@ query("s1_latin_csv", CSV_SQL)(_csv_query(encoding="ISO-8859-1"))
 query("s5_gzip_csv", CSV_SQL)(_csv_query(compression="gzip"))
 
 
+@query(
+    "s1_mixed_folder",
+    """SELECT o_orderkey AS chave, o_orderstatus AS situacao, o_totalprice AS preco,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority || ' ção' END AS atendente FROM orders""",
+)
+def mixed_folder(spark, folder):
+    """Three layouts in one folder: other separator, other column order, other encoding and a column of its own."""
+    path = scratch_folder(spark, "mixed")
+    orders = model.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("chave"), F.col("o_orderstatus").alias("situacao"), F.col("o_totalprice").alias("preco"), F.concat("o_orderpriority", F.lit(" ção")).alias("atendente")
+    )
+    layouts = ((["chave", "situacao", "preco"], ";", "UTF-8"), (["preco", "chave", "situacao"], ",", "UTF-8"), (["atendente", "situacao", "preco", "chave"], "|", "ISO-8859-1"))
+    for part, (columns, separator, encoding) in enumerate(layouts):
+        orders.filter(F.col("chave") % 3 == part).select(*columns).write.options(header=True, sep=separator, encoding=encoding).mode("append").csv(path)
+    return tables.read_csv_table(spark, path).select("chave", "situacao", "preco", "atendente")
+
+
+@query("s1_multiline_cells", """SELECT o_orderkey AS chave, o_orderpriority || chr(10) || 'diz "sim"; ' || o_orderstatus AS nota FROM orders""")
+def multiline_cells(spark, folder):
+    path = scratch_folder(spark, "multiline")
+    note = F.concat("o_orderpriority", F.lit('\ndiz "sim"; '), "o_orderstatus")
+    model.table(spark, folder, "orders").select(F.col("o_orderkey").alias("chave"), note.alias("nota")).write.options(header=True, sep=";", escape='"').csv(path)
+    return tables.read_csv_table(spark, path).select("chave", "nota")
+
+
+@query("s1_long_keys", "SELECT '9' || lpad(CAST(o_orderkey AS VARCHAR), 24, '0') AS chave, o_totalprice AS preco FROM orders")
+def long_keys(spark, folder):
+    """Whole numbers of 25 digits that differ in the last ones."""
+    path = scratch_folder(spark, "long")
+    key = F.concat(F.lit("9"), F.lpad(F.col("o_orderkey").cast("string"), 24, "0"))
+    model.table(spark, folder, "orders").select(key.alias("chave"), F.col("o_totalprice").alias("preco")).write.options(header=True, sep=",").csv(path)
+    staged = tables.stage(tables.read_csv_table(spark, path), "i", "s")
+    return staged.select(F.col("raw_row")["chave"].alias("chave"), F.col("raw_row")["preco"].cast("double").alias("preco"))
+
+
 @query("s2_wrapped_csv", "SELECT o_orderkey AS fid, o_orderstatus || ', \"x\"' AS nm, o_totalprice AS valor FROM orders")
 def wrapped_csv(spark, folder):
     path = scratch_folder(spark, "wrapped")
@@ -82,6 +117,19 @@ def labelled_json(spark, folder):
     )
 
 
+@query("s4_label_like_data", "SELECT o_orderkey AS chave, o_orderstatus || ' (Código)' AS situacao FROM orders")
+def label_like_data(spark, folder):
+    """Every record looks like a label record; only the first of each file is one."""
+    path = scratch_folder(spark, "labels")
+    record = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("D1C"), F.concat("o_orderstatus", F.lit(" (Código)")).alias("V")))
+    label = '{"D1C":"Chave","V":"Situação (Código)"}'
+    files = model.table(spark, folder, "orders").groupBy(F.floor(F.col("o_orderkey") / 50_000).alias("part")).agg(
+        F.concat(F.lit(f"[{label},"), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value")
+    )
+    files.write.partitionBy("part").text(path)
+    return tables.read_json(spark, path).select(F.col("Chave").cast("long").alias("chave"), F.col("Situação (Código)").alias("situacao"))
+
+
 @query(
     "s6_stage",
     """SELECT 'imp' AS import_id, 'Dados' AS sheet_name, row_number() OVER (ORDER BY o_orderkey) AS row_number, CAST(o_orderkey AS VARCHAR) AS numero,
@@ -223,7 +271,9 @@ def sheet_sizes(spark, folder):
 
 
 def _no_index(spark, folder):
-    return _grid(spark, folder).filter(F.col("sheet") != "Índice")
+    """The grid without navigation sheets, as the sheet sizes tell them."""
+    rows = _grid(spark, folder)
+    return rows.join(grid.sheet_sizes(rows).select(*SHEET), SHEET, "left_semi")
 
 
 @query(
@@ -258,7 +308,7 @@ def table_rows(spark, folder):
 
 @query(
     "t6_largest_sheet",
-    f"WITH {SHEETS_SQL} SELECT file, max_by(sheet, (n, sheet)) AS sheet, max(n) * 4 AS cells FROM sheets GROUP BY 1",
+    f"WITH {SHEETS_SQL} SELECT file, min_by(sheet, (-n, sheet)) AS sheet, max(n) * 4 AS cells FROM sheets GROUP BY 1",
 )
 def largest_sheet(spark, folder):
     return grid.largest_sheet(_table_rows(spark, folder))
@@ -271,6 +321,44 @@ def quality_warnings(spark, folder):
     return grid.quality_warnings(titled, _table_rows(spark, folder))
 
 
+def _late_grid(spark, folder):
+    """A sheet per order status whose fourth and fifth column are empty but for one order in 500; the fifth has no title."""
+    orders = model.table(spark, folder, "orders").select(F.lit("f").alias("file"), F.col("o_orderstatus").alias("sheet"), "o_orderkey", "o_orderdate", "o_totalprice")
+    numbered = number_rows(orders, SHEET, "o_orderkey", [], "n")
+    late = F.when(F.col("n") % 500 == 20, F.col("o_orderkey").cast("string"))
+    cells = F.array(F.concat(F.lit("Lugar "), "o_orderkey"), F.year("o_orderdate").cast("string"), F.col("o_totalprice").cast("string"), late, late)
+    data = numbered.select(*SHEET, (F.col("n") + 1).cast("long").alias("row_number"), cells.alias("cells"))
+    title = F.array(F.lit("Lugar"), F.lit("Ano"), F.lit("Valor"), F.lit("Nota"), F.lit(None).cast("string"))
+    return data.unionByName(orders.select(*SHEET).distinct().select(*SHEET, F.lit(1).cast("long").alias("row_number"), title.alias("cells")))
+
+
+LATE_SQL = "numbered AS (SELECT o_orderstatus AS sheet, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders)"
+
+
+@query(
+    "t3_late_columns",
+    f"""WITH {LATE_SQL} SELECT sheet, n AS row_number, CASE WHEN n % 500 = 20 THEN CAST(o_orderkey AS VARCHAR) END AS titled,
+  CASE WHEN n % 500 = 20 THEN CAST(o_orderkey AS VARCHAR) END AS untitled FROM numbered""",
+)
+def late_columns(spark, folder):
+    """Columns that are empty in the first rows keep all their later values."""
+    rows = _late_grid(spark, folder)
+    staged = grid.staged_rows(grid.table_rows(rows, grid.infer_headers(rows)))
+    cell = lambda name: F.try_element_at("raw_row", F.lit(name))
+    return staged.select(F.col("sheet_name").alias("sheet"), "row_number", cell("Nota").alias("titled"), cell("__UNNAMED__4").alias("untitled"))
+
+
+@query(
+    "t7_sparse_columns",
+    f"""WITH {LATE_SQL} SELECT 'f' AS file, sheet, CASE WHEN count(*) FILTER (n % 500 = 20) > 0 THEN 1 ELSE 0 END AS sparse_columns,
+  CAST(NULL AS INTEGER) AS promised_rows, count(*) AS rows FROM numbered GROUP BY sheet""",
+)
+def sparse_columns(spark, folder):
+    """One untitled column of each sheet has few values."""
+    rows = _late_grid(spark, folder)
+    return grid.quality_warnings(rows, grid.table_rows(rows, grid.infer_headers(rows)))
+
+
 # Column profiles: every twelve parts make up the columns of a sheet.
 COLUMNS = 12
 

@@ -1,6 +1,8 @@
 """Spreadsheet grids to tables: ``file, sheet, row_number, cells array<string>``, any number of sheets at once.
 
-Only the first 40 rows of a sheet are gathered to find its header.
+The first rows of a sheet tell its header; which columns it has is told by all its rows. Where every column shows a value right below
+the header, columns get the combined names of all header levels, else they keep the titles of the last header row, and those without a
+title a generated name. No column that has a title or a value anywhere is lost.
 """
 
 from __future__ import annotations
@@ -48,12 +50,21 @@ def sheet_sizes(grid: DataFrame) -> DataFrame:
     )
 
 
-def infer_headers(grid: DataFrame) -> DataFrame:
-    """Header of every sheet: ``header_rows``, ``columns`` (0-based positions kept), ``names``.
+def last_values(grid: DataFrame) -> DataFrame:
+    """For every sheet the columns with a value and the last row that has one: ``used`` as a list of (at, last)."""
+    filled = F.filter(F.transform("cells", lambda c, i: F.when(has_value(c), i)), lambda i: i.isNotNull())
+    cells = grid.select(*SHEET, "row_number", F.explode(filled).alias("at"))
+    last = cells.groupBy(*SHEET, "at").agg(F.max("row_number").alias("last"))
+    return last.groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct("at", "last"))).alias("used"))
 
-    ``header_rows`` is empty where no header was found; the first row names the columns then.
+
+def infer_headers(grid: DataFrame, search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
+    """Header of every sheet: ``header_rows``, ``columns`` (0-based positions kept), ``names`` and ``combined``.
+
+    A header is searched in the first ``search_rows`` rows. ``header_rows`` is empty where none was found; the first row names the
+    columns then. ``combined`` tells that the names come from all header levels.
     """
-    sample = grid.filter(F.col("row_number") <= HEADER_SEARCH_ROWS)
+    sample = grid.filter(F.col("row_number") <= search_rows)
     numeric = F.size(F.filter("cells", lambda c: has_value(c) & looks_numeric(c)))
     row = F.struct("row_number", "cells", _populated(F.col("cells")).alias("populated"), numeric.alias("numeric"))
     sheets = sample.groupBy(*SHEET).agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max(F.size("cells")).alias("width"))
@@ -98,9 +109,15 @@ def infer_headers(grid: DataFrame) -> DataFrame:
         "samples",
         F.filter("rows", lambda r: (r["row_number"] >= F.col("first_data")) & (r["row_number"] < F.col("first_data") + sample_end)),
     )
-    positions = F.sequence(F.lit(0), F.col("width") - 1)
-    has_data = lambda i: F.exists("samples", lambda r: has_value(F.get(r["cells"], i)))
-    sheets = sheets.withColumn("columns", F.filter(positions, has_data))
+    sheets = sheets.join(last_values(grid), SHEET, "left")
+    used = F.filter(F.coalesce("used", F.expr("array()").cast("array<struct<at:int,last:bigint>>")), lambda u: u["last"] >= F.col("first_data"))
+    with_values = F.transform(used, lambda u: u["at"])
+    titles = F.coalesce(F.try_element_at("levels", F.lit(-1)), F.expr("array()").cast("array<string>"))
+    titled = F.filter(F.transform(titles, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
+    all_columns = F.array_sort(F.array_union(with_values, titled))
+    sampled = F.filter(with_values, lambda i: F.exists("samples", lambda r: has_value(F.get(r["cells"], i))))
+    sheets = sheets.withColumn("columns", all_columns).withColumn("titles", titles)
+    sheets = sheets.withColumn("combined", F.col("has_header") & (F.size(sampled) == F.size("columns")))
 
     def name_at(i: Column) -> Column:
         direct = F.exists("levels", lambda level: F.coalesce(F.get(level, i), F.lit("")) != "")
@@ -110,8 +127,13 @@ def infer_headers(grid: DataFrame) -> DataFrame:
         combined = F.array_join(F.array_distinct(F.array_compact(carried)), " ")
         return F.when(direct, combined).otherwise(F.lit(""))
 
-    names = unique_names_column(F.transform("columns", name_at), "Coluna ", " (", ")")
-    return sheets.select(*SHEET, "header_rows", "first_data", "columns", names.alias("names"))
+    def title_at(i: Column) -> Column:
+        title = F.coalesce(F.get("titles", i), F.lit(""))
+        return F.when(title != "", title).otherwise(F.concat(F.lit("__UNNAMED__"), i.cast("string")))
+
+    name = F.transform("columns", lambda i: F.when(F.col("combined"), name_at(i)).otherwise(title_at(i)))
+    names = unique_names_column(name, "Coluna ", " (", ")")
+    return sheets.select(*SHEET, "header_rows", "first_data", "columns", names.alias("names"), "combined")
 
 
 def _label(cell: Column) -> Column:
@@ -127,13 +149,13 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     Headers and rows are written once, since later steps read them several times.
     """
     counts = grid.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_rows"))
-    headed = materialise(counts.join(headers.select(*SHEET, "first_data", "columns", "names"), SHEET, "left"), "headers")
+    headed = materialise(counts.join(headers.select(*SHEET, "first_data", "columns", "names", "combined"), SHEET, "left"), "headers")
     joined = attach_counted(grid, headed, SHEET, "_rows", null_keys=False)
     picked = joined.filter(F.col("row_number") >= F.col("first_data")).withColumn(
         "cells", F.transform("columns", lambda i: F.get("cells", i))
     )
     same = F.zip_with("cells", "names", lambda c, n: F.coalesce(F.lower(strip(c)) == F.lower(strip(n)), F.lit(False)))
-    is_header = (F.size("cells") > 0) & F.forall(same, lambda x: x)
+    is_header = F.col("combined") & (F.size("cells") > 0) & F.forall(same, lambda x: x)
     filled = F.size(F.filter("cells", lambda c: F.coalesce(strip(c) != "", F.lit(False))))
     rows = materialise(picked.filter(~is_header & (filled > 0)).withColumn("filled", filled), "grid")
     enough = F.col("filled") >= F.least(F.lit(2), F.size("names"))
@@ -152,15 +174,17 @@ def staged_rows(rows: DataFrame) -> DataFrame:
 
 
 def largest_sheet(rows: DataFrame) -> DataFrame:
-    """The sheet with most cells of every file."""
-    sizes = rows.groupBy(*SHEET).agg((F.count(F.lit(1)) * F.max(F.size("names"))).alias("cells"))
-    return sizes.groupBy("file").agg(F.max_by("sheet", F.struct("cells", "sheet")).alias("sheet"), F.max("cells").alias("cells"))
+    """The sheet with most cells of every file; of equal ones the first in the file (``sheet_position``, else the name)."""
+    place = F.min("sheet_position") if "sheet_position" in rows.columns else F.lit(None).cast("int")
+    sizes = rows.groupBy(*SHEET).agg((F.count(F.lit(1)) * F.max(F.size("names"))).alias("cells"), place.alias("place"))
+    first = F.min_by("sheet", F.struct(-F.col("cells"), F.coalesce("place", F.lit(0)), "sheet"))
+    return sizes.groupBy("file").agg(first.alias("sheet"), F.max("cells").alias("cells"))
 
 
 def quality_warnings(grid: DataFrame, rows: DataFrame) -> DataFrame:
     """Per sheet: number of sparse columns without title, and the row count its title promises if it differs."""
     cells = rows.select(*SHEET, F.posexplode(F.arrays_zip("names", "cells")).alias("at", "c"))
-    is_unnamed = F.startswith(F.lower(F.col("c.names")), F.lit("coluna "))
+    is_unnamed = F.lower(F.col("c.names")).rlike("^(coluna |__unnamed__)")
     filled = F.count_if(F.coalesce(strip(F.col("c.cells")) != "", F.lit(False)))
     per_column = cells.filter(is_unnamed).groupBy(*SHEET, "at").agg(filled.alias("filled"), F.count(F.lit(1)).alias("n"))
     sparse = per_column.groupBy(*SHEET).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +11,11 @@ from pyspark.sql import types as T
 from civigrade.functions.naming import unique_names
 from civigrade.functions.text import put_fields
 from civigrade.operators.joins import first_per_key, lookup, number_rows, prefix_sums
-from civigrade.operators.profiling import as_staged_cells, normalise_columns, normalise_decimals
+from civigrade.operators.profiling import as_staged_cells, holds_regional_decimals, normalise_columns, normalise_decimals, regional_decimal
 
 SEPARATORS = (";", ",", "\t", "|")
 SAMPLE_LINES = 20
+MOST_LAYOUTS = 64
 WRAPPED_LINES, FEWEST_WRAPPED_LINES = 7, 4
 LATIN = "ISO-8859-1"
 ORDER_COLUMNS = ["__file", "__block", "__at"]
@@ -49,20 +52,22 @@ def _is_wrapped(separator: str, width: Column):
     return lambda line: line.rlike('^"([^"]|"")*"$') & (_fields(_unwrapped(line), separator) == width)
 
 
-def dialects(spark: SparkSession, path: str) -> DataFrame:
-    """Encoding, separator and wrapping of every CSV file below ``path`` (gzip too).
+def dialects(spark: SparkSession, path: str, sample_lines: int = SAMPLE_LINES) -> DataFrame:
+    """Encoding, separator, wrapping, header and multi-line cells of every CSV file below ``path`` (gzip too).
 
-    The encoding is judged on all lines, the rest on the first lines of each file.
+    Encoding and multi-line cells are judged on all lines, separator and wrapping on the first ``sample_lines`` of each file.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
-    encodings = lines.groupBy("file").agg(
-        F.when(F.bool_and(F.is_valid_utf8("value")), F.lit("UTF-8")).otherwise(F.lit(LATIN)).alias("encoding")
-    )
-    first = first_per_key(lines.filter(F.col("block") == 0), ["file"], F.col("at"), rows=SAMPLE_LINES)
     text = F.regexp_replace(F.make_valid_utf8("value"), "^﻿|\r$", "")
+    # A quoted cell with a line break leaves an odd number of quotes on its first line.
+    is_open = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
+    whole = lines.groupBy("file").agg(
+        F.when(F.bool_and(F.is_valid_utf8("value")), F.lit("UTF-8")).otherwise(F.lit(LATIN)).alias("encoding"), F.bool_or(is_open).alias("has_breaks")
+    )
+    first = first_per_key(lines.filter(F.col("block") == 0), ["file"], F.col("at"), rows=sample_lines)
     heads = first.groupBy("file").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", text.alias("line")))), lambda s: s["line"]).alias("lines")
     )
@@ -85,50 +90,60 @@ def dialects(spark: SparkSession, path: str) -> DataFrame:
         wrapped = F.when(fits, F.lit(separator)).otherwise(wrapped)
     return (
         chosen.withColumn("wrapped", wrapped)
-        .join(encodings, "file")
+        .join(whole, "file")
         .select(
             "file", "encoding", F.coalesce("wrapped", "separator").alias("separator"),
-            F.col("wrapped").isNotNull().alias("is_wrapped"), header.alias("header"),
+            F.col("wrapped").isNotNull().alias("is_wrapped"), "has_breaks", header.alias("header"),
         )
     )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of a folder of CSV files of one layout as text, with the dialect found in the files.
+def read_csv(spark: SparkSession, path: str, most_layouts: int = MOST_LAYOUTS) -> DataFrame:
+    """All cells of a folder of CSV files as text, each file read with the dialect and the header found in it.
 
-    Adds the hidden order columns :func:`stage` numbers rows by.
+    Files are read together by layout and meet by column name; a column that a layout lacks is null in its rows. Adds the hidden
+    order columns :func:`stage` numbers rows by. Files with line breaks inside cells are read by one task each. The layouts, not the
+    files, are what the driver loops over; more than ``most_layouts`` are refused.
     """
-    found = dialects(spark, path).groupBy("encoding", "separator", "is_wrapped").agg(F.min("header").alias("header")).limit(2).collect()
-    if not found:
+    layout = ["encoding", "separator", "is_wrapped", "has_breaks", "header"]
+    found = dialects(spark, path).groupBy(*layout).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    layouts = sorted(found.limit(most_layouts + 1).collect(), key=lambda row: row["files"][0])
+    if not layouts:
         raise ValueError(f"no lines in {path}")
-    if len(found) > 1:
-        raise ValueError(f"the files in {path} differ in encoding or separator; read them one by one")
-    dialect = found[0]
-    if dialect["is_wrapped"]:
-        return _read_wrapped(spark, path, dialect)
+    if len(layouts) > most_layouts:
+        raise ValueError(f"the files in {path} have more than {most_layouts} layouts")
+    parts = [_read_layout(spark, path if len(layouts) == 1 else row["files"], row) for row in layouts]
+    order = [*dict.fromkeys(c for part in parts for c in part.columns if c not in ORDER_COLUMNS), *ORDER_COLUMNS]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    return together.select(*[F.col(f"`{c}`") for c in order])
+
+
+def _read_layout(spark: SparkSession, paths: str | list[str], layout) -> DataFrame:
+    if layout["is_wrapped"]:
+        return _read_wrapped(spark, paths, layout)
     reader = spark.read.options(
-        header=True, sep=dialect["separator"], encoding=dialect["encoding"], quote='"', escape='"', mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        header=True, sep=layout["separator"], encoding=layout["encoding"], quote='"', escape='"', mode="PERMISSIVE",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=layout["has_breaks"],
     )
-    rows = _with_order(reader.csv(path))
-    if dialect["encoding"] == LATIN:
-        rows = _windows_text(rows)
-    return rows
+    rows = _with_order(reader.csv(paths))
+    return _windows_text(rows) if layout["encoding"] == LATIN else rows
 
 
-def _read_wrapped(spark: SparkSession, path: str, dialect) -> DataFrame:
-    """Records written as one quoted field: unwrap the line, then parse it. Lines equal to the header are dropped."""
-    lines = _with_order(spark.read.text(path))
-    line = F.regexp_replace("value", "^﻿|\r$", "")
+def _read_wrapped(spark: SparkSession, paths: str | list[str], layout) -> DataFrame:
+    """Records written as one quoted field: unwrap the line, then parse it. Only the first line of each file is its header."""
+    # A separator that no line has makes the reader split lines only, and take the header off each file.
+    reader = spark.read.schema("value string").options(header=True, sep="\u0001", quote="", encoding=layout["encoding"])
+    lines = _with_order(reader.csv(paths))
+    line = F.regexp_replace("value", "\r$", "")
     is_wrapped = F.startswith(line, F.lit('"')) & F.endswith(line, F.lit('"')) & (F.length(line) >= 2)
     inner = F.when(is_wrapped, _unwrapped(line)).otherwise(line)
-    separator = dialect["separator"]
-    names = unique_names([n.strip().strip('"') for n in dialect["header"].split(separator)])
-    options = {"sep": separator, "quote": '"', "escape": '"'}
-    parsed = lines.filter((line != "") & (line != dialect["header"])).withColumn(
-        "record", F.from_csv(inner, _ddl(names), options)
-    )
-    return parsed.select("record.*", *ORDER_COLUMNS)
+    separator = layout["separator"]
+    names = unique_names([n.strip() for n in next(csv.reader([layout["header"]], delimiter=separator))])
+    record = F.from_csv(inner, _ddl(names), {"sep": separator, "quote": '"', "escape": '"'})
+    parsed = lines.filter(line != "").withColumn("record", record).select("record.*", *ORDER_COLUMNS)
+    return _windows_text(parsed) if layout["encoding"] == LATIN else parsed
 
 
 def _ddl(names: list[str]) -> str:
@@ -153,45 +168,75 @@ def _windows_text(df: DataFrame) -> DataFrame:
     return df.select(*fixed)
 
 
+#: Type -> what every filled cell must look like. Whole numbers beyond 18 digits stay exact, and so they never become doubles.
+KINDS = (
+    ("bigint", "^-?[0-9]{1,18}$"),
+    ("decimal(38,0)", "^-?[0-9]{1,38}$"),
+    ("double", r"^(?!-?[0-9]{16,}$)-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"),
+    ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp_ntz", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?$"),
+    ("boolean", "^(true|false)$"),
+)
+
+
 def infer_types(df: DataFrame) -> DataFrame:
-    """Typed columns from text ones: whole numbers, decimals, ISO dates. One aggregation over all cells."""
+    """Typed columns from text ones: whole numbers, decimals (regional ones too), ISO dates and times, true and false.
+
+    One aggregation over all cells finds types and regional decimals together.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in ORDER_COLUMNS]
     if not names:
         return df
-    kinds = (("bigint", "^-?[0-9]{1,18}$"), ("double", r"^-?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"), ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
     checks = []
-    for name in names:
+    for position, name in enumerate(names):
         cell = F.when(F.col(f"`{name}`") != "", F.col(f"`{name}`"))
         kind = F.lit("string")
-        for type_name, pattern in reversed(kinds):
+        for type_name, pattern in reversed(KINDS):
             fits = F.coalesce(F.bool_and(cell.rlike(pattern) & cell.try_cast(type_name).isNotNull()), F.lit(False))
             kind = F.when(fits, F.lit(type_name)).otherwise(kind)
-        checks.append(kind.alias(name))
-    kinds_found = df.agg(*checks).first()
-    typed = {n: F.col(f"`{n}`").try_cast(kinds_found[n]) for n in names if kinds_found[n] != "string"}
+        checks += [kind.alias(f"kind_{position}"), holds_regional_decimals(F.col(f"`{name}`")).alias(f"regional_{position}")]
+    found = df.agg(*checks).first()
+    typed = {}
+    for position, name in enumerate(names):
+        if found[f"kind_{position}"] != "string":
+            typed[name] = F.col(f"`{name}`").try_cast(found[f"kind_{position}"])
+        elif found[f"regional_{position}"]:
+            typed[name] = regional_decimal(F.col(f"`{name}`"))
     return df.withColumns(typed) if typed else df
 
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV to a typed table: dialect, types, regional decimals, canonical column names (code columns stay text)."""
-    return normalise_columns(normalise_decimals(infer_types(read_csv(spark, path))))
+    return normalise_columns(infer_types(read_csv(spark, path)))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of objects. A first record that only holds labels names the columns and is dropped."""
+    """JSON arrays of objects. A first record of a file that only holds labels names the columns and is dropped.
+
+    Records further down are data, whatever they look like. Files whose labels differ are refused.
+    """
     rows = spark.read.option("multiLine", True).json(path)
     if "V" not in rows.columns:
         return rows
     texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
-    is_label = F.lit(False)
+    has_mark = F.lit(False)
     for name in texts:
-        is_label = is_label | F.coalesce(F.endswith(F.col(f"`{name}`"), F.lit(LABEL_MARK)), F.lit(False))
-    labels = rows.filter(is_label).limit(1).collect()
-    if not labels:
+        has_mark = has_mark | F.coalesce(F.endswith(F.col(f"`{name}`"), F.lit(LABEL_MARK)), F.lit(False))
+    record = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    # A file of one array is read by one task, in order.
+    placed = rows.select(record.alias("record"), (has_mark & F.col("V").isNotNull()).alias("is_label"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = placed.groupBy("file").agg(F.min("at").alias("at"), F.min_by("is_label", "at").alias("is_label"), F.min_by("record", "at").alias("record"))
+    labels = first.filter("is_label")
+    found = labels.groupBy(F.to_json("record")).agg(F.first("record").alias("record")).limit(2).collect()
+    if not found:
         return rows
-    label = labels[0].asDict()
+    if len(found) > 1:
+        raise ValueError(f"the files in {path} differ in their label records")
+    label = found[0]["record"].asDict()
     wanted = [str(label[c]) if label[c] is not None else c for c in rows.columns]
-    return rows.filter(~is_label).toDF(*unique_names(wanted, "Coluna {position}", "{name} ({count})"))
+    # ``at`` names one row, so the join has no hot key.
+    data = placed.join(labels.select("at"), "at", "left_anti").select("record.*")
+    return data.toDF(*unique_names(wanted, "Coluna {position}", "{name} ({count})"))
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
