@@ -10,8 +10,17 @@ from civigrade.functions.text import search_key
 from civigrade.operators.joins import attach_counted, latest, lookup, prefix_sums
 from civigrade.session import materialise
 
-SCORE_PLACES = 9
-RANK_BUCKETS = 100_000
+MOST_INDICATORS = 10_000
+RANKING_SORTS = ("score", "name", "state", "coverage")
+
+
+def ordered_sum(terms: Column, order: Column) -> Column:
+    """Aggregate: sum of the terms that are not null, added in a fixed order, so that equal scores come out equal to the last bit.
+
+    The groups are those of one municipality, with one term per indicator or dimension.
+    """
+    listed = F.sort_array(F.collect_list(F.when(terms.isNotNull(), F.struct(order.alias("o"), terms.cast("double").alias("t")))))
+    return F.when(F.size(listed) > 0, F.aggregate(listed, F.lit(0.0), lambda total, item: total + item["t"]))
 
 
 def scorable_indicators(indicators: DataFrame, dimensions: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def score_latest(published: DataFrame, indicators: DataFrame, dimensions: DataFr
 def dimension_scores(scored: DataFrame) -> DataFrame:
     """Mean score per municipality and dimension, with observed and scored counts."""
     return scored.groupBy("municipality_ibge_code", "dimension_code").agg(
-        F.avg("score").alias("dimension_score"),
+        (ordered_sum(F.col("score"), F.col("indicator_code")) / F.count("score")).alias("dimension_score"),
         F.count("value").alias("observed_indicators"),
         F.count("score").alias("scored_indicators"),
     )
@@ -66,13 +75,14 @@ def overall_scores(by_dimension: DataFrame, dimensions: DataFrame) -> DataFrame:
         .groupBy("municipality_ibge_code")
         .agg(
             F.try_divide(
-                F.sum(F.col("dimension_score") * F.col("weight")), F.sum(F.when(present, F.col("weight")))
+                ordered_sum(F.col("dimension_score") * F.col("weight"), F.col("dimension_code")),
+                ordered_sum(F.when(present, F.col("weight")), F.col("dimension_code")),
             ).alias("overall_score"),
             F.map_from_entries(F.collect_list(F.struct("dimension_code", "dimension_score"))).alias("dimension_scores"),
             F.sum("observed_indicators").alias("observed_indicators"),
             F.sum("scored_indicators").alias("scored_indicators"),
         )
-        .withColumn("overall_score", F.round(F.when(F.col("overall_score") > 100, 100.0).otherwise(F.col("overall_score")), SCORE_PLACES))
+        .withColumn("overall_score", F.when(F.col("overall_score") > 100, 100.0).otherwise(F.col("overall_score")))
         .withColumn("maturity", maturity(F.col("overall_score")))
     )
 
@@ -95,21 +105,18 @@ def rank_municipalities(
 
 
 def competition_rank(df: DataFrame, score: Column, alias: str = "rank") -> DataFrame:
-    """Competition rank (equal scores share a rank) of scores 0-100, highest first; rows without score are dropped.
+    """Competition rank of exact scores (only equal ones share a rank), highest first; rows without score are dropped.
 
-    No task sees all rows: scores are counted, the counts are summed over 100,000 fixed score
-    buckets and then over the at most one million distinct scores (nine places) of a bucket.
-    The rows are written once, since counting and ranking both read them.
+    No task sees all rows or all scores: scores are counted, the distinct ones are dealt out by range, summed inside their range, and
+    the sums of the ranges above are added. Rows and counts are written once, since later steps read them again.
     """
-    rows = materialise(df.withColumn("_score", F.round(score, SCORE_PLACES)).filter(F.col("_score").isNotNull()), "scored")
+    rows = materialise(df.withColumn("_score", score).filter(F.col("_score").isNotNull()), "scored")
     counts = rows.groupBy("_score").agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.withColumn("_bucket", F.floor(F.col("_score") * (RANK_BUCKETS // 100)))
-    buckets = counts.groupBy("_bucket").agg(F.sum("_rows").alias("_bucket_rows"))
-    buckets = prefix_sums(buckets, [], F.col("_bucket").desc(), "_bucket_rows", "_above").drop("_bucket_rows")
-    inside = prefix_sums(counts, ["_bucket"], F.col("_score").desc(), "_rows", "_before")
-    ranks = inside.join(buckets, "_bucket").select(
-        "_score", "_rows", (F.col("_above") + F.col("_before") + 1).cast("long").alias(alias)
-    )
+    placed = materialise(counts.repartitionByRange(F.col("_score").desc()).withColumn("_range", F.spark_partition_id()), "scores")
+    ranges = placed.groupBy("_range").agg(F.sum("_rows").alias("_range_rows"))
+    ranges = prefix_sums(ranges, [], F.col("_range"), "_range_rows", "_above").drop("_range_rows")
+    inside = prefix_sums(placed, ["_range"], F.col("_score").desc(), "_rows", "_before")
+    ranks = inside.join(ranges, "_range").select("_score", "_rows", (F.col("_above") + F.col("_before") + 1).cast("long").alias(alias))
     return attach_counted(rows, ranks, ["_score"], "_rows", null_keys=False).drop("_score", "_rows")
 
 
@@ -124,31 +131,54 @@ def ranking_page(
 ) -> DataFrame:
     """A page of the ranking. Ranks are given before the search, so a found row keeps its real rank.
 
-    ``sort`` is ``score``, ``name``, ``state``, ``coverage`` or a dimension code (rows without that score last).
+    ``sort`` is ``score``, ``name``, ``state``, ``coverage`` or a dimension code (rows without that score last); anything else, and a
+    dimension that no row has, is refused. Ascending scores are the descending order read backwards.
     """
+    if limit < 1 or offset < 0:
+        raise ValueError("a page needs a positive limit and an offset that is not negative")
+    if sort not in RANKING_SORTS:
+        _check_dimension(ranked, sort)
     rows = ranking_matches(ranked, dimension, search)
     if descending is None:
         descending = sort not in ("name", "state")
-    name = search_key(F.col("name"))
-    keys = {
-        "score": [F.col("score"), -F.col("rank")],
-        "name": [name],
-        "state": [F.coalesce("state", F.lit("")), name],
-        "coverage": [F.col("scored_indicators")],
-    }.get(sort, [F.try_element_at("dimension_scores", F.lit(sort))])
+    name, code = search_key(F.col("name")), F.col("municipality_ibge_code")
+    if sort == "score":
+        order = [F.col("score").desc(), name.asc(), code.asc()] if descending else [F.col("score").asc(), name.desc(), code.desc()]
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    keys = {"name": [name], "state": [F.coalesce("state", F.lit("")), name], "coverage": [F.col("scored_indicators")]}.get(
+        sort, [F.try_element_at("dimension_scores", F.lit(sort))]
+    )
     order = [key.desc_nulls_last() if descending else key.asc_nulls_last() for key in keys]
-    order += [F.col("rank").asc(), name.asc(), F.col("municipality_ibge_code").asc()]
-    return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 1000)))
+    return rows.orderBy(*order, F.col("rank").asc(), name.asc(), code.asc()).offset(offset).limit(limit)
+
+
+def _check_dimension(ranked: DataFrame, code: str) -> None:
+    if ranked.filter(F.map_contains_key("dimension_scores", code)).isEmpty():
+        raise ValueError(f"unknown dimension or order: {code}")
 
 
 def ranking_matches(ranked: DataFrame, dimension: str | None = None, search: str | None = None) -> DataFrame:
     """All ranked rows a ranking query matches: by overall or one dimension score, then by search text."""
-    score = F.try_element_at("dimension_scores", F.lit(dimension)) if dimension else F.col("overall_score")
-    rows = competition_rank(ranked.withColumn("score", F.round(score, SCORE_PLACES)), F.col("score"))
-    if search and search.strip():
-        text = search_key(F.concat_ws(" ", "name", F.coalesce("state", F.lit("")), "municipality_ibge_code"))
-        rows = rows.filter(F.contains(text, search_key(F.lit(search.strip()))))
-    return rows
+    if dimension is not None and dimension.strip():
+        dimension = dimension.strip()
+        _check_dimension(ranked, dimension)
+        score = F.try_element_at("dimension_scores", F.lit(dimension))
+    else:
+        score = F.col("overall_score")
+    rows = competition_rank(ranked.withColumn("score", score), F.col("score"))
+    return rows.filter(_found(search)) if search and search.strip() else rows
+
+
+def _found(search: str) -> Column:
+    text = search_key(F.concat_ws(" ", "name", F.coalesce("state", F.lit("")), "municipality_ibge_code"))
+    return F.contains(text, search_key(F.lit(search.strip())))
+
+
+def ranking_totals(ranked: DataFrame, dimension: str | None = None, search: str | None = None) -> DataFrame:
+    """One row: scored municipalities, and how many of them the search matches."""
+    rows = ranking_matches(ranked, dimension)
+    hit = _found(search) if search and search.strip() else F.lit(True)
+    return rows.agg(F.count(F.lit(1)).alias("scored_municipalities"), F.count_if(hit).alias("total"))
 
 
 def diagnosis(
@@ -169,11 +199,12 @@ def diagnosis(
     newest = latest(values, ["municipality_ibge_code", "indicator_code"], "reference_period", ["id"]).select(
         "municipality_ibge_code", "indicator_code", F.struct("reference_period", "value", "source_name").alias("latest")
     )
-    per_place = newest.groupBy("municipality_ibge_code").agg(
-        F.map_from_entries(F.collect_list(F.struct("indicator_code", "latest"))).alias("by_indicator")
-    )
-    # The catalog holds at most some hundred indicators: one array literal row, exploded per municipality.
-    rows = catalog.select(F.struct(*catalog.columns).alias("indicator")).agg(F.collect_list("indicator").alias("all"))
+    in_catalog = newest.join(catalog.select(F.col("indicator_code").alias("_code"), F.lit(True).alias("_listed")), F.col("indicator_code") == F.col("_code"), "left")
+    own = F.when(F.col("_listed"), F.struct("indicator_code", "latest"))  # a place with other indicators only is listed too
+    per_place = in_catalog.groupBy("municipality_ibge_code").agg(F.map_from_entries(F.collect_list(own)).alias("by_indicator"))
+    # The catalog as one row, exploded per municipality: the answer has all its indicators for each.
+    listed = catalog.select(F.struct(*catalog.columns).alias("indicator")).limit(MOST_INDICATORS + 1)
+    rows = listed.agg(F.when(F.count(F.lit(1)) > MOST_INDICATORS, F.raise_error(F.lit(f"more than {MOST_INDICATORS} indicators"))).otherwise(F.collect_list("indicator")).alias("all"))
     listed = per_place.withColumn("indicator", F.explode(rows.scalar()))
     value = F.try_element_at("by_indicator", F.col("indicator.indicator_code"))
     return listed.select(
@@ -193,7 +224,7 @@ def diagnosis(
 def diagnosis_summary(detail: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Per municipality and dimension: mean score and counts of scored, observed and catalog indicators."""
     return detail.groupBy("municipality_ibge_code", "dimension_code").agg(
-        F.avg("score").alias("dimension_score"),
+        (ordered_sum(F.col("score"), F.col("indicator_code")) / F.count("score")).alias("dimension_score"),
         F.count("score").alias("scored_indicators"),
         F.count("value").alias("observed_indicators"),
         F.count(F.lit(1)).alias("total_indicators"),
@@ -207,9 +238,9 @@ def strongest_and_weakest(by_dimension: DataFrame) -> DataFrame:
     fewer than two scores there is no weakest.
     """
     scored = F.col("dimension_score").isNotNull()
-    rounded = F.round("dimension_score", SCORE_PLACES)
-    best = F.min(F.when(scored, F.struct((-rounded).alias("s"), F.col("dimension_code").alias("d"))))
-    worst = F.max(F.when(scored, F.struct((-rounded).alias("s"), F.col("dimension_code").alias("d"))))
+    lower_first = (-F.col("dimension_score")).alias("s")
+    best = F.min(F.when(scored, F.struct(lower_first, F.col("dimension_code").alias("d"))))
+    worst = F.max(F.when(scored, F.struct(lower_first, F.col("dimension_code").alias("d"))))
     return by_dimension.groupBy("municipality_ibge_code").agg(
         best["d"].alias("strongest_dimension"),
         F.when(F.count("dimension_score") > 1, worst["d"]).alias("weakest_dimension"),
@@ -229,7 +260,7 @@ def compare(detail: DataFrame, codes: list[str]) -> DataFrame:
 def comparison_table(detail: DataFrame, codes: list[str]) -> DataFrame:
     """Side by side: one row per indicator, value, period and score of each municipality as columns."""
     compared = compare(detail, codes)
-    wanted = list(dict.fromkeys(codes))
+    wanted = list(dict.fromkeys(code.strip() for code in codes if code.strip()))
     return (
         compared.groupBy("dimension_code", "indicator_code")
         .pivot("municipality_ibge_code", wanted)

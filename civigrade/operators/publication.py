@@ -138,11 +138,16 @@ def _duplicate_counts(candidates: DataFrame, by_sheet: bool) -> DataFrame:
 
 
 def _judge(candidates: DataFrame, counts: DataFrame, by_sheet: bool) -> DataFrame:
-    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), "duplicate_count", null_keys=False)
+    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), "duplicate_count", null_keys=by_sheet)
     invalid = candidates.filter(~F.col("is_valid")).withColumn("duplicate_count", F.lit(0).cast("long"))
     return judged.unionByName(invalid, allowMissingColumns=True)
 
 
+def message_prefix(sheet: Column) -> Column:
+    """How the messages of a sheet begin; a row without a sheet belongs to the nameless one."""
+    return F.concat(F.lit('Aba "'), F.coalesce(sheet, F.lit("")), F.lit('": '))
+
+
 def issues_of(candidates: DataFrame, fields: FieldNames) -> DataFrame:
     """One row per broken rule of a marked candidate."""
     rules = (
@@ -162,17 +167,17 @@ def issues_of(candidates: DataFrame, fields: FieldNames) -> DataFrame:
     )
     return candidates.select("import_id", "indicator_code", "sheet_name", "row_number", F.explode(broken).alias("b")).select(
         "import_id", "indicator_code", F.lit("error").alias("severity"), F.col("row_number").cast("long").alias("row_number"),
-        F.col("b.field").alias("field"), F.concat(F.lit('Aba "'), "sheet_name", F.lit('": '), "b.text").alias("message"),
+        F.col("b.field").alias("field"), F.concat(message_prefix(F.col("sheet_name")), "b.text").alias("message"),
     )
 
 
 def refresh_issues(existing: DataFrame, new: DataFrame, scope: DataFrame, fields: FieldNames) -> DataFrame:
     """Issue table after an approval: earlier ones of the same import, indicator, sheet and fields make way."""
-    scope = scope.withColumn("_prefix", F.concat(F.lit('Aba "'), F.coalesce("sheet_name", F.lit("")), F.lit('": ')))
     ours = [fields.municipality, fields.year, fields.value]
-    prefix = F.regexp_extract("message", r'^(Aba "[^"]*": )', 1)
-    stale = existing.withColumn("_prefix", F.when(F.col("field").isin(*ours), prefix).otherwise(F.lit("")))
-    kept = stale.join(scope, ["import_id", "indicator_code", "_prefix"], "left_anti").select(*existing.columns)
+    approved = scope.select(F.col("import_id").alias("_import"), F.col("indicator_code").alias("_indicator"), message_prefix(F.col("sheet_name")).alias("_prefix"))
+    same = (F.col("import_id") == F.col("_import")) & (F.col("indicator_code") == F.col("_indicator"))
+    stale = same & F.col("field").isin(*ours) & F.startswith("message", F.col("_prefix"))
+    kept = existing.join(approved, stale, "left_anti")
     key = ["import_id", "indicator_code", "row_number", "field", "message"]
     added = new.join(kept.select(*key), key, "left_anti")
     return kept.unionByName(added.select(*kept.columns))

@@ -46,7 +46,7 @@ by_dimension AS (
 overall AS (
   SELECT municipality_ibge_code,
          sum(dimension_score * weight) / sum(CASE WHEN dimension_score IS NOT NULL THEN weight END) AS mean_score,
-         round(CASE WHEN mean_score > 100 THEN 100.0 ELSE mean_score END, 9) AS overall_score,
+         CASE WHEN mean_score > 100 THEN 100.0 ELSE mean_score END AS overall_score,
          CAST(sum(observed_indicators) AS BIGINT) AS observed_indicators,
          CAST(sum(scored_indicators) AS BIGINT) AS scored_indicators,
          max(CASE WHEN dimension_code = 'eco' THEN dimension_score END) AS eco_score,
@@ -162,25 +162,25 @@ def latest_value(spark, folder):
 
 @query(
     "w5_upsert",
-    """SELECT o_custkey AS key, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'
+    """SELECT o_custkey AS key, o_orderkey AS id FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1
-UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
 )
 def upsert_rows(spark, folder):
     current = model.table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.lit(-1).cast("long").alias("id"))
-    incoming = model.table(spark, folder, "orders").filter(F.col("o_orderstatus") == "F")
+    incoming = model.table(spark, folder, "orders")
     return upsert(current, incoming.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id")), ["key"], ["id"])
 
 
 @query(
     "w6_competition_rank",
     """SELECT l_orderkey, l_linenumber, l_partkey, score, CAST(rank() OVER (ORDER BY score DESC) AS BIGINT) AS rank
-FROM (SELECT *, round(l_quantity * 2, 9) AS score FROM lineitem)""",
+FROM (SELECT *, l_quantity * 2 + l_linenumber / 100000000000.0 AS score FROM lineitem)""",
 )
 def competition_rank(spark, folder):
-    """Fifty scores over all line items: almost every score is a large tie."""
+    """Few scores over all line items, so that every score is a large tie; some differ in the eleventh place only."""
     rows = model.table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity") * 2, 9).alias("score")
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 2 + F.col("l_linenumber") / F.lit(100000000000.0)).alias("score")
     )
     return index.competition_rank(rows, F.col("score"))
 
@@ -230,7 +230,7 @@ def dimension_summary(spark, folder):
 
 @query(
     "a16_strongest_and_weakest",
-    f"""WITH {DETAIL_SQL}, present AS (SELECT *, round(dimension_score, 9) AS s FROM summary)
+    f"""WITH {DETAIL_SQL}, present AS (SELECT *, dimension_score AS s FROM summary)
 SELECT municipality_ibge_code, first(dimension_code ORDER BY s DESC, dimension_code) FILTER (WHERE s IS NOT NULL) AS strongest_dimension,
   CASE WHEN count(s) > 1 THEN first(dimension_code ORDER BY s, dimension_code DESC) FILTER (WHERE s IS NOT NULL) END AS weakest_dimension,
   CAST(sum(total_indicators - observed_indicators) AS BIGINT) AS missing_indicators FROM present GROUP BY 1""",
@@ -245,7 +245,7 @@ PAGE_COLUMNS = ["rank", "municipality_ibge_code", "name", "scored_indicators"]
 
 @query(
     "a3_ranking_by_dimension",
-    f"""WITH {SCORED_SQL}, by_eco AS (SELECT *, rank() OVER (ORDER BY round(eco_score, 9) DESC) AS rank FROM ranked WHERE eco_score IS NOT NULL)
+    f"""WITH {SCORED_SQL}, by_eco AS (SELECT *, rank() OVER (ORDER BY eco_score DESC) AS rank FROM ranked WHERE eco_score IS NOT NULL)
 SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM by_eco
 ORDER BY rank, lower(name), municipality_ibge_code LIMIT 40 OFFSET 20""",
 )
@@ -267,7 +267,7 @@ def ranking_by_coverage(spark, folder):
     "a3_ranking_by_missing_dimension",
     f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
 SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM r
-ORDER BY round(pes_score, 9) DESC NULLS LAST, rank, lower(name), municipality_ibge_code LIMIT 1000""",
+ORDER BY pes_score DESC NULLS LAST, rank, lower(name), municipality_ibge_code LIMIT 1000""",
 )
 def ranking_by_other_dimension(spark, folder):
     return index.ranking_page(_ranked(spark, folder), sort="pes", limit=1000).select(*PAGE_COLUMNS)
@@ -283,6 +283,26 @@ def ranking_search(spark, folder):
     return index.ranking_matches(_ranked(spark, folder), search="  Nátion_1 0").select(*PAGE_COLUMNS)
 
 
+@query(
+    "a3_ranking_ascending",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
+SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM r
+ORDER BY overall_score, lower(name) DESC, municipality_ibge_code DESC LIMIT 2500""",
+)
+def ranking_ascending(spark, folder):
+    """The ranking from its end; equal scores come in reverse too."""
+    return index.ranking_page(_ranked(spark, folder), descending=False, limit=2500).select(*PAGE_COLUMNS)
+
+
+@query(
+    "a3_ranking_totals",
+    f"""WITH {SCORED_SQL} SELECT count(*) AS scored_municipalities,
+  count(*) FILTER (contains(lower(name || ' ' || coalesce(state, '') || ' ' || municipality_ibge_code), '7')) AS total FROM ranked""",
+)
+def ranking_totals(spark, folder):
+    return index.ranking_totals(_ranked(spark, folder), search="7")
+
+
 CODES = ["0000077", "0000033", "0001011"]
 
 
@@ -311,13 +331,13 @@ def comparison_table(spark, folder):
 @query(
     "r6_best_in_row",
     f"""WITH {SCORED_SQL} SELECT municipality_ibge_code, indicator_code, state, coalesce(count(score) OVER w >= 2
-  AND min(round(score, 9)) OVER w < max(round(score, 9)) OVER w AND round(score, 9) = max(round(score, 9)) OVER w, false) AS is_best
-FROM scored JOIN municipality ON ibge_code = municipality_ibge_code WINDOW w AS (PARTITION BY indicator_code, state)""",
+  AND min(score) OVER w < max(score) OVER w AND score = max(score) OVER w, false) AS is_best
+FROM scored LEFT JOIN municipality ON ibge_code = municipality_ibge_code WINDOW w AS (PARTITION BY indicator_code, state)""",
 )
 def best_in_row(spark, folder):
     """Best municipality of each state per indicator."""
-    scored = index.score_latest(model.published(spark, folder), *_catalogs(spark)).withColumn("score", F.round("score", 9))
-    named = index.with_place_names(scored, model.municipality(spark, folder)).filter(F.col("state").isNotNull())
+    scored = index.score_latest(model.published(spark, folder), *_catalogs(spark))
+    named = index.with_place_names(scored, model.municipality(spark, folder))
     return index.best_in_row(named, ["indicator_code", "state"]).select("municipality_ibge_code", "indicator_code", "state", "is_best")
 
 
