@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from typing import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +45,6 @@ _FOLD_FROM, _FOLD_TO = _folding_table()
 _MARKS = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
 
 
-def fold_python(text: str) -> str:
-    """Accent folding for literals that must match :func:`unaccent` on the driver side."""
-    return text.translate({**dict(zip(map(ord, _FOLD_FROM), _FOLD_TO)), **{ord(m): None for m in _MARKS}})
-
-
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed a single time per row."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -65,11 +60,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def squash(text: Column) -> Column:
-    """Collapse runs of white space into one blank and trim."""
-    return strip(F.regexp_replace(text, r"[\s ]+", " "))
-
-
 def cell_text(cell: Column) -> Column:
     """Trimmed text of a cell, ``''`` for a missing one."""
     return F.coalesce(strip(cell.cast("string")), F.lit(""))
@@ -97,6 +87,27 @@ def title_key(text: Column) -> Column:
     return strip(F.lower(unaccent(text)))
 
 
+def column_name(name: Column) -> Column:
+    """Canonical name: lower case, no accents, ``_duplicated_k`` counted on, blanks and slashes to one underscore."""
+    plain = unaccent(F.lower(strip(name)))
+    copy = F.regexp_extract(plain, r"_duplicated_([0-9]+)$", 1)
+    counted = F.when(
+        copy != "",
+        F.concat(F.regexp_replace(plain, r"_duplicated_[0-9]+$", "_"), (copy.try_cast("int") + 2).cast("string")),
+    ).otherwise(plain)
+    return F.regexp_replace(strip(F.translate(counted, "/", " ")), r"[\s ]+", "_")
+
+
+def column_title(title: Column) -> Column:
+    """A column title as rules on titles read it: canonical and without accents."""
+    return title_key(column_name(title))
+
+
+def evaluated(spark: SparkSession, expression: Column):
+    """The value of an expression without input columns, worked out by the optimiser: no job is run."""
+    return spark.sql("SELECT * FROM VALUES (1) AS one(x)").select(expression).first()[0]
+
+
 def words_key(text: Column) -> Column:
     """Search key with every run of other characters turned into one blank."""
     return F.trim(F.regexp_replace(search_key(text), "[^a-z0-9]+", " "))
@@ -105,22 +116,30 @@ def words_key(text: Column) -> Column:
 place_name_key = words_key
 
 
+# Where a place name holds its state.
+BRACKETED_STATE = r"[\s ]*\(([A-Za-z]{2})\)$"
+LEADING_STATE = r"^([A-Za-z]{2})[\s ]*-[\s ]*"
+TRAILING_STATE = r"[\s ]*[-/][\s ]*([A-Za-z]{2})$"
+
+
 def parse_place_name(text: Column) -> Column:
     """``name`` and ``state`` of ``Name (UF)``, ``UF-Name``, ``Name - UF`` or ``Name/UF``; null otherwise.
 
-    The first form whose state is one of the 27 wins.
+    The first form whose state is one of the 27 wins: the state in brackets at the end, before a hyphen, or after the last hyphen or
+    slash.
     """
-    forms = (
-        (r"^\s*(.+?)\s*\(([A-Za-z]{2})\)\s*$", 1, 2),
-        (r"^\s*([A-Za-z]{2})\s*-\s*(.+?)\s*$", 2, 1),
-        (r"^\s*(.+?)\s*[-/]\s*([A-Za-z]{2})\s*$", 1, 2),
+    whole = strip(text)
+    in_brackets, ahead = F.regexp_extract(whole, BRACKETED_STATE, 1), F.regexp_extract(whole, LEADING_STATE, 1)
+    behind = F.regexp_extract(whole, TRAILING_STATE, 1)
+
+    def place(state: Column, name: Column) -> Column:
+        return F.when(F.upper(state).isin(*STATES) & (name != ""), F.struct(name.alias("name"), F.upper(state).alias("state")))
+
+    return F.coalesce(
+        place(in_brackets, strip(F.regexp_replace(whole, BRACKETED_STATE, ""))),
+        place(ahead, strip(F.regexp_replace(whole, LEADING_STATE, ""))),
+        place(behind, strip(F.regexp_replace(whole, TRAILING_STATE, ""))),
     )
-    candidates = []
-    for pattern, name_group, state_group in forms:
-        state = F.upper(F.regexp_extract(text, pattern, state_group))
-        name = strip(F.regexp_extract(text, pattern, name_group))
-        candidates.append(F.when(state.isin(*STATES), F.struct(name.alias("name"), state.alias("state"))))
-    return F.coalesce(*candidates)
 
 
 def short_code(code: Column) -> Column:

@@ -46,15 +46,16 @@ def parse_number(cell: Column) -> Column:
     return digits.try_cast(STORED)
 
 
-def parse_number_us_first(cell: Column) -> Column:
-    """Number of a text cell, US grouping first: ``1,234`` is 1234; no scientific notation, at most 64 characters."""
+def parse_number_us_first(cell: Column, longest: int | None = None) -> Column:
+    """Number of a text cell, US grouping first: ``1,234`` is 1234; no scientific notation, no text above ``longest`` characters."""
     text = F.regexp_replace(cell.cast("string"), r"[\s%]", "")
     digits = (
         F.when(text.rlike(_whole(US_GROUPED)), _no_commas(text))
         .when(text.rlike(_whole(BR_GROUPED, BR_DECIMAL)), _comma_to_dot(_no_dots(text)))
         .when(text.rlike(r"^-?([0-9]*[.])?[0-9]+$"), text)
     )
-    return F.when(F.length(F.btrim(cell.cast("string"))) <= 64, digits.try_cast(STORED))
+    number = digits.try_cast(STORED)
+    return number if longest is None else F.when(F.length(F.btrim(cell.cast("string"))) <= longest, number)
 
 
 def parse_wide_number(cell: Column) -> Column:
@@ -68,6 +69,13 @@ def parse_wide_number(cell: Column) -> Column:
     return digits.try_cast(STORED)
 
 
+def parse_plain_or_regional(cell: Column) -> Column:
+    """Number of an untouched cell in the plain or the regional notation only: no grouping by commas, percent sign or exponent."""
+    text = F.btrim(cell)
+    digits = F.when(text.rlike(_whole(BR_GROUPED, BR_DECIMAL)), _comma_to_dot(_no_dots(text))).when(text.rlike(_whole(SIMPLE)), text)
+    return digits.try_cast(STORED)
+
+
 def looks_numeric(cell: Column) -> Column:
     """Whether a grid cell reads as a number, in either notation."""
     text = F.replace(strip(cell), F.lit(" "), F.lit(""))

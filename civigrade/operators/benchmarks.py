@@ -47,7 +47,7 @@ def exact_percentiles(df: DataFrame, group: list[str], fractions: dict[str, floa
         F.count(F.lit(1)).alias("_n"),
         F.expr(f"percentile_approx(value, array({probe_list}), {SKETCH_ACCURACY})").alias("_probes"),
     )
-    rows = attach_counted(present, brackets, group, "_n")
+    rows = attach_counted(present, brackets, group)
 
     is_large = F.col("_n") > small_group
     wanted = []
@@ -119,15 +119,22 @@ def profile_benchmarks(published: DataFrame, population: DataFrame) -> DataFrame
     return _ranges(grouped, ["indicator_code", "city_profile"]).filter(F.col("sample_size") >= needed)
 
 
-def automatic_benchmarks(published: DataFrame, population: DataFrame, indicators: DataFrame) -> DataFrame:
-    """A range for every catalog indicator with values and every profile.
+def automatic_benchmarks(
+    published: DataFrame, population: DataFrame, indicators: DataFrame, profiles: list[str] | None = None, codes: list[str] | None = None
+) -> DataFrame:
+    """A range for every catalog indicator with values and every profile, or for the chosen ``codes`` and ``profiles``.
 
     ``origin`` is ``porte`` (own profile), ``geral`` (all municipalities) or null with a ``reason`` when skipped.
     """
+    unknown = [p for p in profiles or [] if p not in PROFILES]
+    if unknown:
+        raise ValueError(f"unknown city profiles: {', '.join(unknown)}")
+    if codes is not None:
+        indicators, published = (df.filter(F.col("indicator_code").isin(*codes)) for df in (indicators, published))
     with_values = indicators.select("indicator_code").join(
         published.select("indicator_code").distinct(), "indicator_code", "left_semi"
     )
-    wanted = with_values.withColumn("city_profile", F.explode(F.array(*[F.lit(p) for p in PROFILES])))
+    wanted = with_values.withColumn("city_profile", F.explode(F.array(*[F.lit(p) for p in profiles or PROFILES])))
     ranges = profile_benchmarks(published, population)
     fields = ["sample_size", "minimum_value", "maximum_value", "reliability"]
     # All profiles of an indicator meet in one row (five at most), so the ranges are computed once.
@@ -180,14 +187,11 @@ def municipality_profiles(population: DataFrame, this_year: int) -> DataFrame:
     )
 
 
-MAXIMUM_YEARS = 40
-
-
-def population_years(rows: DataFrame, population: DataFrame) -> DataFrame:
-    """Distinct years of prepared rows and whether the population of that year is known. At most 40 years."""
+def population_years(rows: DataFrame, population: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct years of prepared rows and whether the population of that year is known; more than ``most`` years are refused."""
     years = rows.select("year").filter(F.col("year").isNotNull()).distinct()
-    if years.limit(MAXIMUM_YEARS + 1).count() > MAXIMUM_YEARS:
-        raise ValueError(f"use at most {MAXIMUM_YEARS} different years when dividing by population")
+    if most is not None and years.limit(most + 1).count() > most:
+        raise ValueError(f"use at most {most} different years when dividing by population")
     known = population.groupBy("year").agg(F.count(F.lit(1)).alias("municipalities"))
     usable = known.filter(F.col("municipalities") >= MINIMUM_POPULATION_ROWS)
     return years.join(usable, "year", "left").withColumn("is_missing", F.col("municipalities").isNull())

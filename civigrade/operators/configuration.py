@@ -25,6 +25,7 @@ INDEX_DIMENSIONS = (
 WEIGHT_PATTERN = "^[0-9]+([.][0-9]{1,2})?$"
 WEIGHT_TOLERANCE = 0.01
 HISTORY_ROWS = 30
+MOST_SNAPSHOT_ROWS = 100_000
 
 # Longest texts of a collection source, and its code and link rules.
 SOURCE_TEXT_LIMITS = {
@@ -33,7 +34,7 @@ SOURCE_TEXT_LIMITS = {
 SOURCE_CODE = "^[A-Z0-9_]{2,30}$"
 INDICATOR_CODE = "^[a-z][a-z0-9_]{2,99}$"
 LINK_FIELDS = ("official_link", "import_url", "manual_url")
-LONGEST_LINK, LONGEST_NEED, MOST_NEEDS = 2000, 200, 10
+LONGEST_LINK = 2000
 LARGEST_MULTIPLIER = 1_000_000
 
 
@@ -140,11 +141,13 @@ def audit_changes(entity: str, before: DataFrame, after: DataFrame, keys: list[s
     )
 
 
-def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
-    """A configuration model as one JSON document. Configuration tables only: the rows of each become one array."""
+def snapshot(tables: dict[str, DataFrame], most_rows: int = MOST_SNAPSHOT_ROWS) -> DataFrame:
+    """A configuration model as one JSON document. Configuration tables only: the rows of each, at most ``most_rows``, become one array."""
+    too_many = F.raise_error(F.lit(f"a snapshot holds at most {most_rows} rows of a table"))
     document = None
     for name, df in tables.items():
-        rows = df.select(F.struct(*df.columns).alias("row")).agg(F.sort_array(F.collect_list("row")).alias(name))
+        limited = df.select(F.struct(*df.columns).alias("row")).limit(most_rows + 1)
+        rows = limited.agg(F.when(F.count(F.lit(1)) > most_rows, too_many).otherwise(F.sort_array(F.collect_list("row"))).alias(name))
         document = rows if document is None else document.withColumn(name, rows.scalar())
     return document.select(F.to_json(F.struct(*tables)).alias("document"))
 
@@ -211,8 +214,11 @@ def check_sources(sources: DataFrame) -> DataFrame:
     return _problems(sources, "code", rules)
 
 
-def clean_sources(sources: DataFrame) -> DataFrame:
-    """Collection sources as they are stored: trimmed texts, defaults, no empty links, at most ten needs."""
+def clean_sources(sources: DataFrame, longest_need: int | None = None, most_needs: int | None = None) -> DataFrame:
+    """Collection sources as they are stored: trimmed texts, defaults, no empty links or needs.
+
+    With ``longest_need`` and ``most_needs`` needs are cut to so many characters and entries.
+    """
     code = source_code(F.col("code"))
     empty = lambda c: F.when(c != "", c)
     fields = {name: _text(name) for name in SOURCE_TEXT_LIMITS}
@@ -222,5 +228,8 @@ def clean_sources(sources: DataFrame) -> DataFrame:
     fields |= {name: empty(_text(name)) for name in LINK_FIELDS}
     fields["import_url"] = F.when(F.col("access") == "link", fields["import_url"])
     needs = F.filter(F.transform("needs", lambda n: strip(n)), lambda n: n != "")
-    needs = F.slice(F.transform(needs, lambda n: F.left(n, F.lit(LONGEST_NEED))), 1, MOST_NEEDS)
+    if longest_need is not None:
+        needs = F.transform(needs, lambda n: F.left(n, F.lit(longest_need)))
+    if most_needs is not None:
+        needs = F.slice(needs, 1, most_needs)
     return sources.select(code.alias("code"), *[c.alias(n) for n, c in fields.items()], "access", needs.alias("needs"))

@@ -59,7 +59,7 @@ def group_by_dimension(indicators: DataFrame, position: str = "position") -> Dat
     label = strip(F.coalesce("dimension", F.lit("")))
     named = indicators.withColumn("dimension_group", F.when(label == "", F.lit("Sem dimensão")).otherwise(label))
     first = named.groupBy("dimension_group").agg(F.min(position).alias("group_position"), F.count(F.lit(1)).alias("_items"))
-    return attach_counted(named, first, ["dimension_group"], "_items").drop("_items")
+    return attach_counted(named, first, ["dimension_group"]).drop("_items")
 
 
 def merge_overrides(base: DataFrame, saved: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def merge_overrides(base: DataFrame, saved: DataFrame) -> DataFrame:
         ).alias("place"),
     )
     first = merged.groupBy("dimension").agg(F.min("place").alias("dimension_place"), F.count(F.lit(1)).alias("_items"))
-    return attach_counted(merged, first, ["dimension"], "_items").drop("_items")
+    return attach_counted(merged, first, ["dimension"]).drop("_items")
 
 
 def in_listing_order(merged: DataFrame) -> DataFrame:

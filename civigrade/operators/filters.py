@@ -14,7 +14,6 @@ from civigrade.functions.text import cell_text, dimension_prefix, merged_field,
 from civigrade.functions.values import filter_number
 
 OPERATORS = ("eq", "neq", "in", "gte", "lte", "contains")
-MAXIMUM_FILTERS = 10
 
 
 @dataclass(frozen=True)
@@ -53,8 +52,6 @@ def apply_filters(
 
     Highest means by number; where no value is a number, the last text in order.
     """
-    if len(filters) > MAXIMUM_FILTERS:
-        raise ValueError(f"at most {MAXIMUM_FILTERS} filters")
     kept = df.filter(reduce(Column.__and__, [predicate(cell(f.field), f) for f in filters], F.lit(True)))
     if not keep_latest_of:
         return kept

@@ -152,7 +152,7 @@ def confirmed_matches(matches: DataFrame, decided: DataFrame) -> DataFrame:
     """``row_number, ibge_code, origin`` of every row whose text has a chosen code."""
     keys = [c for c in ("import_id", "sheet_name") if c in matches.columns]
     named = matches.select(*keys, "row_number", "original_name").filter(F.col("original_name") != "")
-    joined = attach_counted(named, decided.select("original_name", "chosen_code", "origin", "rows"), ["original_name"], "rows", null_keys=False)
+    joined = attach_counted(named, decided.select("original_name", "chosen_code", "origin", "rows"), ["original_name"])
     return joined.filter(F.col("chosen_code").isNotNull()).select(
         *keys, "row_number", F.col("chosen_code").alias("ibge_code"), "origin"
     )
@@ -207,9 +207,10 @@ def apply_matches(staged: DataFrame, confirmed: DataFrame) -> DataFrame:
 def search_catalog(municipalities: DataFrame, search: str, limit: int = 20) -> DataFrame:
     """Catalog rows for a search text: digits are a code prefix, text (two characters at least) part of the name."""
     text = search.strip()
-    page = max(1, min(limit, 50))
+    if limit < 1:
+        raise ValueError("a page needs a positive limit")
     if text.isdigit():
-        return municipalities.filter(F.startswith("ibge_code", F.lit(text))).orderBy("ibge_code").limit(page)
+        return municipalities.filter(F.startswith("ibge_code", F.lit(text))).orderBy("ibge_code").limit(limit)
     parsed = parse_place_name(F.lit(text))
     wanted = place_name_key(F.coalesce(parsed["name"], F.lit(text)))
     name = place_name_key(F.col("name"))
@@ -217,17 +218,17 @@ def search_catalog(municipalities: DataFrame, search: str, limit: int = 20) -> D
     return (
         municipalities.filter(F.coalesce(fits, F.lit(False)))
         .orderBy(F.startswith(name, wanted).desc(), "name", "state", "ibge_code")
-        .limit(page)
+        .limit(limit)
     )
 
 
-def search_registered(municipalities: DataFrame, search: str = "") -> DataFrame:
-    """First 20 municipalities by name whose code or name contains the text."""
+def search_registered(municipalities: DataFrame, search: str = "", limit: int = 20) -> DataFrame:
+    """First municipalities by name whose code or name contains the text."""
     pattern = f"%{search.strip()}%"
     rows = municipalities
     if search.strip():
         rows = rows.filter(F.col("ibge_code").ilike(pattern) | F.col("name").ilike(pattern))
-    return rows.orderBy("name", "ibge_code").limit(20)
+    return rows.orderBy("name", "ibge_code").limit(limit)
 
 
 def register(current: DataFrame, incoming: DataFrame) -> DataFrame:

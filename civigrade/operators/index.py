@@ -117,7 +117,7 @@ def competition_rank(df: DataFrame, score: Column, alias: str = "rank") -> DataF
     ranges = prefix_sums(ranges, [], F.col("_range"), "_range_rows", "_above").drop("_range_rows")
     inside = prefix_sums(placed, ["_range"], F.col("_score").desc(), "_rows", "_before")
     ranks = inside.join(ranges, "_range").select("_score", "_rows", (F.col("_above") + F.col("_before") + 1).cast("long").alias(alias))
-    return attach_counted(rows, ranks, ["_score"], "_rows", null_keys=False).drop("_score", "_rows")
+    return attach_counted(rows, ranks, ["_score"], null_keys=False).drop("_score", "_rows")
 
 
 def ranking_page(
@@ -280,6 +280,6 @@ def best_in_row(df: DataFrame, row: list[str], value: str = "score", alias: str
     stats = df.groupBy(*row).agg(
         F.max(value).alias("_top"), F.min(value).alias("_low"), F.count(value).alias("_present"), F.count(F.lit(1)).alias("_n")
     )
-    rows = attach_counted(df, stats, row, "_n")
+    rows = attach_counted(df, stats, row)
     flag = (F.col("_present") >= 2) & (F.col("_low") < F.col("_top")) & (F.col(value) == F.col("_top"))
     return rows.withColumn(alias, F.coalesce(flag, F.lit(False))).drop("_top", "_low", "_present", "_n")

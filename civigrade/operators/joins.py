@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEY_ROWS = 1_000_000
 NUMBERING_BLOCK = 65_536
 
 
@@ -22,44 +20,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a table was measured to have at most ``rows`` rows and ``size`` bytes of JSON text.
-
-    Reads no more than ``rows + 1`` rows, so the probe of a large table is cheap too.
-    """
-    measured = df.limit(rows + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size"),
-    ).first()
-    return measured["n"] <= rows and (measured["size"] or 0) <= size
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a table by the optimiser's statistics (file sizes for stored tables); nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """Mark a catalog for broadcast if it was measured small enough.
+def lookup(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a catalog for broadcast if the plan's statistics bound it by ``size`` bytes.
 
-    Beyond the bound the join shuffles and adaptive execution splits the partitions of hot keys.
-    For stored tables: measuring a table derived from facts would run its whole plan.
+    Beyond it, and for tables whose size the plan cannot bound, the join shuffles; adaptive execution then broadcasts what turns out
+    small and splits the partitions of hot keys.
     """
-    return F.broadcast(df) if fits_broadcast(df) else df
+    return F.broadcast(df) if planned_bytes(df) <= size else df
 
 
-def attach_counted(
-    df: DataFrame, counted: DataFrame, keys: list[str], count: str, hot_rows: int | None = None, null_keys: bool = True
-) -> DataFrame:
-    """Join rows with a table that has one row for every key of ``df`` and tells how many rows of ``df`` the key has.
+def attach_counted(df: DataFrame, counted: DataFrame, keys: list[str], null_keys: bool = True) -> DataFrame:
+    """Join rows with a table that has one row for every key of ``df``.
 
-    Keys of more than ``hot_rows`` rows number at most ``rows / hot_rows``: they are broadcast and their rows
-    are not moved at all. What is left to shuffle has no large key. Without hot keys the first part is
-    empty, and adaptive execution drops it. Where no key is null, say so: it saves work. ``df`` is read for
-    both parts: pass a stored table or one that ends in a shuffle.
+    A key may have a third of all rows: its partner is a single row, so adaptive execution splits the rows of its partition. Where no
+    key is null, say so: it saves work.
     """
-    is_hot = F.col(count) > (HOT_KEY_ROWS if hot_rows is None else hot_rows)
     values = [c for c in counted.columns if c not in keys]
     partners = counted.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *values)
-    hot = F.broadcast(partners.filter(is_hot))
-    same = _matches(keys, "_key_", null_keys)
-    moved = df.join(F.broadcast(hot.select(*[f"_key_{k}" for k in keys])), same, "left_anti").join(partners.filter(~is_hot), same)
-    return df.join(hot, same).unionByName(moved).select(*df.columns, *values)
+    return df.join(partners, _matches(keys, "_key_", null_keys)).select(*df.columns, *values)
 
 
 def _matches(keys: list[str], prefix: str, null_keys: bool) -> Column:

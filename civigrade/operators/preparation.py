@@ -16,7 +16,6 @@ from civigrade.operators.geography import resolve_codes
 from civigrade.operators.joins import first_per_key, lookup
 
 APPROVAL_CODE_FIELD = "approval_municipality_ibge_code"
-MAXIMUM_INDICATORS = 20
 PROBLEM_SAMPLES = 5
 PREVIEW_EXAMPLES = 10
 
@@ -55,6 +54,8 @@ class IndicatorMapping:
             raise ValueError(f"{self.indicator_code}: the multiplier must be above 0 and at most 1,000,000")
         if not self.unit.strip():
             raise ValueError(f"{self.indicator_code}: give a unit")
+        if self.value_min is not None and self.value_max is not None and not self.value_min < self.value_max:
+            raise ValueError(f"{self.indicator_code}: the lower limit must be below the upper one")
 
     @property
     def prepared_field(self) -> str:
@@ -98,13 +99,23 @@ class IndicatorMapping:
         return F.concat(numerator, F.lit(" / população "), year, F.lit(": "), people)
 
 
-def check_mappings(mappings: list[IndicatorMapping]) -> None:
-    if not 1 <= len(mappings) <= MAXIMUM_INDICATORS:
-        raise ValueError(f"choose 1 to {MAXIMUM_INDICATORS} indicators")
+def check_mappings(mappings: list[IndicatorMapping], most: int | None = None) -> None:
+    """Refuse an empty or repeated choice, and one of more than ``most`` indicators where a limit is wanted."""
+    if not mappings or (most is not None and len(mappings) > most):
+        raise ValueError("choose at least one indicator" if not mappings else f"choose at most {most} indicators")
     if len({m.indicator_code for m in mappings}) != len(mappings):
         raise ValueError("choose each indicator only once")
 
 
+def mapping_problems(mappings: list[IndicatorMapping], indicators: DataFrame) -> DataFrame:
+    """Why mappings cannot be approved: their indicator (``indicator_code, active``) is unknown or not active. No rows when all can."""
+    spark = indicators.sparkSession
+    wanted = spark.createDataFrame([(m.indicator_code,) for m in mappings], "indicator_code string")
+    known = indicators.groupBy("indicator_code").agg(F.bool_or(F.coalesce("active", F.lit(False))).alias("_active"))
+    problem = F.when(F.col("_active").isNull(), F.lit("unknown indicator")).when(~F.col("_active"), F.lit("inactive indicator"))
+    return wanted.join(known, "indicator_code", "left").select("indicator_code", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def prepare_places_and_periods(
     staged: DataFrame, selection: PeriodSelection, municipality_field: str, municipalities: DataFrame
 ) -> DataFrame:

@@ -35,8 +35,7 @@ POWER_INDICATOR = ("potencia_geracao_instalada", "Potência de geração instala
 
 def normalise_columns(df: DataFrame) -> DataFrame:
     """Rename the columns of a table to canonical, unique names; code columns become text without fraction."""
-    canonical = [naming.column_name_python(c) for c in df.columns]
-    names = naming.unique_names(["" if c.startswith("__unnamed__") else c for c in canonical])
+    names = naming.canonical_names(df.sparkSession, df.columns)
     renamed = df.toDF(*names)
     codes = [c for c in names if _is_code(c)]
     for name in codes:

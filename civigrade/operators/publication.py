@@ -25,8 +25,6 @@ MESSAGES = {
     "duplicate": "Mais de uma linha deste arquivo informa valor para o mesmo município e período; nenhuma delas foi gravada.",
     "conflict": "Outra aba deste arquivo já informa um valor para o mesmo município e período; escolha uma única linha de origem.",
 }
-LONGEST_VALUE = 64
-
 OBSERVATION = (
     "import_id string, indicator_code string, municipality_code string, reference_year int, reference_period date, "
     "value decimal(38,10), unit string, source_sheet string, source_row_number long, is_monthly boolean, superseded_at timestamp"
@@ -51,19 +49,23 @@ class FieldNames:
 
 
 def text_candidates(
-    staged: DataFrame, municipalities: DataFrame, fields: FieldNames, indicator_code: str, unit: str
+    staged: DataFrame, municipalities: DataFrame, fields: FieldNames, indicator_code: str, unit: str, longest_value: int | None = None
 ) -> DataFrame:
-    """Candidates from the prepared text cells of staged rows, checked against the catalog."""
+    """Candidates from the prepared text cells of staged rows, checked against the catalog.
+
+    With ``longest_value`` longer texts are no numbers.
+    """
     cell = lambda name: merged_field(F.col("raw_row"), F.col("normalized_row"), name)
     year_text = cell_text(cell(fields.year))
     value_text = cell_text(cell(fields.value))
     period_text = cell("reference_period")
     year = F.regexp_extract(year_text, r"^([0-9]{4})([.]0+)?$", 1).try_cast("int")
+    short_enough = F.lit(True) if longest_value is None else F.length(value_text) <= longest_value
     checked = staged.select(
         "import_id", F.lit(indicator_code).alias("indicator_code"), "sheet_name", "row_number",
         cell_text(cell(fields.municipality)).alias("municipality_code"),
         F.when(year.between(FIRST_YEAR, LAST_YEAR), year).alias("reference_year"),
-        F.when((F.length(value_text) <= LONGEST_VALUE) & value_text.rlike(f"^{SIMPLE}$"), value_text.try_cast(STORED)).alias("value"),
+        F.when(short_enough & value_text.rlike(f"^{SIMPLE}$"), value_text.try_cast(STORED)).alias("value"),
         F.when(period_text.rlike(MONTH_START), period_text.try_cast("date")).alias("month_period"),
         F.lit(unit).alias("unit"),
     )
@@ -138,7 +140,7 @@ def _duplicate_counts(candidates: DataFrame, by_sheet: bool) -> DataFrame:
 
 
 def _judge(candidates: DataFrame, counts: DataFrame, by_sheet: bool) -> DataFrame:
-    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), "duplicate_count", null_keys=by_sheet)
+    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), null_keys=by_sheet)
     invalid = candidates.filter(~F.col("is_valid")).withColumn("duplicate_count", F.lit(0).cast("long"))
     return judged.unionByName(invalid, allowMissingColumns=True)
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civigrade.functions.naming import CODE_COLUMN, IDENTITY_COLUMNS
+from civigrade.functions.periods import title_period
 from civigrade.functions.text import cell_text, drop_fields, merged_field, put_fields
-from civigrade.functions.values import number_text, parse_number, parse_wide_number
+from civigrade.functions.values import number_text, parse_number, parse_plain_or_regional, parse_wide_number
 from civigrade.operators.geography import resolve_codes
 from civigrade.operators.joins import number_rows
 
@@ -40,9 +41,21 @@ def identity_fields(columns: list[str], municipality_field: str) -> list[str]:
     return list(dict.fromkeys([municipality_field, *known]))
 
 
-def target_sheet(sheet: str, measure_label: str) -> str:
-    label = " ".join(measure_label.split())[:60] or "medida"
-    return f"{sheet} · {label} por período"
+def target_sheet(measure_label: str, longest_label: int | None = None) -> str:
+    """What is added to the name of a sheet for the long form of a measure; a label above ``longest_label`` characters is cut."""
+    label = " ".join(measure_label.split())[:longest_label] or "medida"
+    return f" · {label} por período"
+
+
+def period_columns(spark: SparkSession, names: list[str]) -> list[PeriodColumn]:
+    """Period columns from their titles; titles without a period are refused. One row of expressions, no job."""
+    if not names:
+        return []
+    periods = spark.range(1).select(F.array(*[title_period(F.lit(name)) for name in names]).alias("p")).first()["p"]
+    missing = [name for name, period in zip(names, periods) if period is None]
+    if missing:
+        raise ValueError(f"no period in the titles {', '.join(missing)}")
+    return [PeriodColumn(name, period["year"], period["month"]) for name, period in zip(names, periods)]
 
 
 def long_periods(staged: DataFrame, columns: list[PeriodColumn], municipality_field: str) -> DataFrame:
@@ -67,7 +80,7 @@ def long_periods(staged: DataFrame, columns: list[PeriodColumn], municipality_fi
 
 def expand_periods(
     staged: DataFrame, columns: list[PeriodColumn], municipality_field: str, municipalities: DataFrame,
-    identity: list[str], measure_label: str,
+    identity: list[str], measure_label: str, longest_label: int | None = None,
 ) -> DataFrame:
     """Derived sheet with one row per source row and period; cells that do not read as numbers stay without value."""
     expanded = long_periods(staged, columns, municipality_field)
@@ -95,8 +108,7 @@ def expand_periods(
         value.alias("value"), raw.alias("raw_row"), prepared.alias("normalized_row"),
     )
     numbered = number_rows(rows, ["import_id", "sheet_name"], "source_row_number", ["period_position"])
-    label = " ".join(measure_label.split())[:60] or "medida"
-    return numbered.withColumn("sheet_name", F.concat("sheet_name", F.lit(f" · {label} por período")))
+    return numbered.withColumn("sheet_name", F.concat("sheet_name", F.lit(target_sheet(measure_label, longest_label))))
 
 
 def expansion_counts(staged: DataFrame, expanded: DataFrame, columns: int) -> DataFrame:
@@ -117,11 +129,14 @@ def expansion_counts(staged: DataFrame, expanded: DataFrame, columns: int) -> Da
 def prepare_wide_column(staged: DataFrame, column: PeriodColumn, municipality_field: str, reset: bool = False) -> DataFrame:
     """Prepare every row from one period column; ``is_prepared`` tells whether code and value were readable.
 
-    Rows that cannot be read lose earlier prepared fields; with ``reset`` every row loses all of them first.
+    Rows that cannot be read lose earlier prepared fields. With ``reset`` every row loses all of them first, and codes and values are
+    those of the source row as it is, in the plain or regional notation only.
     """
     code = cell_text(_cell(municipality_field))
     value = parse_number(_cell(column.field))
     if reset:
+        code = F.try_element_at("raw_row", F.lit(municipality_field))
+        value = parse_plain_or_regional(F.try_element_at("raw_row", F.lit(column.field)))
         base = F.expr("map()").cast("map<string,string>")
     else:
         base = drop_fields(F.coalesce("normalized_row", F.expr("map()").cast("map<string,string>")), PREPARED_FIELDS)
@@ -133,7 +148,7 @@ def prepare_wide_column(staged: DataFrame, column: PeriodColumn, municipality_fi
     }
     if column.month:
         fields["reference_period"] = F.lit(column.label)
-    is_prepared = code.rlike("^[0-9]{7}$") & value.isNotNull()
+    is_prepared = F.coalesce(code.rlike("^[0-9]{7}$"), F.lit(False)) & value.isNotNull()
     return (
         staged.withColumn("is_prepared", is_prepared)
         .withColumn("value", F.when(is_prepared, value))

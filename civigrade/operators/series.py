@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.functions.periods import period_label
@@ -26,6 +26,11 @@ def indicator_series(published: DataFrame, municipality_code: str, indicator_cod
     ).orderBy("reference_period", "id")
 
 
+def has_number(value: Column) -> Column:
+    """Whether a value is there and finite."""
+    return F.coalesce(F.abs(value.cast("double")) < F.lit(float("inf")), F.lit(False))
+
+
 def series_granularity(published: DataFrame, keys: list[str]) -> DataFrame:
     """Whether a series is monthly: a point says so, or no point says anything and one is not in January."""
     flagged = F.col("period_granularity")
@@ -40,9 +45,9 @@ def series_granularity(published: DataFrame, keys: list[str]) -> DataFrame:
 
 def labelled_points(published: DataFrame, keys: list[str]) -> DataFrame:
     """Points with a value and a label at the granularity of their series."""
-    points = attach_counted(published, series_granularity(published, keys), keys, "points").drop("points")
+    points = attach_counted(published, series_granularity(published, keys), keys).drop("points")
     labelled = points.withColumn("label", period_label(F.col("reference_period"), F.col("is_monthly")))
-    return labelled.filter(F.col("value").isNotNull())
+    return labelled.filter(has_number(F.col("value")))
 
 
 def series_summary(published: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +58,7 @@ def series_summary(published: DataFrame, keys: list[str]) -> DataFrame:
     value, period = F.col("value"), F.col("reference_period")
     at = F.struct(period, F.col("id"))
     late = F.struct(period, F.col("id"))
-    points = published.filter(value.isNotNull())
+    points = published.filter(has_number(value))
     low = F.min(F.struct(value.alias("value"), period.alias("period")))
     high = F.min(F.struct((-value).alias("value"), period.alias("period")))
     first, last = F.min_by(value, at), F.max_by(value, late)
@@ -72,7 +77,9 @@ def series_summary(published: DataFrame, keys: list[str]) -> DataFrame:
 
 def serving_page(rows: DataFrame, municipalities: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
     """A page of serving rows, newest period first, with the municipality as ``name (state)``."""
-    page = rows.orderBy(F.col("reference_period").desc(), F.col("id").asc()).offset(max(0, offset)).limit(max(1, min(limit, 1000)))
+    if limit < 1 or offset < 0:
+        raise ValueError("a page needs a positive limit and an offset that is not negative")
+    page = rows.orderBy(F.col("reference_period").desc(), F.col("id").asc()).offset(offset).limit(limit)
     named = with_place_names(page, municipalities)
     label = F.when(F.col("state").isNotNull(), F.concat("name", F.lit(" ("), "state", F.lit(")")))
     return named.withColumn("municipality_name", label).drop("name", "state")

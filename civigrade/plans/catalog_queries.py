@@ -12,9 +12,10 @@ query = Registry()
 
 
 def _coverage_rows(spark, folder):
-    """Serving rows by part: untaxed items only, so that some parts have no data. Two spellings of a code merge."""
-    line = model.table(spark, folder, "lineitem").filter(F.col("l_tax") == 0)
-    code = F.concat(F.when(F.col("l_linestatus") == "F", F.lit("p")).otherwise(F.lit("P")), F.col("l_partkey").cast("string"))
+    """Serving rows by part: taxed items have indicators of their own, so that some parts have no data. Two spellings of a code merge."""
+    line = model.table(spark, folder, "lineitem")
+    letter = F.when(F.col("l_tax") != 0, F.lit("q")).when(F.col("l_linestatus") == "F", F.lit("p")).otherwise(F.lit("P"))
+    code = F.concat(letter, F.col("l_partkey").cast("string"))
     return line.select(
         code.alias("indicator_code"), model.municipality_code(F.col("l_suppkey")).alias("municipality_ibge_code"),
         F.trunc("l_shipdate", "month").alias("reference_period"),
@@ -22,9 +23,9 @@ def _coverage_rows(spark, folder):
 
 
 COVERAGE_SQL = """coverage AS (
-  SELECT CASE l_linestatus WHEN 'F' THEN 'p' ELSE 'P' END || l_partkey AS indicator_code, count(DISTINCT l_suppkey) AS municipalities,
+  SELECT CASE WHEN l_tax <> 0 THEN 'q' WHEN l_linestatus = 'F' THEN 'p' ELSE 'P' END || l_partkey AS indicator_code, count(DISTINCT l_suppkey) AS municipalities,
     count(*) AS value_count, min(date_trunc('month', l_shipdate)) AS first_p, max(date_trunc('month', l_shipdate)) AS last_p
-  FROM lineitem WHERE l_tax = 0 GROUP BY 1),
+  FROM lineitem GROUP BY 1),
 by_code AS (
   SELECT upper(indicator_code) AS short_code, max(municipalities) AS municipalities, CAST(sum(value_count) AS BIGINT) AS value_count,
     min(first_p) AS first_p, max(last_p) AS last_p FROM coverage GROUP BY 1)"""
@@ -192,9 +193,10 @@ def _ranges(spark, folder):
 
 
 def _part_indicators(spark, folder):
-    part = model.table(spark, folder, "part").filter(F.col("p_size") != 11)
+    part = model.table(spark, folder, "part")
+    letter = F.when(F.col("p_size") == 11, F.lit("z")).otherwise(F.lit("p"))  # ranges of these parts have no indicator
     return part.select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("indicator_code"), (F.col("p_size") != 13).alias("active"), F.lit(True).alias("in_index")
+        F.concat(letter, F.col("p_partkey").cast("string")).alias("indicator_code"), (F.col("p_size") != 13).alias("active"), F.lit(True).alias("in_index")
     )
 
 
@@ -212,13 +214,14 @@ def check_benchmarks(spark, folder):
 @query(
     "c2_save_benchmarks",
     """SELECT 'p' || p_partkey AS indicator_code, 'medio' AS city_profile, CASE WHEN p_size IN (7, 9, 11, 13) THEN 5.0 ELSE p_retailprice END AS maximum_value
-FROM part WHERE p_size NOT IN (7, 9, 11, 13) OR p_type = 'ECONOMY'""",
+FROM part WHERE p_size NOT IN (7, 9, 11, 13) OR p_type = 'ECONOMY'
+UNION ALL SELECT 'y' || p_partkey, 'medio', 5.0 FROM part WHERE p_type <> 'ECONOMY'""",
 )
 def save_benchmarks(spark, folder):
     proposed = _ranges(spark, folder)
-    economy = model.table(spark, folder, "part").filter(F.col("p_type") == "ECONOMY")
-    current = economy.select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("indicator_code"), F.lit("medio").alias("city_profile"),
+    letter = F.when(F.col("p_type") == "ECONOMY", F.lit("p")).otherwise(F.lit("y"))
+    current = model.table(spark, folder, "part").select(
+        F.concat(letter, F.col("p_partkey").cast("string")).alias("indicator_code"), F.lit("medio").alias("city_profile"),
         F.lit(0.0).alias("minimum_value"), F.lit(5.0).alias("maximum_value"),
     )
     problems = configuration.check_benchmarks(proposed, _part_indicators(spark, folder))
@@ -227,8 +230,8 @@ def save_benchmarks(spark, folder):
 
 @query(
     "c3_configuration_view",
-    """SELECT 'p' || p_partkey AS indicator_code, CASE WHEN p_size <> 9 THEN CASE WHEN p_size = 7 THEN 1.0 ELSE p_retailprice END END AS maximum_value
-FROM part WHERE p_size <> 11""",
+    """SELECT CASE p_size WHEN 11 THEN 'z' ELSE 'p' END || p_partkey AS indicator_code,
+  CASE WHEN p_size NOT IN (9, 11) THEN CASE WHEN p_size = 7 THEN 1.0 ELSE p_retailprice END END AS maximum_value FROM part""",
 )
 def configuration_view(spark, folder):
     indicators, ranges = _part_indicators(spark, folder), _ranges(spark, folder)
@@ -238,20 +241,23 @@ def configuration_view(spark, folder):
 
 
 def _history(spark, folder):
-    """Changes between two states of the suppliers: poor ones are gone, some are renamed, nations' names are new."""
-    supplier = model.table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    before = supplier.filter(F.col("s_acctbal") < 9000)
-    after = supplier.filter(F.col("s_acctbal") > 1000).withColumn(
-        "s_name", F.when(F.col("s_acctbal") > 5000, F.upper("s_name")).otherwise(F.col("s_name"))
+    """Changes between two states of the suppliers: the poorest and the richest change their key, some are renamed."""
+    supplier, key, balance = model.table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal"), F.col("s_suppkey"), F.col("s_acctbal")
+    before = supplier.withColumn("s_suppkey", F.when(balance >= 9000, -key - 1).otherwise(key))
+    after = supplier.withColumn("s_suppkey", F.when(balance <= 1000, key + 1_000_000_000).otherwise(key)).withColumn(
+        "s_name", F.when(balance > 5000, F.upper("s_name")).otherwise(F.col("s_name"))
     )
     now = F.timestamp_seconds(F.lit(1_700_000_000))
     return configuration.audit_changes("supplier", before, after, ["s_suppkey"], now)
 
 
 CHANGES_SQL = """changes AS (
-  SELECT CAST(s_suppkey AS VARCHAR) AS entity_key, CASE WHEN s_acctbal <= 1000 THEN 'delete' WHEN s_acctbal >= 9000 THEN 'insert' ELSE 'update' END AS operation,
-    CASE WHEN s_acctbal < 9000 THEN s_name END AS old_name, CASE WHEN s_acctbal > 5000 THEN upper(s_name) WHEN s_acctbal > 1000 THEN s_name END AS new_name
-  FROM supplier WHERE s_acctbal <= 1000 OR s_acctbal > 5000)"""
+  SELECT CAST(s_suppkey AS VARCHAR) AS entity_key, 'update' AS operation, s_name AS old_name, upper(s_name) AS new_name
+  FROM supplier WHERE s_acctbal > 5000 AND s_acctbal < 9000
+  UNION ALL SELECT CAST(CASE WHEN s_acctbal >= 9000 THEN -s_suppkey - 1 ELSE s_suppkey END AS VARCHAR), 'delete', s_name, NULL
+  FROM supplier WHERE s_acctbal <= 1000 OR s_acctbal >= 9000
+  UNION ALL SELECT CAST(CASE WHEN s_acctbal <= 1000 THEN s_suppkey + 1000000000 ELSE s_suppkey END AS VARCHAR), 'insert', NULL,
+    CASE WHEN s_acctbal >= 9000 THEN upper(s_name) ELSE s_name END FROM supplier WHERE s_acctbal <= 1000 OR s_acctbal >= 9000)"""
 
 
 @query("c4_audit_changes", f"WITH {CHANGES_SQL} SELECT * FROM changes")
@@ -267,15 +273,17 @@ def recent_changes(spark, folder):
 
 @query(
     "c5_snapshot",
-    """SELECT count(*) AS regions, (SELECT count(*) FROM nation) AS nations, (SELECT min(n_name) FROM nation WHERE n_nationkey = 0) AS first_nation FROM region""",
+    """SELECT 'region' AS part, r_regionkey AS key, r_name AS name, CAST(NULL AS BIGINT) AS region FROM region
+UNION ALL SELECT 'nation', n_nationkey, n_name, n_regionkey FROM nation""",
 )
 def snapshot(spark, folder):
     tables = {"regions": model.table(spark, folder, "region"), "nations": model.table(spark, folder, "nation")}
-    parsed = F.from_json("document", "regions array<struct<r_name:string>>, nations array<struct<n_nationkey:int,n_name:string>>")
-    return configuration.snapshot(tables).select(parsed.alias("d")).select(
-        F.size("d.regions").cast("long").alias("regions"), F.size("d.nations").cast("long").alias("nations"),
-        F.col("d.nations")[0]["n_name"].alias("first_nation"),
-    )
+    regions, nations = "regions array<struct<r_regionkey:long,r_name:string>>", "nations array<struct<n_nationkey:long,n_name:string,n_regionkey:long>>"
+    parsed = configuration.snapshot(tables).select(F.from_json("document", f"{regions}, {nations}").alias("d"))
+    none = F.lit(None).cast("long")
+    first = parsed.select(F.inline("d.regions")).select(F.lit("region").alias("part"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), none.alias("region"))
+    second = parsed.select(F.inline("d.nations")).select(F.lit("nation"), "n_nationkey", "n_name", "n_regionkey")
+    return first.union(second)
 
 
 @query(

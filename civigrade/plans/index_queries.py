@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civigrade.functions.periods import PeriodSelection
@@ -440,50 +441,79 @@ def population_rows(spark, folder):
     return geography.population_from_rows(raw.unionByName(base.select(F.left("ibge_code", F.lit(2)).alias("D1C"), F.lit("7").alias("V"))))
 
 
+def _number_sql(value: str) -> str:
+    """A score of six places as a report prints it: decimal comma, no zeros at the end."""
+    text = f"regexp_replace(regexp_replace(printf('%.6f', {value}), '0+$', ''), '[.]$', '')"
+    return f"coalesce(replace({text}, '.', ','), '')"
+
+
+def _six_places(df, *columns):
+    """Scores as the SQL twin can print them; the report itself prints all places."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 @query(
     "s11_ranking_report",
-    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
-SELECT rank || ';' || municipality_ibge_code || ';' || name || ';' || state || ';' || maturity || ';' || scored_indicators || ';' || observed_indicators AS line FROM r""",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY eco_score DESC) AS rank FROM ranked WHERE eco_score IS NOT NULL)
+SELECT rank || ';' || municipality_ibge_code || ';' || name || ';' || coalesce(state, '') || ';' || {_number_sql("eco_score")} || ';' || {_number_sql("overall_score")} || ';'
+  || maturity || ';' || {_number_sql("eco_score")} || ';' || {_number_sql("pes_score")} || ';' || ';' || scored_indicators || ';' || observed_indicators AS line FROM r
+UNION ALL SELECT 'Posição;Código IBGE;Município;UF;Nota Economia;Nota geral;Nível de maturidade;Nota Economia;Nota Pessoas;Nota Governança;Indicadores com nota;Indicadores com valor'""",
 )
 def ranking_report(spark, folder):
-    ranked = index.competition_rank(_ranked(spark, folder), F.col("overall_score"))
-    report = reports.ranking_report(ranked, [(code, name) for code, name, *_ in model.DIMENSIONS])
-    kept = report.select(*[c for c in report.columns if not c.startswith("Nota")])
-    return reports.report_lines(kept)
+    """The whole report of the ranking by one dimension, with its header."""
+    ranked = index.ranking_matches(_ranked(spark, folder), "eco")
+    shown = _six_places(ranked, "score", "overall_score").withColumn("dimension_scores", F.transform_values("dimension_scores", lambda _, v: F.round(v, 6)))
+    report = reports.ranking_report(shown, [(code, name) for code, name, *_ in model.DIMENSIONS], "Economia")
+    header = spark.createDataFrame([(reports.header_line(report.columns),)], "line string")
+    return reports.report_lines(report.toDF(*[f"c{i}" for i in range(len(report.columns))])).unionByName(header)
 
 
 @query(
     "s11_series_report",
     f"""WITH {model.PUBLISHED_SQL}, {model.MUNICIPALITY_SQL}
 SELECT municipality_ibge_code || ';' || coalesce(name, municipality_ibge_code) || ';' || coalesce(state, '') || ';' || indicator_name || ';' || CAST(reference_period AS VARCHAR) || ';'
-  || coalesce(regexp_replace(regexp_replace(replace(printf('%.2f', value), '.', ','), '0$', ''), ',0$', ''), '') || ';R$;' || source_name || ';' || import_id AS line
+  || coalesce(regexp_replace(regexp_replace(replace(printf('%.2f', value), '.', ','), '0$', ''), ',0$', ''), '') || ';R$;' || source_name || ';Pedidos ' || import_id AS line
 FROM published LEFT JOIN municipality ON ibge_code = municipality_ibge_code""",
 )
 def series_report(spark, folder):
     named = index.with_place_names(model.published(spark, folder), model.municipality(spark, folder))
-    return reports.report_lines(reports.series_report(named))
+    return reports.report_lines(reports.series_report(named.withColumn("import_title", F.concat(F.lit("Pedidos "), "import_id"))))
+
+
+def _triple_sql(value: str, period: str, score: str) -> str:
+    own = lambda column, code: f"max({column}) FILTER (WHERE municipality_ibge_code = '{code}')"
+    parts = []
+    for code in CODES[:2]:
+        cents = f"regexp_replace(regexp_replace(printf('%.2f', {own(value, code)}), '0+$', ''), '[.]$', '')"
+        parts += [f"coalesce(replace({cents}, '.', ','), '')", f"coalesce(CAST({own(period, code)} AS VARCHAR), '')", _number_sql(own(score, code))]
+    return " || ';' || ".join(parts)
 
 
 @query(
     "s11_comparison_report",
-    f"""WITH {DETAIL_SQL}, chosen AS (SELECT * FROM detail WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}'))
-SELECT dimension_code AS dimension, indicator_code AS indicator, max(value) FILTER (WHERE municipality_ibge_code = '{CODES[0]}') AS first_value,
-  round(max(score) FILTER (WHERE municipality_ibge_code = '{CODES[1]}'), 6) AS second_score FROM chosen GROUP BY 1, 2
-UNION ALL SELECT dimension_code, 'Nota da dimensão', NULL, round(max(dimension_score) FILTER (WHERE municipality_ibge_code = '{CODES[1]}'), 6)
-FROM summary WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}') GROUP BY 1
-UNION ALL SELECT 'Nota geral', '', NULL, (SELECT round(overall_score, 6) FROM overall WHERE municipality_ibge_code = '{CODES[1]}')""",
+    f"""WITH {DETAIL_SQL}, chosen AS (SELECT * FROM detail WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}')),
+lines AS (
+  SELECT 1 AS a, display_order AS b, indicator_name AS c, dimension_name || ';' || indicator_name || ';R$;' || {_triple_sql("value", "reference_period", "score")} AS line
+  FROM chosen JOIN dimensions USING (dimension_code) JOIN indicators USING (indicator_code) GROUP BY dimension_name, display_order, indicator_name
+  UNION ALL SELECT 1, display_order, '', dimension_name || ';Nota da dimensão;;' || {_triple_sql("CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)", "dimension_score")}
+  FROM summary JOIN dimensions USING (dimension_code) WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}') GROUP BY dimension_name, display_order
+  UNION ALL SELECT 0, 0, '', 'Nota geral;;;' || {_triple_sql("CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)", "overall_score")}
+  FROM overall WHERE municipality_ibge_code IN ('{CODES[0]}', '{CODES[1]}'))
+SELECT row_number() OVER (ORDER BY a, b, c) AS place, line FROM lines""",
 )
 def comparison_report(spark, folder):
+    """The whole lines of the report, in their order."""
     codes = CODES[:2]
-    detail = _detail(spark, folder, codes).withColumn("unit", F.lit("R$"))
+    names = model.indicators(spark).select("indicator_code", "indicator_name")
+    detail = _detail(spark, folder, codes).drop("indicator_name").join(names, "indicator_code").withColumn("unit", F.lit("R$"))
     summary = index.diagnosis_summary(detail, model.dimensions(spark))
     overall = index.overall_scores(summary, model.dimensions(spark))
-    report = reports.comparison_report(detail, summary, overall, codes, {})
-    name = F.when(F.col("_3") != "", F.col("_3")).otherwise(F.col("Indicador"))
-    return report.select(
-        F.col("Dimensão").alias("dimension"), name.alias("indicator"), F.col(f"Valor {codes[0]}").alias("first_value"),
-        F.round(f"Nota {codes[1]}", 6).alias("second_score"),
-    )
+    shown = [_six_places(df, c) for df, c in ((detail, "score"), (summary, "dimension_score"), (overall, "overall_score"))]
+    report = reports.comparison_report(*shown, model.dimensions(spark), codes, {})
+    order = [F.row_number().over(Window.orderBy("_1", "_2", "_3", "_4")).cast("long").alias("place")]  # the lines of one report
+    placed = report.select(*order, *[c for c in report.columns if not c.startswith("_")])
+    lines = reports.report_lines(placed).select(F.split("line", ";", 2).alias("p"))
+    return lines.select(F.col("p")[0].cast("long").alias("place"), F.col("p")[1].alias("line"))
 
 
 _RANKED_PART = SCORED_SQL[SCORED_SQL.index("catalog AS (") :]

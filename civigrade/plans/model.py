@@ -39,12 +39,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str, str], str] = {}
+
+
+def _version(spark: SparkSession, folder: str) -> str:
+    """Size and times of the input files, so that changed tables are not answered from older ones."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
 
 def stored(spark: SparkSession, folder: str, label: str, write) -> str:
     """Path of a table that a service would keep, written once per application to the shared folder."""
-    key = (spark.sparkContext.applicationId, folder, label)
+    key = (spark.sparkContext.applicationId, folder, label, _version(spark, folder))
     if key not in _stored:
         path = scratch_folder(spark, label)
         write(path)
@@ -53,8 +60,8 @@ def stored(spark: SparkSession, folder: str, label: str, write) -> str:
 
 
 def municipality_code(key):
-    """Seven-digit code; the six-digit prefix is unique per code. Keys beyond a million share codes."""
-    return F.concat(F.lpad((key % 1_000_000).cast("string"), 6, "0"), (key % 10).cast("string"))
+    """Code of a key: its digits, six at least, and its last digit again. Keys below a million get the seven digits of a municipality."""
+    return F.concat(F.format_string("%06d", key), (key % 10).cast("string"))
 
 
 def municipality(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +80,7 @@ def _municipality_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MUNICIPALITY_SQL = """municipality AS (
-  SELECT lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || CAST(c_custkey % 10 AS VARCHAR) AS ibge_code,
+  SELECT printf('%06d', c_custkey) || CAST(c_custkey % 10 AS VARCHAR) AS ibge_code,
          min_by(c_name, c_custkey) AS name, min_by(n_name, c_custkey) AS state
   FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)"""
 
@@ -92,7 +99,7 @@ def _population_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 POPULATION_SQL = """population AS (
-  SELECT lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || CAST(c_custkey % 10 AS VARCHAR) AS ibge_code,
+  SELECT printf('%06d', c_custkey) || CAST(c_custkey % 10 AS VARCHAR) AS ibge_code,
          CAST(max(floor(abs(c_acctbal) * 150)) AS BIGINT) AS inhabitants
   FROM customer GROUP BY 1)"""
 
@@ -160,7 +167,7 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
 PUBLISHED_SQL = f"""{INDICATORS_SQL},
 published AS (
   SELECT o_orderkey AS id, o_orderstatus AS import_id,
-         lpad(CAST(o_custkey % 1000000 AS VARCHAR), 6, '0') || CAST(o_custkey % 10 AS VARCHAR) AS municipality_ibge_code,
+         printf('%06d', o_custkey) || CAST(o_custkey % 10 AS VARCHAR) AS municipality_ibge_code,
          indicator_code, indicator_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS reference_period,
          CASE WHEN o_totalprice >= {SMALLEST_VALUE} THEN o_totalprice END AS value,
          'R$' AS unit, 'source ' || o_orderstatus AS source_name
@@ -211,10 +218,10 @@ def staged_rows(spark: SparkSession, folder: str) -> DataFrame:
 STAGED_SQL = """staged AS (
   SELECT 'file ' || l_returnflag AS import_id, 'sheet ' || l_linestatus AS sheet_name,
          l_orderkey * 10 + l_linenumber AS row_number,
-         CASE l_linenumber WHEN 2 THEN lpad(CAST(l_partkey % 1000000 AS VARCHAR), 6, '0')
-              WHEN 3 THEN lpad(CAST(l_partkey % 1000000 AS VARCHAR), 6, '0') || CAST(l_partkey % 10 AS VARCHAR) || '.0'
-              WHEN 7 THEN 'x' || lpad(CAST(l_partkey % 1000000 AS VARCHAR), 6, '0') || CAST(l_partkey % 10 AS VARCHAR)
-              ELSE lpad(CAST(l_partkey % 1000000 AS VARCHAR), 6, '0') || CAST(l_partkey % 10 AS VARCHAR) END AS municipio,
+         CASE l_linenumber WHEN 2 THEN printf('%06d', l_partkey)
+              WHEN 3 THEN printf('%06d', l_partkey) || CAST(l_partkey % 10 AS VARCHAR) || '.0'
+              WHEN 7 THEN 'x' || printf('%06d', l_partkey) || CAST(l_partkey % 10 AS VARCHAR)
+              ELSE printf('%06d', l_partkey) || CAST(l_partkey % 10 AS VARCHAR) END AS municipio,
          strftime(l_shipdate, '%d/%m/%Y') AS data,
          CASE WHEN l_tax = 0 THEN 's/d'
               ELSE translate(format('{:,.2f}', l_extendedprice), ',.', '.,') END AS valor,

@@ -203,7 +203,7 @@ def _earlier(spark, folder):
 
 EARLIER_SQL = """earlier AS (
   SELECT CASE o_orderstatus WHEN 'O' THEN 'file A' WHEN 'F' THEN 'file N' ELSE 'file R' END AS import_id, 'preco' AS indicator_code,
-    lpad(CAST(o_custkey % 1000000 AS VARCHAR), 6, '0') || CAST(o_custkey % 10 AS VARCHAR) AS municipality_code,
+    printf('%06d', o_custkey) || CAST(o_custkey % 10 AS VARCHAR) AS municipality_code,
     CAST(date_trunc('month', o_orderdate) AS DATE) AS reference_period, o_totalprice AS value, o_orderkey AS source_row_number,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'older sheet' WHEN o_orderpriority = '3-MEDIUM' THEN 'sheet F' ELSE '' END AS source_sheet
   FROM orders QUALIFY row_number() OVER (PARTITION BY import_id, municipality_code, reference_period ORDER BY o_orderkey) = 1)"""
@@ -506,11 +506,11 @@ WHERE l_returnflag <> 'R' AND status = 'approved'""",
 )
 def serving_view(spark, folder):
     sources = model.table(spark, folder, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("source_name"))
-    domains = model.table(spark, folder, "region").filter(F.col("r_regionkey") < 4).select(
-        F.col("r_regionkey").alias("domain_id"), F.col("r_name").alias("domain_name")
+    domains = model.table(spark, folder, "region").select(
+        F.when(F.col("r_regionkey") < 4, F.col("r_regionkey")).otherwise(100).alias("domain_id"), F.col("r_name").alias("domain_name")
     )
-    datasets = model.table(spark, folder, "nation").filter(F.col("n_nationkey") < 7).select(
-        F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("dataset_id"),
+    datasets = model.table(spark, folder, "nation").select(
+        F.concat(F.when(F.col("n_nationkey") < 7, F.lit("d")).otherwise(F.lit("unused ")), F.col("n_nationkey").cast("string")).alias("dataset_id"),
         F.concat(F.lit("data "), F.col("n_nationkey").cast("string")).alias("dataset_name"), (F.col("n_nationkey") % 5).alias("domain_id"),
     )
     view = publication.serving_view(_facts(spark, folder), _imports(spark, folder), sources, datasets, domains)
@@ -528,9 +528,9 @@ def deactivate_legacy(spark, folder):
     key = F.col("p_partkey").cast("string")
     code = F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("eco01_"), key)).otherwise(F.concat(F.lit("old_"), key))
     indicators = model.table(spark, folder, "part").select("p_partkey", code.alias("indicator_code"), (F.col("p_size") <= 25).alias("active"))
-    used = model.table(spark, folder, "lineitem").filter(F.col("l_tax") == 0)
+    used = model.table(spark, folder, "lineitem")
     published = used.select(
-        F.concat(F.lit("old_"), F.col("l_partkey").cast("string")).alias("indicator_code"),
+        F.concat(F.when(F.col("l_tax") == 0, F.lit("old_")).otherwise(F.lit("other_")), F.col("l_partkey").cast("string")).alias("indicator_code"),
         F.when(F.col("l_returnflag") == "R", F.lit("2023-01-01").cast("timestamp")).alias("superseded_at"),
     )
     return lifecycle.deactivate_legacy(indicators, published).select("p_partkey", "active")
@@ -571,7 +571,7 @@ _SUMS = ", ".join(
     + [f"round(sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997 AND month(o_orderdate) = {c.month}), 2) AS {c.field}" for c in MONTH_COLUMNS]
 )
 WIDE_SQL = f"""{model.MUNICIPALITY_SQL}, wide AS (
-  SELECT o_custkey + 1 AS source_row, lpad(CAST(o_custkey % 1000000 AS VARCHAR), 6, '0') || CAST(o_custkey % 10 AS VARCHAR) AS full_code,
+  SELECT o_custkey + 1 AS source_row, printf('%06d', o_custkey) || CAST(o_custkey % 10 AS VARCHAR) AS full_code,
     CASE o_custkey % 10 WHEN 3 THEN left(full_code, 6) WHEN 4 THEN '?' ELSE full_code END AS ibge, {_SUMS} FROM orders GROUP BY o_custkey)"""
 EXPANDED_SQL = f"""{WIDE_SQL}, long AS (
   {" UNION ALL ".join(f"SELECT source_row, ibge, full_code, {i} AS position, '{c.field}' AS field, {c.year} AS y, {c.month or 'NULL'} AS m, '{c.label}' AS label, {c.field} AS value FROM wide" for i, c in enumerate(WIDE_COLUMNS + MONTH_COLUMNS))}),
@@ -663,16 +663,16 @@ def replace_sheets(spark, folder):
 
 @query(
     "s8_include_remaining",
-    """WITH incoming AS (SELECT l_linestatus AS sheet, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
-SELECT sheet AS sheet_name, CASE WHEN sheet = 'F' THEN (SELECT count(*) FROM orders) ELSE n END AS rows FROM incoming""",
+    """WITH incoming AS (SELECT l_linestatus || l_returnflag AS sheet, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT sheet AS sheet_name, CASE WHEN sheet = 'FA' THEN (SELECT count(*) FROM orders) ELSE n END AS rows FROM incoming""",
 )
 def include_remaining(spark, folder):
     empty = F.lit(None).cast("map<string,string>")
     staged = model.table(spark, folder, "orders").select(
-        F.lit("x").alias("import_id"), F.lit("F").alias("sheet_name"), F.col("o_orderkey").alias("row_number"), empty.alias("raw_row")
+        F.lit("x").alias("import_id"), F.lit("FA").alias("sheet_name"), F.col("o_orderkey").alias("row_number"), empty.alias("raw_row")
     )
-    incoming = model.table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "A").select(
-        F.lit("x").alias("import_id"), F.col("l_linestatus").alias("sheet_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number"), empty.alias("raw_row")
+    incoming = model.table(spark, folder, "lineitem").select(
+        F.lit("x").alias("import_id"), F.concat("l_linestatus", "l_returnflag").alias("sheet_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number"), empty.alias("raw_row")
     )
     sheets = staged.groupBy("import_id", "sheet_name").agg(F.count(F.lit(1)).alias("row_count"))
     return tables.include_remaining(staged, sheets, incoming).groupBy("sheet_name").agg(F.count(F.lit(1)).alias("rows"))

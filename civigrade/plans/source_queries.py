@@ -451,10 +451,11 @@ def recommend_indicators(spark, folder):
     f"""WITH {PROFILE_SQL}, s AS (
   SELECT sheet_name, coalesce({_only("ano")}, {_only("ano_base")}) AS y, {_only("mes")} AS m, {_only("competencia")} AS d FROM profile GROUP BY 1)
 SELECT sheet_name, CASE WHEN y IS NOT NULL AND m IS NOT NULL THEN 'month_year_columns' WHEN y IS NOT NULL THEN 'year_column' WHEN coalesce(d, m) IS NOT NULL THEN 'date_column' ELSE 'fixed' END AS mode,
+  CASE WHEN y IS NOT NULL AND m IS NULL OR coalesce(y, d, m) IS NULL THEN 'year' ELSE 'month' END AS granularity,
   y AS year_field, CASE WHEN y IS NOT NULL THEN m END AS month_field, CASE WHEN y IS NULL THEN coalesce(d, m) END AS date_field FROM s""",
 )
 def suggest_period(spark, folder):
-    return profiling.suggest_period(_profile(spark, folder)).drop("import_id", "granularity")
+    return profiling.suggest_period(_profile(spark, folder)).drop("import_id")
 
 
 @query(
@@ -529,26 +530,66 @@ def column_names(spark, folder):
     return model.table(spark, folder, "orders").select("o_orderkey", naming.column_name(raw).alias("name"))
 
 
+def _portal_pages(spark, folder):
+    """The given pages as a portal would serve them: in a section of a government host or of another, with links to data around the page.
+
+    Each has the same kinds of links: data and other files, in its own section, in another and on another host, repeated and in comments.
+    """
+    key = F.col("page_id")
+    number = key.cast("string")
+    host = F.when(key % 3 == 0, F.lit("https://dados.gov.br")).otherwise(F.lit("https://portal.example.org"))
+    page = F.concat(host, F.lit("/pt-br/saude/leitos/"), number, F.lit(".html"))
+    hrefs = [F.concat(F.lit("/saude/leitos/a"), number, F.lit(".csv")), F.lit("b.XLSX?x=1&amp;y=2"), F.lit("../leitos/c.zip#f"), F.lit("/saude/obras/d.json"), F.lit("//outro.example.net/e.gz"), F.lit("f.html"), F.lit("ftp://g.org/g.csv"), F.lit("b.XLSX?x=1&amp;y=2")]
+    anchors = F.concat(F.lit('<!-- <a href="no.csv">n</a> -->'), *[p for href in hrefs for p in (F.lit('<a class="x" href="'), href, F.lit('">l</a>'))])
+    mark = F.when(key % 7 == 1, F.lit("<script src='https://challenges.cloudflare.com/x'></script>")).when(key % 7 == 2, F.lit("<title>Human Verification</title>")).otherwise(F.lit(""))
+    return model.table(spark, folder, "pages").select("page_id", page.alias("url"), F.concat("html", anchors, mark).alias("html"))
+
+
+LINKS_SQL = """page AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://dados.gov.br' ELSE 'https://portal.example.org' END AS host FROM pages),
+links AS (
+  SELECT page_id, host || '/pt-br/saude/leitos/' || page_id || '.html' AS page_url, unnest([
+    {'k': 1, 'name': 'a' || page_id || '.csv', 'link': host || '/saude/leitos/a' || page_id || '.csv'},
+    {'k': 2, 'name': 'b.XLSX', 'link': host || '/pt-br/saude/leitos/b.XLSX?x=1&y=2'},
+    {'k': 3, 'name': 'c.zip', 'link': host || '/pt-br/saude/leitos/c.zip#f'},
+    {'k': CASE WHEN page_id % 3 = 0 THEN NULL ELSE 4 END, 'name': 'd.json', 'link': host || '/saude/obras/d.json'},
+    {'k': 5, 'name': 'e.gz', 'link': 'https://outro.example.net/e.gz'}]) AS l FROM page)"""
+
+
 @query(
     "d1_d2_page_links",
-    r"""WITH found AS (
-  SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site,
-    regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<a\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages),
-each AS (SELECT page_id, url, site, unnest(hrefs) AS h, generate_subscripts(hrefs, 1) AS place FROM found),
-firsts AS (SELECT page_id, url, site || h AS link, min(place) AS place FROM each GROUP BY 1, 2, 3),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS position FROM firsts)
-SELECT page_id, url AS page_url, CAST(position AS INTEGER) AS position, regexp_extract(link, '([^/]*)/*$', 1) AS name, link FROM numbered WHERE position <= 20""",
+    f"""WITH {LINKS_SQL} SELECT page_id, page_url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY l.k) AS INTEGER) AS position, l.name AS name, l.link AS link
+FROM links WHERE l.k IS NOT NULL""",
 )
 def page_links(spark, folder):
-    return links.download_links(model.table(spark, folder, "pages"), extensions=None)
+    """Data files only; on a government host those of the page's own section."""
+    return links.download_links(_portal_pages(spark, folder))
 
 
 @query(
-    "d3_bot_challenges",
-    """SELECT page_id, contains(left(html, 4096), 'Just a moment') OR contains(left(html, 4096), 'challenges.cloudflare.com')
-  OR contains(left(html, 4096), 'Human Verification') OR contains(left(html, 4096), 'awsWafCookieDomainList') AS is_challenge FROM pages""",
+    "u2_first_source",
+    f"""WITH {LINKS_SQL}, c AS (
+  SELECT page_id, 'catalog' AS source, 1 AS place, l.link AS link FROM links WHERE l.k IS NOT NULL AND page_id % 5 = 0
+  UNION ALL SELECT page_id, 'folder', 2, l.link FROM links WHERE l.k IS NOT NULL AND page_id % 2 = 0
+  UNION ALL SELECT page_id, 'page', 3, l.link FROM links WHERE l.k IS NOT NULL)
+SELECT page_id, source, link FROM c QUALIFY place = min(place) OVER (PARTITION BY page_id)""",
 )
+def first_source(spark, folder):
+    """Candidates of three sources per page; the first source that has any wins."""
+    found = links.download_links(_portal_pages(spark, folder)).select("page_id", "link")
+    key = F.col("page_id")
+    sources = F.array_compact(
+        F.array(
+            F.when(key % 5 == 0, F.struct(F.lit("catalog").alias("source"), F.lit(1).alias("place"))),
+            F.when(key % 2 == 0, F.struct(F.lit("folder").alias("source"), F.lit(2).alias("place"))),
+            F.struct(F.lit("page").alias("source"), F.lit(3).alias("place")),
+        )
+    )
+    candidates = found.select("page_id", "link", F.inline(sources))
+    return links.first_source(candidates, ["page_id"], "source", "place").select("page_id", "source", "link")
+
+
+@query("d3_bot_challenges", "SELECT page_id, page_id % 7 IN (1, 2) AS is_challenge FROM pages")
 def bot_challenges(spark, folder):
-    return model.table(spark, folder, "pages").select("page_id", links.is_bot_challenge(F.col("html")).alias("is_challenge"))
+    return _portal_pages(spark, folder).select("page_id", links.is_bot_challenge(F.col("html")).alias("is_challenge"))
 
 

@@ -288,10 +288,10 @@ def title_periods(spark, folder):
     year = F.year(day).cast("string")
     full = F.element_at(F.array(*[F.lit(m) for m in periods.MONTH_NAMES]), F.month(day))
     title = (
-        F.when(kind == "1-URGENT", F.concat_ws("_", full, year, F.lit("saldos")))
-        .when(kind == "2-HIGH", F.concat_ws("_", F.lit("saldo"), F.left(full, F.lit(3)), year))
+        F.when(kind == "1-URGENT", F.upper(F.concat_ws("/", F.replace(full, F.lit("marco"), F.lit("Março")), year, F.lit("Saldos"))))
+        .when(kind == "2-HIGH", F.concat_ws(" ", F.lit(" Saldo"), F.left(full, F.lit(3)), year))
         .when(kind == "5-LOW", F.concat(F.lit("primar"), year))
-        .otherwise(F.concat(F.lit("valor_"), year))
+        .otherwise(F.concat(F.lit("Valor "), year))
     )
     period = periods.title_period(title)
     return model.table(spark, folder, "orders").select(

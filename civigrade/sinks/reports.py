@@ -12,6 +12,7 @@ from civigrade.operators.index import compare
 
 BYTE_ORDER_MARK = "﻿"
 LINE_END = "\r\n"
+MOST_COLUMNS = 10_000
 
 
 def report_cell(cell: Column, data_type: T.DataType) -> Column:
@@ -60,72 +61,80 @@ def _write_lines(lines: DataFrame, path: str, header: str) -> None:
     both.orderBy("_part", *order).select("line").write.option("lineSep", LINE_END).text(path)
 
 
-def ranking_report(ranked: DataFrame, dimensions: list[tuple[str, str]], selected: bool = False) -> DataFrame:
+def ranking_report(ranked: DataFrame, dimensions: list[tuple[str, str]], selected: str | None = None) -> DataFrame:
     """Columns of the ranking report; ``dimensions`` are (code, name) in order.
 
-    With ``selected`` the score the ranking was made by gets its own column.
+    ``selected`` is the name of the dimension the ranking was made by; its score gets its own column, which may have the name of the
+    one it repeats.
     """
     score = lambda code: F.try_element_at("dimension_scores", F.lit(code))
     return ranked.select(
         F.col("rank").alias("Posição"), F.col("municipality_ibge_code").alias("Código IBGE"), F.col("name").alias("Município"),
-        F.col("state").alias("UF"), *([F.col("score").alias("Nota")] if selected else []), F.col("overall_score").alias("Nota geral"),
+        F.col("state").alias("UF"), *([F.col("score").alias(f"Nota {selected}")] if selected else []), F.col("overall_score").alias("Nota geral"),
         maturity(F.col("overall_score")).alias("Nível de maturidade"),
         *[score(code).alias(f"Nota {name}") for code, name in dimensions],
         F.col("scored_indicators").alias("Indicadores com nota"), F.col("observed_indicators").alias("Indicadores com valor"),
     )
 
 
-def comparison_report(detail: DataFrame, by_dimension: DataFrame, overall: DataFrame, codes: list[str], labels: dict[str, str]) -> DataFrame:
-    """Rows of the comparison report: overall score, then per dimension its score and its indicators.
+def comparison_report(
+    detail: DataFrame, by_dimension: DataFrame, overall: DataFrame, dimensions: DataFrame, codes: list[str], labels: dict[str, str]
+) -> DataFrame:
+    """Rows of the comparison report: overall score, then per dimension, in display order, its score and its indicators.
 
-    ``labels`` names the compared municipalities. The columns ``_1, _2, _3`` order the rows.
+    ``dimensions`` has dimension_code, dimension_name and display_order; indicators follow their ``display_order`` where ``detail`` has
+    one, else their name. ``labels`` names the compared municipalities. The columns ``_1, _2, _3, _4`` order the rows.
     """
     wanted = list(dict.fromkeys(codes))
-    empty = F.lit("").cast("string")
-
-    def per_place(prefix: str, column: Column) -> list[Column]:
-        return [
-            F.max(F.when(F.col("municipality_ibge_code") == code, column)).alias(f"{prefix} {labels.get(code, code)}") for code in wanted
-        ]
+    chosen = compare(detail, wanted)
+    ours = F.col("municipality_ibge_code").isin(*wanted)
+    blank, no_value, no_text, first = F.lit(""), F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(0)
 
-    def interleaved(value, period, score) -> list[Column]:
+    def side_by_side(value: Column, period: Column, score: Column) -> list[Column]:
         columns = []
-        for triple in zip(per_place("Valor", value), per_place("Período", period), per_place("Nota", score)):
-            columns += triple
+        for code in wanted:
+            own = lambda column, code=code: F.max(F.when(F.col("municipality_ibge_code") == code, column))
+            label = labels.get(code, code)
+            columns += [own(value).alias(f"Valor {label}"), own(period).alias(f"Período {label}"), own(score).alias(f"Nota {label}")]
         return columns
 
-    none_value, none_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    chosen = compare(detail, wanted)
-    total = overall.filter(F.col("municipality_ibge_code").isin(*wanted)).agg(*interleaved(none_value, none_text, F.col("overall_score")))
-    total = total.select(F.lit(0).alias("_1"), empty.alias("_2"), empty.alias("_3"), F.lit("Nota geral").alias("Dimensão"), empty.alias("Indicador"), empty.alias("Unidade"), "*")
-    scores = (
-        by_dimension.filter(F.col("municipality_ibge_code").isin(*wanted))
-        .groupBy("dimension_code")
-        .agg(*interleaved(none_value, none_text, F.col("dimension_score")))
-    )
-    scores = scores.select(F.lit(1).alias("_1"), F.col("dimension_code").alias("_2"), empty.alias("_3"), F.col("dimension_code").alias("Dimensão"), F.lit("Nota da dimensão").alias("Indicador"), empty.alias("Unidade"), *scores.columns[1:])
-    rows = chosen.groupBy("dimension_code", "indicator_code", "indicator_name", "unit").agg(
-        *interleaved(F.col("value").cast("double"), F.col("reference_period").cast("string"), F.col("score"))
-    )
-    rows = rows.select(F.lit(1).alias("_1"), F.col("dimension_code").alias("_2"), F.col("indicator_code").alias("_3"), F.col("dimension_code").alias("Dimensão"), F.col("indicator_name").alias("Indicador"), F.col("unit").alias("Unidade"), *rows.columns[4:])
+    def lines(rows: DataFrame, order: list[Column], titles: list[Column]) -> DataFrame:
+        names = ["_1", "_2", "_3", "_4", "Dimensão", "Indicador", "Unidade"]
+        added = [c for c in rows.columns if c.startswith(("Valor ", "Período ", "Nota "))]
+        return rows.select(*[c.alias(n) for c, n in zip(order + titles, names)], *[F.col(f"`{c}`") for c in added])
+
+    total = overall.filter(ours).agg(*side_by_side(no_value, no_text, F.col("overall_score")))
+    total = lines(total, [first, first, first, blank], [F.lit("Nota geral"), blank, blank])
+    named = dimensions.select("dimension_code", "dimension_name", F.col("display_order").alias("_place"))
+    scores = by_dimension.filter(ours).groupBy("dimension_code").agg(*side_by_side(no_value, no_text, F.col("dimension_score")))
+    place = F.col("_place").cast("int")
+    scores = lines(scores.join(named, "dimension_code"), [F.lit(1), place, first, blank], [F.col("dimension_name"), F.lit("Nota da dimensão"), blank])
+    order = F.col("display_order") if "display_order" in detail.columns else F.lit(0)
+    keys = ["dimension_code", "indicator_code", "indicator_name", "unit"]
+    values = side_by_side(F.col("value").cast("double"), F.col("reference_period").cast("string"), F.col("score"))
+    rows = chosen.withColumn("_order", order.cast("int")).groupBy(*keys, "_order").agg(*values)
+    rows = lines(rows.join(named, "dimension_code"), [F.lit(1), place, F.col("_order") + 1, F.col("indicator_name")], [F.col("dimension_name"), F.col("indicator_name"), F.col("unit")])
     return total.unionByName(scores).unionByName(rows)
 
 
 def series_report(points: DataFrame) -> DataFrame:
-    """Columns of the series report, one row per point."""
+    """Columns of the series report, one row per point; ``import_title`` names the import."""
     return points.select(
         F.col("municipality_ibge_code").alias("Código IBGE"), F.col("name").alias("Município"), F.col("state").alias("UF"),
         F.col("indicator_name").alias("Indicador"), F.col("reference_period").cast("string").alias("Período"),
         F.col("value").cast("double").alias("Valor"), F.col("unit").alias("Unidade"), F.col("source_name").alias("Fonte"),
-        F.col("import_id").alias("Importação"),
+        F.col("import_title").alias("Importação"),
     )
 
 
-def export_columns(staged: DataFrame) -> list[str]:
-    """Columns of all sheets in the order they are first seen. Names only, found by partial aggregates."""
+def export_columns(staged: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
+    """Columns of all sheets in the order they are first seen. Names only, found by partial aggregates; more than ``most`` are refused."""
     keys = staged.select("sheet_name", "row_number", F.posexplode(F.map_keys("raw_row")).alias("at", "name"))
     first = keys.groupBy("name").agg(F.min(F.struct("sheet_name", "row_number", "at")).alias("place"))
-    return [row["name"] for row in first.orderBy("place").collect()]
+    names = [row["name"] for row in first.orderBy("place").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} columns; export the sheets one by one")
+    return names
 
 
 def sheet_column(names: list[str]) -> str:

@@ -150,7 +150,7 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """
     counts = grid.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_rows"))
     headed = materialise(counts.join(headers.select(*SHEET, "first_data", "columns", "names", "combined"), SHEET, "left"), "headers")
-    joined = attach_counted(grid, headed, SHEET, "_rows", null_keys=False)
+    joined = attach_counted(grid, headed, SHEET)
     picked = joined.filter(F.col("row_number") >= F.col("first_data")).withColumn(
         "cells", F.transform("columns", lambda i: F.get("cells", i))
     )
@@ -160,7 +160,7 @@ def table_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     rows = materialise(picked.filter(~is_header & (filled > 0)).withColumn("filled", filled), "grid")
     enough = F.col("filled") >= F.least(F.lit(2), F.size("names"))
     ends = rows.groupBy(*SHEET).agg(F.max(F.when(enough, F.col("row_number"))).alias("_last"), F.count(F.lit(1)).alias("_kept"))
-    kept = attach_counted(rows, ends, SHEET, "_kept", null_keys=False).filter(F.col("row_number") <= F.col("_last"))
+    kept = attach_counted(rows, ends, SHEET).filter(F.col("row_number") <= F.col("_last"))
     return kept.select(*SHEET, "row_number", "names", "cells")
 
 

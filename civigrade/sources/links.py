@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civigrade.operators.joins import attach_counted
+
 # File extensions of data, marks of a bot challenge.
 DATA_EXTENSIONS = (".csv", ".xlsx", ".xls", ".json", ".zip", ".gz")
 CHALLENGE_MARKS = ("Just a moment", "challenges.cloudflare.com", "Human Verification", "awsWafCookieDomainList")
-CHALLENGE_CHARACTERS = 4096
-LINKS_PER_PAGE = 20
 GOVERNMENT = "gov.br"
 LANGUAGE_SECTION = "pt-br"
 SHARED_SECTIONS = 2
@@ -93,8 +93,8 @@ def file_name(url: Column) -> Column:
     return F.regexp_extract(F.regexp_extract(url, _URL, 4), "([^/]*)/*$", 1)
 
 
-def download_links(pages: DataFrame, extensions: tuple[str, ...] | None = DATA_EXTENSIONS, most: int = LINKS_PER_PAGE) -> DataFrame:
-    """Different download links of every page, at most 20 each, in document order.
+def download_links(pages: DataFrame, extensions: tuple[str, ...] | None = DATA_EXTENSIONS, most: int | None = None) -> DataFrame:
+    """Different download links of every page in document order, with ``most`` at most so many.
 
     ``extensions`` limits the file names; ``None`` takes every http(s) link.
     """
@@ -106,14 +106,25 @@ def download_links(pages: DataFrame, extensions: tuple[str, ...] | None = DATA_E
         return good & suffix.isin(*extensions)
 
     links = F.transform(hrefs(F.col("html")), lambda h: resolve_url(F.col("url"), h))
-    chosen = F.slice(F.array_distinct(F.filter(links, is_download)), 1, most)
+    chosen = F.array_distinct(F.filter(links, is_download))
+    chosen = chosen if most is None else F.slice(chosen, 1, most)
     listed = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(chosen).alias("at", "link"))
     return listed.select("page_id", "page_url", (F.col("at") + 1).alias("position"), file_name(F.col("link")).alias("name"), "link")
 
 
-def is_bot_challenge(html: Column) -> Column:
-    """Whether the first characters of a page hold a mark of a bot challenge."""
-    head = F.left(html, F.lit(CHALLENGE_CHARACTERS))
+def first_source(candidates: DataFrame, keys: list[str], source: str, order: str) -> DataFrame:
+    """The first of the candidate sources of every key, by ``order`` and then name, that has any candidate; all its candidates.
+
+    ``candidates`` has one row per key, source and link.
+    """
+    first = candidates.groupBy(*keys).agg(F.min(F.struct(order, source)).alias("_first"))
+    rows = attach_counted(candidates, first, keys)
+    return rows.filter((F.col(source) == F.col("_first")[source]) & (F.col(order) == F.col("_first")[order])).drop("_first")
+
+
+def is_bot_challenge(html: Column, characters: int | None = None) -> Column:
+    """Whether a page (or its first ``characters``) holds a mark of a bot challenge."""
+    head = html if characters is None else F.left(html, F.lit(characters))
     flag = F.lit(False)
     for mark in CHALLENGE_MARKS:
         flag = flag | F.contains(head, F.lit(mark))

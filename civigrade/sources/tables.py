@@ -140,7 +140,7 @@ def _read_wrapped(spark: SparkSession, paths: str | list[str], layout) -> DataFr
     is_wrapped = F.startswith(line, F.lit('"')) & F.endswith(line, F.lit('"')) & (F.length(line) >= 2)
     inner = F.when(is_wrapped, _unwrapped(line)).otherwise(line)
     separator = layout["separator"]
-    names = unique_names([n.strip() for n in next(csv.reader([layout["header"]], delimiter=separator))])
+    names = unique_names(spark, [n.strip() for n in next(csv.reader([layout["header"]], delimiter=separator))])
     record = F.from_csv(inner, _ddl(names), {"sep": separator, "quote": '"', "escape": '"'})
     parsed = lines.filter(line != "").withColumn("record", record).select("record.*", *ORDER_COLUMNS)
     return _windows_text(parsed) if layout["encoding"] == LATIN else parsed
@@ -236,7 +236,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     wanted = [str(label[c]) if label[c] is not None else c for c in rows.columns]
     # ``at`` names one row, so the join has no hot key.
     data = placed.join(labels.select("at"), "at", "left_anti").select("record.*")
-    return data.toDF(*unique_names(wanted, "Coluna {position}", "{name} ({count})"))
+    return data.toDF(*unique_names(spark, wanted, "Coluna ", " (", ")"))
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:

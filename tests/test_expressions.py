@@ -52,11 +52,13 @@ def test_years_and_months(cells):
 
 
 def test_title_periods(cells):
-    build = lambda c: periods.title_period(naming.column_name(c))
+    build = periods.title_period
     assert [_period(p) for p in cells(build, ["jul_2024_saldo", "primar_2020", "valor_2021", "Março/2020 Saldos", "x"])] == [
         (2024, 7), (2020, None), (2021, None), (2020, 3), None,
     ]
-    assert [_period(p) for p in cells(periods.legacy_month_title, ["julho_2026_saldos", "jul_2026", "julho_1999"])] == [(2026, 7), None, None]
+    assert [_period(p) for p in cells(build, [" MARÇO_2019 ", "Valor 2022", "JUN/2018", "2017"])] == [(2019, 3), (2022, None), (2018, 6), (2017, None)]
+    spelled = ["julho_2026_saldos", "jul_2026", "julho_1999", "JULHO_2020_saldos", "Março 2021"]
+    assert [_period(p) for p in cells(periods.legacy_month_title, spelled)] == [(2026, 7), None, None, (2020, 7), (2021, 3)]
 
 
 def test_period_bounds_and_labels(cells, spark):
@@ -137,16 +139,14 @@ def test_column_names(cells):
     raw = ["  Código IBGE ", "Preço/Total", "valor_duplicated_0", "Ação  de\tTeste", ""]
     expected = ["codigo_ibge", "preco_total", "valor_2", "acao_de_teste", ""]
     assert cells(naming.column_name, raw) == expected
-    assert [naming.column_name_python(r) for r in raw] == expected
-    assert naming.unique_names(["a", "", "a", "a_2", "a"]) == ["a", "coluna_2", "a_2", "a_2_2", "a_3"]
 
 
-def test_unique_names_column_agrees_with_the_driver_side(spark):
-    from pyspark.sql import functions as F
-
-    for names in (["a", "", "a", "a_2", "a"], ["x"], ["", "", "coluna_1"], ["b_2", "b", "b"]):
-        row = spark.range(1).select(naming.unique_names_column(F.array(*[F.lit(n) for n in names])).alias("u")).first()
-        assert row["u"] == naming.unique_names(names)
+def test_unique_names(spark):
+    assert naming.unique_names(spark, ["a", "", "a", "a_2", "a"]) == ["a", "coluna_2", "a_2", "a_2_2", "a_3"]
+    assert naming.unique_names(spark, ["", "", "coluna_1"]) == ["coluna_1", "coluna_2", "coluna_1_2"]
+    assert naming.unique_names(spark, ["b_2", "b", "b"], "x ", " (", ")") == ["b_2", "b", "b (2)"]
+    assert naming.canonical_names(spark, ["Ação/X", "__UNNAMED__3", " ação x", "v_duplicated_0"]) == ["acao_x", "coluna_2", "acao_x_2", "v_2"]
+    assert naming.unique_names(spark, []) == []
 
 
 def test_column_classes(cells):

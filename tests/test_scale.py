@@ -13,42 +13,66 @@ def hot_rows(spark):
     return spark.range(90_000).select("id", key.alias("key"))
 
 
-@pytest.mark.parametrize("hot", [1, 50, 1000, 10_000_000])
-def test_attach_counted(hot_rows, hot):
+def test_attach_counted(hot_rows):
     counts = hot_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-    got = joins.attach_counted(hot_rows, counts, ["key"], "n", hot)
+    got = joins.attach_counted(hot_rows, counts, ["key"])
     assert got.columns == ["id", "key", "n", "last"]
-    assert got.agg(F.count(F.lit(1)), F.count_distinct("id"), F.sum("n"), F.sum("last")).first() == hot_rows.join(
-        counts.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k"))
-    ).agg(F.count(F.lit(1)), F.count_distinct("id"), F.sum("n"), F.sum("last")).first()
+    facts = [F.count(F.lit(1)), F.count_distinct("id"), F.sum("n"), F.sum("last")]
+    same = hot_rows.join(counts.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")))
+    assert got.agg(*facts).first() == same.agg(*facts).first()
+    assert joins.attach_counted(hot_rows, counts, ["key"], null_keys=False).count() == hot_rows.filter("key IS NOT NULL").count()
+
+
+def test_rows_of_a_hot_key_are_split(spark, hot_rows):
+    """The partition of the key with a third of all rows is read by many tasks."""
+    keep = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {key: spark.conf.get(key, None) for key in keep}
+    for key, value in keep.items():
+        spark.conf.set(key, value)
+    try:
+        counts = hot_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        got = joins.attach_counted(hot_rows.repartition(12), counts, ["key"]).withColumn("task", F.spark_partition_id())
+        assert got.filter("key = 'hot'").select("task").distinct().count() > 1
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def test_hot_rows_are_spread_over_the_tasks_of_the_join(spark, hot_rows):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def jobs_of(spark, build):
+    """What ``build`` returns and how many jobs ran while it did."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
     try:
-        counts = hot_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        got = joins.attach_counted(hot_rows, counts, ["key"], "n", 1000).withColumn("task", F.spark_partition_id())
-        largest = got.groupBy("task").count().agg(F.max("count")).first()[0]
-        assert largest < 90_000 / 8 * 1.3
+        result = build()
+        return result, len(tracker.getJobIdsForGroup("planning"))
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setJobGroup("", "")
 
 
-def test_lookup_is_measured(spark, monkeypatch):
-    small = spark.range(10).withColumn("text", F.repeat(F.lit("x"), F.lit(100)))
-    assert joins.fits_broadcast(small) and not joins.fits_broadcast(small, rows=9) and not joins.fits_broadcast(small, size=500)
-    assert "broadcast" in joins.lookup(small)._jdf.queryExecution().logical().toString().lower()
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    assert "broadcast" not in joins.lookup(small)._jdf.queryExecution().logical().toString().lower()
+def test_lookup_is_bounded_by_the_plan(spark, tmp_path):
+    spark.range(2000).withColumn("text", F.repeat(F.lit("x"), F.lit(100))).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    small, jobs = jobs_of(spark, lambda: joins.lookup(stored))
+    assert hinted(small) and jobs == 0
+    assert not hinted(joins.lookup(stored, size=1000))
+    assert not hinted(joins.lookup(stored.join(stored.withColumnRenamed("text", "t2"), "id").join(spark.range(10**9), "id")))
 
 
 def test_codes_resolve_the_same_without_broadcast(spark, monkeypatch):
     catalog = spark.range(1000).select(F.format_string("%07d", F.col("id") * 10 + F.col("id") % 10).alias("ibge_code"))
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("000001")).otherwise(F.format_string("%07d", F.col("id"))).alias("cell"))
-    total = lambda: geography.resolve_codes(rows, F.col("cell"), catalog).agg(F.count("municipality_code"), F.sum(F.hash("municipality_code"))).first()
-    with_broadcast = total()
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
-    assert total() == with_broadcast
+    resolved, jobs = jobs_of(spark, lambda: geography.resolve_codes(rows, F.col("cell"), catalog))
+    assert jobs == 0
+    total = lambda df: df.agg(F.count("municipality_code"), F.sum(F.hash("municipality_code"))).first()
+    with_broadcast = total(resolved)
+    monkeypatch.setattr(joins, "planned_bytes", lambda df: 1 << 62)
+    plan = geography.resolve_codes(rows, F.col("cell"), catalog)
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert total(plan) == with_broadcast
 
 
 @pytest.mark.parametrize("block", [7, 1000])
@@ -69,11 +93,16 @@ def test_ranks_of_large_ties(spark):
     assert ranked.select("id", "rank").exceptAll(expected.select("id", "rank")).count() == 0 and ranked.count() == 50_000
 
 
+def test_scores_that_differ_in_the_last_place(spark):
+    rows = spark.createDataFrame([("a", 90.0000000002), ("b", 90.0000000001), ("c", 90.0000000001), ("d", 1e9), ("e", -5.0), ("f", None)], "k string, s double")
+    assert {r["k"]: r["rank"] for r in index.competition_rank(rows, F.col("s")).collect()} == {"d": 1, "a": 2, "b": 3, "c": 3, "e": 5}
+
+
 def test_no_task_sees_all_rows_when_ranking(spark):
-    """The only window without a partition runs over score buckets, not over rows."""
+    """The only window without a partition runs over the sums of ranges of scores, not over rows."""
     rows = spark.range(1000).select("id", (F.col("id") % 100).cast("double").alias("score"))
     plan = index.competition_rank(rows, F.col("score"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "_bucket_rows" in plan and "CartesianProduct" not in plan
+    assert "_range_rows" in plan and "CartesianProduct" not in plan
 
 
 def test_one_municipality_with_a_third_of_all_rows(spark):

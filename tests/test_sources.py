@@ -246,14 +246,23 @@ def test_download_links(spark):
     ]
 
 
-def test_at_most_twenty_links(spark):
+def test_all_links_unless_a_number_is_asked_for(spark):
     html = "".join(f'<a href="{i}.csv">x</a>' for i in range(50))
     page = spark.createDataFrame([(1, "http://a.b/c/", html)], "page_id long, url string, html string")
-    assert [r["name"] for r in links.download_links(page).orderBy("position").collect()] == [f"{i}.csv" for i in range(20)]
+    names = lambda **most: [r["name"] for r in links.download_links(page, **most).orderBy("position").collect()]
+    assert names() == [f"{i}.csv" for i in range(50)] and names(most=20) == [f"{i}.csv" for i in range(20)]
+
+
+def test_first_source_with_candidates(spark):
+    rows = [(1, "page", 3, "a"), (1, "folder", 2, "b"), (1, "folder", 2, "c"), (2, "page", 3, "d"), (None, "page", 3, "e")]
+    got = links.first_source(spark.createDataFrame(rows, "k long, source string, place int, link string"), ["k"], "source", "place")
+    assert sorted(((r["k"], r["link"]) for r in got.collect()), key=repr) == [(1, "b"), (1, "c"), (2, "d"), (None, "e")]
 
 
 def test_bot_challenges(cells):
-    assert cells(links.is_bot_challenge, ["<title>Just a moment...</title>", "x" * 5000 + "Just a moment", "ok"]) == [True, False, False]
+    pages = ["<title>Just a moment...</title>", "x" * 5000 + "Just a moment", "ok"]
+    assert cells(links.is_bot_challenge, pages) == [True, True, False]
+    assert cells(lambda c: links.is_bot_challenge(c, 4096), pages) == [True, False, False]
 
 
 def test_report_cells(spark, tmp_path):
