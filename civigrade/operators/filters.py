@@ -72,6 +72,15 @@ def filter_staged(staged: DataFrame, filters: list[RowFilter], keep_latest_of: s
     )
 
 
+def filter_counts(staged: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows, kept rows and removed rows per import and sheet that was filtered."""
+    keys = ["import_id", "sheet_name"]
+    left = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept_rows"))
+    total = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows")).join(left, keys, "left")
+    present = F.coalesce("kept_rows", F.lit(0))
+    return total.select(*keys, "total_rows", present.alias("kept_rows"), (F.col("total_rows") - present).alias("removed_rows"))
+
+
 def serving_rows(
     serving: DataFrame,
     indicator_code: str | None = None,

@@ -77,30 +77,35 @@ def prefix_sums(counted: DataFrame, group: list[str], order: Column, count: str,
     return counted.withColumn(alias, F.coalesce(F.sum(count).over(window), F.lit(0)))
 
 
-def number_rows(df: DataFrame, group: list[str], position: str, then: list[str], alias: str = "row_number") -> DataFrame:
-    """``row_number`` per group ordered by ``position`` and ``then``, without one task per group.
+def rows_before(df: DataFrame, group: list[str], position: str, then: list[str], weight: Column, alias: str) -> DataFrame:
+    """Sum of ``weight`` over the rows of the group before each row, by ``position`` and ``then``, without one task per group.
 
-    ``position`` is a number; rows are numbered inside blocks of 65,536 positions. The number of rows
-    in earlier blocks is added, itself summed inside and over groups of 65,536 blocks.
+    ``position`` is a number; sums run inside blocks of 65,536 positions. The sums of earlier blocks are added, themselves summed inside
+    and over groups of 65,536 blocks.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(position) / NUMBERING_BLOCK))
+    blocked = df.withColumns({"_block": F.floor(F.col(position) / NUMBERING_BLOCK), "_weight": weight.cast("long")})
     keys = [*group, "_block"]
-    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.withColumn("_super", F.floor(F.col("_block") / NUMBERING_BLOCK))
-    supers = counts.groupBy(*group, "_super").agg(F.sum("_rows").alias("_super_rows"))
+    sums = blocked.groupBy(*keys).agg(F.sum("_weight").alias("_rows"))
+    sums = sums.withColumn("_super", F.floor(F.col("_block") / NUMBERING_BLOCK))
+    supers = sums.groupBy(*group, "_super").agg(F.sum("_rows").alias("_super_rows"))
     supers = prefix_sums(supers, group, F.col("_super"), "_super_rows", "_super_before").drop("_super_rows")
-    near = prefix_sums(counts, [*group, "_super"], F.col("_block"), "_rows", "_near")
+    near = prefix_sums(sums, [*group, "_super"], F.col("_block"), "_rows", "_near")
     offsets = near.join(supers, _same(near, supers, [*group, "_super"])).select(
         *[near[k] for k in keys], (F.col("_near") + F.col("_super_before")).alias("_before")
     )
-    inside = Window.partitionBy(*keys).orderBy(position, *then)
-    numbered = blocked.withColumn("_inside", F.row_number().over(inside))
+    inside = Window.partitionBy(*keys).orderBy(position, *then).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocked.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
     return (
-        numbered.join(offsets, _same(numbered, offsets, keys), "left")
+        placed.join(offsets, _same(placed, offsets, keys), "left")
         .withColumn(alias, F.col("_before") + F.col("_inside"))
-        .select(*[numbered[c] for c in df.columns if c != alias], alias)
+        .select(*[placed[c] for c in df.columns if c != alias], alias)
     )
 
 
+def number_rows(df: DataFrame, group: list[str], position: str, then: list[str], alias: str = "row_number") -> DataFrame:
+    """``row_number`` per group ordered by ``position`` and ``then``, without one task per group."""
+    return rows_before(df, group, position, then, F.lit(1), alias).withColumn(alias, F.col(alias) + 1)
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -177,6 +177,24 @@ def suggest_mapping(profile: DataFrame) -> DataFrame:
     )
 
 
+def municipality_columns(profile: DataFrame) -> DataFrame:
+    """Columns to choose the municipality from: ``choice`` numbers them, recognised ones first, and ``is_suggested`` marks one per sheet.
+
+    Suggested is the name column that the sheet suggests, else its code column, else the first one, if it is recognised as municipality.
+    """
+    name = F.col("column_name")
+    known = naming.is_municipality_column(name)
+    flagged = profile.select(*SHEET, "position", "column_name", known.alias("is_recognised"))
+    suggested = suggest_mapping(profile).select(*SHEET, "municipality_name", "municipality_code")
+    joined = flagged.join(suggested, SHEET)
+    place = F.when(name == F.col("municipality_name"), 0).when(name == F.col("municipality_code"), 1).otherwise(2)
+    best = F.when(F.col("is_recognised"), F.struct(place.alias("p"), "position"))
+    of_sheet = Window.partitionBy(*SHEET)  # the columns of one sheet
+    order = of_sheet.orderBy(F.col("is_recognised").desc(), "position")
+    chosen = joined.withColumns({"choice": F.row_number().over(order), "_best": F.min(best).over(of_sheet)})
+    return chosen.select(*SHEET, "column_name", "choice", "is_recognised", F.coalesce(best == F.col("_best"), F.lit(False)).alias("is_suggested"))
+
+
 def recommend_indicators(profile: DataFrame) -> DataFrame:
     """Indicators the columns of each sheet can feed.
 

@@ -13,7 +13,7 @@ from civigrade.functions.periods import title_period
 from civigrade.functions.text import cell_text, drop_fields, merged_field, put_fields
 from civigrade.functions.values import number_text, parse_number, parse_plain_or_regional, parse_wide_number
 from civigrade.operators.geography import resolve_codes
-from civigrade.operators.joins import number_rows
+from civigrade.operators.joins import rows_before
 
 PREPARED_FIELDS = ["reference_year", "reference_period", "value", "source_measure"]
 
@@ -58,37 +58,40 @@ def period_columns(spark: SparkSession, names: list[str]) -> list[PeriodColumn]:
     return [PeriodColumn(name, period["year"], period["month"]) for name, period in zip(names, periods)]
 
 
-def long_periods(staged: DataFrame, columns: list[PeriodColumn], municipality_field: str) -> DataFrame:
-    """One row per staged row and period column with a text in it."""
+def _filled_cells(columns: list[PeriodColumn]) -> Column:
+    """The period columns of a row that have a text, in order."""
     cells = F.array(
         *[
             F.struct(
-                F.lit(c.field).alias("field"), F.lit(c.year).alias("year"), F.lit(c.month).cast("int").alias("month"),
-                F.lit(c.label).alias("label"), cell_text(_cell(c.field)).alias("text"),
+                F.lit(position).alias("period_position"), F.lit(c.field).alias("field"), F.lit(c.year).alias("year"),
+                F.lit(c.month).cast("int").alias("month"), F.lit(c.label).alias("label"), cell_text(_cell(c.field)).alias("text"),
                 F.try_element_at("raw_row", F.lit(c.field)).alias("raw"),
             )
-            for c in columns
+            for position, c in enumerate(columns)
         ]
     )
-    return (
-        staged.select("*", F.posexplode(cells).alias("period_position", "cell"))
-        .filter(F.col("cell.text") != "")
-        .select("*", "cell.*", cell_text(_cell(municipality_field)).alias("municipality_text"))
-        .drop("cell")
-    )
+    return F.filter(cells, lambda cell: cell["text"] != "")
 
 
 def expand_periods(
     staged: DataFrame, columns: list[PeriodColumn], municipality_field: str, municipalities: DataFrame,
     identity: list[str], measure_label: str, longest_label: int | None = None,
 ) -> DataFrame:
-    """Derived sheet with one row per source row and period; cells that do not read as numbers stay without value."""
-    expanded = long_periods(staged, columns, municipality_field)
-    resolved = resolve_codes(expanded, F.col("municipality_text"), municipalities)
-    value = parse_wide_number(F.col("text"))
+    """Derived sheet with one row per source row and period; cells that do not read as numbers stay without value.
+
+    Rows are numbered before they are unfolded: each source row knows how many cells the rows before it have.
+    """
     kept = F.map_filter("raw_row", lambda key, _: key.isin(*identity))
+    rows = staged.select(
+        "import_id", "sheet_name", "row_number", kept.alias("kept"), cell_text(_cell(municipality_field)).alias("municipality_text"),
+        _filled_cells(columns).alias("cells"),
+    ).filter(F.size("cells") > 0)
+    placed = rows_before(rows, ["import_id", "sheet_name"], "row_number", [], F.size("cells"), "cells_before")
+    resolved = resolve_codes(placed, F.col("municipality_text"), municipalities)
+    unfolded = resolved.select("*", F.posexplode("cells").alias("cell_position", "cell")).select("*", "cell.*").drop("cells", "cell")
+    value = parse_wide_number(F.col("text"))
     raw = put_fields(
-        kept,
+        F.col("kept"),
         {"linha_original": F.col("row_number"), "coluna_original": F.col("field"), "competencia": F.col("label"), "valor": F.col("raw")},
     )
     prepared = put_fields(
@@ -102,13 +105,12 @@ def expand_periods(
         },
         drop_nulls=True,
     )
-    rows = resolved.select(
-        "import_id", "sheet_name", F.col("row_number").alias("source_row_number"), "period_position",
-        "municipality_code", F.col("year").alias("reference_year"), F.col("month").alias("reference_month"),
-        value.alias("value"), raw.alias("raw_row"), prepared.alias("normalized_row"),
+    return unfolded.select(
+        "import_id", F.concat("sheet_name", F.lit(target_sheet(measure_label, longest_label))).alias("sheet_name"),
+        F.col("row_number").alias("source_row_number"), "period_position", "municipality_code", F.col("year").alias("reference_year"),
+        F.col("month").alias("reference_month"), value.alias("value"), raw.alias("raw_row"), prepared.alias("normalized_row"),
+        (F.col("cells_before") + F.col("cell_position") + 1).alias("row_number"),
     )
-    numbered = number_rows(rows, ["import_id", "sheet_name"], "source_row_number", ["period_position"])
-    return numbered.withColumn("sheet_name", F.concat("sheet_name", F.lit(target_sheet(measure_label, longest_label))))
 
 
 def expansion_counts(staged: DataFrame, expanded: DataFrame, columns: int) -> DataFrame:

@@ -291,6 +291,16 @@ query(
 )(_filter_query([], "data"))
 
 
+@query(
+    "f7_filter_counts",
+    f"""WITH {model.STAGED_SQL} SELECT import_id, sheet_name, count(*) AS total_rows, count(*) FILTER (WHERE CAST(quantidade AS INTEGER) >= 40) AS kept_rows,
+  count(*) FILTER (WHERE CAST(quantidade AS INTEGER) < 40) AS removed_rows FROM staged GROUP BY 1, 2""",
+)
+def filter_counts(spark, folder):
+    staged = model.staged(spark, folder)
+    return filters.filter_counts(staged, filters.filter_staged(staged, [RowFilter("quantidade", "gte", "40")]))
+
+
 @query(
     "f8_serving_filters",
     f"""WITH {model.PUBLISHED_SQL} SELECT id, indicator_code, CAST(reference_period AS VARCHAR) AS reference_period FROM published

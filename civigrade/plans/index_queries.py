@@ -142,6 +142,21 @@ def automatic_benchmarks(spark, folder):
     )
 
 
+@query(
+    "a10_chosen_benchmarks",
+    f"""WITH {PROFILES_SQL}, wanted AS (
+  SELECT DISTINCT indicator_code, unnest(['medio', 'metropole']) AS city_profile FROM published WHERE indicator_code IN ('eco02_high', 'gov01_low'))
+SELECT w.indicator_code, w.city_profile, coalesce(r.sample_size, g.sample_size) AS sample_size, coalesce(r.minimum_value, g.minimum_value) AS minimum_value
+FROM wanted w LEFT JOIN ranges r ON r.indicator_code = w.indicator_code AND r.city_profile = w.city_profile
+LEFT JOIN ranges g ON g.indicator_code = w.indicator_code AND g.city_profile = 'geral'""",
+)
+def chosen_benchmarks(spark, folder):
+    rows = bench.automatic_benchmarks(
+        model.published(spark, folder), model.population(spark, folder), model.indicators(spark), ["medio", "metropole"], ["eco02_high", "gov01_low", "none"]
+    )
+    return rows.select("indicator_code", "city_profile", "sample_size", "minimum_value")
+
+
 @query(
     "w1_latest_row",
     f"""WITH {model.PUBLISHED_SQL} SELECT id, municipality_ibge_code, indicator_code, value FROM published

@@ -314,6 +314,64 @@ OBSERVATIONS_SQL = f"""{EARLIER_SQL}, {CANDIDATES_SQL}, observations AS (
   WHERE is_valid AND duplicate_count = 1 AND NOT is_conflict)"""
 
 
+def _sheetless(spark, folder):
+    """Prepared candidates some of which have no sheet, others a sheet with a quote in its name."""
+    prepared = preparation.prepare_batch(model.staged(spark, folder), BY_MONTH, MAPPINGS[:1], "municipio", model.municipality(spark, folder))
+    sheet = F.when(F.col("row_number") % 3 == 0, F.lit(None)).when(F.col("row_number") % 3 == 1, F.lit('plan "B"')).otherwise(F.col("sheet_name"))
+    return publication.prepared_candidates(prepared.withColumn("sheet_name", sheet))
+
+
+SHEETLESS_SQL = f"""{PREPARED_SQL}, c AS (
+  SELECT import_id, row_number, CASE row_number % 3 WHEN 0 THEN NULL WHEN 1 THEN 'plan "B"' ELSE sheet_name END AS sheet_name, municipality_code, price,
+    CAST(date_trunc('month', day) AS DATE) AS month FROM prepared),
+marked AS (
+  SELECT *, municipality_code IS NOT NULL AND price IS NOT NULL AS is_valid,
+    CASE WHEN municipality_code IS NOT NULL AND price IS NOT NULL THEN count(*) FILTER (WHERE municipality_code IS NOT NULL AND price IS NOT NULL)
+      OVER (PARTITION BY import_id, sheet_name, municipality_code, month) ELSE 0 END AS n FROM c)"""
+
+
+@query(
+    "q6_rows_without_sheet",
+    f"""WITH {SHEETLESS_SQL} SELECT import_id, sheet_name, row_number, n AS duplicate_count FROM marked""",
+)
+def rows_without_sheet(spark, folder):
+    """Every candidate is judged within its sheet, also where it has none."""
+    marked = publication.mark_duplicates(_sheetless(spark, folder), by_sheet=True)
+    return marked.select("import_id", "sheet_name", "row_number", "duplicate_count")
+
+
+@query(
+    "q8_every_candidate_is_told",
+    f"""WITH {SHEETLESS_SQL} SELECT import_id, 'published' AS outcome, count(*) AS rows FROM marked WHERE is_valid AND n = 1 GROUP BY 1
+UNION ALL SELECT import_id, 'issue', count(DISTINCT row_number) FROM marked WHERE NOT (is_valid AND n = 1) GROUP BY 1""",
+)
+def every_candidate_is_told(spark, folder):
+    """Issues and observations together cover all candidates; issues of an earlier approval of the same sheets are gone."""
+    candidates = _sheetless(spark, folder)
+    now = F.lit("2024-05-01").cast("timestamp")
+    none = publication.empty(spark, publication.OBSERVATION)
+    fields = publication.FieldNames()
+    stale = candidates.select("import_id", "indicator_code", "sheet_name", "row_number").withColumn("row_number", F.col("row_number") + 1_000_000_000_000)
+    message = F.concat(publication.message_prefix(F.col("sheet_name")), F.lit("old"))
+    earlier = stale.select("import_id", "indicator_code", F.lit("error").alias("severity"), "row_number", F.lit(fields.value).alias("field"), message.alias("message"))
+    done = publication.approve(candidates, none, earlier, now, fields, by_sheet=True)
+    published = done.observations.select("import_id", "source_row_number", F.lit("published").alias("outcome"))
+    told = done.issues.select("import_id", "row_number", F.lit("issue")).distinct()
+    return published.union(told).groupBy("import_id", "outcome").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "q2_mapping_problems",
+    "SELECT 'preco' AS indicator_code, 'unknown indicator' AS problem UNION ALL SELECT 'p1', 'inactive indicator' FROM part WHERE p_partkey = 1 AND p_size <= 50",
+)
+def mapping_problems(spark, folder):
+    """Mappings checked against a catalog with one indicator per part, of which the first is inactive."""
+    key = F.col("p_partkey")
+    catalog = model.table(spark, folder, "part").select(F.concat(F.lit("p"), key.cast("string")).alias("indicator_code"), (key != 1).alias("active"))
+    mappings = [IndicatorMapping(code, "un", value_field="valor") for code in ("preco", "p1", "p2", "p3")]
+    return preparation.mapping_problems(mappings, catalog)
+
+
 @query(
     "q9_observations",
     f"""WITH {OBSERVATIONS_SQL} SELECT import_id, municipality_code, CAST(reference_period AS VARCHAR) AS reference_period, round(value, 4) AS value,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civigrade.functions import naming
@@ -224,6 +225,40 @@ def full_scan(spark, folder):
     )
 
 
+@query(
+    "s7_derived_records",
+    f"""WITH {model.STAGED_SQL}, sheets AS (SELECT import_id, sheet_name, count(*) AS n, row_number() OVER (PARTITION BY import_id ORDER BY sheet_name) AS p FROM staged GROUP BY 1, 2),
+  most AS (SELECT import_id, max(p) AS p FROM sheets GROUP BY 1)
+SELECT import_id, s.sheet_name || ' · cópia' AS sheet_name, CAST(m.p + s.p AS INTEGER) AS sheet_position, n AS row_count, 5 AS column_count,
+  'data,desconto,municipio,quantidade,valor' AS names, 20 AS sampled, (SELECT min(row_number) FROM staged t WHERE t.import_id = s.import_id AND t.sheet_name = s.sheet_name) AS first_origin
+FROM sheets s JOIN most m USING (import_id)""",
+)
+def derived_records(spark, folder):
+    """Records of a copy of every staged sheet."""
+    staged = model.staged(spark, folder)
+    order = Window.partitionBy("import_id").orderBy("sheet_name")  # the sheets of one import
+    records = tables.sheet_records(staged).withColumn("sheet_position", F.row_number().over(order))
+    derived = tables.derive_sheet(staged, " · cópia")
+    made = tables.derived_records(records, derived)
+    origin = derived.filter("row_number = 1").select(*tables.SHEET, F.col("normalized_row")["origin_row_number"].cast("long").alias("first_origin"))
+    names = F.array_join(F.array_sort(F.transform("columns_profile", lambda c: c["name"])), ",")
+    return made.join(origin, tables.SHEET).select(
+        *tables.SHEET, "sheet_position", "row_count", "column_count", names.alias("names"), F.size("sample_rows").alias("sampled"), "first_origin"
+    )
+
+
+@query(
+    "s8_import_totals",
+    "SELECT 'file ' || l_returnflag AS import_id, 100 + count(*) AS total_rows FROM lineitem GROUP BY 1",
+)
+def import_totals(spark, folder):
+    """Imports that held nothing take in all staged rows."""
+    staged = model.staged(spark, folder)
+    imports = staged.select("import_id").distinct().withColumn("total_rows", F.lit(100).cast("long"))
+    nothing = spark.createDataFrame([], tables.STAGED)
+    return tables.import_totals(imports, nothing, tables.include_remaining(nothing, tables.sheet_records(nothing), staged))
+
+
 # Grids: a sheet per order status and priority, with titles, a two-level header, a repeated header and a note.
 SHEET = ["file", "sheet"]
 
@@ -458,6 +493,16 @@ def suggest_period(spark, folder):
     return profiling.suggest_period(_profile(spark, folder)).drop("import_id")
 
 
+@query(
+    "n8_municipality_choice",
+    f"""WITH {PROFILE_SQL}, known AS (SELECT *, column_name IN ('codigo_municipio', 'nome_municipio') AS is_recognised FROM profile)
+SELECT sheet_name, column_name, CAST(row_number() OVER (PARTITION BY sheet_name ORDER BY is_recognised DESC, position) AS INTEGER) AS choice, is_recognised,
+  coalesce(column_name = max(CASE WHEN is_recognised THEN column_name END) OVER (PARTITION BY sheet_name), false) AS is_suggested FROM known""",
+)
+def municipality_choice(spark, folder):
+    return profiling.municipality_columns(_profile(spark, folder)).drop("import_id")
+
+
 @query(
     "p5_n10_period_measures",
     f"""WITH {PROFILE_SQL}, parsed AS (

@@ -300,6 +300,20 @@ def title_periods(spark, folder):
     )
 
 
+@query(
+    "p9_effective_granularity",
+    """WITH o AS (SELECT o_orderkey, (['year_column', 'month_year_columns', 'prepared', 'date_column', 'fixed'])[o_orderkey % 5 + 1] AS mode,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'month' ELSE 'year' END AS granularity, CASE o_orderkey % 3 WHEN 0 THEN 'month' WHEN 1 THEN 'year' END AS prepared FROM orders)
+SELECT o_orderkey, CASE mode WHEN 'year_column' THEN 'year' WHEN 'month_year_columns' THEN 'month' WHEN 'prepared' THEN coalesce(prepared, 'year') ELSE granularity END AS granularity FROM o""",
+)
+def effective_granularity(spark, folder):
+    key = F.col("o_orderkey")
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("year_column", "month_year_columns", "prepared", "date_column", "fixed")]), (key % 5 + 1).cast("int"))
+    chosen = F.when(key % 2 == 0, "month").otherwise("year")
+    prepared = F.when(key % 3 == 0, "month").when(key % 3 == 1, "year")
+    return model.table(spark, folder, "orders").select("o_orderkey", periods.effective_granularity(mode, chosen, prepared).alias("granularity"))
+
+
 @query(
     "p7_period_bounds",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate, '%Y-01-01') WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-01')

@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from civigrade.functions.naming import unique_names
 from civigrade.functions.text import put_fields
 from civigrade.operators.joins import first_per_key, lookup, number_rows, prefix_sums
-from civigrade.operators.profiling import as_staged_cells, holds_regional_decimals, normalise_columns, normalise_decimals, regional_decimal
+from civigrade.operators.profiling import as_staged_cells, holds_regional_decimals, normalise_columns, normalise_decimals, profile_staged, regional_decimal, with_positions
 
 SEPARATORS = (";", ",", "\t", "|")
 SAMPLE_LINES = 20
+SAMPLE_ROWS = 20
+ROWS_PER_FILE = 2_000_000
 MOST_LAYOUTS = 64
 WRAPPED_LINES, FEWEST_WRAPPED_LINES = 7, 4
 LATIN = "ISO-8859-1"
@@ -278,9 +280,13 @@ def replace_sheets(staged: DataFrame, derived: DataFrame) -> DataFrame:
     return staged.join(sheets, SHEET, "left_anti").unionByName(derived.select(*staged.columns))
 
 
-def write_staged(staged: DataFrame, path: str) -> None:
-    """Write staged rows by import and sheet; sheets that are written replace themselves only."""
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHEET).parquet(path)
+def write_staged(staged: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write staged rows by import and sheet; sheets that are written replace themselves only.
+
+    Rows are first brought together by import, sheet and range of row numbers, so a sheet gets few files and a large one many tasks.
+    """
+    together = staged.repartition(*SHEET, F.floor(F.col("row_number") / rows_per_file))
+    together.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHEET).parquet(path)
 
 
 def sheet_records(staged: DataFrame) -> DataFrame:
@@ -291,6 +297,38 @@ def sheet_records(staged: DataFrame) -> DataFrame:
     return heights.join(columns, SHEET, "left")
 
 
+def derived_records(records: DataFrame, derived: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Records of derived sheets: position, height, width, profile of every column and the first rows.
+
+    ``records`` (import_id, sheet_name, sheet_position) are the sheets that exist. A sheet that is derived again keeps its position, new
+    ones follow the last one of their import by name.
+    """
+    profile = with_positions(profile_staged(derived))
+    entry = F.struct("position", F.col("column_name").alias("name"), "dtype", "null_count")
+    columns = profile.groupBy(*SHEET).agg(F.sort_array(F.collect_list(entry)).alias("columns_profile"))
+    first = first_per_key(derived.select(*SHEET, "row_number", "raw_row"), SHEET, F.col("row_number"), rows=sample_rows)
+    samples = first.groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct("row_number", F.to_json("raw_row").alias("row")))).alias("s"))
+    heights = derived.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("row_count"))
+    last = records.groupBy("import_id").agg(F.max("sheet_position").alias("_last"))
+    made = heights.join(columns, SHEET, "left").join(samples, SHEET, "left").join(records.select(*SHEET, "sheet_position"), SHEET, "left").join(last, "import_id", "left")
+    is_new = F.col("sheet_position").isNull().cast("int")
+    order = Window.partitionBy("import_id").orderBy("sheet_name").rowsBetween(Window.unboundedPreceding, 0)  # the sheets of one import
+    position = F.coalesce("sheet_position", (F.coalesce("_last", F.lit(0)) + F.sum(is_new).over(order)).cast("int"))
+    return made.select(
+        *SHEET, position.alias("sheet_position"), "row_count", F.size("columns_profile").alias("column_count"), "columns_profile",
+        F.transform("s", lambda x: x["row"]).alias("sample_rows"),
+    )
+
+
+def import_totals(imports: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Imports with ``total_rows`` raised by the staged rows that were added."""
+    old = before.groupBy("import_id").agg(F.count(F.lit(1)).alias("_old"))
+    new = after.groupBy("import_id").agg(F.count(F.lit(1)).alias("_new"))
+    counted = imports.join(old, "import_id", "left").join(new, "import_id", "left")
+    added = F.coalesce("_new", F.lit(0)) - F.coalesce("_old", F.lit(0))
+    return counted.withColumn("total_rows", F.coalesce("total_rows", F.lit(0)) + F.greatest(added, F.lit(0))).select(*imports.columns)
+
+
 def include_remaining(staged: DataFrame, sheets: DataFrame, incoming: DataFrame) -> DataFrame:
     """Staged rows plus those of sheets that hold no rows yet; rows already there stay."""
     filled = sheets.filter(F.col("row_count") > 0).select(*SHEET).distinct()

@@ -59,7 +59,9 @@ def test_source_rows(spark):
     assert configuration.check_sources(df).count() == 0
     clean = configuration.clean_sources(df).first()
     assert (clean["code"], clean["dimension"], clean["import_url"], clean["manual_url"], clean["official_link"]) == ("ECO_11", "Outras", None, "https://b", None)
-    assert len(clean["needs"]) == 10 and clean["needs"][0] == "a" and len(clean["needs"][1]) == 200
+    assert len(clean["needs"]) == 22 and clean["needs"][0] == "a" and len(clean["needs"][1]) == 300
+    cut = configuration.clean_sources(df, longest_need=200, most_needs=10).first()["needs"]
+    assert len(cut) == 10 and len(cut[1]) == 200
 
 
 def test_coverage_merges_spellings_of_a_code(spark):

@@ -124,8 +124,8 @@ def test_row_filters(stage_rows, wanted, latest, values):
 def test_filter_limits(stage_rows):
     with pytest.raises(ValueError):
         filters.filter_staged(stage_rows(ROWS), [])
-    with pytest.raises(ValueError):
-        filters.filter_staged(stage_rows(ROWS), [RowFilter("a")] * 11)
+    many = filters.filter_staged(stage_rows(ROWS), [RowFilter("none", "eq", "")] * 11)
+    assert many.count() == len(ROWS)
     with pytest.raises(ValueError):
         RowFilter("a", "like", "x")
 
