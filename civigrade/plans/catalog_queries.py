@@ -286,6 +286,22 @@ def snapshot(spark, folder):
     return first.union(second)
 
 
+@query(
+    "c5_saved_snapshot",
+    """SELECT 'model 1' AS entity_key, (SELECT count(*) FROM region) AS regions UNION ALL SELECT 'model 2', (SELECT count(*) FROM region)""",
+)
+def saved_snapshot(spark, folder):
+    """A second model is added to the history, the first one is not saved again."""
+    tables = {"regions": model.table(spark, folder, "region")}
+    none = spark.createDataFrame([], "entity_type string, entity_key string, new_values string, changed_at timestamp")
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    history = none
+    for name in ("model 1", "model 2", "model 1"):
+        history = configuration.save_snapshot(history, name, tables, now)
+    regions = F.from_json("new_values", "regions array<struct<r_regionkey:long>>")["regions"]
+    return history.select("entity_key", F.size(regions).cast("long").alias("regions"))
+
+
 @query(
     "c6_seed_weights",
     """SELECT p AS city_profile, d AS dimension_code, CASE d WHEN 'idd' THEN 14.3 WHEN 'amb' THEN 14.29 WHEN 'qvi' THEN 14.29 ELSE 14.28 END AS weight

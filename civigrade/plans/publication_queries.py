@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civigrade.functions.values import parse_number
 from civigrade.functions.periods import PeriodSelection, month_start_text
 from civigrade.operators import benchmarks, lifecycle, preparation, publication, reshape
 from civigrade.operators.preparation import IndicatorMapping
@@ -671,15 +672,21 @@ def expansion_counts(spark, folder):
     return reshape.expansion_counts(_wide(spark, folder), _expanded(spark, folder), len(WIDE_COLUMNS + MONTH_COLUMNS))
 
 
-def _prepared_sql(column: PeriodColumn, kept: str) -> str:
-    ready = f"regexp_full_match(ibge, '[0-9]{{7}}') AND {column.field} IS NOT NULL"
+def _prepared_sql(column: PeriodColumn, kept: str, raw: bool = False) -> str:
+    ready = f"regexp_full_match(ibge, '[0-9]{{7}}') AND {column.field} IS NOT NULL" + (" AND (source_row - 1) % 10 NOT IN (7, 8, 9)" if raw else "")
     return f"""WITH {WIDE_SQL} SELECT source_row AS row_number, {ready} AS is_prepared, CASE WHEN {ready} THEN round({column.field}, 4) END AS value,
   CASE WHEN {ready} THEN '{column.year}' END AS reference_year, {f"CASE WHEN {ready} THEN '{column.label}' END" if column.month else "CAST(NULL AS VARCHAR)"} AS reference_period, {kept} AS kept FROM wide"""
 
 
 def _prepared(column: PeriodColumn, reset: bool):
     def run(spark, folder):
-        rows = reshape.prepare_wide_column(_wide(spark, folder), column, "ibge", reset)
+        wide = _wide(spark, folder)
+        if reset:  # percent signs, grouping by commas and exponents are no numbers there
+            cell, digit = F.element_at("raw_row", column.field), (F.col("row_number") - 1) % 10
+            odd = F.when(digit == 7, F.concat(cell, F.lit("%"))).when(digit == 8, F.lit("1,234.5")).when(digit == 9, F.lit("1e3")).otherwise(cell)
+            others = F.map_filter("raw_row", lambda key, _: key != column.field)
+            wide = wide.withColumn("raw_row", F.map_concat(others, F.create_map(F.lit(column.field), odd)))
+        rows = reshape.prepare_wide_column(wide, column, "ibge", reset)
         cell = lambda name: F.try_element_at("normalized_row", F.lit(name))
         return rows.select(
             "row_number", "is_prepared", F.round(cell("value").try_cast("double"), 4).alias("value"), cell("reference_year").alias("reference_year"),
@@ -690,7 +697,29 @@ def _prepared(column: PeriodColumn, reset: bool):
 
 
 query("r2_prepare_wide_column", _prepared_sql(WIDE_COLUMNS[2], "'1'"))(_prepared(WIDE_COLUMNS[2], False))
-query("r3_reset_and_prepare_month", _prepared_sql(MONTH_COLUMNS[1], "CAST(NULL AS VARCHAR)"))(_prepared(MONTH_COLUMNS[1], True))
+query("r3_reset_and_prepare_month", _prepared_sql(MONTH_COLUMNS[1], "CAST(NULL AS VARCHAR)", raw=True))(_prepared(MONTH_COLUMNS[1], True))
+
+
+@query(
+    "r2_prepared_counts",
+    f"""WITH {WIDE_SQL} SELECT 'wide' AS import_id, count(*) FILTER (regexp_full_match(ibge, '[0-9]{{7}}') AND {WIDE_COLUMNS[2].field} IS NOT NULL) AS transformed_rows,
+  count(*) FILTER (NOT regexp_full_match(ibge, '[0-9]{{7}}') OR {WIDE_COLUMNS[2].field} IS NULL) AS skipped_rows FROM wide""",
+)
+def prepared_counts(spark, folder):
+    return reshape.prepared_counts(reshape.prepare_wide_column(_wide(spark, folder), WIDE_COLUMNS[2], "ibge"))
+
+
+@query(
+    "p5_period_columns",
+    f"""WITH {WIDE_SQL} SELECT source_row AS row_number, {" || ',' || ".join(f"'{c.year}-{c.month or 0}:' || coalesce(printf('%.2f', {c.field}), '')" for c in WIDE_COLUMNS + MONTH_COLUMNS)} AS periods FROM wide""",
+)
+def title_columns(spark, folder):
+    """Years and months come from the titles of the columns."""
+    columns = reshape.period_columns(spark, [c.field for c in WIDE_COLUMNS + MONTH_COLUMNS])
+    number = lambda c: F.coalesce(F.format_string("%.2f", parse_number(F.element_at("raw_row", c.field)).cast("double")), F.lit(""))
+    found = [F.when(F.element_at("raw_row", c.field).isNull(), F.lit("")).otherwise(number(c)) for c in columns]
+    texts = [F.concat(F.lit(f"{c.year}-{c.month or 0}:"), text) for c, text in zip(columns, found)]
+    return _wide(spark, folder).select("row_number", F.concat_ws(",", *texts).alias("periods"))
 
 
 @query(

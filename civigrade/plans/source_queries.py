@@ -162,6 +162,22 @@ UNION ALL SELECT 'parts', NULL, CAST(p_partkey AS VARCHAR), NULL, p_name FROM pa
 )
 def export(spark, folder):
     """Two sheets with different columns, one of which is called like the sheet column."""
+    return reports.export_rows(_export_staged(spark, folder))
+
+
+@query(
+    "s9_written_export",
+    """SELECT 'orders;x;' || o_orderkey || ';' || o_orderstatus || ';' AS line FROM orders
+UNION ALL SELECT 'parts;;' || p_partkey || ';;' || p_name FROM part UNION ALL SELECT 'aba_2;aba;chave;situacao;nome'""",
+)
+def written_export(spark, folder):
+    """The lines of the written export, with its header."""
+    path = scratch_folder(spark, "export")
+    reports.write_export(_export_staged(spark, folder), path)
+    return spark.read.option("lineSep", reports.LINE_END).text(path).select(F.ltrim("value", F.lit("﻿")).alias("line"))
+
+
+def _export_staged(spark, folder):
     orders = model.table(spark, folder, "orders").select(
         F.lit("orders").alias("sheet_name"), F.col("o_orderkey").alias("row_number"),
         F.create_map(F.lit("aba"), F.lit("x"), F.lit("chave"), F.col("o_orderkey").cast("string"), F.lit("situacao"), F.col("o_orderstatus")).alias("raw_row"),
@@ -170,7 +186,7 @@ def export(spark, folder):
         F.lit("parts").alias("sheet_name"), F.col("p_partkey").alias("row_number"),
         F.create_map(F.lit("nome"), F.col("p_name"), F.lit("chave"), F.col("p_partkey").cast("string")).alias("raw_row"),
     )
-    return reports.export_rows(orders.unionByName(parts))
+    return orders.unionByName(parts)
 
 
 REPORT_CELL = r"""CASE WHEN regexp_matches({0}, '^[=+\-@\t\r]') THEN '''' || {0} ELSE {0} END"""

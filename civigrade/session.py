@@ -20,6 +20,7 @@ SESSION_SETTINGS = {
 
 
 _local_folders: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def build_session(master: str | None = None, app_name: str = "civigrade", **settings: str) -> SparkSession:
@@ -38,7 +39,22 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     Only a local session (unit tests, a laptop) may go without: it gets a temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders this application has made so far; returns their number.
+
+    For the end of a job: tables that were not yet computed or written elsewhere still read from them.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    return len(paths)
 
 
 def _local_folder(spark: SparkSession) -> str:

@@ -127,3 +127,15 @@ def test_upsert_keeps_the_last_writer(spark):
     incoming = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "k string, v int, at int")
     got = sorted((r["k"], r["v"]) for r in joins.upsert(current, incoming, ["k"], ["at"]).collect())
     assert got == [("a", 1), ("b", 4), ("c", 5)]
+
+
+def test_scratch_folders_go_when_a_job_is_done(spark, monkeypatch):
+    from pathlib import Path
+
+    from civigrade import session
+
+    monkeypatch.setattr(session, "_made", {})
+    table = session.materialise(spark.range(5), "short-lived")
+    folder = Path(table.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert folder.exists() and session.clear_scratch(spark) == 1 and not folder.exists()
+    assert session.clear_scratch(spark) == 0
