@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from civigrade.llm.spans import sliced
 from civigrade.session import scratch_folder
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PACKED = "block long, n_rows long, n_bytes long, packed binary"
 ZSTD_LEVEL = 5
 
