@@ -279,7 +279,7 @@ def perplexities(blocks: Blocks, replies: DataFrame, shards: int) -> DataFrame:
 
 
 def judged(scores: DataFrame, roles: DataFrame) -> DataFrame:
-    """Scores with the limit that holds for them and ``accepted``; a small table of quantiles is joined by language and length."""
+    """Scores with the limit that holds for them and ``kept``; a small table of quantiles is joined by language and length."""
     length = F.floor(F.log2(F.greatest("n_bytes", F.lit(1)))).cast("int")
     rows = scores.withColumn("length_class", F.greatest(F.least(length, F.lit(LONGEST_CLASS)), F.lit(SHORTEST_CLASS)))
     calibration = rows.join(roles.filter(F.col("role") == CALIBRATE), ["block", "place"], "left_semi").filter("perplexity IS NOT NULL")
@@ -295,7 +295,7 @@ def judged(scores: DataFrame, roles: DataFrame) -> DataFrame:
     )
     edge = F.coalesce("exact", "whole", F.lit(overall).cast("double"))
     limited = found.withColumn("limit", edge * SLACK).drop("l1", "c1", "l2", "exact", "whole", "length_class")
-    return limited.withColumn("accepted", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True)))
+    return limited.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True)))
 
 
 def judged_blocks(docs: DataFrame, labels: DataFrame) -> tuple[Blocks, DataFrame]:
@@ -309,11 +309,11 @@ def judged_blocks(docs: DataFrame, labels: DataFrame) -> tuple[Blocks, DataFrame
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, limit and accepted for every row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, lang, n_bytes, perplexity, limit and kept for every row of ``docs`` (doc_id, text, lang)."""
     return judged_blocks(docs.select("doc_id", "text", "lang"), labels)[1].drop("block", "place")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are accepted, with all their columns."""
     blocks, judgement = judged_blocks(docs, labels)
-    return blocks.chosen(judgement.filter("accepted").select("block", "place"))
+    return blocks.chosen(judgement.filter("kept").select("block", "place"))

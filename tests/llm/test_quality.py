@@ -82,23 +82,23 @@ def test_odd_documents(spark, odd_documents):
     assert len(rows) == odd_documents.count()
     for r in rows:
         assert (r.perplexity is None) == (r.n_bytes == 0)
-        assert r.accepted == (r.perplexity is not None and (r.limit is None or r.perplexity <= r.limit))
+        assert r.kept == (r.perplexity is not None and (r.limit is None or r.perplexity <= r.limit))
     kept = quality.accepted(odd_documents, labels)
-    assert kept.columns == odd_documents.columns and kept.count() == sum(r.accepted for r in rows)
+    assert kept.columns == odd_documents.columns and kept.count() == sum(r.kept for r in rows)
 
 
 def test_empty_tables(spark, sample, no_documents):
     labels = table(spark, FOLDER, "labels")
     assert quality.classified(no_documents, labels).count() == 0
     rows = quality.classified(sample, labels.filter("doc_id < 0")).collect()
-    assert all(r.accepted for r in rows if r.n_bytes) and all(abs(r.perplexity - 256) < 1e-3 for r in rows if r.n_bytes)
+    assert all(r.kept for r in rows if r.n_bytes) and all(abs(r.perplexity - 256) < 1e-3 for r in rows if r.n_bytes)
 
 
 def test_trusted_text_is_kept_and_junk_goes(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     out = quality.classified(docs, labels).join(labels, "doc_id").collect()
-    clean = [r.accepted for r in out if r.quality == 1 and not r.toxic and r.n_bytes > 100]
-    junk = [r.accepted for r in out if r.quality == 0]
+    clean = [r.kept for r in out if r.quality == 1 and not r.toxic and r.n_bytes > 100]
+    junk = [r.kept for r in out if r.quality == 0]
     assert sum(clean) >= 0.99 * len(clean)
     assert sum(junk) <= 0.4 * len(junk)
