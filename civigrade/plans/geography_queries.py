@@ -181,7 +181,8 @@ def _sheet_matches(spark, folder):
 ONE_ROW_SQL = MATCHED_SQL.replace("spelled AS (", "all_spelled AS (", 1).replace(
     ", parsed AS (",
     """, spelled AS (
-  SELECT row_number, trim(min(CASE WHEN original_name = '' THEN '  ' ELSE original_name END)) AS original_name
+  SELECT row_number, trim(min(CASE WHEN original_name = '' THEN '  ' ELSE original_name END)) AS original_name,
+    (arg_min({'v': name_and_state}, CASE WHEN original_name = '' THEN '  ' ELSE original_name END)).v AS name_and_state
   FROM all_spelled GROUP BY 1), parsed AS (""",
     1,
 )
