@@ -14,6 +14,7 @@ from civigrade.functions.text import cell_text, drop_fields, merged_field, put_f
 from civigrade.functions.values import number_text, parse_number, parse_plain_or_regional, parse_wide_number
 from civigrade.operators.geography import resolve_codes
 from civigrade.operators.joins import rows_before
+from civigrade.session import materialise
 
 PREPARED_FIELDS = ["reference_year", "reference_period", "value", "source_measure"]
 
@@ -86,6 +87,8 @@ def expand_periods(
         "import_id", "sheet_name", "row_number", kept.alias("kept"), cell_text(_cell(municipality_field)).alias("municipality_text"),
         _filled_cells(columns).alias("cells"),
     ).filter(F.size("cells") > 0)
+    # Counting and placing both read the cells, so these are picked once.
+    rows = materialise(rows, "period-cells")
     placed = rows_before(rows, ["import_id", "sheet_name"], "row_number", [], F.size("cells"), "cells_before")
     resolved = resolve_codes(placed, F.col("municipality_text"), municipalities)
     unfolded = resolved.select("*", F.posexplode("cells").alias("cell_position", "cell")).select("*", "cell.*").drop("cells", "cell")
