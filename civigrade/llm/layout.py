@@ -9,6 +9,11 @@ Blocks begin on a new line, those with a margin after an empty one. List items g
 Preformatted text keeps its blanks. Tables whose cells are short lines get aligned columns; in other tables, which only arrange a
 page, every cell is a block.
 
+Only elements whose content is raw text end at their end tag alone. ``svg``, ``math`` and ``object`` are parsed like others and their
+text is kept: each ``text`` of a drawing and each cell of a formula's table on a line of its own, the fallback of an object where it
+stands. Titles, descriptions and metadata of drawings and annotations of formulas are never shown. Inside ``svg`` and ``math`` a tag
+that ends in ``/>`` is closed by it, and a tag that cannot stand there ends them.
+
 Pages are independent and each is rendered where it is read. Defined results: a null or empty page gives an empty text; text outside
 of any tag is kept; an unfinished tag is text; elements nested deeper than ``MAX_DEPTH`` keep their content and lose their own
 layout; repeated pages and null ids come back as they are; further columns are ignored.
@@ -32,8 +37,17 @@ MAX_SPAN = 100
 GAP = "  "
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe noembed noframes object svg math".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math datalist audio video canvas".split())
+RAW = frozenset("script style template noscript iframe noembed noframes".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist audio video canvas".split())
+#: Parts of drawings and formulas that are never shown, and those on a line of their own.
+FOREIGN_HIDDEN = {"svg": frozenset("desc metadata".split()), "math": frozenset("annotation annotation-xml".split())}
+FOREIGN_BLOCK = frozenset("text mtr mtd".split())
+#: Parts of drawings and formulas whose content is HTML again.
+FOREIGN_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Start tags that end the drawing or formula they stand in.
+FOREIGN_ENDS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())
 BLOCK = SPACED | frozenset(
@@ -76,6 +90,24 @@ def attributes_of(text: str) -> dict[str, str]:
     return {name.lower(): html.unescape(value.strip("\"'")) for name, value in ATTRIBUTE.findall(text)} if text.strip(" /\n\t\r") else {}
 
 
+def closes_itself(rest: str) -> bool:
+    """Whether a tag ends in a slash that is not part of an unquoted value."""
+    if not rest.endswith("/"):
+        return False
+    before = rest[:-1].rsplit(None, 1)[-1:]
+    return not before or rest[-2].isspace() or before[0][-1] in "\"'" or "=" not in before[0]
+
+
+def foreign_depth(stack: list[Element]) -> int:
+    """Where in the stack the drawing or formula begins whose own content comes next; 0 if that is HTML."""
+    for depth in range(len(stack) - 1, 0, -1):
+        if stack[depth].tag in ("svg", "math"):
+            return depth
+        if stack[depth].tag in FOREIGN_HTML:
+            return 0
+    return 0
+
+
 def tree_of(page: str) -> Element:
     """The elements and texts of a page below one root."""
     root = Element("html", {})
@@ -117,21 +149,31 @@ def tree_of(page: str) -> Element:
                     if stack[depth].tag in WALLS and name not in TABLE_PARTS or stack[depth].tag == "table":
                         break
             continue
+        inside = foreign_depth(stack)
+        if inside and name in FOREIGN_ENDS:
+            del stack[inside:]
+            inside = 0
         if any(e.tag == "head" for e in stack[1:]) and name not in HEAD_ONLY and name != "head":
             end({"head"}, set())
         if name in ENDS:
             end(*ENDS[name])
         elif name in BLOCK:
             end({"p"}, WALLS)
-        element = Element(name, attributes_of(mark["rest"] or ""))
+        rest = mark["rest"] or ""
+        element = Element(name, attributes_of(rest))
+        closed = (inside or name in ("svg", "math")) and closes_itself(rest)
+        if inside and name in FOREIGN_HIDDEN[stack[inside].tag]:
+            element.attributes["hidden"] = ""
         if name in RAW:
+            if closed:
+                continue
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
         if name in ("html", "body"):
             continue
         stack[-1].content.append(element)
-        if name not in VOID and len(stack) < MAX_DEPTH:
+        if not closed and name not in VOID and len(stack) < MAX_DEPTH:
             stack.append(element)
 
 
@@ -225,6 +267,10 @@ def lay_out(element: Element, page: Page) -> None:
             lay_out(part, page)
             page.block(False)
             page.prefix, page.bullet = outer, ""
+        elif tag in FOREIGN_BLOCK:
+            page.block(False)
+            lay_out(part, page)
+            page.block(False)
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu") and page.prefix
             indent = "  " if tag in ("dd", "blockquote") else ""

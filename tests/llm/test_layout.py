@@ -32,6 +32,28 @@ CASES = {
 }
 
 
+FOREIGN = {
+    "closed icon": ('a<svg width="1" viewBox="0 0 1 1"/>b<p>c', "ab\n\nc"),
+    "closed icons": ("a<svg/>b<math />c<svg><path d='M0'/></svg>d", "abcd"),
+    "unclosed object": ("a<object data=x.pdf>b<p>c", "ab\n\nc"),
+    "unclosed drawing": ("a<svg><path d=M0><p>b</p><div>c", "a\n\nb\n\nc"),
+    "labels": ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><style/><text x=1>Norte</text><text>Sul <tspan>2</tspan></text></svg>", "Norte\nSul 2"),
+    "formula": ("E <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> f", "E x=1 f"),
+    "formula table": ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1\n2"),
+    "html in drawing": ("<svg><foreignObject><p>a</p><p>b</p></foreignObject><text>c</text></svg>d", "a\n\nb\n\nc\nd"),
+    "fallback": ("<object><param name=a value=b><p>old</p></object>new", "old\n\nnew"),
+    "unquoted slash": ("<svg href=a/><text>b</text></svg>c", "b\nc"),
+    "names outside": ("<desc>a</desc> <metadata>b</metadata>", "a b"),
+    "raw text": ("a<iframe>x</iframe><noscript>y</noscript>b", "ab"),
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_drawings_formulas_and_objects(name):
+    source, text = FOREIGN[name]
+    assert layout.rendered(source) == text
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_case(name):
     source, text = CASES[name]
