@@ -10,8 +10,7 @@ one log probability per n-gram back, and adds them up along its texts. Neither t
 orders one and two are sent to every task, at most 256 + 65,536 numbers.
 
 One trusted document in ``CALIBRATION_FOLDS`` teaches nothing; the perplexities of these documents give each language its own
-quantile, by length, since short texts scatter more. A document is rejected when its perplexity lies above the quantile by more than
-the factor ``SLACK``.
+quantile, by length, since short texts scatter more. A document is rejected when its perplexity lies above that quantile.
 
 Defined results: a null or empty text has no perplexity and is rejected; a null language is a language; a language and length with
 fewer than ``LEAST_CALIBRATED`` calibration documents uses the language's, then the whole calibration set's quantiles, and without
@@ -38,7 +37,6 @@ SHARD_GRAMS = 250_000
 BLOCKS_PER_SALT = 2_048
 CALIBRATION_FOLDS = 5
 QUANTILE = 0.99
-SLACK = 1.15
 #: Texts of fewer or more bytes than these powers of two share a class of lengths.
 SHORTEST_CLASS, LONGEST_CLASS = 5, 14
 LEAST_CALIBRATED = 50
@@ -294,7 +292,7 @@ def judged(scores: DataFrame, roles: DataFrame) -> DataFrame:
         whole, F.col("lang").eqNullSafe(F.col("l2")), "left"
     )
     edge = F.coalesce("exact", "whole", F.lit(overall).cast("double"))
-    limited = found.withColumn("limit", edge * SLACK).drop("l1", "c1", "l2", "exact", "whole", "length_class")
+    limited = found.withColumn("limit", edge).drop("l1", "c1", "l2", "exact", "whole", "length_class")
     return limited.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True)))
 
 

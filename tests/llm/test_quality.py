@@ -102,3 +102,14 @@ def test_trusted_text_is_kept_and_junk_goes(spark):
     junk = [r.kept for r in out if r.quality == 0]
     assert sum(clean) >= 0.99 * len(clean)
     assert sum(junk) <= 0.4 * len(junk)
+
+
+def test_rejection_rates_of_labelled_documents(spark):
+    """Junk, toxic and clean documents of the largest tables; a limit wider than the quantile lets most toxic ones through."""
+    folder = "/root/testdata/sf0.1"
+    labels = table(spark, folder, "labels")
+    rejected = defaultdict(list)
+    for r in quality.classified(table(spark, folder, "documents"), labels).join(labels, "doc_id").collect():
+        rejected["toxic" if r.toxic else "clean" if r.quality == 1 else "junk"].append(not r.kept)
+    rate = {kind: sum(values) / len(values) for kind, values in rejected.items()}
+    assert rate["junk"] >= 0.88 and rate["toxic"] >= 0.4 and rate["clean"] <= 0.01
