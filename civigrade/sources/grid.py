@@ -61,10 +61,16 @@ def last_values(grid: DataFrame) -> DataFrame:
 def infer_headers(grid: DataFrame, search_rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
     """Header of every sheet: ``header_rows``, ``columns`` (0-based positions kept), ``names`` and ``combined``.
 
-    A header is searched in the first ``search_rows`` rows. ``header_rows`` is empty where none was found; the first row names the
+    A header is searched in the ``search_rows`` rows from the sheet's first row with two values on, so blank rows and titles above, stored
+    or not, never hide it. Every sheet of the grid gets a row. ``header_rows`` is empty where none was found; the first row names the
     columns then. ``combined`` tells that the names come from all header levels.
     """
-    sample = grid.filter(F.col("row_number") <= search_rows)
+    starts = grid.groupBy(*SHEET).agg(
+        F.coalesce(F.min(F.when(_populated(F.col("cells")) >= 2, F.col("row_number"))), F.min("row_number")).alias("_start")
+    )
+    number = F.col("row_number")
+    inside = (number >= F.col("_start") - MOST_HEADER_ROWS) & (number < F.col("_start") + search_rows)
+    sample = attach_counted(grid, starts, SHEET).filter(inside | (number == 1))
     numeric = F.size(F.filter("cells", lambda c: has_value(c) & looks_numeric(c)))
     row = F.struct("row_number", "cells", _populated(F.col("cells")).alias("populated"), numeric.alias("numeric"))
     sheets = sample.groupBy(*SHEET).agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max(F.size("cells")).alias("width"))

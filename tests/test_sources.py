@@ -186,6 +186,22 @@ def test_grid_keeps_columns_that_fill_late(spark):
     assert grid.quality_warnings(g, data).first()["sparse_columns"] == 1
 
 
+def test_grid_sheets_that_begin_late(spark):
+    """The first stored row is row 60: with a header, with data at once, and with one column; and a header below 50 titles."""
+    late = lambda *cells, name: sheet(spark, *cells, name=name).withColumn("row_number", F.col("row_number") + 59)
+    titled = late(["Ilha", "Ano", "Ninhos"], ["Bela", "1990", "3"], ["Grande", "1991", "4"], name="A")
+    data = late(["Bela", "1990", "3"], ["Grande", "1991", "4"], name="B")
+    single = late(["x"], ["y"], name="C")
+    below = sheet(spark, *[["nota", None, None]] * 50, ["Ilha", "Ano", "Ninhos"], ["Bela", "1990", "3"], name="D")
+    g = titled.unionByName(data).unionByName(single).unionByName(below)
+    headers = {h["sheet"]: h for h in grid.infer_headers(g).collect()}
+    assert sorted(headers) == ["A", "B", "C", "D"]
+    assert headers["A"]["names"] == headers["D"]["names"] == ["Ilha", "Ano", "Ninhos"]
+    assert headers["A"]["first_data"] == 61 and headers["D"]["first_data"] == 52
+    found = grid.table_rows(g, grid.infer_headers(g)).groupBy("sheet").count().collect()
+    assert {r["sheet"]: r["count"] for r in found} == {"A": 2, "B": 2, "C": 2, "D": 1}
+
+
 def test_titled_column_without_any_value(spark):
     header, data = table(spark, ["Ilha", "Ano", "Ninhos", "Nota"], ["Bela", "1990", "3"], ["Grande", "1991", "4"])
     assert header["names"] == ["Ilha", "Ano", "Ninhos", "Nota"]
