@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import containment, hilbert, layout, mixing, perfect_hash, profiles, quality, repeats, simhash, token_lengths
+from civigrade.llm import containment, hilbert, layout, mixing, perfect_hash, profiles, quality, ranked, repeats, simhash, token_lengths, whitening
 from civigrade.llm.shipping import ship
 
 #: Directory of vocabulary files on the driver; executors get the bytes.
@@ -145,3 +145,44 @@ def op10_language_profiles(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     return simhash.clustered(table(spark, folder, "documents"))
+
+
+@query
+def op12_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """All whole embeddings on their first four whitened components."""
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return ranked.search(ranked.build(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+ORACLE["op13_ranked_search"] = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+  )) AS term FROM t
+), tf AS (
+  SELECT id AS doc_id, term, count(*) AS tf FROM w WHERE side = 'd' GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths
+), m AS (
+  SELECT doc_id, 100 - 50 + (50 * n * docs) // terms AS m FROM lengths, total
+), df AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term
+), asked AS (
+  SELECT DISTINCT id AS item_id, term FROM w WHERE side = 'i'
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+), ranks AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranks WHERE rank <= 50
+"""
