@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 BLANKS = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint8)
@@ -25,12 +26,10 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-#: One pair (value of each byte, base of the polynomial) for each lane of a word's hash; blanks count nothing.
-LANES = []
-for _lane in (1, 2):
-    _table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(_lane))
-    _table[BLANKS] = 0
-    LANES.append((_table, int(mixed(np.array([977 + _lane], dtype=np.uint64))[0]) | 1))
+#: Where the hash of a word starts, for each lane; what keeps the bytes of a word's last eight; longer words are hashed one by one.
+LANES = mixed(np.array([978, 979], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+LAST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+LONG_WORD = 1 << 10
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,22 +75,22 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def powers(base: int, count: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(count - 1, 0), base, dtype=np.uint64)]))
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64)
-    table, base = LANES[lane]
-    first = starts[0]
-    spread = np.diff(np.append(starts, ends[-1]))
-    place = np.arange(ends[-1] - first) - np.repeat(starts - first, spread)
-    weight = powers(base, int((ends - starts).max()))
-    np.minimum(place, len(weight) - 1, out=place)  # only blanks lie further
-    values = table[data[first : ends[-1]]] * weight[place]
-    return mixed(np.add.reduceat(values, starts - first) + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes: eight at a time are mixed into all bits of what came before, so no order or structure cancels."""
+    left = ends - starts
+    result = mixed(left.astype(np.uint64) + LANES[lane])
+    long = np.flatnonzero(left > LONG_WORD)
+    for i in long.tolist():
+        result[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(LANES[lane]))
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    open_words = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    at, left = starts[open_words], left[open_words]
+    while len(open_words):
+        result[open_words] = mixed(result[open_words] ^ (eights[at] & LAST_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        open_words, at, left = open_words[more], at[more] + 8, left[more] - 8
+    return result
 
 
 def window_hashes(hashes: np.ndarray, count: int) -> np.ndarray:

@@ -1,14 +1,12 @@
 """Exact vocabularies of Arrow text columns: which bytes make a word or term, and the distinct ones of a slice.
 
-Arrow's dictionary compares the bytes themselves, so two words have the same code only if they are equal, and hashes of words are
-made once for each distinct word, by XXH3 with 128 bits. Nothing here knows Spark.
+Arrow's dictionary compares the bytes themselves, so two words have the same code only if they are equal. Nothing here knows Spark.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Bytes of terms: ASCII digits and letters, and all of every other character.
 IN_TERM = np.zeros(256, dtype=bool)
@@ -52,9 +50,3 @@ def split_terms(blobs: list[bytes]) -> pa.Array:
     edges = np.concatenate([[-1], np.flatnonzero(blank), [len(data)]])
     lengths = np.diff(edges) - 1
     return binary_array(data[~blank], lengths) if len(data) else pa.array([], pa.binary())
-
-
-def digests(words: pa.Array) -> np.ndarray:
-    """Two 64-bit hashes of every word, as columns."""
-    joined = b"".join([xxhash.xxh3_128_digest(word) for word in words.to_pylist()])
-    return np.frombuffer(joined, dtype=np.uint64).reshape(-1, 2)

@@ -90,3 +90,14 @@ def test_query_digest(spark):
 
     row = QUERIES["op5_substring_dedup"](spark, "/root/testdata/sf0.001").first()
     assert re.fullmatch("[0-9a-f]{64}", row["kept_sha256"]) and hashlib.sha256(b"").digest_size == 32
+
+
+def test_words_that_cancel_in_polynomials(spark):
+    """Windows that differ in one long structured word (a Thue-Morse word and its complement) are different windows."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.without_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
