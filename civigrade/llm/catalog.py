@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civigrade.llm import containment, hilbert, layout, mixing, perfect_hash, profiles, quality, ranked, repeats, simhash, token_lengths, whitening
+from civigrade.llm import containment, hilbert, layout, mixing, odd, perfect_hash, profiles, quality, ranked, repeats, simhash, token_lengths, whitening
 from civigrade.llm.shipping import ship
 
 #: Directory of vocabulary files on the driver; executors get the bytes.
@@ -147,6 +147,34 @@ def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.clustered(table(spark, folder, "documents"))
 
 
+@query
+def op11_odd_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of all documents under links of four fifths of their four-word shingles."""
+    return odd.clustered(table(spark, folder, "documents"))
+
+
+ORACLE["op11_odd_sketches"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+  ) AS words FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS gram FROM w, unnest(generate_series(1, greatest(1, len(words) - 3))) AS t(i) WHERE len(words) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n_shingles + b.n_shingles - shared)
+), reach AS (
+  SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.reached = l.x
+), named AS (
+  SELECT doc_id, min(reached) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM named LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op12_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """All whole embeddings on their first four whitened components."""
