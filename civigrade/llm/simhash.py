@@ -16,7 +16,7 @@ each written to the shared folder.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are linked like any others; fewer words than a
 shingle make one shingle; a null doc_id is never a component's name unless all its ids are null; repeated rows come once each;
-further columns are ignored, or kept by ``representatives``.
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.llm import spans
-from civigrade.llm.blocks import pack
 from civigrade.session import materialise
 
 SHINGLE = 3
@@ -228,19 +227,3 @@ def clustered(docs: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
     named = components(marked, F.min("doc_id"), tree_nodes)
     joined = marked.join(named, F.col("fingerprint") == F.col("fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns: the one with the smallest doc_id (null last), the first such if it is repeated."""
-    blocks = pack(docs)
-
-    def mark(block: int, rows: pa.Table) -> pa.Table:
-        values = fingerprints(rows["text"].to_pylist()).view(np.int64)
-        return pa.table(
-            {"block": pa.array(np.full(len(values), block)), "place": pa.array(np.arange(len(values))), "doc_id": rows["doc_id"].cast(pa.int64()), "fingerprint": pa.array(values)}
-        )
-
-    marked = materialise(blocks.each(mark, "block long, place long, doc_id long, fingerprint long"), "document-fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "block", "place"))
-    best = components(marked, first).select("component").distinct()
-    return blocks.chosen(best.select("component.block", "component.place"))

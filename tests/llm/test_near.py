@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from civigrade.llm import near
+from civigrade.llm import near, odd
 from civigrade.llm.catalog import table
 
 
@@ -54,7 +54,7 @@ def test_real_documents(odd_documents, spark):
 @pytest.mark.parametrize("crowd", [32, 2])
 def test_copies_with_changed_words(spark, odd_documents, monkeypatch, crowd):
     """Copies around the limit, far beyond two bits of a fingerprint, and chains of them; also where all keys are crowded."""
-    monkeypatch.setattr(near, "CROWD", crowd)
+    monkeypatch.setattr(odd, "CROWD", crowd)
     chance, rows = random.Random(7), []
     for _ in range(12):
         words = [f"w{chance.randrange(5000)}" for _ in range(chance.randrange(40, 160))]
