@@ -25,10 +25,10 @@ ids are null, and is not kept; repeated rows come once each; further columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,9 @@ SKETCH_BITS = 64 * SKETCH_LONGS
 FARTHEST = 131
 CROWD = 32
 #: Classes of size to a doubling.
-CLASSES = 16
+CLASSES = 8
+#: Shingles that one count of the crowd's shingles is meant to hold.
+BUCKET_SHINGLES = 1_000_000
 MARKS = "block long, place long, doc_id long, d1 long, d2 long, size long, keys array<long>, sketch array<long>"
 PREFIX = "bucket long, lo int, hi int, node long, size long, position long, own int, sketch array<long>"
 KEY = ["bucket", "lo", "hi"]
@@ -202,46 +204,75 @@ def size_class(size: int) -> int:
     return int(CLASSES * math.log2(size))
 
 
+def frequencies(blocks: Blocks, members: DataFrame, shingle: int) -> DataFrame:
+    """How many of ``members`` hold each shingle that several hold: (block, tokens, dfs), for the shingles of each block.
+
+    A block asks for its distinct shingles with their counts, in sorted arrays by range of the hash; so a shingle that all members
+    hold is one number for each block.
+    """
+    total = members.agg(F.sum("size")).first()[0]
+    buckets = np.uint64(min(1 << 30, -(-total // BUCKET_SHINGLES)))
+
+    def ask(block: int, rows: pa.Table, own: pa.Table) -> pa.Table:
+        hashes, _ = shingle_sets(rows["text"].take(own["place"]), shingle)
+        found, counts = np.unique(hashes[:, 0], return_counts=True)
+        of_bucket = ((found >> np.uint64(32)) * buckets >> np.uint64(32)).astype(np.int64)
+        heads = np.flatnonzero(np.diff(of_bucket, prepend=-1))
+        edges = np.append(heads, len(found)).astype(np.int32)
+        columns = {"bucket": pa.array(of_bucket[heads]), "block": pa.array(np.full(len(heads), block))}
+        return pa.table(columns | {"tokens": pa.ListArray.from_arrays(edges, found.view(np.int64)), "counts": pa.ListArray.from_arrays(edges, counts)})
+
+    def count(rows: pa.Table) -> pa.Table:
+        tokens, counts = (pc.list_flatten(rows[name]).to_numpy() for name in ("tokens", "counts"))
+        found, place = np.unique(tokens, return_inverse=True)
+        totals = np.zeros(len(found), dtype=np.int64)
+        np.add.at(totals, place, counts)
+        totals = totals[place]
+        of_row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows["tokens"]).to_numpy())
+        several = totals > 1
+        edges = np.searchsorted(of_row[several], np.arange(rows.num_rows + 1)).astype(np.int32)
+        kept = {"tokens": tokens[several], "dfs": totals[several]}
+        return pa.table({"block": rows["block"]} | {name: pa.ListArray.from_arrays(edges, values) for name, values in kept.items()})
+
+    asked = blocks.answered(members.select("block", "place"), ask, "bucket long, block long, tokens array<long>, counts array<long>")
+    return asked.groupBy("bucket").applyInArrow(count, "block long, tokens array<long>, dfs array<long>")
+
+
 def prefixes(blocks: Blocks, members: DataFrame, shingle: int) -> DataFrame:
     """Keys of the exact filter for all ``members`` (node, size, sketch, block, place)."""
 
-    def shingles_of(_: int, rows: pa.Table, own: pa.Table) -> pa.Table:
-        nodes, found = [], []
-        for place, node in zip(own["place"].to_pylist(), own["node"].to_pylist()):
-            hashes, _ = shingle_sets(rows["text"].slice(place, 1), shingle)
-            nodes.append(np.full(len(hashes), node))
-            found.append(hashes[:, 0].copy().view(np.int64))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"node": pa.array(np.concatenate([empty, *nodes])), "token": pa.array(np.concatenate([empty, *found]))})
-
-    tokens = materialise(blocks.answered(members.select("block", "place", "node"), shingles_of, "node long, token long"), "crowd-shingles")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ordered = tokens.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    # Shingles that no other member has come first and only count as positions; what is not within the widest prefix is no key.
-    widest = F.col("size") - F.ceil(F.lit(SHARED) * F.col("size") / OF) + 1
-    first = F.expr("transform(common, x -> x.token)")
-    rows = members.select("node", "size", "sketch").join(ordered, "node").withColumns({"rare": F.col("size") - F.size("common"), "widest": widest})
-    near = rows.filter("rare < widest").select("node", "size", "sketch", "rare", F.slice(first, F.lit(1), (F.col("widest") - F.col("rare")).cast("int")).alias("tokens"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, size, sketch, rare, own_tokens in zip(*(column.to_pylist() for column in batch.columns)):
-                out = {name: [] for name in ("bucket", "lo", "hi", "position")}
-                own, smallest = size_class(size), -(-SHARED * size // OF)
-                for other in range(size_class(smallest), size_class(OF * size // SHARED) + 1):
-                    least = max(smallest, int(2 ** (other / CLASSES)))
-                    for i, token in enumerate(own_tokens[: max(0, size - overlap(size, least) + 1 - rare)]):
-                        for name, value in zip(out, (token, min(own, other), max(own, other), rare + i)):
-                            out[name].append(value)
-                count = len(out["bucket"])
-                if count:
-                    fixed = {"node": node, "size": size, "own": own}
-                    columns = {name: pa.array(values, pa.int64()) for name, values in out.items()} | {name: pa.array([value] * count, pa.int64()) for name, value in fixed.items()}
-                    columns["sketch"] = pa.array([sketch] * count, pa.list_(pa.int64()))
-                    columns |= {name: columns[name].cast(pa.int32()) for name in ("lo", "hi", "own")}
-                    yield pa.RecordBatch.from_pydict({name: columns[name] for name in ("bucket", "lo", "hi", "node", "size", "position", "own", "sketch")})
-
-    keys = materialise(near.mapInArrow(keyed, PREFIX), "prefix-keys")
+    def keyed(_: int, rows: pa.Table, own: pa.Table) -> pa.Table:
+        tokens, dfs = (np.concatenate([np.zeros(0, np.int64), *own[name].drop_null().to_pylist()]).astype(np.int64) for name in ("tokens", "dfs"))
+        order = np.argsort(tokens)
+        tokens, dfs = tokens[order], dfs[order]
+        own = own.filter(pc.is_valid(own["place"]))
+        hashes, of_row = shingle_sets(rows["text"].take(own["place"]), shingle)
+        found = hashes[:, 0].copy().view(np.int64)
+        at = np.minimum(np.searchsorted(tokens, found), max(len(tokens) - 1, 0))
+        # Shingles that no other member has come first and only count as positions.
+        common = tokens[at] == found if len(tokens) else np.zeros(len(found), dtype=bool)
+        found, of_row, df = found[common], of_row[common], dfs[at[common]] if len(tokens) else found[common]
+        order = np.lexsort((found, df, of_row))
+        found, edges = found[order], np.searchsorted(of_row, np.arange(own.num_rows + 1))
+        out = {name: [] for name in ("bucket", "lo", "hi", "row", "position")}
+        for row, size in enumerate(own["size"].to_pylist()):
+            rare = size - int(edges[row + 1] - edges[row])
+            mine, smallest = size_class(size), -(-SHARED * size // OF)
+            for other in range(size_class(smallest), size_class(OF * size // SHARED) + 1):
+                least = max(smallest, int(2 ** (other / CLASSES)))
+                count = size - overlap(size, least) + 1 - rare
+                for i, token in enumerate(found[edges[row] : edges[row] + max(0, min(count, size - rare))].tolist()):
+                    for name, value in zip(out, (token, min(mine, other), max(mine, other), row, rare + i)):
+                        out[name].append(value)
+        taken = own.select(["node", "size", "sketch"]).take(pa.array(out["row"], pa.int64()))
+        classes = [size_class(size) for size in taken["size"].to_pylist()]
+        columns = {"bucket": pa.array(out["bucket"], pa.int64()), "lo": pa.array(out["lo"], pa.int32()), "hi": pa.array(out["hi"], pa.int32())}
+        columns |= {"node": taken["node"], "size": taken["size"], "position": pa.array(out["position"], pa.int64())}
+        return pa.table(columns | {"own": pa.array(classes, pa.int32()), "sketch": taken["sketch"]})
+
+    members = materialise(members, "crowd")
+    known = members.unionByName(materialise(frequencies(blocks, members, shingle), "crowd-shingles"), allowMissingColumns=True)
+    keys = materialise(blocks.answered(known, keyed, PREFIX), "prefix-keys")
     counts = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("position", "node", "size", "sketch", "own", "lo", "hi")).alias("hub")).filter("n > 1")
     return materialise(keys.join(counts, KEY), "shared-prefixes")
 
