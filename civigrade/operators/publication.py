@@ -140,7 +140,7 @@ def _duplicate_counts(candidates: DataFrame, by_sheet: bool) -> DataFrame:
 
 
 def _judge(candidates: DataFrame, counts: DataFrame, by_sheet: bool) -> DataFrame:
-    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet), null_keys=by_sheet)
+    judged = attach_counted(candidates.filter("is_valid"), counts, _duplicate_key(by_sheet))
     invalid = candidates.filter(~F.col("is_valid")).withColumn("duplicate_count", F.lit(0).cast("long"))
     return judged.unionByName(invalid, allowMissingColumns=True)
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.values import parse_number
 from civigrade.functions.periods import PeriodSelection, month_start_text
-from civigrade.operators import benchmarks, lifecycle, preparation, publication, reshape
+from civigrade.operators import benchmarks, delta, ledger, lifecycle, preparation, publication, reshape
 from civigrade.operators.preparation import IndicatorMapping
 from civigrade.operators.reshape import PeriodColumn
 from civigrade.plans import model
 from civigrade.plans.geography_queries import RESOLVED_SQL
 from civigrade.plans.registry import Registry
-from civigrade.session import materialise
+from civigrade.session import materialise, scratch_folder
 from civigrade.sources import tables
 
 query = Registry()
@@ -428,6 +428,97 @@ def sync_published(spark, folder):
     )
 
 
+# Approval of one import as a change of ledgers.
+APPROVED_FILE = "file A"
+
+
+def _delta_approval(spark, folder):
+    """Ledgers of observations and issues after the approval of one import, made twice."""
+    sheets = ("sheet F", "sheet O")
+    scope = model.literal_table(spark, [(APPROVED_FILE, "preco", sheet) for sheet in sheets], *publication.SCOPE)
+    observations = delta.observation_ledger(_earlier(spark, folder), scratch_folder(spark, "observations"))
+    issues = delta.issue_ledger(_earlier_issues(spark, folder), scratch_folder(spark, "issues"))
+    staged = model.staged(spark, folder).filter(F.col("import_id") == APPROVED_FILE)
+    prepared = preparation.prepare_batch(staged, BY_MONTH, MAPPINGS[:1], "municipio", model.municipality(spark, folder))
+    candidates = publication.prepared_candidates(prepared)
+    for day in ("2024-05-01", "2024-06-01"):
+        delta.approve(candidates, observations, issues, F.lit(day).cast("timestamp"), scope)
+    return observations, issues
+
+
+DELTA_SQL = f"""{EARLIER_SQL}, {CANDIDATES_SQL}, observations AS (
+  SELECT import_id, municipality_code, reference_period, value, source_sheet, source_row_number, is_superseded AND import_id = '{APPROVED_FILE}' AS is_superseded
+  FROM remaining
+  UNION ALL SELECT import_id, municipality_code, reference_period, value, sheet_name, row_number, false FROM judged
+  WHERE import_id = '{APPROVED_FILE}' AND is_valid AND duplicate_count = 1 AND NOT is_conflict)"""
+
+
+@query(
+    "q9_delta_approval",
+    f"""WITH {DELTA_SQL} SELECT import_id, municipality_code, CAST(reference_period AS VARCHAR) AS reference_period, round(value, 4) AS value,
+  source_sheet, source_row_number, is_superseded, CASE WHEN is_superseded THEN '2024-05-01' END AS superseded_on FROM observations""",
+)
+def delta_approval(spark, folder):
+    """One import approved twice: only its slot is read and written, and the second time commits nothing."""
+    return _delta_approval(spark, folder)[0].read().select(
+        "import_id", "municipality_code", F.col("reference_period").cast("string").alias("reference_period"), F.col("value").cast("double").alias("value"),
+        "source_sheet", "source_row_number", F.col("superseded_at").isNotNull().alias("is_superseded"),
+        F.date_format("superseded_at", "yyyy-MM-dd").alias("superseded_on"),
+    )
+
+
+def _delta_issue_sql(condition: str, field: str, rule: str) -> str:
+    return f"{_issue_sql(condition, field, rule)} AND import_id = '{APPROVED_FILE}'"
+
+
+@query(
+    "q8_delta_issues",
+    f"""WITH {EARLIER_SQL}, {CANDIDATES_SQL}
+{_delta_issue_sql("NOT valid_municipality", _CODE_FIELD, "municipality")}
+UNION ALL {_delta_issue_sql("NOT valid_value", "value", "value")}
+UNION ALL {_delta_issue_sql("duplicate_count > 1", _CODE_FIELD, "duplicate")}
+UNION ALL {_delta_issue_sql("is_conflict", _CODE_FIELD, "conflict")}
+UNION ALL SELECT 'file A', s_suppkey, 'value', 'Aba "older sheet": {publication.MESSAGES["value"]}' FROM supplier WHERE s_acctbal >= 5000""",
+)
+def delta_issues(spark, folder):
+    return _delta_approval(spark, folder)[1].read().select("import_id", "row_number", "field", "message")
+
+
+@query(
+    "q10_delta_sync",
+    f"""WITH {DELTA_SQL}, active AS (SELECT * FROM observations WHERE NOT is_superseded)
+SELECT import_id, municipality_code AS municipality_ibge_code, CAST(reference_period AS VARCHAR) AS reference_period, 'Preço' AS indicator_name,
+  round(CASE WHEN a.import_id IS NOT NULL THEN a.value ELSE e.value END, 4) AS value, e.import_id IS NULL AS is_new, a.import_id IS NULL AS is_superseded
+FROM earlier e FULL JOIN active a USING (import_id, municipality_code, reference_period)""",
+)
+def delta_sync(spark, folder):
+    """Published values brought up to date with the slots that the approval has changed."""
+    observations, _ = _delta_approval(spark, folder)
+    published = delta.published_ledger(_earlier_published(spark, folder), scratch_folder(spark, "published"))
+    for _ in range(2):
+        delta.sync(published, observations, _file_imports(spark), _price_indicator(spark), _now(), since=0)
+    return published.read().select(
+        "import_id", "municipality_ibge_code", F.col("reference_period").cast("string").alias("reference_period"), "indicator_name",
+        F.col("value").cast("double").alias("value"), (F.length("id") == 32).alias("is_new"), F.col("superseded_at").isNotNull().alias("is_superseded"),
+    )
+
+
+@query(
+    "w5_delta_upsert",
+    """SELECT p_brand, p_partkey, CASE WHEN l.price IS NOT NULL THEN round(l.price, 2) ELSE round(p_retailprice, 2) END AS price, l.price IS NOT NULL AS is_incoming
+FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS price FROM lineitem WHERE l_quantity >= 50 GROUP BY 1) l ON l_partkey = p_partkey AND p_brand = 'Brand#1'""",
+)
+def delta_upsert(spark, folder):
+    """Prices of one brand replaced by those of large sales; the slots of other brands are not touched."""
+    part, line = model.table(spark, folder, "part"), model.table(spark, folder, "lineitem")
+    rows = part.select("p_brand", "p_partkey", F.col("p_retailprice").alias("price"), F.lit(False).alias("is_incoming"))
+    prices = ledger.create(rows, scratch_folder(spark, "prices"), ("p_brand",), ("p_partkey",))
+    sold = line.filter("l_quantity >= 50").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("price"))
+    incoming = rows.filter("p_brand = 'Brand#1'").select("p_brand", "p_partkey").join(sold, "p_partkey").withColumn("is_incoming", F.lit(True))
+    ledger.upsert_slots(prices, incoming, ["p_brand", "p_partkey"])
+    return prices.read().withColumn("price", F.round("price", 2))
+
+
 # Imports for the life-cycle queries: one per supplier, its rows are the line items.
 STATUSES = ("draft", "needs_review", "approved", "archived", "discarded")
 
