@@ -66,12 +66,29 @@ def test_recall_over_sizes_and_edits(spark):
     assert len(got) >= 0.99 * len(expected)
 
 
-def test_chunks_of_items(spark, sample, monkeypatch):
+def test_chunks_of_items(spark, sample):
     items = table(spark, "/root/testdata/sf0.001", "benchmark")
     whole = found(sample, items)
-    monkeypatch.setattr(containment, "CHUNK_ITEMS", 7)
-    assert len(list(containment.chunks(items))) > 1
-    assert found(sample, items) == whole
+    assert whole
+    assert len([index for index, alone in containment.indexes(items, containment.SHINGLE, 1_000) if not alone]) > 1
+    assert sorted((tuple(r)[:4] for r in containment.contaminated_pairs(sample, items, chunk_bytes=1_000).collect()), key=repr) == whole
+
+
+def test_smallest_items_of_a_partition(spark):
+    """Items just above a power of two with four fifths of their shingles inside a long document: the least similar case."""
+    chance = random.Random(9)
+    filler = [f"f{chance.randrange(9000)}" for _ in range(3_000)]
+    items, docs = [], []
+    for number in range(200):
+        size = (17, 33, 65)[number % 3]
+        words = [f"i{number}x{k}" for k in range(size + 4)]
+        items.append((number, " ".join(words)))
+        cut = chance.randrange(len(filler))
+        docs.append((number, " ".join(filler[:cut] + words[: len(words) - size // 5] + filler[cut:])))
+    expected = brute(docs, items)
+    assert len(expected) == 200
+    got = found(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(got) <= set(expected) and len(got) >= 199
 
 
 def test_empty_tables(spark, sample, no_documents):
