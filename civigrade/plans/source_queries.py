@@ -70,6 +70,41 @@ def multiline_cells(spark, folder):
     return tables.read_csv_table(spark, path).select("chave", "nota")
 
 
+@query(
+    "s1_repeated_headers",
+    """SELECT o_orderkey AS valor, o_custkey AS valor_2, CASE o_orderkey % 3 WHEN 1 THEN o_orderstatus || chr(10) || 'x' ELSE o_orderstatus END AS valor_3 FROM orders""",
+)
+def repeated_headers(spark, folder):
+    """One header name three times, in three layouts: plain, with line breaks in cells, and records wrapped in quotes."""
+    path = scratch_folder(spark, "repeated")
+    key, customer, status = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    broken = F.concat(F.lit('"'), status, F.lit('\nx"'))
+    separators = (";", "|", ",")
+    for part, cell in enumerate((status, broken, status)):
+        separator = F.lit(separators[part])
+        line = F.concat(key, separator, customer, separator, cell)
+        line = F.concat(F.lit('"'), line, F.lit('"')) if part == 2 else line
+        header = separators[part].join(("valor", "valor", "Valor"))
+        lines = model.table(spark, folder, "orders").filter(F.col("o_orderkey") % 3 == part).select(line.alias("line"))
+        spark.sql(f"SELECT '{header}' AS line").unionByName(lines.coalesce(1)).coalesce(1).write.mode("append").text(path)
+    return tables.read_csv_table(spark, path).select("valor", "valor_2", "valor_3")
+
+
+@query(
+    "s1_s6_one_broken_file",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, CAST(o_orderkey AS VARCHAR) AS chave, o_orderpriority || chr(10) || 'diz "sim"; ' || o_orderstatus AS nota
+FROM orders""",
+)
+def one_broken_file(spark, folder):
+    """All orders in one file with a line break in every record, read block by block and numbered in file order."""
+    path = scratch_folder(spark, "broken")
+    note = F.concat("o_orderpriority", F.lit('\ndiz "sim"; '), "o_orderstatus")
+    orders = model.table(spark, folder, "orders").select(F.col("o_orderkey").alias("chave"), note.alias("nota"))
+    orders.coalesce(1).sortWithinPartitions("chave").write.options(header=True, sep=";", escape='"').csv(path)
+    staged = tables.stage(tables.read_csv(spark, path), "i", "s")
+    return staged.select("row_number", F.col("raw_row")["chave"].alias("chave"), F.col("raw_row")["nota"].alias("nota"))
+
+
 @query("s1_long_keys", "SELECT '9' || lpad(CAST(o_orderkey AS VARCHAR), 24, '0') AS chave, o_totalprice AS preco FROM orders")
 def long_keys(spark, folder):
     """Whole numbers of 25 digits that differ in the last ones."""

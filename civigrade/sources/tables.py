@@ -12,6 +12,7 @@ from civigrade.functions.naming import unique_names
 from civigrade.functions.text import put_fields
 from civigrade.operators.joins import first_per_key, lookup, number_rows, prefix_sums
 from civigrade.operators.profiling import as_staged_cells, holds_regional_decimals, normalise_columns, normalise_decimals, profile_staged, regional_decimal, with_positions
+from civigrade.sources.records import whole_records
 
 SEPARATORS = (";", ",", "\t", "|")
 SAMPLE_LINES = 20
@@ -71,7 +72,8 @@ def dialects(spark: SparkSession, path: str, sample_lines: int = SAMPLE_LINES) -
     )
     first = first_per_key(lines.filter(F.col("block") == 0), ["file"], F.col("at"), rows=sample_lines)
     heads = first.groupBy("file").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("at", text.alias("line")))), lambda s: s["line"]).alias("lines")
+        F.transform(F.sort_array(F.collect_list(F.struct("at", text.alias("line")))), lambda s: s["line"]).alias("lines"),
+        F.min_by(F.col("value").cast("binary"), "at").alias("raw_header"),
     )
     filled = F.filter("lines", lambda line: line != "")
     scores = []
@@ -95,20 +97,22 @@ def dialects(spark: SparkSession, path: str, sample_lines: int = SAMPLE_LINES) -
         .join(whole, "file")
         .select(
             "file", "encoding", F.coalesce("wrapped", "separator").alias("separator"),
-            F.col("wrapped").isNotNull().alias("is_wrapped"), "has_breaks", header.alias("header"),
+            F.col("wrapped").isNotNull().alias("is_wrapped"), "has_breaks",
+            F.when(F.col("encoding") == LATIN, F.regexp_replace(F.decode("raw_header", LATIN), "\r$", "")).otherwise(header).alias("header"),
         )
     )
 
 
-def read_csv(spark: SparkSession, path: str, most_layouts: int = MOST_LAYOUTS) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, most_layouts: int = MOST_LAYOUTS, sample_lines: int = SAMPLE_LINES) -> DataFrame:
     """All cells of a folder of CSV files as text, each file read with the dialect and the header found in it.
 
     Files are read together by layout and meet by column name; a column that a layout lacks is null in its rows. Adds the hidden
-    order columns :func:`stage` numbers rows by. Files with line breaks inside cells are read by one task each. The layouts, not the
-    files, are what the driver loops over; more than ``most_layouts`` are refused.
+    order columns :func:`stage` numbers rows by. Files with line breaks inside cells are read by all tasks too, block by block
+    (:mod:`civigrade.sources.records`). The layouts, not the files, are what the driver loops over; more than ``most_layouts`` are
+    refused.
     """
     layout = ["encoding", "separator", "is_wrapped", "has_breaks", "header"]
-    found = dialects(spark, path).groupBy(*layout).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    found = dialects(spark, path, sample_lines).groupBy(*layout).agg(F.sort_array(F.collect_list("file")).alias("files"))
     layouts = sorted(found.limit(most_layouts + 1).collect(), key=lambda row: row["files"][0])
     if not layouts:
         raise ValueError(f"no lines in {path}")
@@ -122,17 +126,51 @@ def read_csv(spark: SparkSession, path: str, most_layouts: int = MOST_LAYOUTS) -
     return together.select(*[F.col(f"`{c}`") for c in order])
 
 
+def header_names(header: str, separator: str) -> list[str]:
+    """Names of a header as given; a repeated one is marked with its number, an empty one with its position.
+
+    Spark tells columns apart without case, so ``valor`` and ``Valor`` count as repeated. Canonical names come from these marks.
+    """
+    seen: dict[str, int] = {}
+    names = []
+    for position, name in enumerate(next(csv.reader([header], delimiter=separator, strict=False)), start=1):
+        name = name.strip() or f"__unnamed__{position}"
+        count = seen[name.lower()] = seen.get(name.lower(), 0) + 1
+        names.append(name if count == 1 else f"{name}_duplicated_{count - 2}")
+    return names
+
+
 def _read_layout(spark: SparkSession, paths: str | list[str], layout) -> DataFrame:
     if layout["is_wrapped"]:
         return _read_wrapped(spark, paths, layout)
-    reader = spark.read.options(
+    if layout["has_breaks"]:
+        return _read_broken(spark, paths, layout)
+    reader = spark.read.schema(_ddl(header_names(layout["header"], layout["separator"]))).options(
         header=True, sep=layout["separator"], encoding=layout["encoding"], quote='"', escape='"', mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=layout["has_breaks"],
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     rows = _with_order(reader.csv(paths))
     return _windows_text(rows) if layout["encoding"] == LATIN else rows
 
 
+def _read_broken(spark: SparkSession, paths: str | list[str], layout) -> DataFrame:
+    """Files with line breaks inside cells: records are cut in every file block, then parsed. The first record of a file is its header."""
+    separator, latin = layout["separator"], layout["encoding"] == LATIN
+    lines = _with_order(spark.read.option("lineSep", "\n").text(paths))
+    text = F.decode(F.col("value").cast("binary"), LATIN) if latin else F.col("value")
+    records = whole_records(lines.select(*ORDER_COLUMNS, F.regexp_replace(text, "^\ufeff", "").alias("line")), separator)
+    # Cell by cell a carriage return belongs to the text, at the end of a record to the line end.
+    records = records.withColumn("record", F.regexp_replace("record", "\r\\z", ""))
+    is_header = (F.col("__block") == 0) & (F.col("number") == 1)
+    header = layout["header"]
+    if header.count('"') % 2:
+        header = records.filter(is_header).agg(F.min("record")).first()[0]
+    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    cells = F.from_csv("record", _ddl(header_names(header, separator)), options)
+    parsed = records.filter(~is_header & (F.col("record") != "")).withColumn("cells", cells).select("cells.*", *ORDER_COLUMNS)
+    return _windows_text(parsed) if latin else parsed
+
+
 def _read_wrapped(spark: SparkSession, paths: str | list[str], layout) -> DataFrame:
     """Records written as one quoted field: unwrap the line, then parse it. Only the first line of each file is its header."""
     # A separator that no line has makes the reader split lines only, and take the header off each file.
@@ -142,14 +180,13 @@ def _read_wrapped(spark: SparkSession, paths: str | list[str], layout) -> DataFr
     is_wrapped = F.startswith(line, F.lit('"')) & F.endswith(line, F.lit('"')) & (F.length(line) >= 2)
     inner = F.when(is_wrapped, _unwrapped(line)).otherwise(line)
     separator = layout["separator"]
-    names = unique_names(spark, [n.strip() for n in next(csv.reader([layout["header"]], delimiter=separator))])
-    record = F.from_csv(inner, _ddl(names), {"sep": separator, "quote": '"', "escape": '"'})
+    record = F.from_csv(inner, _ddl(header_names(layout["header"], separator)), {"sep": separator, "quote": '"', "escape": '"'})
     parsed = lines.filter(line != "").withColumn("record", record).select("record.*", *ORDER_COLUMNS)
     return _windows_text(parsed) if layout["encoding"] == LATIN else parsed
 
 
 def _ddl(names: list[str]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
 
 
 def _with_order(df: DataFrame) -> DataFrame:
