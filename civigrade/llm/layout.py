@@ -6,8 +6,10 @@ reader would see is kept, in order; what is hidden (head, scripts, templates, ``
 closed details but for their summary) is not.
 
 Blocks begin on a new line, those with a margin after an empty one. List items get a bullet or number and an indent per level.
-Preformatted text keeps its blanks. Tables whose cells are short lines get aligned columns; in other tables, which only arrange a
-page, every cell is a block.
+Preformatted text keeps its blanks. Tables get aligned columns: cells take their places in a grid, those that span rows keep their
+columns in the rows below, and a cell of several lines makes its row as high. A cell longer than ``WIDEST_COLUMN`` is padded no
+further and moves the rest of its own row only. Tables with a cell of several blocks (paragraphs, lists, further tables) only arrange
+a page; there every cell is a block.
 
 Only elements whose content is raw text end at their end tag alone. ``svg``, ``math`` and ``object`` are parsed like others and their
 text is kept: each ``text`` of a drawing and each cell of a formula's table on a line of its own, the fallback of an object where it
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from civigrade.llm.spans import sliced
 
 MAX_DEPTH = 200
-SHORT_CELL = 48
-MAX_SPAN = 100
+WIDEST_COLUMN = 48
+MAX_SPAN, MOST_ROWS = 100, 65_534
 GAP = "  "
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -302,61 +305,115 @@ def lines_of(element: Element) -> list[str]:
     return page.finished()
 
 
-def rows_of(element: Element) -> Iterator[Element]:
-    """The visible rows of a table, and whatever stands between them as rows of its own."""
+def rows_of(element: Element) -> Iterator[tuple[Element, Element]]:
+    """The visible rows of a table with the group they stand in, and whatever stands between them as rows of its own."""
     for part in element.content:
         if isinstance(part, str):
             if not part.isspace():
                 stray = Element("tr", {})
                 stray.content.append(part)
-                yield stray
+                yield element, stray
         elif visible(part):
             if part.tag in ("thead", "tbody", "tfoot"):
                 yield from rows_of(part)
             elif part.tag == "tr":
-                yield part
+                yield element, part
             elif part.tag not in VOID:
                 stray = Element("tr", {})
                 stray.content.append(part)
-                yield stray
+                yield element, stray
 
 
-def cells_of(row: Element) -> list[tuple[list[str], int]]:
-    """Lines and column span of the visible cells of a row; stray content is a cell."""
-    cells = []
+def span_of(cell: Element, name: str, most: int) -> int:
+    text = cell.attributes.get(name, "1").strip()
+    span = int(text) if text.isdigit() and len(text) < 9 else 1
+    if span == 0:  # rows: all that are left in the group
+        return most if name == "rowspan" else 1
+    return min(span, most)
+
+
+def holds_blocks(element: Element) -> bool:
+    waiting = [element]
+    while waiting:
+        for part in waiting.pop().content:
+            if isinstance(part, Element) and visible(part):
+                if part.tag in BLOCK:
+                    return True
+                waiting.append(part)
+    return False
+
+
+@dataclass(frozen=True)
+class Cell:
+    """Lines of a visible cell, the columns it takes, and whether it arranges several blocks."""
+
+    lines: list[str]
+    column: int
+    span: int
+    arranges: bool
+
+
+def cells_of(row: Element) -> Iterator[Element]:
+    """The visible cells of a row; stray content is a cell."""
     for part in row.content:
         if isinstance(part, str) and part.isspace() or isinstance(part, Element) and not visible(part):
             continue
-        cell = part
-        if isinstance(part, str) or part.tag not in ("td", "th"):
+        if isinstance(part, Element) and part.tag in ("td", "th"):
+            yield part
+        else:
             cell = Element("td", {})
             cell.content.append(part)
-        span = cell.attributes.get("colspan", "1").strip()
-        cells.append((lines_of(cell), min(int(span), MAX_SPAN) if span.isdigit() and len(span) < 9 and int(span) else 1))
-    return cells
+            yield cell
+
+
+def grid_of(table: Element) -> list[list[Cell]]:
+    """The cells of every row at their columns; columns that a cell above still takes are passed over."""
+    rows: list[list[Cell]] = []
+    taken: dict[int, int] = {}  # column -> rows it is still taken for
+    group = None
+    for own_group, row in rows_of(table):
+        if own_group is not group:
+            group, taken = own_group, {}
+        cells, column, new = [], 0, {}
+        for element in cells_of(row):
+            while column in taken:
+                column += 1
+            lines, span, down = lines_of(element), span_of(element, "colspan", MAX_SPAN), span_of(element, "rowspan", MOST_ROWS)
+            cells.append(Cell(lines, column, span, len(lines) > 1 and holds_blocks(element)))
+            if down > 1:
+                new |= dict.fromkeys(range(column, column + span), down - 1)
+            column += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+        rows.append(cells)
+    return rows
 
 
 def table_lines(table: Element) -> list[str]:
-    """Aligned columns where all cells are short lines, else the cells one after the other."""
-    rows = [cells for cells in map(cells_of, rows_of(table)) if any(lines for lines, _ in cells)]
-    if any(len(lines) > 1 or lines and len(lines[0]) > SHORT_CELL for cells in rows for lines, _ in cells):
-        return [line for cells in rows for lines, _ in cells for line in lines]
+    """Aligned columns, or the cells one after the other where the table only arranges blocks."""
+    rows = [cells for cells in grid_of(table) if any(cell.lines for cell in cells)]
+    if any(cell.arranges for cells in rows for cell in cells):
+        return [line for cells in rows for cell in cells for line in cell.lines]
     widths: dict[int, int] = {}
     for cells in rows:
-        column = 0
-        for lines, span in cells:
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), len(lines[0]) if lines else 0)
-            column += span
+        for cell in cells:
+            for column in range(cell.column, cell.column + cell.span):
+                widths.setdefault(column, 0)
+            if cell.span == 1:
+                widths[cell.column] = max(widths[cell.column], *(min(len(line), WIDEST_COLUMN) for line in cell.lines or [""]))
+    begins, edge = {}, 0
+    for column in range(max(widths, default=-1) + 1):
+        begins[column] = edge
+        edge += widths.get(column, 0) + len(GAP)
     result = []
     for cells in rows:
-        line, column, edge = "", 0, 0
-        for lines, span in cells:
-            line = line.ljust(edge) + (lines[0] if lines else "")
-            edge = max(edge, 0) + sum(widths.get(c, 0) + len(GAP) for c in range(column, column + span))
-            edge = max(edge, len(line) + len(GAP)) if span > 1 else edge
-            column += span
-        result.append(line.rstrip())
+        for number in range(max(len(cell.lines) for cell in cells)):
+            line = ""
+            for cell in cells:
+                text = cell.lines[number] if number < len(cell.lines) else ""
+                if text:
+                    begin = begins[cell.column]
+                    line = line + GAP + text if line and len(line) + len(GAP) > begin else line.ljust(begin) + text
+            result.append(line.rstrip())
     return result
 
 

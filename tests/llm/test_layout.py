@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -32,6 +33,54 @@ CASES = {
 }
 
 
+TABLES = {
+    "rows spanned": ("<table><tr><td rowspan=2>a<td>1<tr><td>2</table>", "a  1\n   2"),
+    "rest of the group": ("<table><tbody><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+    "a long cell": (f"<table><tr><td>a<td>1<tr><td>{'x' * 60}<td>2<tr><td>b<td>3</table>", f"{'a':48}  1\n{'x' * 60}  2\n{'b':48}  3"),
+    "two lines": ("<table><tr><td>a<br>b<td>1<tr><td>c<td>2<br>3</table>", "a  1\nb\nc  2\n   3"),
+    "paragraph in a cell": ("<table><tr><td><p>a</p><td><div>1</div><tr><td>bb<td>2</table>", "a   1\nbb  2"),
+    "both spans": ("<table><tr><td rowspan=2 colspan=2>ab<td>1<tr><td>2<tr><td>x<td>y<td>z</table>", "ab    1\n      2\nx  y  z"),
+    "odd spans": ("<table><tr><td rowspan=x colspan=0>a<td rowspan=-1>b<tr><td>c</table>", "a  b\nc"),
+    "row without text": ("<table><tr><td rowspan=3>a<td>1<tr><td><tr><td>2</table>", "a  1\n   2"),
+    "no cells": ("<table><tr></table>x", "x"),
+}
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_tables(name):
+    source, text = TABLES[name]
+    assert layout.rendered(source) == text
+
+
+def test_random_tables_against_a_plain_grid():
+    """A second renderer that fills a grid square by square."""
+    chance = random.Random(4)
+    for _ in range(300):
+        height, width = chance.randrange(1, 6), chance.randrange(1, 6)
+        free = {(r, c) for r in range(height) for c in range(width)}
+        source, texts = "<table>", {}
+        for r in range(height):
+            source += "<tr>"
+            for c in range(width):
+                if (r, c) not in free:
+                    continue
+                across = next(n for n in range(chance.randrange(1, 4), 0, -1) if all((r, c + i) in free for i in range(n)))
+                down = next(n for n in range(chance.randrange(1, 4), 0, -1) if all((r + j, c + i) in free for i in range(across) for j in range(n)))
+                free -= {(r + j, c + i) for i in range(across) for j in range(down)}
+                texts[r, c] = ("w" * chance.randrange(9) if across == 1 else "s" * across, across)
+                source += f"<td colspan={across} rowspan={down}>{texts[r, c][0]}"
+        columns = [max([len(t) for (_, c), (t, n) in texts.items() if c == column and n == 1], default=0) for column in range(width)]
+        lines = []
+        for r in range(height):
+            line = [" "] * (sum(columns) + 2 * width + 20)
+            for (own, c), (text, _) in texts.items():
+                if own == r:
+                    at = sum(columns[:c]) + 2 * c
+                    line[at : at + len(text)] = text
+            lines.append("".join(line).rstrip())
+        assert layout.rendered(source + "</table>") == "\n".join(line for line in lines if line)
+
+
 FOREIGN = {
     "closed icon": ('a<svg width="1" viewBox="0 0 1 1"/>b<p>c', "ab\n\nc"),
     "closed icons": ("a<svg/>b<math />c<svg><path d='M0'/></svg>d", "abcd"),
