@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.periods import period_bound
 from civigrade.functions.text import cell_text, dimension_prefix, merged_field, words_key
-from civigrade.functions.values import filter_number
+from civigrade.functions.values import filter_key
 
 OPERATORS = ("eq", "neq", "in", "gte", "lte", "contains")
 
@@ -41,7 +41,7 @@ def predicate(cell: Column, row_filter: RowFilter) -> Column:
     if row_filter.operator == "in":
         parts = [part.strip().lower() for part in wanted.split(";") if part.strip()]
         return folded.isin(*parts) if parts else F.lit(False)
-    left, right = filter_number(text), filter_number(F.lit(wanted))
+    left, right = filter_key(text), filter_key(F.lit(wanted))
     return F.coalesce(left >= right if row_filter.operator == "gte" else left <= right, F.lit(False))
 
 
@@ -56,7 +56,7 @@ def apply_filters(
     if not keep_latest_of:
         return kept
     text = cell_text(cell(keep_latest_of))
-    number = filter_number(text)
+    number = filter_key(text)
     best = kept.agg(F.struct(F.max(number).alias("number"), F.max(F.when(text != "", text)).alias("text"))).scalar()
     top_number, top_text = best["number"], best["text"]
     is_latest = F.when(top_number.isNotNull(), number == top_number).when(top_text.isNotNull(), text == top_text).otherwise(True)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civigrade.functions.text import STATES, parse_place_name
-from civigrade.operators import filters, geography
+from civigrade.operators import filters, geography, search_index
 from civigrade.operators.filters import RowFilter
 from civigrade.operators.joins import spread
 from civigrade.plans import model
 from civigrade.plans.registry import Registry
-from civigrade.session import materialise
+from civigrade.session import materialise, scratch_folder
 
 query = Registry()
 
@@ -248,6 +248,31 @@ def search_registered(spark, folder):
     return geography.search_registered(model.municipality(spark, folder), " 012 ")
 
 
+def _code_number(rows):
+    return rows.withColumn("_code", F.col("ibge_code").cast("long"))
+
+
+@query(
+    "g8_indexed_search",
+    f"""WITH {PLACES_SQL} SELECT ibge_code, name, state FROM places WHERE contains(lower(name), 'red')
+ORDER BY NOT starts_with(lower(name), 'red'), name, state, ibge_code LIMIT 50""",
+)
+def indexed_search(spark, folder):
+    """The catalog is indexed once; the search reads the postings of its grams and the ranges that have hits."""
+    index = search_index.build(_code_number(_places(spark, folder)), search_index.place_text(), "_code", scratch_folder(spark, "place-index"))
+    return search_index.search_places(index, " RÉD ", 50).drop("_code")
+
+
+@query(
+    "g9_indexed_search",
+    f"WITH {model.MUNICIPALITY_SQL} SELECT * FROM municipality WHERE ibge_code ILIKE '%0_12%' OR name ILIKE '%0_12%' ORDER BY name, ibge_code LIMIT 20",
+)
+def indexed_registered(spark, folder):
+    """Two characters only, around a wildcard."""
+    index = search_index.build(_code_number(model.municipality(spark, folder)), search_index.registered_text(), "_code", scratch_folder(spark, "place-index"))
+    return search_index.search_registered(index, " 0_12 ").drop("_code")
+
+
 @query(
     "g10_register",
     f"""WITH {model.MUNICIPALITY_SQL}, incoming AS (
@@ -324,3 +349,16 @@ FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'red'
 def search_rows(spark, folder):
     found = filters.search_catalog_rows(model.table(spark, folder, "part"), "Réd  G", ("p_name", "p_brand", "p_type"))
     return found.select("p_partkey", "match_rank")
+
+
+@query(
+    "f10_indexed_search",
+    """SELECT p_partkey, CAST(CASE WHEN lower(p_name) = 'red' THEN 0 WHEN starts_with(lower(p_name), 'red') THEN 1
+  WHEN starts_with(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')), 'red') THEN 2 ELSE 3 END AS INTEGER) AS match_rank
+FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'red') AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'br')""",
+)
+def indexed_rows(spark, folder):
+    """A word and a beginning of two letters, looked up in an index over all parts."""
+    fields = ("p_name", "p_brand", "p_type")
+    index = search_index.build(model.table(spark, folder, "part"), search_index.catalog_text(fields), "p_partkey", scratch_folder(spark, "part-index"))
+    return search_index.search_rows(index, "Réd  BR", fields).select("p_partkey", "match_rank")

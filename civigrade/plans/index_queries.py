@@ -6,14 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civigrade.functions.periods import PeriodSelection
+from civigrade.functions.text import search_key
 from civigrade.operators import benchmarks as bench
-from civigrade.operators import filters, geography, index, preparation, publication, series
+from civigrade.operators import filters, geography, index, pages, preparation, publication, series
 from civigrade.operators.joins import latest, upsert
 from civigrade.operators.preparation import IndicatorMapping
 from civigrade.plans import model
 from civigrade.plans.geography_queries import RESOLVED_SQL
 from civigrade.plans.registry import Registry
-from civigrade.session import materialise
+from civigrade.session import materialise, scratch_folder
 from civigrade.sinks import reports
 
 query = Registry()
@@ -319,6 +320,31 @@ def ranking_totals(spark, folder):
     return index.ranking_totals(_ranked(spark, folder), search="7")
 
 
+@query(
+    "a3_seek_page",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (ORDER BY overall_score DESC) AS rank FROM ranked)
+SELECT CAST(rank AS BIGINT) AS rank, municipality_ibge_code, name, scored_indicators FROM r ORDER BY rank, lower(name), municipality_ibge_code LIMIT 40 OFFSET 60""",
+)
+def seek_ranking_page(spark, folder):
+    """The ranking is written in order once; a page reads the ranges that hold it."""
+    ranked = index.ranking_matches(_ranked(spark, folder)).select(*PAGE_COLUMNS, "score")
+    book = pages.pages_of_ranking(ranked, "score", search_key(F.col("name")), "municipality_ibge_code", scratch_folder(spark, "ranking-pages"), range_rows=50)
+    return book.page(40, 60).drop("score")
+
+
+@query(
+    "a17_seek_page",
+    f"""WITH {model.PUBLISHED_SQL} SELECT id, indicator_code, CAST(reference_period AS VARCHAR) AS reference_period FROM published
+ORDER BY published.reference_period DESC, id LIMIT 150 OFFSET 1000""",
+)
+def seek_serving_page(spark, folder):
+    """The page after the last row of the page before it, by that row's keys."""
+    rows = model.published(spark, folder).select("id", "indicator_code", "reference_period")
+    book = pages.pages_of_serving(rows, scratch_folder(spark, "serving-pages"), range_rows=400)
+    last = book.page(1, 999).select((-F.unix_date("reference_period")).alias("_k_period"), F.col("id").alias("_k_id")).first()
+    return book.after(last.asDict(), 150).withColumn("reference_period", F.col("reference_period").cast("string"))
+
+
 CODES = ["0000077", "0000033", "0001011"]
 
 

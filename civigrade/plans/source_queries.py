@@ -689,3 +689,14 @@ def bot_challenges(spark, folder):
     return _portal_pages(spark, folder).select("page_id", links.is_bot_challenge(F.col("html")).alias("is_challenge"))
 
 
+@query(
+    "d1_lexed_links",
+    """SELECT o_orderkey AS page_id, 'https://h.org/p/d/' || o_orderkey || 'é.csv?x=1&copy=2' AS link FROM orders""",
+)
+def lexed_links(spark, folder):
+    """Pages with links in comments, scripts, text areas and attribute values, and one true link with character references."""
+    key = F.col("o_orderkey").cast("string")
+    before = F.lit("""<!-- <a href="no.csv"> --><textarea><a href="no.csv"></textarea><img alt='<a href="no.csv">'><a title="x > y" HREF = 'd&#47;""")
+    html = F.concat(before, key, F.lit("""&eacute;.csv?x=1&copy=2'>file</a><script>x = '<a href="no.csv">'"""))
+    pages = model.table(spark, folder, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://h.org/p/").alias("url"), html.alias("html"))
+    return links.download_links(pages).select("page_id", "link")

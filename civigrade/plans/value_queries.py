@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from civigrade.functions import periods, scoring, text, values
 from civigrade.functions.periods import PeriodSelection
+from civigrade.operators.filters import RowFilter, apply_filters
 from civigrade.plans import model
 from civigrade.plans.registry import Registry
 
@@ -80,6 +81,32 @@ def parse_wide_number(spark, folder):
     return cells.select(*KEYS, F.round(values.parse_wide_number(F.col("cell")).cast("double"), 6).alias("number"))
 
 
+EXACT_CELL = """CASE l_linenumber % 3 WHEN 0 THEN '9' || lpad(CAST(l_orderkey AS VARCHAR), 30, '0')
+  WHEN 1 THEN '1.' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST(l_orderkey AS VARCHAR), 15, '0') || '1%'
+  ELSE '-' || CAST(l_partkey * 1000 + 1 AS VARCHAR) || 'e-15' END"""
+
+
+@query(
+    "v1_exact_numbers",
+    """SELECT l_orderkey, l_partkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN '9' || lpad(CAST(l_orderkey AS VARCHAR), 30, '0')
+  WHEN 1 THEN '1' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(l_orderkey AS VARCHAR), 15, '0') || '1'
+  ELSE '-0.' || lpad(CAST(l_partkey * 1000 + 1 AS VARCHAR), 15, '0') END AS exact, false AS fits FROM lineitem""",
+)
+def exact_numbers(spark, folder):
+    """Numbers of 31 whole digits, of 16 decimals and of 1e-15: all digits stay, and that a stored number cannot hold them is told."""
+    cells = model.table(spark, folder, "lineitem").selectExpr(*KEYS, f"{EXACT_CELL.replace('AS VARCHAR', 'AS STRING')} AS cell")
+    exact = values.exact_number(F.col("cell"))
+    return cells.select(*KEYS, exact.alias("exact"), values.fits(exact).alias("fits"))
+
+
+@query("f4_f5_exact_range", "SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 50 AND 150")
+def exact_range(spark, folder):
+    """Bounds that differ in the twelfth decimal."""
+    rows = model.table(spark, folder, "part").select("p_partkey", "p_name", F.concat(F.col("p_partkey").cast("string"), F.lit("e-12")).alias("cell"))
+    bounds = [RowFilter("cell", "gte", "0,00000000005"), RowFilter("cell", "lte", "150E-12")]
+    return apply_filters(rows, bounds).drop("cell")
+
+
 @query(
     "v4_v5_numeric_cells",
     rf"""WITH {CELLS_SQL}, bare AS (SELECT *, replace(trim(cell), ' ', '') AS g, replace(trim(cell), ',', '.') AS f FROM cells),

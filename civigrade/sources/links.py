@@ -1,7 +1,14 @@
-"""Download links in raw web pages. Everything happens inside one row: no shuffle."""
+"""Download links in raw web pages. Everything happens inside one row: no shuffle.
+
+A page is cut into tokens by one pattern from its beginning to its end: comments, elements whose content is text (scripts, styles,
+text areas, titles), and tags. What stands inside a comment, a script or the value of an attribute is part of that token and never a
+tag of its own; a comment or script that is not closed reaches to the end of the page, as in a browser.
+"""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +23,17 @@ SHARED_SECTIONS = 2
 
 _URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _REFERENCE = r"^(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-_ANCHOR = r"""(?is)<a(?=\s)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_HREF = r"""(?is)[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
+_ATTRIBUTES = rf"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?)*+"""
+_TEXT_ELEMENT = rf"<(script|style|textarea|title)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)"
+_TOKEN = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<[!?/][^>]*+(?:>|\z)|{_TEXT_ELEMENT}|<[a-z]{_ATTRIBUTES}>"
+_OTHER = rf"""(?:[\s/]++|(?!href[\s=/>])[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?)*+"""
+_HREF = rf"""(?is)^<a(?=[\s/]){_OTHER}href\s*+=\s*+({_VALUE})"""
+#: Pieces of an attribute value: character references, what lies between them, and single ampersands. A name without its semicolon
+#: does not count before an equals sign, so that parameters of a query stay.
+_PIECES = r"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+(?:;|(?!=))|[^&]++|&"
+_BLANKS = " \t\n\f\r"
+_LAST_CODE = 0x10FFFF
 
 def _without_dots(path: Column) -> Column:
     """Path with ``.`` and ``..`` segments resolved."""
@@ -59,16 +73,43 @@ def resolve_url(page: Column, reference: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """``href`` of every anchor in document order; comments, scripts and styles do not count."""
-    tags = F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, ""), F.lit(_ANCHOR), F.lit(0))
-    found = F.filter(F.transform(tags, lambda tag: F.regexp_extract(tag, _HREF, 1)), lambda h: h != "")
-    return F.transform(found, lambda h: _unescape(F.trim(F.regexp_replace(h, "^[\"']|[\"']$", ""))))
+    """``href`` of every anchor in document order, with its character references decoded."""
+    tokens = F.filter(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), lambda token: token.rlike(r"(?i)^<a[\s/]"))
+    found = F.filter(F.transform(tokens, lambda tag: F.regexp_extract(tag, _HREF, 1)), lambda h: h != "")
+    return F.transform(found, lambda h: F.btrim(unescaped(F.regexp_replace(h, "^[\"']|[\"']$", "")), F.lit(_BLANKS)))
+
+
+def _named() -> Column:
+    """Names of character references (with their semicolon, some without) and their characters, as the language's library lists them."""
+    names = sorted(html5)
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(html5[n]) for n in names]))
+
+
+def _windows_letters() -> tuple[str, str]:
+    """Numbers from 128 to 159 mean the Windows letters."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(c for c, letter in pairs if letter), "".join(letter for _, letter in pairs)
+
+
+def _character(number: Column) -> Column:
+    """The character of a number; what is none becomes the replacement character."""
+    known = number.between(1, _LAST_CODE) & ~number.between(0xD800, 0xDFFF)
+    text = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.translate(text, *_windows_letters())
+
+
+def unescaped(text: Column) -> Column:
+    """An attribute value with its character references decoded: decimal, hexadecimal and named ones."""
+    names = _named()
 
+    def decoded(piece: Column) -> Column:
+        bare = F.rtrim(F.substring(piece, F.lit(3), F.length(piece)), F.lit(";"))
+        digits = F.when(piece.rlike("^&#[xX]"), F.conv(F.right(F.concat(F.lit("0000000"), F.substring(bare, 2, 64)), F.lit(15)), 16, 10)).otherwise(F.right(F.concat(F.lit("0"), bare), F.lit(18)))
+        named = F.coalesce(F.try_element_at(names, F.substring(piece, F.lit(2), F.length(piece))), piece)
+        return F.when(F.startswith(piece, F.lit("&#")) & (F.length(piece) > 2), _character(digits.cast("long"))).when(F.startswith(piece, F.lit("&")), named).otherwise(piece)
 
-def _unescape(text: Column) -> Column:
-    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), decoded), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def _sections(url: Column) -> Column:

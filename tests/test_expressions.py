@@ -175,3 +175,18 @@ def test_merged_rows(spark):
     assert merged == [{"a": "1", "b": "3", "c": None}, {"a": "1"}]
     field = [r[0] for r in rows.select(text.merged_field(F.col("raw"), F.col("norm"), "b")).collect()]
     assert field == ["3", None]
+
+
+def test_exact_numbers(cells):
+    """Every digit stays; against Python's decimals."""
+    from decimal import Decimal
+
+    plain = ["1e-12", "-1E-12", "12345678901234567890123456789", "0.10", "000.5e1", "-0", "1.234,5600", "1,234,567.25", "12,5%", ".5", "5.", "1e400", "-7e-399", "0e5"]
+    expected = ["0.000000000001", "-0.000000000001", "12345678901234567890123456789", "0.1", "5", "0", "1234.56", "1234567.25", "12.5", "0.5", "5", "1" + "0" * 400, "-0." + "0" * 398 + "7", "0"]
+    assert cells(values.exact_number, plain) == expected
+    assert cells(values.exact_number, ["abc", "", None, "1e401", "1e99999999999", "1.2.3"]) == [None] * 6
+    assert cells(lambda c: values.fits(values.exact_number(c)), ["1e-10", "1e-11", "1" * 28, "1" * 29]) == [True, False, True, False]
+    texts = ["-100", "-99.5", "-1.5", "-1.25", "-1", "-1e-12", "0", "1e-13", "1e-12", "0.5", "1", "1.25", "1.5", "9", "10", "99999999999999999999999999999", "1e30"]
+    keys = cells(values.filter_key, texts)
+    assert keys == sorted(keys) and len(set(keys)) == len(keys) and [Decimal(t) for t in texts] == sorted(Decimal(t) for t in texts)
+    assert cells(values.filter_key, ["1,50", "+1.5"]) == [keys[12]] * 2
