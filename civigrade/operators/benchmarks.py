@@ -81,7 +81,11 @@ def exact_percentiles(df: DataFrame, group: list[str], fractions: dict[str, floa
 
 def _ranges(values: DataFrame, group: list[str]) -> DataFrame:
     """P10-P90 range per group where it has an extent."""
-    found = exact_percentiles(values, group, {"_low": LOW_PERCENTILE, "_high": HIGH_PERCENTILE})
+    return as_ranges(exact_percentiles(values, group, {"_low": LOW_PERCENTILE, "_high": HIGH_PERCENTILE}), group)
+
+
+def as_ranges(found: DataFrame, group: list[str]) -> DataFrame:
+    """Ranges from percentiles ``_low`` and ``_high`` and the ``sample_size`` behind them."""
     return found.filter(F.col("_low") < F.col("_high")).select(
         *group,
         "sample_size",
@@ -113,10 +117,15 @@ def profile_benchmarks(published: DataFrame, population: DataFrame) -> DataFrame
     values = latest_values(published).join(people, "municipality_ibge_code", "left")
     profiles = F.array_compact(F.array(city_profile(F.col("inhabitants")), F.lit(OVERALL)))
     grouped = materialise(values.select("indicator_code", "value", F.explode(profiles).alias("city_profile")), "latest")
+    return sufficient(_ranges(grouped, ["indicator_code", "city_profile"]))
+
+
+def sufficient(ranges: DataFrame) -> DataFrame:
+    """Ranges of profiles with their minimum sample."""
     needed = F.lit(OVERALL_SAMPLE)
     for profile, sample in MINIMUM_SAMPLE.items():
         needed = F.when(F.col("city_profile") == profile, F.lit(sample)).otherwise(needed)
-    return _ranges(grouped, ["indicator_code", "city_profile"]).filter(F.col("sample_size") >= needed)
+    return ranges.filter(F.col("sample_size") >= needed)
 
 
 def automatic_benchmarks(
@@ -134,8 +143,12 @@ def automatic_benchmarks(
     with_values = indicators.select("indicator_code").join(
         published.select("indicator_code").distinct(), "indicator_code", "left_semi"
     )
+    return offered(with_values, profile_benchmarks(published, population), profiles)
+
+
+def offered(with_values: DataFrame, ranges: DataFrame, profiles: list[str] | None = None) -> DataFrame:
+    """The own range of every indicator and profile, else the one over all municipalities, else a reason."""
     wanted = with_values.withColumn("city_profile", F.explode(F.array(*[F.lit(p) for p in profiles or PROFILES])))
-    ranges = profile_benchmarks(published, population)
     fields = ["sample_size", "minimum_value", "maximum_value", "reliability"]
     # All profiles of an indicator meet in one row (five at most), so the ranges are computed once.
     by_profile = ranges.groupBy("indicator_code").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civigrade.functions.periods import PeriodSelection
 from civigrade.functions.text import search_key
 from civigrade.operators import benchmarks as bench
-from civigrade.operators import filters, geography, index, pages, preparation, publication, series
+from civigrade.operators import filters, geography, index, pages, preparation, publication, ranges, series
 from civigrade.operators.joins import latest, upsert
 from civigrade.operators.preparation import IndicatorMapping
 from civigrade.plans import model
@@ -85,16 +85,16 @@ def ranking(spark, folder):
     )
 
 
-@query(
-    "a8_benchmark_suggestion",
-    f"""WITH {model.PUBLISHED_SQL}, newest AS (
+SUGGESTED_SQL = f"""WITH {model.PUBLISHED_SQL}, newest AS (
   SELECT * FROM published WHERE value IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY indicator_code, municipality_ibge_code ORDER BY reference_period DESC, id) = 1)
 SELECT indicator_code, count(*) AS sample_size, round(quantile_cont(value, 0.1), 4) AS minimum_value,
        round(quantile_cont(value, 0.9), 4) AS maximum_value, min(value) AS observed_minimum, max(value) AS observed_maximum,
        CAST(min(reference_period) AS VARCHAR) AS first_period, CAST(max(reference_period) AS VARCHAR) AS last_period
-FROM newest GROUP BY 1 HAVING count(*) >= 30 AND quantile_cont(value, 0.1) < quantile_cont(value, 0.9)""",
-)
+FROM newest GROUP BY 1 HAVING count(*) >= 30 AND quantile_cont(value, 0.1) < quantile_cont(value, 0.9)"""
+
+
+@query("a8_benchmark_suggestion", SUGGESTED_SQL)
 def benchmark_suggestion(spark, folder):
     return bench.suggest_benchmarks(model.published(spark, folder)).select(
         "indicator_code", "sample_size", "minimum_value", "maximum_value", "observed_minimum", "observed_maximum",
@@ -124,9 +124,7 @@ def profile_benchmarks(spark, folder):
     return bench.profile_benchmarks(model.published(spark, folder), model.population(spark, folder))
 
 
-@query(
-    "a10_automatic_benchmarks",
-    f"""WITH {PROFILES_SQL}, wanted AS (
+AUTOMATIC_SQL = f"""WITH {PROFILES_SQL}, wanted AS (
   SELECT DISTINCT indicator_code, unnest(['pequeno', 'medio', 'grande', 'metropole']) AS city_profile
   FROM published)
 SELECT w.indicator_code, w.city_profile,
@@ -135,14 +133,48 @@ SELECT w.indicator_code, w.city_profile,
        coalesce(r.maximum_value, g.maximum_value) AS maximum_value, coalesce(r.reliability, g.reliability) AS reliability,
        CASE WHEN r.indicator_code IS NULL AND g.indicator_code IS NULL THEN 'amostra insuficiente' END AS reason
 FROM wanted w LEFT JOIN ranges r ON r.indicator_code = w.indicator_code AND r.city_profile = w.city_profile
-LEFT JOIN ranges g ON g.indicator_code = w.indicator_code AND g.city_profile = 'geral'""",
-)
+LEFT JOIN ranges g ON g.indicator_code = w.indicator_code AND g.city_profile = 'geral'"""
+
+
+@query("a10_automatic_benchmarks", AUTOMATIC_SQL)
 def automatic_benchmarks(spark, folder):
     return bench.automatic_benchmarks(
         model.published(spark, folder), model.population(spark, folder), model.indicators(spark)
     )
 
 
+RANGE_SLOTS = 16
+
+
+def _kept_ranges(spark, folder):
+    """Ranges kept while three imports come one after another."""
+
+    def write(path):
+        published, people = model.published(spark, folder), model.population(spark, folder)
+        for import_id in ("O", "F", "P"):
+            ranges.put(ranges.ranges_at(spark, path, RANGE_SLOTS), published.filter(F.col("import_id") == import_id), people)
+
+    return ranges.ranges_at(spark, model.stored(spark, folder, "ranges", write), RANGE_SLOTS)
+
+
+@query("a8_kept_suggestion", SUGGESTED_SQL)
+def kept_suggestion(spark, folder):
+    return ranges.suggest_benchmarks(_kept_ranges(spark, folder)).select(
+        "indicator_code", "sample_size", "minimum_value", "maximum_value", "observed_minimum", "observed_maximum",
+        F.col("first_period").cast("string").alias("first_period"), F.col("last_period").cast("string").alias("last_period"),
+    )
+
+
+@query("a9_kept_ranges", f"WITH {PROFILES_SQL} SELECT * FROM ranges")
+def kept_ranges(spark, folder):
+    return ranges.profile_benchmarks(_kept_ranges(spark, folder)).select("indicator_code", "city_profile", "sample_size", "minimum_value", "maximum_value", "reliability")
+
+
+@query("a10_kept_benchmarks", AUTOMATIC_SQL)
+def kept_benchmarks(spark, folder):
+    return ranges.automatic_benchmarks(_kept_ranges(spark, folder), model.indicators(spark))
+
+
 @query(
     "a10_chosen_benchmarks",
     f"""WITH {PROFILES_SQL}, wanted AS (
