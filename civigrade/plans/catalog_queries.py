@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civigrade.operators import configuration, coverage, filters
+from civigrade.operators import configuration, coverage, coverage_index, filters
 from civigrade.plans import model
 from civigrade.plans.registry import Registry
+from civigrade.session import scratch_folder
 
 query = Registry()
 
@@ -65,6 +66,72 @@ def _by_code(spark, folder):
     return coverage.coverage_by_code(coverage.indicator_coverage(_coverage_rows(spark, folder)))
 
 
+COVERAGE_SLOTS = 16
+
+
+def _kept_coverage(spark, folder):
+    """Coverage kept while three imports come one after another."""
+
+    def write(path):
+        published = model.published(spark, folder)
+        for import_id in ("F", "O", "P"):
+            coverage_index.put(coverage_index.coverage_at(spark, path, COVERAGE_SLOTS), published.filter(F.col("import_id") == import_id))
+
+    return coverage_index.coverage_at(spark, model.stored(spark, folder, "coverage", write), COVERAGE_SLOTS)
+
+
+_CHOICES = {"all": ("F", "O", "P"), "F": ("F",), "O": ("O",), "P": ("P",), "O or P": ("O", "P")}
+
+
+@query(
+    "a12_kept_coverage",
+    f"""WITH {model.PUBLISHED_SQL} SELECT choice, indicator_code, count(DISTINCT municipality_ibge_code) AS municipalities, count(*) AS value_count,
+  CAST(min(reference_period) AS VARCHAR) AS first_period, CAST(max(reference_period) AS VARCHAR) AS last_period
+FROM published JOIN (VALUES {", ".join(f"('{name}', '{i}')" for name, ids in _CHOICES.items() for i in ids)}) c(choice, chosen) ON import_id = chosen GROUP BY ALL""",
+)
+def kept_coverage(spark, folder):
+    """Coverage of several choices of imports, from the bitmaps alone."""
+    choices = model.literal_table(spark, [(name, i) for name, ids in _CHOICES.items() for i in ids], "choice", "import_id")
+    summaries = coverage_index.kept(_kept_coverage(spark, folder)).join(F.broadcast(choices), "import_id")
+    return _texts(coverage_index.merged(summaries, ("choice",)))
+
+
+@query(
+    "a12_withdrawn_coverage",
+    f"""WITH {model.PUBLISHED_SQL} SELECT indicator_code, count(DISTINCT municipality_ibge_code) AS municipalities, count(*) AS value_count,
+  CAST(min(reference_period) AS VARCHAR) AS first_period, CAST(max(reference_period) AS VARCHAR) AS last_period
+FROM published WHERE import_id <> 'F' OR NOT starts_with(indicator_code, 'eco') GROUP BY 1""",
+)
+def withdrawn_coverage(spark, folder):
+    """Two imports are withdrawn, one of them comes again without its economic indicators."""
+    index = coverage_index.coverage_at(spark, scratch_folder(spark, "coverage"), COVERAGE_SLOTS)
+    published = model.published(spark, folder)
+    coverage_index.put(index, published)
+    coverage_index.withdraw(index, model.literal_table(spark, [("F",), ("P",)], "import_id"))
+    again = (F.col("import_id") == "P") | (F.col("import_id") == "F") & ~F.col("indicator_code").startswith("eco")
+    coverage_index.put(index, published.filter(again))
+    return _texts(coverage_index.indicator_coverage(index))
+
+
+@query(
+    "a13_kept_coverage_by_code",
+    f"""WITH {model.PUBLISHED_SQL}, coverage AS (SELECT indicator_code, count(DISTINCT municipality_ibge_code) AS municipalities, count(*) AS value_count,
+  min(reference_period) AS first_p, max(reference_period) AS last_p FROM published GROUP BY 1)
+SELECT upper(split_part(indicator_code, '_', 1)) AS short_code, municipalities, value_count, CAST(first_p AS VARCHAR) AS first_period, CAST(last_p AS VARCHAR) AS last_period FROM coverage""",
+)
+def kept_coverage_by_code(spark, folder):
+    return _texts(coverage.coverage_by_code(coverage_index.indicator_coverage(_kept_coverage(spark, folder))))
+
+
+@query(
+    "q17_kept_impact",
+    f"""WITH {model.PUBLISHED_SQL} SELECT i.import_id, count(p.id) AS rows, count(DISTINCT indicator_code) AS indicators
+FROM (VALUES ('F'), ('O'), ('P'), ('none')) i(import_id) LEFT JOIN published p USING (import_id) GROUP BY 1""",
+)
+def kept_impact(spark, folder):
+    return coverage_index.impact(_kept_coverage(spark, folder), model.literal_table(spark, [("F",), ("O",), ("P",), ("none",)], "import_id"))
+
+
 @query("a14_without_data", f"WITH {COVERAGE_SQL} SELECT 'p' || p_partkey AS code FROM part WHERE 'P' || p_partkey NOT IN (SELECT short_code FROM by_code)")
 def without_data(spark, folder):
     return coverage.without_data(_items(spark, folder), _by_code(spark, folder)).select("code")
