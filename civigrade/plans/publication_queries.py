@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.values import parse_number
 from civigrade.functions.periods import PeriodSelection, month_start_text
-from civigrade.operators import benchmarks, delta, ledger, lifecycle, preparation, publication, reshape
+from civigrade.operators import benchmarks, delta, ledger, lifecycle, preparation, publication, reshape, tombstones
 from civigrade.operators.preparation import IndicatorMapping
 from civigrade.operators.reshape import PeriodColumn
 from civigrade.plans import model
@@ -635,6 +635,81 @@ def delete_cascade(spark, folder):
     return counts
 
 
+FACT_SLOTS = 16
+
+
+def _fact_tables(spark, folder):
+    """The six fact tables of the imports."""
+    facts, imports = _facts(spark, folder), _imports(spark, folder)
+    line = model.table(spark, folder, "lineitem")
+    import_id = F.concat(F.lit("i"), F.col("l_suppkey").cast("string")).alias("import_id")
+    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number")
+    return {
+        "published_values": facts,
+        "observations": facts.filter("is_monthly").select("import_id", "indicator_code", "municipality_ibge_code", "reference_period", "value", "superseded_at"),
+        "validation_issues": line.filter("l_tax = 0").select(import_id, number, F.lit("value").alias("field")),
+        "treatment_proposals": imports.select("import_id", "title"),
+        "import_rows": line.select(import_id, number, F.col("l_extendedprice").cast("string").alias("raw_text")),
+        "import_sheets": line.select(import_id, F.col("l_linestatus").alias("sheet_name")).distinct(),
+    }
+
+
+def _stored_facts(spark, folder):
+    """The fact tables as ledgers; each caller gets its own, since it changes them."""
+    rows = _fact_tables(spark, folder)
+    facts = tombstones.facts_at(spark, scratch_folder(spark, "facts"), {name: df.schema for name, df in rows.items()}, FACT_SLOTS)
+    for name, df in rows.items():
+        tombstones.put(facts, name, df)
+    return facts
+
+
+def _chosen_imports(spark, count):
+    return spark.range(count).select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("import_id"))
+
+
+@query(
+    "q14_marked_withdrawal",
+    f"""WITH {IMPORTS_SQL} SELECT l_orderkey * 10 + l_linenumber AS id, import_id, l_returnflag = 'R' OR (status = 'approved' AND import_id IN ({_id_list(40)})) AS is_superseded
+FROM lineitem JOIN imports ON l_suppkey = s_suppkey""",
+)
+def marked_withdrawal(spark, folder):
+    """Approved ones of the chosen imports are withdrawn by marks; no fact is rewritten."""
+    published = _facts(spark, folder)
+    facts = tombstones.facts_at(spark, scratch_folder(spark, "facts"), {"published_values": published.schema}, FACT_SLOTS)
+    tombstones.put(facts, "published_values", published)
+    approved = _imports(spark, folder).filter("status = 'approved'").join(_chosen_imports(spark, 40), "import_id", "left_semi")
+    tombstones.withdraw(facts, approved.select("import_id"), _now())
+    rows = tombstones.read(facts, "published_values")
+    return rows.select(F.col("id").cast("long").alias("id"), "import_id", F.col("superseded_at").isNotNull().alias("is_superseded"))
+
+
+_FACTS_SQL = """facts AS (
+  SELECT 'published_values' AS "table", 'i' || l_suppkey AS import_id, l_returnflag <> 'R' AS active FROM lineitem
+  UNION ALL SELECT 'observations', 'i' || l_suppkey, l_returnflag <> 'R' FROM lineitem WHERE l_linestatus = 'F'
+  UNION ALL SELECT 'validation_issues', 'i' || l_suppkey, true FROM lineitem WHERE l_tax = 0
+  UNION ALL SELECT 'treatment_proposals', 'i' || s_suppkey, true FROM supplier
+  UNION ALL SELECT 'import_rows', 'i' || l_suppkey, true FROM lineitem
+  UNION ALL SELECT 'import_sheets', import_id, true FROM (SELECT DISTINCT 'i' || l_suppkey AS import_id, l_linestatus FROM lineitem))"""
+
+
+@query(
+    "q16_marked_deletion",
+    f"""WITH {_FACTS_SQL} SELECT "table", count(*) FILTER (WHERE import_id IN ({_id_list(40)})) AS deleted_rows, count(*) FILTER (WHERE active AND import_id IN ({_id_list(40)})) AS deleted_active,
+  count(*) FILTER (WHERE import_id NOT IN ({_id_list(40)})) AS left_rows FROM facts GROUP BY 1""",
+)
+def marked_deletion(spark, folder):
+    """Imports deleted from all six fact tables: counted, marked, and compacted away."""
+    facts, gone = _stored_facts(spark, folder), _chosen_imports(spark, 40)
+    told = materialise(tombstones.counts(facts, gone).groupBy("table").agg(F.sum("rows").alias("deleted_rows"), F.sum("active").alias("deleted_active")), "told")
+    tombstones.delete(facts, gone, _now())
+    tombstones.compact(facts)
+    left = None
+    for name, table in facts.tables.items():
+        rows = table.read().agg(F.count(F.lit(1)).alias("left_rows")).withColumn("table", F.lit(name))
+        left = rows if left is None else left.unionByName(rows)
+    return left.join(told, "table", "left").na.fill(0).select("table", "deleted_rows", "deleted_active", "left_rows")
+
+
 @query(
     "q17_impact",
     f"""WITH {IMPORTS_SQL} SELECT import_id, title, status, count(l_suppkey) FILTER (WHERE l_returnflag <> 'R') AS published_values, count(l_suppkey) AS import_rows
