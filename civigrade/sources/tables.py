@@ -252,27 +252,32 @@ def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of objects. A first record of a file that only holds labels names the columns and is dropped.
 
-    Records further down are data, whatever they look like. Files whose labels differ are refused.
+    Records further down are data, whatever they look like. Files whose labels differ are refused. Columns that come from folder names
+    (``part=1``) are no part of the records: they are neither compared nor renamed.
     """
     rows = spark.read.option("multiLine", True).json(path)
     if "V" not in rows.columns:
         return rows
-    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    # With a given schema nothing is read; what is added to it comes from folder names.
+    of_folders = spark.read.schema("V string").json(path).columns[1:]
+    own = [c for c in rows.columns if c not in of_folders]
+    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType) and f.name in own]
     has_mark = F.lit(False)
     for name in texts:
         has_mark = has_mark | F.coalesce(F.endswith(F.col(f"`{name}`"), F.lit(LABEL_MARK)), F.lit(False))
     record = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    label_of = F.struct(*[F.col(f"record.`{c}`") for c in own])
     # A file of one array is read by one task, in order.
     placed = rows.select(record.alias("record"), (has_mark & F.col("V").isNotNull()).alias("is_label"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     first = placed.groupBy("file").agg(F.min("at").alias("at"), F.min_by("is_label", "at").alias("is_label"), F.min_by("record", "at").alias("record"))
     labels = first.filter("is_label")
-    found = labels.groupBy(F.to_json("record")).agg(F.first("record").alias("record")).limit(2).collect()
+    found = labels.groupBy(F.to_json(label_of)).agg(F.first("record").alias("record")).limit(2).collect()
     if not found:
         return rows
     if len(found) > 1:
         raise ValueError(f"the files in {path} differ in their label records")
     label = found[0]["record"].asDict()
-    wanted = [str(label[c]) if label[c] is not None else c for c in rows.columns]
+    wanted = [str(label[c]) if c in own and label[c] is not None else c for c in rows.columns]
     # ``at`` names one row, so the join has no hot key.
     data = placed.join(labels.select("at"), "at", "left_anti").select("record.*")
     return data.toDF(*unique_names(spark, wanted, "Coluna ", " (", ")"))

@@ -129,6 +129,15 @@ def test_staged_rows_follow_file_order(spark, tmp_path):
     assert [(r["row_number"], int(r["raw_row"]["v"])) for r in staged.orderBy("row_number").collect()] == [(i + 1, i) for i in range(1500)]
 
 
+def test_label_rows_in_folders_named_by_value(spark, tmp_path):
+    label, data = {"D1": "Ilha (Código)", "V": "Aves"}, [{"D1": "7", "V": "1"}, {"D1": "8", "V": "2"}]
+    write(tmp_path / "part=0", "1.json", json.dumps([label, data[0]]).encode())
+    write(tmp_path / "part=1", "2.json", json.dumps([label, data[1]]).encode())
+    found = tables.read_json(spark, str(tmp_path))
+    assert found.columns == ["Ilha (Código)", "Aves", "part"]
+    assert sorted(rows(found, "Ilha (Código)", "Aves", "part")) == [("7", "1", 0), ("8", "2", 1)]
+
+
 def test_nested_cells_are_staged_as_json(spark):
     df = spark.createDataFrame([(1.0, float("nan"), [1, 2], {"k": 2.5})], "a double, b double, c array<int>, d map<string,double>")
     assert df.select(profiling.as_staged_cells(df)).first()[0] == {"a": "1", "b": None, "c": "[1,2]", "d": '{"k":2.5}'}
