@@ -2,7 +2,8 @@
 
 A line alone does not tell whether it begins inside a quoted cell. But it tells where it would end: for both beginnings, outside and
 inside, whether its end lies inside. That is a function on two states, and such functions compose in any grouping. So the lines of
-every file block are composed on their own; the blocks of a file, one row each, are composed in order; and then every line knows its
+every chunk of a file block (at most 65,536 lines, so that no task holds a whole block) are composed on their own; the chunks of a
+file, one row each, are composed in order; and then every line knows its
 state. A line that begins outside starts a record, the lines that follow inside belong to it. Only the lines of broken records are
 brought together; all other lines stay where they are.
 
@@ -18,6 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = ["__file", "__block"]
+CHUNK = [*BLOCK, "__chunk"]
+#: A chunk holds at most two to this power lines.
+CHUNK_BITS = 16
+
+
+def chunk_of(at: str) -> Column:
+    """The chunk of a running row number: chunks are consecutive, and in the order of the rows."""
+    return F.shiftright(F.col(at), CHUNK_BITS).alias("__chunk")
 
 
 def ends_inside(line: Column, separator: str) -> tuple[Column, Column]:
@@ -59,28 +68,33 @@ def _running(rows: DataFrame, group: list[str], order: str, value: Column, swaps
 
 def whole_records(lines: DataFrame, separator: str) -> DataFrame:
     """Records of ``lines`` (__file, __block, __at, line): the order columns of the first line, ``number`` in its block, and ``record``."""
-    known = _functions(lines, separator)
-    inside = _running(known, BLOCK, "__at", F.col("constant"), F.col("swap"))
+    known = _functions(lines.withColumn("__chunk", chunk_of("__at")), separator)
+    inside = _running(known, CHUNK, "__at", F.col("constant"), F.col("swap"))
     start_if = lambda first: F.sum(((F.coalesce("base", F.lit(first)) + F.col("turned")) % 2 == 0).cast("int"))
     last = F.struct("__at", F.coalesce(F.col("constant"), F.col("base")).alias("base"), "turned", "swap", "constant")
-    # One row for each block: its function, and how many records start in it for both beginnings.
-    blocks = inside.groupBy(*BLOCK).agg(start_if(0).alias("starts_0"), start_if(1).alias("starts_1"), F.max(last).alias("_last"))
+    # One row for each chunk: its function, and how many records start in it for both beginnings.
+    chunks = inside.groupBy(*CHUNK).agg(start_if(0).alias("starts_0"), start_if(1).alias("starts_1"), F.max(last).alias("_last"))
     from_line = F.col("_last.constant")
     value = F.when(from_line.isNotNull(), from_line).otherwise((F.col("_last.base") + F.col("_last.turned") + F.col("_last.swap")) % 2)
     turns = F.when(value.isNull(), (F.col("_last.turned") + F.col("_last.swap")) % 2).otherwise(0)
-    blocks = _running(blocks.withColumns({"_value": value, "_swaps": turns}), ["__file"], "__block", F.col("_value"), F.col("_swaps"))
-    blocks = blocks.withColumn("enters", (F.coalesce("base", F.lit(0)) + F.col("turned")) % 2)
-    blocks = blocks.withColumn("starts", F.when(F.col("enters") == 0, F.col("starts_0")).otherwise(F.col("starts_1")))
-    before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("starts") > 0, F.struct(F.col("__block").alias("block"), F.col("starts").alias("number"))), ignorenulls=True).over(before)
-    blocks = blocks.select(*BLOCK, "enters", owner.alias("owner"))
-    placed = inside.join(blocks, BLOCK).withColumn("state", (F.coalesce("base", "enters") + F.col("turned")) % 2)
-    upto = Window.partitionBy(*BLOCK).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("number", F.sum((F.col("state") == 0).cast("int")).over(upto))
+    chunks = chunks.withColumns({"_value": value, "_swaps": turns, "_place": F.struct("__block", "__chunk")})
+    chunks = _running(chunks, ["__file"], "_place", F.col("_value"), F.col("_swaps"))
+    chunks = chunks.withColumn("enters", (F.coalesce("base", F.lit(0)) + F.col("turned")) % 2)
+    chunks = chunks.withColumn("starts", F.when(F.col("enters") == 0, F.col("starts_0")).otherwise(F.col("starts_1")))
+    of_block = Window.partitionBy(*BLOCK).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("earlier", F.coalesce(F.sum("starts").over(of_block), F.lit(0)))
+    before = Window.partitionBy("__file").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.struct(F.col("__block").alias("block"), (F.col("earlier") + F.col("starts")).alias("number"))
+    owner = F.last(F.when(F.col("starts") > 0, owner), ignorenulls=True).over(before)
+    chunks = chunks.select(*CHUNK, "enters", "earlier", owner.alias("owner"))
+    placed = inside.join(chunks, CHUNK).withColumn("state", (F.coalesce("base", "enters") + F.col("turned")) % 2)
+    upto = Window.partitionBy(*CHUNK).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_started", F.sum((F.col("state") == 0).cast("int")).over(upto))
+    placed = placed.withColumn("number", F.col("earlier") + F.col("_started"))
     ends = F.when(F.col("constant").isNotNull(), F.col("constant")).otherwise((F.col("state") + F.col("swap")) % 2)
     placed = placed.withColumn("is_whole", (F.col("state") == 0) & (ends == 0))
     single = placed.filter("is_whole").select(*BLOCK, "__at", "number", F.col("line").alias("record"))
-    carried = F.col("number") == 0
+    carried = F.col("_started") == 0
     parts = placed.filter(~F.col("is_whole")).select(
         "__file", F.when(carried, F.col("owner.block")).otherwise(F.col("__block")).alias("__block"),
         F.when(carried, F.col("owner.number")).otherwise(F.col("number")).alias("number"), F.struct(F.col("__block").alias("b"), F.col("__at").alias("a"), "line").alias("part"),

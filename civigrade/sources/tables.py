@@ -12,7 +12,7 @@ from civigrade.functions.naming import unique_names
 from civigrade.functions.text import put_fields
 from civigrade.operators.joins import first_per_key, lookup, number_rows, prefix_sums
 from civigrade.operators.profiling import as_staged_cells, holds_regional_decimals, normalise_columns, normalise_decimals, profile_staged, regional_decimal, with_positions
-from civigrade.sources.records import whole_records
+from civigrade.sources.records import CHUNK, chunk_of, whole_records
 
 SEPARATORS = (";", ",", "\t", "|")
 SAMPLE_LINES = 20
@@ -290,17 +290,20 @@ def read_json_table(spark: SparkSession, path: str) -> DataFrame:
 def stage(df: DataFrame, import_id: str, sheet_name: str) -> DataFrame:
     """Staged rows of a table read by this module: rows numbered in file order, cells as text by column name.
 
-    Rows are numbered inside their file block; the rows of earlier blocks are added from a table of counts.
+    Rows are numbered inside chunks of their file block; the rows of earlier chunks are added from a table of counts, which is itself
+    summed file by file.
     """
     data = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ORDER_COLUMNS])
-    rows = df.select(*ORDER_COLUMNS, as_staged_cells(data).alias("raw_row"))
-    blocks = df.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("_rows"))
-    blocks = prefix_sums(blocks, [], F.struct("__file", "__block"), "_rows", "_before").drop("_rows")
-    inside = F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__at"))
-    numbered = rows.withColumn("_inside", inside).join(blocks, ["__file", "__block"])
+    rows = df.select(*ORDER_COLUMNS, chunk_of("__at"), as_staged_cells(data).alias("raw_row"))
+    chunks = df.groupBy("__file", "__block", chunk_of("__at")).agg(F.count(F.lit(1)).alias("_rows"))
+    files = chunks.groupBy("__file").agg(F.sum("_rows").alias("_file_rows"))
+    files = prefix_sums(files, [], F.col("__file"), "_file_rows", "_file_before").drop("_file_rows")
+    chunks = prefix_sums(chunks, ["__file"], F.struct("__block", "__chunk"), "_rows", "_before").drop("_rows").join(files, "__file")
+    inside = F.row_number().over(Window.partitionBy(*CHUNK).orderBy("__at"))
+    numbered = rows.withColumn("_inside", inside).join(chunks, CHUNK)
     return numbered.select(
         F.lit(import_id).alias("import_id"), F.lit(sheet_name).alias("sheet_name"),
-        (F.col("_before") + F.col("_inside")).cast("long").alias("row_number"), "raw_row",
+        (F.col("_file_before") + F.col("_before") + F.col("_inside")).cast("long").alias("row_number"), "raw_row",
         F.lit(None).cast("map<string,string>").alias("normalized_row"),
     )
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from civigrade.sources import tables
+from civigrade.sources import records, tables
 from civigrade.sources.records import ends_inside
 
 
@@ -113,3 +113,32 @@ def test_repeated_headers(spark, tmp_path):
         read_table = tables.read_csv_table(spark, str(tmp_path / folder))
         assert [c for c in read_table.columns if c not in tables.ORDER_COLUMNS] == ["valor", "valor_2", "valor_3"]
         assert [str(v).strip() for v in read_table.first()[:3]] == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_files_in_small_chunks(spark, tmp_path, monkeypatch, seed):
+    """Chunks of four lines inside one block: states, record numbers and row numbers run on from chunk to chunk."""
+    monkeypatch.setattr(records, "CHUNK_BITS", 2)
+    chance = random.Random(seed)
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, delimiter=";", lineterminator="\n")
+    writer.writerow(["chave", "nota\nlonga"])
+    for i in range(90):
+        writer.writerow([f"k{i}", "".join(chance.choices(PIECES, k=chance.randrange(9)))])
+    writer.writerow(["long", "line\n" * 23 + "end"])
+    writer.writerow(["last", "open\ncell"])
+    (tmp_path / "f.csv").write_bytes(out.getvalue().encode())
+    names, rows = expected(out.getvalue(), ";")
+    columns, found, blocks = read(spark, tmp_path)
+    assert columns == names and blocks == 1
+    assert found == rows
+    spread = records.whole_records(tables._with_order(spark.read.option("lineSep", "\n").text(str(tmp_path))).withColumnRenamed("value", "line"), ";")
+    assert spread.groupBy("__file", "__block", "number").count().filter("count > 1").isEmpty()
+
+
+def test_no_window_holds_a_whole_block(spark, tmp_path):
+    """Lines are sorted and summed by chunks, so a task's memory does not follow the size of a file block."""
+    (tmp_path / "f.csv").write_text('a;b\n1;"x\ny"\n2;z\n')
+    plan = tables.stage(tables.read_csv(spark, str(tmp_path)), "i", "s")._jdf.queryExecution().optimizedPlan().toString()
+    over_lines = [line for line in plan.splitlines() if "Window [" in line and "__at" in line.split("specifiedwindowframe")[0] + line.rsplit("], [", 2)[-1]]
+    assert over_lines and all("__chunk" in line for line in over_lines)
