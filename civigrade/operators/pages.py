@@ -4,7 +4,9 @@ Rows are dealt to ranges of about ``range_rows`` in their order, and every row i
 has the number of rows and the first key of every range (an order statistic of the whole). Page ``offset, limit`` adds the numbers up
 to find its ranges; the page after a given row finds them by the first keys. Nothing is sorted again but the rows of a page.
 
-The driver holds the small table: one row for each ``range_rows`` rows.
+The driver holds the small table: one row for each ``range_rows`` rows, but no more than ``MOST_RANGES`` as long as ranges of
+``RANGE_ROWS`` rows can hold the table. So short ranges grow with a large table, and not their number, their files, and the sample of
+keys that the driver draws range borders from.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 RANGE_ROWS = 65_536
+MOST_RANGES = 512
 #: The lower bits of a task's running row number.
 ROW_BITS = (1 << 33) - 1
 
@@ -85,7 +88,8 @@ def build(rows: DataFrame, order: dict[str, Column], root: str, range_rows: int
     """
     spark = rows.sparkSession
     keyed = rows.select("*", *[value.alias(name) for name, value in order.items()])
-    ranges = max(1, -(-keyed.count() // range_rows))
+    count = keyed.count()
+    ranges = max(1, -(-count // max(range_rows, min(RANGE_ROWS, -(-count // MOST_RANGES)))))
     ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     placed = ordered.withColumns({"range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))})
     placed.write.partitionBy("range").parquet(f"{root}/rows")

@@ -64,3 +64,13 @@ def test_totals_empty_tables_and_refusals(spark, rows, book):
     for limit, offset in ((0, 0), (1, -1)):
         with pytest.raises(ValueError):
             book.page(limit, offset)
+
+
+def test_short_ranges_grow_with_the_table(spark, rows, expected, monkeypatch):
+    """However short the ranges, their number is bounded, so the driver's sample and table do not follow the rows."""
+    monkeypatch.setattr(pages, "MOST_RANGES", 10)
+    few = pages.pages_of_ranking(rows, "score", F.col("name"), "id", scratch_folder(spark, "pages"), range_rows=2)
+    assert few._ranges().count() <= 10
+    assert got(few.page(30, 480)) == expected[480:510]
+    monkeypatch.setattr(pages, "RANGE_ROWS", 50)
+    assert 10 < pages.pages_of_ranking(rows, "score", F.col("name"), "id", scratch_folder(spark, "pages"), range_rows=2)._ranges().count() <= 20
