@@ -25,6 +25,7 @@ ids are null, and is not kept; repeated rows come once each; further columns are
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -343,9 +344,10 @@ def linked(blocks: Blocks, sets: DataFrame, shingle: int) -> DataFrame:
     return known.unionByName(verified(blocks, stray_pairs(keyed, known), where, shingle))
 
 
-def rooted_sets(blocks: Blocks, sets: DataFrame, shingle: int) -> DataFrame:
-    """The sets with ``root``, the same for all that are reachable through links."""
-    roots = stars(linked(blocks, sets, shingle)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+def rooted_sets(blocks: Blocks, sets: DataFrame, shingle: int, known: DataFrame | None = None) -> DataFrame:
+    """The sets with ``root``, the same for all that are reachable through links; ``known`` links (a, b) count too."""
+    links = linked(blocks, sets, shingle)
+    roots = stars(links if known is None else known.unionByName(links)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     return sets.select("node", "d1", "d2", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -362,14 +364,15 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return full.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def representatives(docs: DataFrame, shingle: int) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int, first_links: Callable[[Blocks, DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of each component, with all columns: the one with the smallest doc_id (null last), the first such if it is repeated.
 
-    All texts without words are one component here.
+    All texts without words are one component here. ``first_links(blocks, sets)`` gives links found another way, which count too.
     """
     blocks = pack(docs)
     marks = marked(blocks, shingle)
-    rooted = rooted_sets(blocks, distinct_sets(marks), shingle)
+    sets = distinct_sets(marks)
+    rooted = rooted_sets(blocks, sets, shingle, None if first_links is None else first_links(blocks, sets))
     best = rooted.groupBy("root").agg(F.min("own").alias("best")).select("best.block", "best.place")
     bare = marks.filter("size = 0").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "block", "place")).alias("best")).filter("best IS NOT NULL")
     return blocks.chosen(best.unionByName(bare.select("best.block", "best.place")))

@@ -16,7 +16,7 @@ each written to the shared folder.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and are linked like any others; fewer words than a
 shingle make one shingle; a null doc_id is never a component's name unless all its ids are null; repeated rows come once each;
-further columns are ignored.
+further columns are ignored, or kept by ``representatives``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civigrade.llm import spans
+from civigrade.llm.blocks import Blocks, pack
 from civigrade.session import materialise
 
 SHINGLE = 3
@@ -68,6 +69,17 @@ def fingerprints(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
     return result
 
 
+def row_fingerprints(blocks: Blocks, places: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The ``fingerprint`` of the texts named by ``places`` (node, block, place)."""
+
+    def mark(_: int, rows: pa.Table, own: pa.Table) -> pa.Table:
+        texts = rows["text"].cast(pa.binary()).take(own["place"])
+        values = fingerprints([None if t is None else t.decode(errors="replace") for t in (text.as_py() for text in texts)], size)
+        return pa.table({"node": own["node"], "fingerprint": pa.array(values.view(np.int64))})
+
+    return materialise(blocks.answered(places, mark, "node long, fingerprint long"), "text-fingerprints")
+
+
 def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", size: int = SHINGLE) -> DataFrame:
     """Columns ``keep`` and the ``fingerprint`` (its 64 bits as a signed number) of every row."""
 
@@ -227,3 +239,30 @@ def clustered(docs: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
     named = components(marked, F.min("doc_id"), tree_nodes)
     joined = marked.join(named, F.col("fingerprint") == F.col("fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def candidate_pairs(fingerprinted: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all ``fingerprinted`` (node, fingerprint) within the radius, equal ones too."""
+    heads = materialise(fingerprinted.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("node").alias("head")), "fingerprints")
+    near = links(heads, heads.count(), tree_nodes)
+    one, other = (heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_node")) for side in ("a", "b"))
+    apart = near.join(one, "a").join(other, "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    same = fingerprinted.join(heads, F.col("fingerprint") == F.col("fp")).filter("node <> head")
+    return apart.unionByName(same.select(F.col("head").alias("a"), F.col("node").alias("b")))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest doc_id (null last), the first such if it is repeated."""
+    blocks = pack(docs)
+
+    def mark(block: int, rows: pa.Table) -> pa.Table:
+        texts = [None if t is None else t.decode(errors="replace") for t in rows["text"].cast(pa.binary()).to_pylist()]
+        values = fingerprints(texts).view(np.int64)
+        return pa.table(
+            {"block": pa.array(np.full(len(values), block)), "place": pa.array(np.arange(len(values))), "doc_id": rows["doc_id"].cast(pa.int64()), "fingerprint": pa.array(values)}
+        )
+
+    marked = materialise(blocks.each(mark, "block long, place long, doc_id long, fingerprint long"), "document-fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "block", "place"))
+    best = components(marked, first).select("component").distinct()
+    return blocks.chosen(best.select("component.block", "component.place"))

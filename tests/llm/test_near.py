@@ -3,6 +3,7 @@ import random
 import pytest
 
 from civigrade.llm import near, odd
+from civigrade.llm.blocks import pack
 from civigrade.llm.catalog import table
 
 
@@ -67,3 +68,17 @@ def test_copies_with_changed_words(spark, odd_documents, monkeypatch, crowd):
     expected = brute(rows)
     assert 12 < len(expected) < len(rows)
     assert kept(docs) == expected
+
+
+def test_fingerprints_link_what_words_confirm(spark, monkeypatch):
+    """The stage's SimHash step on its own: nearly identical texts are linked without any band key, unlike ones never."""
+    chance = random.Random(3)
+    words = [f"w{chance.randrange(5000)}" for _ in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(f"v{i}" for i in range(400))), (4, None), (5, "a b"), (6, "a c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = pack(docs)
+    sets = odd.distinct_sets(odd.marked(blocks, near.SHINGLE))
+    ids = {r.node: r.doc_id for r in sets.select("node", "own.doc_id").collect()}
+    assert [{ids[r.a], ids[r.b]} for r in near.simhash_links(blocks, sets).collect()] == [{1, 2}]
+    monkeypatch.setattr(odd, "linked", lambda blocks, sets, shingle: spark.createDataFrame([], "a long, b long"))
+    assert kept(docs) == [1, 3, 4, 5, 6]
