@@ -181,6 +181,15 @@ def filter_key(text: Column) -> Column:
     return order_key(exact_text(_filter_digits(text)))
 
 
+def short_number(text: Column) -> Column:
+    """The number of :func:`filter_key` as a decimal where it is written plainly and shortly, null elsewhere.
+
+    Such numbers compare as decimals exactly as their keys do, at a small part of the cost.
+    """
+    plain = _comma_to_dot(strip(text))
+    return F.when(plain.rlike(r"^-?[0-9]{1,18}([.][0-9]{1,10})?$"), plain).cast("decimal(28,10)")
+
+
 def number_text(value: Column) -> Column:
     """Canonical text of a stored number: no exponent, no trailing zeros."""
     text = value.cast(STORED).cast("string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from civigrade.functions.periods import period_bound
 from civigrade.functions.text import cell_text, dimension_prefix, merged_field, words_key
-from civigrade.functions.values import filter_key
+from civigrade.functions.values import filter_key, short_number
 
 OPERATORS = ("eq", "neq", "in", "gte", "lte", "contains")
 
@@ -41,8 +41,11 @@ def predicate(cell: Column, row_filter: RowFilter) -> Column:
     if row_filter.operator == "in":
         parts = [part.strip().lower() for part in wanted.split(";") if part.strip()]
         return folded.isin(*parts) if parts else F.lit(False)
-    left, right = filter_key(text), filter_key(F.lit(wanted))
-    return F.coalesce(left >= right if row_filter.operator == "gte" else left <= right, F.lit(False))
+    compared = lambda left, right: left >= right if row_filter.operator == "gte" else left <= right
+    # Only numbers that are long, signed by a plus or written with an exponent need the key.
+    short, bound = short_number(text), short_number(F.lit(wanted))
+    by_key = compared(filter_key(text), filter_key(F.lit(wanted)))
+    return F.coalesce(F.when(short.isNotNull() & bound.isNotNull(), compared(short, bound)).otherwise(by_key), F.lit(False))
 
 
 def apply_filters(
@@ -56,10 +59,15 @@ def apply_filters(
     if not keep_latest_of:
         return kept
     text = cell_text(cell(keep_latest_of))
-    number = filter_key(text)
-    best = kept.agg(F.struct(F.max(number).alias("number"), F.max(F.when(text != "", text)).alias("text"))).scalar()
-    top_number, top_text = best["number"], best["text"]
-    is_latest = F.when(top_number.isNotNull(), number == top_number).when(top_text.isNotNull(), text == top_text).otherwise(True)
+    short, number = short_number(text), filter_key(text)
+    tops = kept.agg(F.max(short).alias("short"), F.max(F.when(short.isNull(), number)).alias("number"), F.max(F.when(text != "", text)).alias("text"))
+    # The highest short number takes part by its key, and keeps its decimal if no other number is higher.
+    key = filter_key(F.col("short").cast("string"))
+    tops = tops.select(F.greatest(key, F.col("number")).alias("number"), F.when(key >= F.coalesce("number", key), F.col("short")).alias("short"), "text")
+    best = tops.select(F.struct("number", "short", "text")).scalar()
+    top_number, top_short, top_text = best["number"], best["short"], best["text"]
+    is_highest = F.when(short.isNotNull(), short == top_short).otherwise(number == top_number)
+    is_latest = F.when(top_number.isNotNull(), is_highest).when(top_text.isNotNull(), text == top_text).otherwise(True)
     return kept.filter(F.coalesce(is_latest, F.lit(False)))
 
 

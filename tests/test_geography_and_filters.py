@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from civigrade.functions.values import filter_key, short_number
 from civigrade.operators import filters, geography
 from civigrade.operators.filters import RowFilter
 
@@ -143,3 +144,31 @@ def test_catalog_search_ranks(spark):
     got = {r["code"]: r["match_rank"] for r in filters.search_catalog_rows(catalog, "eco").collect()}
     assert got == {"eco": 0, "eco01": 1, "eco02": 1, "pes01": 2}
     assert [r["code"] for r in filters.search_catalog_rows(catalog, "ECO pessoas").collect()] and filters.search_catalog_rows(catalog, "").count() == 4
+
+
+NUMBERS = ["7", "7.", "+7", "7e0", " 7,0 ", "007", "-0", "0", ",5", "-3,25", "1e3", "999", "1000", "1" * 40, "-" + "1" * 40, "s/d", "", None, "1.2.3"]
+
+
+def test_short_numbers_take_no_key_and_compare_as_keys_do(spark):
+    rows = spark.createDataFrame([(v,) for v in NUMBERS], "v string")
+    known = {r.v: r.s for r in rows.select("v", short_number(F.col("v")).alias("s")).collect()}
+    assert {v for v, s in known.items() if s is not None} == {"7", " 7,0 ", "007", "-0", "0", "-3,25", "999", "1000"}
+    keys = {r.v: r.k for r in rows.select("v", filter_key(F.col("v")).alias("k")).collect()}
+    for bound in ("7", "7e0", "-0", "1000", "1" * 40):
+        for operator in ("gte", "lte"):
+            found = filters.apply_filters(rows, [filters.RowFilter("v", operator, bound)])
+            holds = lambda k: k is not None and (k >= keys[bound] if operator == "gte" else k <= keys[bound])  # noqa: B023, E731
+            assert sorted(r.v for r in found.collect()) == sorted(v for v in NUMBERS if holds(keys[v]))
+
+
+def test_highest_number_in_any_notation(spark):
+    def highest(*values):
+        rows = spark.createDataFrame([(v,) for v in values], "v string")
+        return sorted((r.v for r in filters.apply_filters(rows, [], "v").collect()), key=repr)
+
+    assert highest("7", "7.", " 7,0", "+7", "6", "x", None) == [" 7,0", "+7", "7", "7."]
+    assert highest("7", "1e3", "999") == ["1e3"]
+    assert highest("7", "+3", "0") == ["7"]
+    assert highest("0", "-0", "-1") == ["-0", "0"]
+    assert highest("b", "a", "") == ["b"]
+    assert highest("", None) == ["", None]
