@@ -196,7 +196,8 @@ SELECT row_number, 'unknown code' AS problem FROM sent WHERE code NOT IN (SELECT
 UNION ALL SELECT row_number, 'does not match the name' FROM sent WHERE status <> 'matched'""",
 )
 def check_matches(spark, folder):
-    matches = _sheet_matches(spark, folder)
+    # Four checks read the matches: they are worked out once.
+    matches = materialise(_sheet_matches(spark, folder), "sheet-matches")
     sent = matches.filter(F.col("original_name") != "").select(
         "row_number", F.coalesce(F.col("suggestion")["ibge_code"], F.lit("0000000")).alias("ibge_code"), F.lit("exact").alias("origin")
     )
