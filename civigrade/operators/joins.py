@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 NUMBERING_BLOCK = 65_536
+MOST_HELD = 20_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -56,6 +61,38 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column, rows: int = 1)
     return df.withColumn("_position", F.row_number().over(window)).filter(F.col("_position") <= rows).drop("_position")
 
 
+def few_per_key(df: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """The rows that can be among the first ``rows`` of their key by the columns ``order`` (ascending, nulls first).
+
+    Every task keeps its own first rows batch by batch, so it never sorts all it reads. Where keys are many, what is held goes on
+    and is begun anew; :func:`first_per_key` decides among the few.
+    """
+
+    def firsts(table: pa.Table) -> pa.Table:
+        by = [(name, "ascending") for name in [*keys, *order]]
+        table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start"))
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[:1] = True
+        for name in keys:
+            codes = pc.dictionary_encode(table[name].combine_chunks(), null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        place = np.arange(table.num_rows)
+        return table.filter(pa.array(place - place[new][np.cumsum(new) - 1] < rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            found = pa.Table.from_batches([batch])
+            held = firsts(found if held is None else pa.concat_tables([held, found]))
+            if held.num_rows > MOST_HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def latest(df: DataFrame, keys: list[str], period: str, tie_break: list[str]) -> DataFrame:
     """Latest row per key; a missing value counts like any other."""
     return first_per_key(df, keys, F.col(period).desc(), *[F.col(c).asc() for c in tie_break])

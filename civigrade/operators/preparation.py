@@ -13,7 +13,7 @@ from civigrade.functions.periods import PeriodSelection, month_start_text, row_p
 from civigrade.functions.text import cell_text, merged_field, put_fields
 from civigrade.functions.values import STORED, clamp, number_text, parse_number, parse_number_us_first, ratio
 from civigrade.operators.geography import resolve_codes
-from civigrade.operators.joins import first_per_key, lookup
+from civigrade.operators.joins import few_per_key, first_per_key, lookup
 
 APPROVAL_CODE_FIELD = "approval_municipality_ibge_code"
 PROBLEM_SAMPLES = 5
@@ -208,7 +208,8 @@ def batch_problem_samples(prepared: DataFrame, rows: int = PROBLEM_SAMPLES) -> D
     bad = prepared.filter(F.col("value").isNull()).select(
         "import_id", "indicator_code", "sheet_name", "row_number", "source_measure"
     )
-    return first_per_key(bad, ["import_id", "indicator_code"], F.col("row_number"), F.col("sheet_name"), F.col("source_measure"), rows=rows)
+    keys, order = ["import_id", "indicator_code"], ["row_number", "sheet_name", "source_measure"]
+    return first_per_key(few_per_key(bad, keys, order, rows), keys, *[F.col(c) for c in order], rows=rows)
 
 
 def with_prepared_cells(

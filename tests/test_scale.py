@@ -1,9 +1,12 @@
 """Hot keys, large lookups and numbering: the ways taken beyond the bounds give the same rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from civigrade.operators import geography, index, joins, publication
+from civigrade.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +142,28 @@ def test_scratch_folders_go_when_a_job_is_done(spark, monkeypatch):
     folder = Path(table.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
     assert folder.exists() and session.clear_scratch(spark) == 1 and not folder.exists()
     assert session.clear_scratch(spark) == 0
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_few_rows_of_each_key_are_kept_without_a_sort(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "MOST_HELD", most)
+    chance = random.Random(5)
+    rows = [(chance.choice(["a", "b", None]), chance.choice([None, 1, 2, 3]), chance.choice(["x", None, "ção"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, n long, t string").repartition(3)
+    few = joins.few_per_key(df, ["k"], ["n", "t"], 4)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "WindowGroupLimit" not in plan
+    found = joins.first_per_key(few, ["k"], F.col("n"), F.col("t"), rows=4).collect()
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, (r[2] or "").encode())
+    expected = [r for k in ("a", "b", None) for r in sorted((r for r in rows if r[0] == k), key=order)[:4]]
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+    assert joins.few_per_key(df.filter("false"), ["k"], ["n", "t"], 4).collect() == []
+
+
+def test_large_staged_tables_are_sorted_by_many_tasks(spark, stage_rows, tmp_path, monkeypatch):
+    rows = stage_rows([{"a": str(i)} for i in range(300)])
+    monkeypatch.setattr(tables, "STAGED_TASK_BYTES", 100)
+    tables.write_staged(rows, str(tmp_path / "staged"), rows_per_file=10)
+    files = list((tmp_path / "staged").rglob("part-*.parquet"))
+    assert len(files) > 8
+    assert spark.read.parquet(str(tmp_path / "staged")).count() == 300
