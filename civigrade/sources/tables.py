@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from civigrade.functions.naming import unique_names
 from civigrade.functions.text import put_fields
-from civigrade.operators.joins import first_per_key, lookup, number_rows, prefix_sums
+from civigrade.operators.joins import first_per_key, lookup, number_rows, planned_bytes, prefix_sums
 from civigrade.operators.profiling import as_staged_cells, holds_regional_decimals, normalise_columns, normalise_decimals, profile_staged, regional_decimal, with_positions
 from civigrade.sources.records import CHUNK, chunk_of, whole_records
 
@@ -18,6 +18,9 @@ SEPARATORS = (";", ",", "\t", "|")
 SAMPLE_LINES = 20
 SAMPLE_ROWS = 20
 ROWS_PER_FILE = 2_000_000
+#: Planned size of the staged rows that one task sorts, as the optimiser sees them.
+STAGED_TASK_BYTES = 8 << 20
+MOST_STAGED_TASKS = 4096
 MOST_LAYOUTS = 64
 WRAPPED_LINES, FEWEST_WRAPPED_LINES = 7, 4
 LATIN = "ISO-8859-1"
@@ -329,8 +332,12 @@ def write_staged(staged: DataFrame, path: str, rows_per_file: int = ROWS_PER_FIL
     """Write staged rows by import and sheet; sheets that are written replace themselves only.
 
     Rows are first brought together by import, sheet and range of row numbers, so a sheet gets few files and a large one many tasks.
+    There are so many tasks that each sorts its rows by sheet in memory; only a small table is left to the session's number.
     """
-    together = staged.repartition(*SHEET, F.floor(F.col("row_number") / rows_per_file))
+    keys = [*SHEET, F.floor(F.col("row_number") / rows_per_file)]
+    parts = planned_bytes(staged) // STAGED_TASK_BYTES
+    usual = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = staged.repartition(min(parts, MOST_STAGED_TASKS), *keys) if parts > usual else staged.repartition(*keys)
     together.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHEET).parquet(path)
 
 
