@@ -163,6 +163,7 @@ def test_few_rows_of_each_key_are_kept_without_a_sort(spark, monkeypatch, most):
 def test_large_staged_tables_are_sorted_by_many_tasks(spark, stage_rows, tmp_path, monkeypatch):
     rows = stage_rows([{"a": str(i)} for i in range(300)])
     monkeypatch.setattr(tables, "STAGED_TASK_BYTES", 100)
+    monkeypatch.setattr(tables, "MOST_STAGED_TASKS", 24)
     tables.write_staged(rows, str(tmp_path / "staged"), rows_per_file=10)
     files = list((tmp_path / "staged").rglob("part-*.parquet"))
     assert len(files) > 8
