@@ -67,14 +67,18 @@ def ranges_at(spark: SparkSession, root: str, slots: int = SLOTS, id_type: str =
 
 
 def candidates(rows: DataFrame, population: DataFrame) -> DataFrame:
-    """Published rows that can be a latest value, with their bin and the profile of their municipality."""
-    people = lookup(population.select(F.col("ibge_code").alias("municipality_ibge_code"), "inhabitants"))
+    """Of each key the published row that can be its latest value, with its bin and the profile of its municipality.
+
+    Rows of one key are reduced to one before the population is looked up. The population grows with the municipalities, so it is
+    joined by shuffle unless adaptive execution finds it small; of several numbers for one municipality the largest counts.
+    """
+    people = population.groupBy(F.col("ibge_code").alias("municipality_ibge_code")).agg(F.max("inhabitants").alias("inhabitants"))
     value = F.col("value").cast("double")
     usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")) & (F.col("municipality_ibge_code") != "")
     present = rows.filter(usable & F.col("indicator_code").isNotNull()).select(
         *KEY, F.col("reference_period").cast("date").alias("reference_period"), "id", value.alias("value")
     )
-    placed = present.join(people, "municipality_ibge_code", "left")
+    placed = latest(present, KEY, "reference_period", ["id"]).join(people, "municipality_ibge_code", "left")
     return placed.select(*KEY, "reference_period", "id", "value", city_profile(F.col("inhabitants")).alias("city_profile"), bin_of(F.col("value")).alias("bin"))
 
 
@@ -85,22 +89,23 @@ def put(tables: Ranges, rows: DataFrame, population: DataFrame) -> bool:
     same slots anew. Nothing else may be put in between.
     """
     bases = [book.head() for book in (tables.latest, tables.values, tables.bins)]
-    fresh = materialise(latest(candidates(rows, population), KEY, "reference_period", ["id"]), "fresh")
+    fresh = materialise(candidates(rows, population), "fresh")
     slots = tables.latest.slots_of(fresh)
     if not slots:
         return False
-    before = tables.latest.read(slots, bases[0])
-    after = materialise(latest(before.unionByName(fresh), KEY, "reference_period", ["id"]), "latest")
-    columns = [field.name for field in tables.values.columns]
-    sides = [F.struct(*[f"{side}.{c}" for c in columns]).alias(name) for side, name in (("o", "old"), ("n", "new"))]
-    paired = before.alias("o").join(after.alias("n"), _equal("o", "n", KEY), "full")
-    moved = materialise(paired.filter(~_equal("o", "n", columns)).select(*sides), "moved")
-    gone, come = (moved.filter(f"{side}.indicator_code IS NOT NULL").select(f"{side}.*") for side in ("old", "new"))
-    touched = sorted({*tables.values.slots_of(gone), *tables.values.slots_of(come)})
+    paired = materialise(_paired(tables, tables.latest.read(slots, bases[0]), fresh), "latest")
+    after = paired.select(*tables.latest.names)
+    moved, columns = paired.filter("moved"), tables.values.names
+    gone, come = moved.filter("old IS NOT NULL").select("old.*"), moved.select(*columns)
+    changed = gone.unionByName(come).select(*PLACE, KEY[1])
+    touched = tables.values.slots_of(changed)
     if touched:
-        name = [*PLACE, KEY[1]]
-        kept = tables.values.read(touched, bases[1]).join(gone.unionByName(come).select(*name), name, "left_anti")
-        content = materialise(kept.unionByName(come), "values")
+        if len(slots) == tables.latest.slots:
+            # Every latest row has been read, so the new content of the slots is at hand.
+            content = after.select(*columns).filter(tables.values.slot().isin(touched))
+        else:
+            kept = tables.values.read(touched, bases[1]).join(changed, [*PLACE, KEY[1]], "left_anti")
+            content = materialise(kept.unionByName(come), "values")
         counted = content.groupBy(*GROUP, "bin").agg(
             F.count(F.lit(1)).alias("n"), F.min("reference_period").alias("first_period"), F.max("reference_period").alias("last_period")
         )
@@ -109,6 +114,24 @@ def put(tables: Ranges, rows: DataFrame, population: DataFrame) -> bool:
     return tables.latest.write(after, slots, bases[0]) is not None
 
 
+def _paired(tables: Ranges, before: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The latest row of each key after an import, whether its value has ``moved``, and the value it had then (``old``, null if none).
+
+    Both tables have at most one row for a key and no null in it, so one join finds the later row and the change. A row that is neither
+    later nor of a lesser id than the kept one changes nothing.
+    """
+    both = before.alias("o").join(fresh.alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY], "full")
+    had, has = F.col(f"o.{KEY[0]}").isNotNull(), F.col(f"n.{KEY[0]}").isNotNull()
+    old_period, period, old_id, id_ = (F.col(c) for c in ("o.reference_period", "n.reference_period", "o.id", "n.id"))
+    later = F.coalesce(period > old_period, period.isNotNull() & old_period.isNull())
+    lesser = F.coalesce(id_ < old_id, id_.isNull() & old_id.isNotNull())
+    wins = has & (~had | later | (period.eqNullSafe(old_period) & lesser))
+    moved = wins & ~_equal("o", "n", tables.values.names)
+    old = F.when(moved & had, F.struct(*[F.col(f"o.{c}") for c in tables.values.names]))
+    now = [F.when(wins, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in tables.latest.names]
+    return both.select(*now, moved.alias("moved"), old.alias("old"))
+
+
 def _equal(left: str, right: str, columns: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 

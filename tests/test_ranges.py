@@ -121,3 +121,55 @@ def test_bins_never_fall_as_values_grow(cells):
     values = sorted([0.0, *sizes, *[-size for size in sizes]])
     bins = cells(ranges.bin_of, values, "v double")
     assert bins == sorted(bins) and bins.count(0) == 1
+
+
+def test_an_import_into_every_slot_reads_no_values(spark, population, monkeypatch):
+    """What the latest rows tell is not read again from the values, however many there are."""
+    tables = ranges.ranges_at(spark, scratch_folder(spark, "ranges"), 2)
+    first, second = batch(11, 0, 300), batch(12, 1000, 300)
+    ranges.put(tables, published(spark, first), population)
+    read, seen = type(tables.values).read, []
+
+    def noted(self, *args):
+        seen.append(self.root.rsplit("/", 1)[1])
+        return read(self, *args)
+
+    monkeypatch.setattr(type(tables.values), "read", noted)
+    assert ranges.put(tables, published(spark, second), population)
+    monkeypatch.undo()
+    assert seen == ["latest"]
+    same(found(tables), expected(first + second))
+    assert sorted(tables.values.read().collect()) == sorted(tables.latest.read().select(*tables.values.names).collect())
+
+
+def test_candidates_are_one_row_per_key_and_force_no_broadcast(spark, population):
+    rows = batch(13, 0, 600) + [(7, "wide", "0000001", None, 1.0), (8, "only", "0000001", None, 2.0), (6, "only", "0000001", None, 3.0)]
+    twice = population.unionByName(population)
+    found_rows = ranges.candidates(published(spark, rows), twice)
+    assert "strategy=broadcast" not in found_rows._jdf.queryExecution().optimizedPlan().toString()
+    kept = {(r.indicator_code, r.municipality_ibge_code): r for r in found_rows.collect()}
+    assert len(kept) == found_rows.count() and kept["only", "0000001"].value == 3.0
+
+
+def test_a_kept_row_stays_unless_later_or_of_a_lesser_id(spark, population):
+    """Per municipality a row, the row that comes after it (id, period, value) and the value that counts then."""
+    cases = [
+        ((5, None, 1.0), (6, None, 2.0), 1.0),
+        ((5, None, 1.0), (4, None, 3.0), 3.0),
+        ((5, None, 1.0), (9, "2020-01-01", 4.0), 4.0),
+        ((9, "2020-01-01", 4.0), (1, None, 5.0), 4.0),
+        ((9, "2020-01-01", 4.0), (9, "2020-01-01", 6.0), 4.0),
+        ((9, "2020-01-01", 4.0), (8, "2020-01-01", 900.0), 900.0),
+        ((9, "2020-01-01", 4.0), (10, "2021-01-01", 900.0), 900.0),
+        ((9, "2020-01-01", 4.0), (1, "2019-01-01", 900.0), 4.0),
+        ((9, "2020-01-01", 4.0), (None, "2020-01-01", 5.0), 5.0),
+    ]
+    tables = ranges.ranges_at(spark, scratch_folder(spark, "ranges"), 1)
+    for side in (0, 1):
+        rows = [(case[side][0], "wide", f"{place:07d}", *case[side][1:]) for place, case in enumerate(cases)]
+        ranges.put(tables, published(spark, rows), population)
+    expected_values = {f"{place:07d}": case[2] for place, case in enumerate(cases)}
+    for book in (tables.latest, tables.values):
+        rows = book.read().collect()
+        assert len(rows) == len(cases) and {r.municipality_ibge_code: r.value for r in rows} == expected_values
+    assert sum(r.n for r in tables.bins.read().collect()) == len(cases)
