@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of a row in a broadcast hash table for each byte the statistics give it: files are compressed, short texts and headers are not.
+HELD_FOR_PLANNED = 16
 NUMBERING_BLOCK = 65_536
 MOST_HELD = 20_000
 
@@ -30,13 +32,56 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _nodes(plan) -> Iterator:
+    yield plan
+    inputs = plan.children()
+    for place in range(inputs.size()):
+        yield from _nodes(inputs.apply(place))
+
+
+def _length(generate) -> int | None:
+    """Number of rows an unfolded array makes of one; None where the plan does not tell."""
+    array = generate.generator().children().apply(0)
+    kind = array.getClass().getSimpleName()
+    if kind == "CreateArray":
+        return array.children().size()
+    if kind == "Literal" and array.dataType().typeName() == "array":
+        return 0 if array.value() is None else array.value().numElements()
+    return None
+
+
+def held_bytes(df: DataFrame) -> int | None:
+    """Size of a table in the memory of the driver and of every executor, were it broadcast; None where the plan cannot tell. Nothing is run.
+
+    The optimiser's statistics are sizes of compressed files and take an unfolded array for one row. Those of joins are products of
+    sizes, which are ample as they are.
+    """
+    size, joined = planned_bytes(df), False
+    for node in _nodes(df._jdf.queryExecution().optimizedPlan()):
+        if node.nodeName() == "Generate":
+            length = _length(node)
+            if length is None:
+                return None
+            size *= max(1, length)
+        elif node.nodeName() == "Join" and node.joinType().sql() not in ("LEFT SEMI", "LEFT ANTI"):
+            joined = True
+    return size if joined else size * HELD_FOR_PLANNED
+
+
 def lookup(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a catalog for broadcast if the plan's statistics bound it by ``size`` bytes.
+    """Mark a catalog for broadcast if the plan bounds what it takes in memory by ``size`` bytes.
 
     Beyond it, and for tables whose size the plan cannot bound, the join shuffles; adaptive execution then broadcasts what turns out
-    small and splits the partitions of hot keys.
+    small and splits the partitions of hot keys. Where Spark would broadcast it all the same, by the sizes of compressed files, it is
+    told to shuffle.
     """
-    return F.broadcast(df) if planned_bytes(df) <= size else df
+    held = held_bytes(df)
+    if held is not None and held <= size:
+        return F.broadcast(df)
+    if held is not None and held <= BROADCAST_BYTES:
+        return df
+    usual = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df.hint("shuffle_merge") if planned_bytes(df) <= usual else df
 
 
 def attach_counted(df: DataFrame, counted: DataFrame, keys: list[str], null_keys: bool = True) -> DataFrame:

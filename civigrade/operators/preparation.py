@@ -119,24 +119,25 @@ def mapping_problems(mappings: list[IndicatorMapping], indicators: DataFrame) ->
 def prepare_places_and_periods(
     staged: DataFrame, selection: PeriodSelection, municipality_field: str, municipalities: DataFrame
 ) -> DataFrame:
-    """Add ``municipality_code``, ``period`` and the texts that could not be read (null where all is well)."""
+    """Add ``municipality_code``, ``period`` and the texts that could not be read (null where all is well).
+
+    Cells are read before the join: where the catalog is too large to broadcast, what was read of a row moves, not the row.
+    """
     period, original = row_period(_cell, selection)
-    place = _cell(municipality_field)
-    resolved = resolve_codes(staged, place, municipalities)
-    rows = resolved.withColumn("period", period)
-    return rows.withColumn(
-        "period_problem", F.when(F.col("period").isNull(), original)
-    ).withColumn("municipality_problem", F.when(F.col("municipality_code").isNull(), cell_text(place)))
+    rows = staged.withColumns({"period": period, "_place": cell_text(_cell(municipality_field))})
+    rows = rows.withColumn("period_problem", F.when(F.col("period").isNull(), original))
+    resolved = resolve_codes(rows, F.col("_place"), municipalities)
+    return resolved.withColumn("municipality_problem", F.when(F.col("municipality_code").isNull(), F.col("_place"))).drop("_place")
 
 
 def prepare_single(
     staged: DataFrame, selection: PeriodSelection, value_field: str, municipality_field: str, municipalities: DataFrame
 ) -> DataFrame:
     """Rows of one indicator: code, period and value, with the text of each part that could not be read."""
-    rows = prepare_places_and_periods(staged, selection, municipality_field, municipalities)
-    original = cell_text(_cell(value_field))
-    rows = rows.withColumn("value", parse_number(_cell(value_field)))
-    return rows.withColumn("value_problem", F.when(F.col("value").isNull() & (original != ""), original))
+    rows = staged.withColumn("_text", cell_text(_cell(value_field)))
+    rows = prepare_places_and_periods(rows, selection, municipality_field, municipalities)
+    rows = rows.withColumn("value", parse_number(F.col("_text")))
+    return rows.withColumn("value_problem", F.when(F.col("value").isNull() & (F.col("_text") != ""), F.col("_text"))).drop("_text")
 
 
 def problem_rows(prepared: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def prepare_batch(
     ``population`` (``year, ibge_code, inhabitants``) is needed for ratios to the population.
     """
     check_mappings(mappings)
-    rows = prepare_places_and_periods(staged, selection, municipality_field, municipalities)
+    rows = prepare_places_and_periods(_with_texts(staged, mappings), selection, municipality_field, municipalities)
     if any(m.calculation == "ratio_population" for m in mappings):
         if population is None:
             raise ValueError("a ratio to the population needs the population table")
@@ -173,7 +174,7 @@ def prepare_batch(
         )
         rows = rows.withColumn("population_year", F.col("period")["year"])
         rows = rows.join(people, ["population_year", "municipality_code"], "left")
-    rows, text, number = _parsed_cells(rows, mappings)
+    rows, text, number = _with_numbers(rows, mappings)
     values = [
         F.struct(
             F.lit(m.indicator_code).alias("indicator_code"),
@@ -190,10 +191,19 @@ def prepare_batch(
     )
 
 
-def _parsed_cells(rows: DataFrame, mappings: list[IndicatorMapping]):
-    """Rows with the text and number of every cell the mappings read, each parsed once, and how to get them."""
-    place = {name: i for i, name in enumerate(dict.fromkeys(f for m in mappings for f in m.fields))}
-    rows = rows.withColumns({f"_text_{i}": cell_text(_cell(name)) for name, i in place.items()})
+def _cell_numbers(mappings: list[IndicatorMapping]) -> dict[str, int]:
+    """Number of every cell the mappings read."""
+    return {name: i for i, name in enumerate(dict.fromkeys(f for m in mappings for f in m.fields))}
+
+
+def _with_texts(rows: DataFrame, mappings: list[IndicatorMapping]) -> DataFrame:
+    """Rows with the text of every cell the mappings read."""
+    return rows.withColumns({f"_text_{i}": cell_text(_cell(name)) for name, i in _cell_numbers(mappings).items()})
+
+
+def _with_numbers(rows: DataFrame, mappings: list[IndicatorMapping]):
+    """Rows of :func:`_with_texts` with the number of every cell, each parsed once, and how to get texts and numbers."""
+    place = _cell_numbers(mappings)
     rows = rows.withColumns({f"_number_{i}": parse_number(F.col(f"_text_{i}")) for i in place.values()})
     return rows, lambda name: F.col(f"_text_{place[name]}"), lambda name: F.col(f"_number_{place[name]}")
 
@@ -222,7 +232,7 @@ def with_prepared_cells(
     """
     check_mappings(mappings)
     rows = prepare_places_and_periods(staged, selection, municipality_field, municipalities)
-    rows, _, number = _parsed_cells(rows, mappings)
+    rows, _, number = _with_numbers(_with_texts(rows, mappings), mappings)
     fields = {APPROVAL_CODE_FIELD: F.col("municipality_code")}
     period_fields = {
         "reference_year": F.col("period")["year"].cast("string"),

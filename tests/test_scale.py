@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civigrade.operators import geography, index, joins, publication
+from civigrade.plans import catalog
 from civigrade.sources import tables
 
 
@@ -65,6 +66,68 @@ def test_lookup_is_bounded_by_the_plan(spark, tmp_path):
     assert not hinted(joins.lookup(stored.join(stored.withColumnRenamed("text", "t2"), "id").join(spark.range(10**9), "id")))
 
 
+def test_lookup_counts_what_is_held_in_memory(spark, tmp_path):
+    """Files are compressed, and statistics take an unfolded array for one row."""
+    spark.range(2000).withColumn("text", F.repeat(F.lit("x"), F.lit(100))).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    planned = joins.planned_bytes(stored)
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(joins.lookup(stored, size=planned * joins.HELD_FOR_PLANNED)) and not hinted(joins.lookup(stored, size=planned * 2))
+    years, ids = F.array(*[F.lit(y) for y in range(50)]), F.array(*[F.col("id") + y for y in range(50)])
+    for array in (years, ids):
+        many, jobs = jobs_of(spark, lambda: joins.lookup(stored.withColumn("y", F.explode(array)), size=planned * joins.HELD_FOR_PLANNED * 40))
+        assert not hinted(many) and jobs == 0
+        assert hinted(joins.lookup(stored.withColumn("y", F.explode(array)), size=planned * joins.HELD_FOR_PLANNED * 60))
+    assert not hinted(joins.lookup(stored.withColumn("y", F.explode(F.sequence(F.lit(1), F.col("id") + 1)))))
+
+
+def test_what_is_too_large_is_not_broadcast_by_the_size_of_its_file(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    wide = spark.read.parquet(str(tmp_path / "t")).withColumn("y", F.explode(F.array(*[F.lit(y) for y in range(1500)])))
+    assert joins.planned_bytes(wide) < 1 << 20 < joins.BROADCAST_BYTES < joins.held_bytes(wide)
+    found = spark.range(10).join(joins.lookup(wide), "id")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 15_000
+
+
+@pytest.fixture(scope="module")
+def general_tables(spark, tmp_path_factory):
+    """Small general tables: codes that are unknown, spelled in all ways, places that share names, prices that are missing."""
+    folder = str(tmp_path_factory.mktemp("general"))
+    line = F.col("id")
+    tables_of = {
+        "nation": spark.range(3).select(line.alias("n_nationkey"), F.concat(F.lit("NATION_"), line).alias("n_name")),
+        "customer": spark.range(40).select(line.alias("c_custkey"), F.concat(F.lit("Customer "), line).alias("c_name"), (line % 3).alias("c_nationkey"), (line * 7.5).alias("c_acctbal")),
+        "part": spark.range(60).select(line.alias("p_partkey"), F.concat(F.lit("red part "), (line % 20).cast("string")).alias("p_name"), F.concat(F.lit("Brand#"), line % 4 + 11).alias("p_brand")),
+        "lineitem": spark.range(600).select(
+            (line / 7).cast("long").alias("l_orderkey"), (line % 7 + 1).cast("int").alias("l_linenumber"), (line * 11 % 60).alias("l_partkey"),
+            (line * 3.25).alias("l_extendedprice"), F.when(line % 9 == 0, 0.0).otherwise(0.05).alias("l_tax"), (line % 50 + 1).cast("double").alias("l_quantity"),
+            F.lit(0.04).alias("l_discount"), F.to_timestamp(F.date_add(F.lit("1995-01-01").cast("date"), (line * 5).cast("int"))).alias("l_shipdate"),
+            F.when(line % 2 == 0, "A").otherwise("R").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        ),
+    }
+    for name, rows in tables_of.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+LARGE_LOOKUPS = {"r4_q2_prepare_batch": "inhabitants"}
+
+
+@pytest.mark.parametrize("name", LARGE_LOOKUPS)
+def test_a_lookup_that_unfolds_beyond_memory_is_shuffled(spark, general_tables, monkeypatch, name):
+    """Files of 2 MB by the statistics whose rows are unfolded: they were broadcast, whatever they hold; the rows stay the same."""
+    seen, real = [], F.broadcast
+    monkeypatch.setattr(joins.F, "broadcast", lambda df: seen.append(df.columns) or real(df))
+    rows = lambda: sorted(map(str, catalog.QUERIES[name](spark, general_tables).collect()))
+    expected = rows()
+    assert expected and any(LARGE_LOOKUPS[name] in columns for columns in seen)
+    seen.clear()
+    monkeypatch.setattr(joins, "planned_bytes", lambda df: 2 << 20)
+    assert rows() == expected
+    assert not any(LARGE_LOOKUPS[name] in columns for columns in seen)
+
+
 def test_codes_resolve_the_same_without_broadcast(spark, monkeypatch):
     catalog = spark.range(1000).select(F.format_string("%07d", F.col("id") * 10 + F.col("id") % 10).alias("ibge_code"))
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("000001")).otherwise(F.format_string("%07d", F.col("id"))).alias("cell"))
