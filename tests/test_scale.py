@@ -111,7 +111,7 @@ def general_tables(spark, tmp_path_factory):
     return folder
 
 
-LARGE_LOOKUPS = {"r4_q2_prepare_batch": "inhabitants"}
+LARGE_LOOKUPS = {"r4_q2_prepare_batch": "inhabitants", "q2_problem_counts": "inhabitants"}
 
 
 @pytest.mark.parametrize("name", LARGE_LOOKUPS)
