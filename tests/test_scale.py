@@ -111,7 +111,7 @@ def general_tables(spark, tmp_path_factory):
     return folder
 
 
-LARGE_LOOKUPS = {"r4_q2_prepare_batch": "inhabitants", "q2_problem_counts": "inhabitants", "w8_problem_samples": "inhabitants"}
+LARGE_LOOKUPS = {"r4_q2_prepare_batch": "inhabitants", "q2_problem_counts": "inhabitants", "w8_problem_samples": "inhabitants", "g7_check_matches": "name_key"}
 
 
 @pytest.mark.parametrize("name", LARGE_LOOKUPS)
