@@ -12,6 +12,7 @@ from civigrade.session import materialise
 
 MOST_INDICATORS = 10_000
 RANKING_SORTS = ("score", "name", "state", "coverage")
+MUNICIPALITY_CODE = "^[0-9]{7}$"
 
 
 def ordered_sum(terms: Column, order: Column) -> Column:
@@ -33,21 +34,24 @@ def scorable_indicators(indicators: DataFrame, dimensions: DataFrame, benchmarks
     )
 
 
-def score_latest(published: DataFrame, indicators: DataFrame, dimensions: DataFrame, benchmarks: DataFrame) -> DataFrame:
+def score_latest(
+    published: DataFrame, indicators: DataFrame, dimensions: DataFrame, benchmarks: DataFrame, codes: str = MUNICIPALITY_CODE
+) -> DataFrame:
     """One row per municipality and scorable indicator: latest value and its score.
 
-    Needs ``municipality_ibge_code, indicator_code, reference_period, value, id``.
+    Needs ``municipality_ibge_code, indicator_code, reference_period, value, id``. ``codes`` is the pattern of a municipality's code; rows
+    with other codes are left out. Where ids repeat, the lower value is the latest, so no row depends on how the catalog is joined.
     """
     catalog = scorable_indicators(indicators, dimensions, benchmarks).select(
         "indicator_code", "dimension_code", "score_direction", "minimum_value", "maximum_value", "checklist_max"
     )
     catalog = lookup(catalog)
     known = published.select("municipality_ibge_code", "indicator_code", "reference_period", "value", "id").filter(
-        F.col("municipality_ibge_code").rlike("^[0-9]{7}$")
+        F.col("municipality_ibge_code").rlike(codes)
     )
     newest = latest(
         known.join(catalog.select("indicator_code"), "indicator_code", "left_semi"),
-        ["municipality_ibge_code", "indicator_code"], "reference_period", ["id"],
+        ["municipality_ibge_code", "indicator_code"], "reference_period", ["id", "value"],
     )
     return newest.join(catalog, "indicator_code").withColumn(
         "score",
@@ -96,10 +100,11 @@ def with_place_names(df: DataFrame, municipalities: DataFrame) -> DataFrame:
 
 
 def rank_municipalities(
-    published: DataFrame, indicators: DataFrame, dimensions: DataFrame, benchmarks: DataFrame, municipalities: DataFrame
-) -> DataFrame:
+    published: DataFrame, indicators: DataFrame, dimensions: DataFrame, benchmarks: DataFrame, municipalities: DataFrame,
+    codes: str = MUNICIPALITY_CODE,
+) -> DataFrame:
     """Overall score of every municipality that has one, with names; not yet ranked."""
-    scored = score_latest(published, indicators, dimensions, benchmarks)
+    scored = score_latest(published, indicators, dimensions, benchmarks, codes)
     overall = overall_scores(dimension_scores(scored), dimensions).filter(F.col("overall_score").isNotNull())
     return with_place_names(overall, municipalities)
 

@@ -64,7 +64,7 @@ ranked AS (
 
 def _ranked(spark, folder):
     return index.rank_municipalities(
-        model.published(spark, folder), *_catalogs(spark), model.municipality(spark, folder)
+        model.published(spark, folder), *_catalogs(spark), model.municipality(spark, folder), model.CODE_PATTERN
     )
 
 
@@ -410,7 +410,7 @@ FROM scored LEFT JOIN municipality ON ibge_code = municipality_ibge_code WINDOW
 )
 def best_in_row(spark, folder):
     """Best municipality of each state per indicator."""
-    scored = index.score_latest(model.published(spark, folder), *_catalogs(spark))
+    scored = index.score_latest(model.published(spark, folder), *_catalogs(spark), model.CODE_PATTERN)
     named = index.with_place_names(scored, model.municipality(spark, folder))
     return index.best_in_row(named, ["indicator_code", "state"]).select("municipality_ibge_code", "indicator_code", "state", "is_best")
 

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from civigrade.operators import benchmarks, index, series
+from civigrade.operators import benchmarks, index, joins, series
+from civigrade.plans import catalog
 
 DIMENSIONS = [("eco", 60.0), ("pes", 40.0)]
 INDICATORS = [("eco01_a", "A", "eco", "direct", None), ("eco02_b", "B", "eco", "inverse", None), ("pes01_c", "C", "pes", "checklist", 5.0), ("pes02_x", "X", "pes", "direct", None)]
@@ -58,6 +59,29 @@ def test_a_missing_latest_value_is_not_replaced_by_an_older_one(spark, tables):
     assert "2222222" not in codes
 
 
+def test_rows_that_tie_do_not_depend_on_the_join_with_the_catalog(spark, tables, monkeypatch):
+    """Repeated ids of one period: the same row is the latest, in whatever order they come, with the catalog broadcast or not."""
+    tied = [("1111111", "eco01_a", v, "2024-01-01") for v in (90.0, 10.0, 70.0)]
+    others = [v for k, v in tables.items() if k not in ("published", "municipalities")]
+    for size in (0, 1 << 62):
+        monkeypatch.setattr(joins, "planned_bytes", lambda df: size)
+        for values in (tied, tied[::-1]):
+            assert [r["value"] for r in index.score_latest(published(spark, values).coalesce(1), *others).collect()] == [10.0]
+
+
+def test_the_ranking_holds_keys_of_a_million_and_more(spark, tmp_path):
+    """The query ranks every municipality of the model, as its SQL does; the codes of large keys have eight digits."""
+    keys = range(999_950, 1_000_070)
+    orders = [(i, key, "O", 400_000.0 - 1000 * i, "1-URGENT") for i, key in enumerate(keys)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").withColumn(
+        "o_orderdate", F.to_timestamp(F.lit("1997-05-03"))
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(key, f"Customer#{key}", 0) for key in keys], "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "NATION_0")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    page = catalog.QUERIES["a3_seek_page"](spark, str(tmp_path)).collect()
+    assert [(r["rank"], r["municipality_ibge_code"]) for r in page] == [(i + 1, f"{keys[i]}{keys[i] % 10}") for i in range(60, 100)]
+
+
 def test_pages_search_and_ties(spark, tables):
     scores = spark.createDataFrame(
         [("1", "Ávila", "SP", 90.0), ("2", "b", "SP", 80.0), ("3", "a", None, 80.0), ("4", "d", "MG", 70.0), ("5", "e", "MG", None)],
